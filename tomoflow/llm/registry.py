@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tomoflow.llm import exact_dedup, mixing, url_filter
-from tomoflow.llm.common import SPACE, load
+from tomoflow.llm import exact_dedup, mixing, token_files, url_filter, word_bpe
+from tomoflow.llm.common import SPACE, load, shared_folder
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,15 +21,29 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return word_bpe.digests(word_bpe.encode_documents(load(spark, sf_dir, "documents"), path))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = exact_dedup.exact_dedup(load(spark, sf_dir, "documents"))
     return rows.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
 
 
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_folder(spark).rstrip('/')}/token-files-{uuid.uuid4().hex}"
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    token_files.write_token_files(load(spark, sf_dir, "documents"), path, ranks, public_tokenizers.PATTERN)
+    return token_files.read_documents(spark, path)
+
+
 QUERIES = {
     "op3_url_filter": op3_url_filter,
     "op5_source_mixing": op5_source_mixing,
+    "op8_word_bpe": op8_word_bpe,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_token_files": op10_token_files,
 }
 
 ORACLES = {
