@@ -8,8 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tomoflow.llm import exact_dedup, mixing, token_files, url_filter, word_bpe
-from tomoflow.llm.common import SPACE, load, shared_folder
+from tomoflow.llm import exact_dedup, language_id, mixing, token_files, top_k, url_filter, word_bpe
+from tomoflow.llm.common import SPACE, load, remainder, shared_folder
+
+
+def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k.top_k(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +25,13 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    held_out = remainder(F.col("doc_id"), 4) == 2
+    found = language_id.identify_documents(docs, language_id.train(docs.where(~held_out)), spans=False)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op8_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     return word_bpe.digests(word_bpe.encode_documents(load(spark, sf_dir, "documents"), path))
@@ -39,14 +50,17 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_top_k": op2_top_k,
     "op3_url_filter": op3_url_filter,
     "op5_source_mixing": op5_source_mixing,
+    "op7_language_id": op7_language_id,
     "op8_word_bpe": op8_word_bpe,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_token_files": op10_token_files,
 }
 
 ORACLES = {
+    "op2_top_k": top_k.oracle_sql(),
     "op3_url_filter": url_filter.oracle_sql(),
     "op5_source_mixing": mixing.oracle_sql(),
     "op9_exact_dedup": f"""

@@ -43,6 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tomoflow.llm.common import column
+from tomoflow.llm.signs import chunks
 
 MEMO_WORDS = 400_000
 #: Texts of about so many characters are encoded together.
@@ -239,16 +240,6 @@ def decode(ids: list[int], vocabulary: Vocabulary) -> str:
     return " ".join(vocabulary.tokens[i] for i in ids)
 
 
-def chunks(texts: list[str], most: int = CHUNK_CHARS) -> Iterator[slice]:
-    """Slices of ``texts`` of about ``most`` characters."""
-    start, held = 0, 0
-    for i, t in enumerate(texts):
-        held += len(t)
-        if held >= most:
-            yield slice(start, i + 1)
-            start, held = i + 1, 0
-    if start < len(texts):
-        yield slice(start, len(texts))
 
 
 def encode_documents(
@@ -264,7 +255,7 @@ def encode_documents(
         own = encoder(tokenizer_text, tokenizer_path)
         for batch in batches:
             doc_ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for part in chunks(texts):
+            for part in chunks(texts, CHUNK_CHARS):
                 packed, decoded = own.encode(texts[part])
                 ends = np.cumsum([0, *(len(p) // 4 for p in packed)])
                 flat = pa.array(np.frombuffer(b"".join(packed), "<i4"))
