@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tomoflow.llm import exact_dedup, language_id, mixing, token_files, top_k, url_filter, word_bpe
+from tomoflow.llm import exact_dedup, language_id, mixing, token_files, top_k, toxicity, url_filter, word_bpe
 from tomoflow.llm.common import SPACE, load, remainder, shared_folder
 
 
@@ -20,6 +20,15 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(load(spark, sf_dir, "pages"), url_filter.rules_table(spark))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    held_out = remainder(F.col("doc_id"), 4) == 2
+    field = toxicity.train(docs.where(~held_out), load(spark, sf_dir, "labels"))
+    scored = toxicity.score_documents(docs, field)
+    predicted = F.when(F.col("score") >= 0.3, 1).otherwise(0)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"), F.size("spans").alias("n_spans"))
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(load(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -52,6 +61,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_top_k": op2_top_k,
     "op3_url_filter": op3_url_filter,
+    "op4_toxicity": op4_toxicity,
     "op5_source_mixing": op5_source_mixing,
     "op7_language_id": op7_language_id,
     "op8_word_bpe": op8_word_bpe,
