@@ -50,7 +50,7 @@ from tomoflow.llm.common import column
 
 MAGIC = b"TFREPAIR"
 END_ID = 2
-SHARD_IDS = 1_000_000
+SHARD_IDS = 500_000
 LEAST = 8
 FILES = "part long, shard long, n_docs long, n_ids long, payload binary"
 SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
@@ -71,69 +71,67 @@ def encode_text(own: tiktoken.Encoding, text: str) -> np.ndarray:
     return own.encode_to_numpy(text, allowed_special="all").astype(np.uint32)
 
 
-class Pairs:
-    """Hash table of the pairs to replace in one round."""
+#: Bits of the hash table in which a round counts its pairs.
+TABLE_BITS = 18
 
-    BITS = 20
 
-    def __init__(self):
-        self.table = np.zeros(1 << self.BITS, np.int32)
+def _places(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Place of each pair in the hash table."""
+    mixed = left * np.uint32(0x9E3779B1) ^ right * np.uint32(0x85EBCA77)
+    return (mixed >> np.uint32(32 - TABLE_BITS)).astype(np.intp)
 
-    @classmethod
-    def place(cls, keys: np.ndarray) -> np.ndarray:
-        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - cls.BITS)).astype(np.int64)
 
-
-def _frequent(keys: np.ndarray, places: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct pairs with at least ``threshold`` occurrences, and their counts.
-
-    Places of the hash table count first; only keys at places that reach the
-    threshold are sorted.
-    """
-    counts = np.bincount(places, minlength=1 << Pairs.BITS)
-    some = np.sort(keys[counts[places] >= threshold])
-    if not len(some):
-        return some, np.empty(0, np.int64)
-    starts = np.flatnonzero(np.concatenate([[True], some[1:] != some[:-1]]))
-    n = np.diff(np.append(starts, len(some)))
-    often = n >= threshold
-    return some[starts][often], n[often]
+def _pairs(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return left.astype(np.uint64) << np.uint64(32) | right
 
 
 def re_pair(ids: np.ndarray, ends: np.ndarray, first: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols, ends of the documents in them, and rules (left, right) in order.
 
     ``ends``: end of each document in ``ids``.  Nonterminal ``first + i`` is rule i.
+    Pairs are counted by their place in a hash table first; only those at places that
+    reach the threshold are sorted, and counted exactly.
     """
     x = ids.astype(np.uint32)
     last = np.zeros(len(x), bool)
     last[ends[ends > 0] - 1] = True
     rules: list[np.ndarray] = []
-    n_rules, threshold, table = 0, None, Pairs()
+    n_rules, threshold = 0, None
+    nowhere = 1 << TABLE_BITS
+    slots = np.zeros(nowhere + 1, np.int32)
     while len(x) > 1:
-        keys = (x[:-1].astype(np.uint64) << np.uint64(32)) | x[1:]
-        places = Pairs.place(keys)
-        places[last[:-1]] = 0
-        keys[last[:-1]] = np.uint64(2**64 - 1)  # no pair over the end of a document
+        places = _places(x[:-1], x[1:])
+        places[last[:-1]] = nowhere  # no pair over the end of a document
+        counts = np.bincount(places, minlength=nowhere + 1)
+        counts[nowhere] = 0
         if threshold is None:
-            top = int(np.bincount(places[~last[:-1]], minlength=1).max(initial=0))
-            threshold = max(least, top // 4)
-        found, counts = _frequent(keys, places, threshold)
-        real = found != np.uint64(2**64 - 1)
-        found, counts = found[real], counts[real]
-        if len(found):
-            order = np.argsort(-counts, kind="stable")
-            spots = Pairs.place(found[order])
-            _, one = np.unique(spots, return_index=True)  # of pairs with one place the most frequent
-            chosen, spots = found[order][np.sort(one)], spots[np.sort(one)]
-            table.table[spots] = np.arange(1, len(chosen) + 1, dtype=np.int32)
-            slot = table.table[places]
-            at = np.flatnonzero((slot > 0) & (chosen[slot - 1] == keys))
-            table.table[spots] = 0
+            threshold = max(least, int(counts.max()) // 4)
+        at = np.flatnonzero((counts >= threshold)[places])
+        replaced = 0
+        if len(at):
+            keys = _pairs(x[at], x[at + 1])
+            ordered = np.sort(keys)
+            starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+            often = np.diff(np.append(starts, len(ordered)))
+            chosen = ordered[starts][often >= threshold]
+            # of pairs with one place the most frequent; the others wait for the next round
+            chosen = chosen[np.argsort(-often[often >= threshold], kind="stable")]
+            spots = _places((chosen >> np.uint64(32)).astype(np.uint32), chosen.astype(np.uint32))
+            _, one = np.unique(spots, return_index=True)
+            chosen, spots = chosen[one], spots[one]
+            slots[spots] = np.arange(1, len(chosen) + 1, dtype=np.int32)
+            slot = slots[places[at]]
+            slots[spots] = 0
+            if len(chosen):
+                hit = (slot > 0) & (chosen[slot - 1] == keys)
+                at, slot = at[hit], slot[hit]
+        if len(at) and len(chosen):
             # in a stretch of consecutive occurrences every second one is replaced
             begins = np.concatenate([[True], np.diff(at) > 1])
-            at = at[(at - at[np.maximum.accumulate(np.where(begins, np.arange(len(at)), 0))]) % 2 == 0]
-            used, inverse = np.unique(slot[at], return_inverse=True)
+            stretch = at[np.maximum.accumulate(np.where(begins, np.arange(len(at)), 0))]
+            odd = (at - stretch) % 2 == 0
+            at, slot = at[odd], slot[odd]
+            used, inverse = np.unique(slot, return_inverse=True)
             pairs = chosen[used - 1]
             rules.append(np.stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32))
             x[at] = (first + n_rules + inverse).astype(np.uint32)
@@ -141,8 +139,8 @@ def re_pair(ids: np.ndarray, ends: np.ndarray, first: int, least: int = LEAST) -
             last[at] = last[at + 1]
             stay = np.ones(len(x), bool)
             stay[at + 1] = False
-            x, last = x[stay], last[stay]
-        if threshold == least and len(found) * least < len(x) / 64:
+            x, last, replaced = x[stay], last[stay], len(at)
+        if threshold == least and replaced <= len(x) / 64:
             break
         threshold = max(least, threshold // 4)
     sizes = np.flatnonzero(last) + 1
@@ -153,6 +151,14 @@ def re_pair(ids: np.ndarray, ends: np.ndarray, first: int, least: int = LEAST) -
     return x, symbol_ends, np.concatenate(rules) if rules else np.empty((0, 2), np.uint32)
 
 
+def expansion_lengths(rules: np.ndarray, first: int) -> np.ndarray:
+    """Number of ids that each rule stands for."""
+    lengths: list[int] = []
+    for left, right in rules.tolist():
+        lengths.append(sum(lengths[s - first] if s >= first else 1 for s in (left, right)))
+    return np.array(lengths, np.int64)
+
+
 def expansions(rules: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
     """Length of every rule's expansion, and all expansions end to end."""
     flat: list[np.ndarray] = []
@@ -184,7 +190,7 @@ def expand(symbols: np.ndarray, first: int, lengths: np.ndarray, flat: np.ndarra
 
 def pack(doc_ids: list, ids: np.ndarray, ends: np.ndarray, first: int) -> bytes:
     symbols, symbol_ends, rules = re_pair(ids, ends, first)
-    lengths, _ = expansions(rules, first)
+    lengths = expansion_lengths(rules, first)
     nulls = np.array([d is None for d in doc_ids], "u1")
     head = np.array([1, first, len(doc_ids), len(rules), len(symbols), len(ids)], "<u4")
     parts = [
