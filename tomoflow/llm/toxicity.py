@@ -4,7 +4,7 @@ Tokens are words (stretches of letters); a chain is a sentence, cut after ``CHAI
 words.  A token's features are its word and its beginnings of three to six letters,
 hashed to ``BUCKETS`` weights; there are two tags, clean and toxic.  Forward and
 backward passes give each token's marginal probability of being toxic, for all chains
-of a chunk at once.  A document's score is a logistic function of the sum and the
+of a chunk at once.  A document's score is a logistic function of the sum and the two
 highest of its marginals, and its spans are the tokens of 0.5 or more, neighbours of
 one chain merged.
 
@@ -12,7 +12,8 @@ Training uses a bounded sample: at most ``sample_docs`` labelled documents, chos
 hash of the id (whole texts, equal texts once), in one task.  Labels are those of
 documents, so tokens are labelled from them: a token of a toxic document is toxic if
 one of its features is ``LOG_ODDS`` more likely in toxic documents than in others and
-occurs in at least ``LEAST_DOCS`` of them.  The field is fitted to these tokens by
+occurs in at least ``LEAST_DOCS`` and ``LEAST_SHARE`` of them (a few near copies of one
+toxic document don't make its rare words toxic).  The field is fitted to these tokens by
 gradient ascent on its likelihood, over the toxic documents and as many others; the
 logistic function is fitted to the labels of the whole sample.
 
@@ -43,6 +44,7 @@ BUCKETS = 1 << 18
 BEGINNINGS = (3, 4, 5, 6)
 LOG_ODDS = 3.0
 LEAST_DOCS = 5
+LEAST_SHARE = 0.02
 CHAIN = 128
 ROUNDS = 30
 CHUNK_CHARS = 3_000_000
@@ -87,7 +89,7 @@ class Field:
         self.bias = -3.0
         self.links = np.zeros((2, 2))  # from tag, to tag
         self.start = np.zeros(2)
-        self.logistic = np.array([0.0, 0.0, -3.0])
+        self.logistic = np.array([0.0, 0.0, 0.0, -3.0])
         self.constant: float | None = None
 
     def emission(self, features: np.ndarray) -> np.ndarray:
@@ -126,11 +128,15 @@ class Field:
         return (toxic, pair) if expected else toxic
 
     def evidence(self, toxic: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
-        """Documents x (log of the expected number of toxic tokens, highest marginal, 1)."""
-        out = np.zeros((docs, 3))
-        out[:, 2] = 1
+        """Documents x (log of the expected number of toxic tokens, two highest marginals, 1)."""
+        out = np.zeros((docs, 4))
+        out[:, 3] = 1
         out[:, 0] = np.log1p(np.bincount(doc, weights=toxic, minlength=docs))
-        np.maximum.at(out[:, 1], doc, toxic)
+        order = np.lexsort((-toxic, doc))
+        place = np.arange(len(doc)) - np.searchsorted(doc, doc)  # within the document
+        for rank in (0, 1):
+            at = order[place == rank]
+            out[doc[at], 1 + rank] = toxic[at]
         return out
 
     def score(self, texts: list[str]) -> tuple[np.ndarray, Block, np.ndarray, np.ndarray]:
@@ -175,11 +181,11 @@ def _fit_links(field: Field, features: np.ndarray, begins: np.ndarray, tags: np.
 
 def _fit_logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Newton's method with a small ridge."""
-    w = np.array([0.0, 0.0, np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))])
+    w = np.array([0.0, 0.0, 0.0, np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))])
     for _ in range(25):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         slope = x.T @ (y - p) - 0.01 * w
-        curve = (x * (p * (1 - p))[:, None]).T @ x + 0.01 * np.eye(3)
+        curve = (x * (p * (1 - p))[:, None]).T @ x + 0.01 * np.eye(4)
         w = w + np.clip(np.linalg.solve(curve, slope), -4, 4)
     return w
 
@@ -204,7 +210,7 @@ def fit(texts: list[str], toxic_docs: np.ndarray) -> Field:
             in_docs[kind] += np.bincount(feature[toxic_docs[part][doc] == kind], minlength=BUCKETS + 1)
     of_kind = np.array([(~toxic_docs).sum(), toxic_docs.sum()])
     log_odds = np.log((in_docs[1] + 0.5) / (of_kind[1] + 1)) - np.log((in_docs[0] + 0.5) / (of_kind[0] + 1))
-    strong = (log_odds >= LOG_ODDS) & (in_docs[1] >= LEAST_DOCS)
+    strong = (log_odds >= LOG_ODDS) & (in_docs[1] >= max(LEAST_DOCS, LEAST_SHARE * of_kind[1]))
     strong[BUCKETS] = False
     # the toxic documents and as many others
     others = np.flatnonzero(~toxic_docs)
