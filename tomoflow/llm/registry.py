@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tomoflow.llm import exact_dedup, language_id, mixing, token_files, top_k, toxicity, url_filter, word_bpe
+from tomoflow.llm import exact_dedup, language_id, lm_scoring, mixing, token_files, top_k, toxicity, url_filter, word_bpe
 from tomoflow.llm.common import SPACE, load, remainder, shared_folder
 
 
@@ -34,6 +34,10 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_documents(load(spark, sf_dir, "documents"), remainder(F.col("doc_id"), 10) == 0)
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     held_out = remainder(F.col("doc_id"), 4) == 2
@@ -63,6 +67,7 @@ QUERIES = {
     "op3_url_filter": op3_url_filter,
     "op4_toxicity": op4_toxicity,
     "op5_source_mixing": op5_source_mixing,
+    "op6_lm_scoring": op6_lm_scoring,
     "op7_language_id": op7_language_id,
     "op8_word_bpe": op8_word_bpe,
     "op9_exact_dedup": op9_exact_dedup,
