@@ -8,10 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tomoflow.llm import exact_dedup, language_id, lm_scoring, mixing, token_files, top_k, toxicity, url_filter, word_bpe
+from tomoflow.llm import exact_dedup, jaccard_join, language_id, lm_scoring, mixing, token_files, top_k, toxicity, url_filter, word_bpe
 from tomoflow.llm.common import SPACE, load, remainder, shared_folder
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes = jaccard_join.jaccard_classes(load(spark, sf_dir, "documents"))
+    return classes.select("doc_id", "class_id", "n_links", "n_shingles")
+
+
 def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k.top_k(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -63,6 +68,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_jaccard_join": op1_jaccard_join,
     "op2_top_k": op2_top_k,
     "op3_url_filter": op3_url_filter,
     "op4_toxicity": op4_toxicity,
