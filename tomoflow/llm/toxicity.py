@@ -238,14 +238,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # the choice is made among documents that are there; at most sample_docs rows are broadcast
     chosen = known.join(rows.select(F.col("doc_id").alias("l_id")), "l_id", "left_semi")
     chosen = chosen.orderBy(F.xxhash64(F.lit("toxicity"), "l_id"), "l_id").limit(sample_docs)
-    sample = rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id")).select("doc_id", "text", "toxic")
+    sample = rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id")).select("doc_id", "text", "toxic", F.lit(0).alias("one"))
 
     def learn(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["doc_id", "text"]).drop_duplicates("text")
         field = fit(group["text"].tolist(), group["toxic"].to_numpy() > 0)
         return pd.DataFrame({"field": [pickle.dumps(field)]})
 
-    learned = sample.groupBy(F.lit(1)).applyInPandas(learn, "field binary").first()
+    learned = sample.groupBy("one").applyInPandas(learn, "field binary").first()
     return pickle.loads(learned["field"]) if learned else fit([], np.empty(0, bool))
 
 
