@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-FLAGSHIP = "flat_field_normalise"
+from tomoflow.queries import control, cube, tables
+
+QUERIES = {**cube.QUERIES, **tables.QUERIES, **control.QUERIES}
+ORACLES = {**cube.ORACLES, **tables.ORACLES, **control.ORACLES}
+FLAGSHIP = "projection_means"
