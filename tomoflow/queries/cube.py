@@ -102,7 +102,7 @@ def linspace_angles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(user_angles(spark, UserAngles(0.0, 180.0, n)), "theta", digits=9)
 
 
-@query(" SELECT i::INT AS place, round(0.5 + i * 0.3, 9) AS value FROM range(10) t(i)")
+@query(" SELECT i::INT AS place, round(5e-1 + i * 3e-1, 9) AS value FROM range(10) t(i)")
 def arange_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(spark.createDataFrame(list(enumerate(arange(0.5, 3.4, 0.3))), "place int, value double"), "value", digits=9)
 
@@ -428,7 +428,7 @@ def sweep_stacked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(sweep.stacked(runs).select("angle", "sweep_idx", "v"), "v", digits=6)
 
 
-@query(" SELECT i::INT AS place, round(1.0 + i * 0.5, 6) AS value FROM range(5) t(i)")
+@query(" SELECT i::INT AS place, round(1e0 + i * 5e-1, 6) AS value FROM range(5) t(i)")
 def linspace_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     values = spark.range(1).select(F.posexplode(linspace(1.0, 3.0, 5)).alias("place", "value"))
     return rounded(values, "value", digits=6)
