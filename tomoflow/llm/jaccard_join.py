@@ -310,27 +310,41 @@ def _verified(members: DataFrame, similarity: float) -> DataFrame:
     return members.mapInArrow(run, "node long, root long, links long")
 
 
+def _with_least(edges: DataFrame, least: DataFrame, hot_rows: int) -> DataFrame:
+    """``edges`` (u, v) with m, the least neighbour of u (columns k, m, n of ``least``).
+
+    Hubs of more than ``hot_rows`` edges (at most edges / hot_rows of them) are
+    broadcast; their edges get keys of their own in the shuffled join.
+    """
+    hot = least.where(F.col("n") > hot_rows).select(F.col("k").alias("hot_k"), F.col("m").alias("hot_m"))
+    cold = least.where(F.col("n") <= hot_rows).select("k", F.col("m").alias("cold_m"))
+    spread = edges.join(F.broadcast(hot), F.col("u") == F.col("hot_k"), "left")
+    key = F.when(F.col("hot_k").isNull(), F.col("u")).otherwise(-1 - F.col("v"))  # rows are numbered from 0
+    found = spread.withColumn("key", key).join(cold, F.col("key") == F.col("k"), "left")
+    return found.select("u", "v", F.coalesce("hot_m", "cold_m").alias("m"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root: the smallest node of each connected component, for nodes with edges."""
     edges = edges.where("node <> root").select(F.greatest("node", "root").alias("u"), F.least("node", "root").alias("v")).distinct()
     edges = stash(edges, "edges")
-    before = None
+    before, hot_rows = None, max(1000, edges.count() // 100_000)
     while True:
         # large star: larger neighbours of a node move to its smallest one
         both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).withColumnRenamed("u", "k")
-        large = both.join(least, F.col("u") == F.col("k")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n")).withColumnRenamed("u", "k")
+        large = _with_least(both, least, hot_rows).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
         # small star: smaller neighbours, and the node, move to the smallest
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least.withColumnRenamed("u", "k"), F.col("u") == F.col("k")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = stash(small.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).withColumnRenamed("u", "k")
+        small = _with_least(large, least, hot_rows).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = stash(small.union(least.select("k", "m")).where("u <> v").distinct(), "edges")
         now = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if before == (now["n"], now["h"]):
             break
         before = (now["n"], now["h"])
     roots = edges.select(F.col("v").alias("u")).distinct()
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots.select(F.col("u").alias("node"), F.col("u").alias("root"))).distinct()
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots.select(F.col("u").alias("node"), F.col("u").alias("root")))
 
 
 def jaccard_classes(
