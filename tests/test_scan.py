@@ -343,6 +343,46 @@ def test_every_kind_of_method_runs(spark, data, method):
     assert len({r.angle for r in rows}) == done.shape[0] and {len(r.line) for r in rows} == {done.shape[2]}
 
 
+def test_own_functions(spark, data):
+    """Any function of a frame: registered, or by its module path."""
+    from tomoflow.methods import Method, register
+
+    register(Method("scaled_by_angle", "sinogram", frame=lambda frame, theta, factor=1.0: frame * theta[:, None] * factor, parameters={"factor": 1.0}))
+    head = "- {method: l, module_path: x.loaders, parameters: {}}\n"
+    done = run_pipeline(parse(head + "- {method: scaled_by_angle, module_path: m, parameters: {factor: 2.0}}\n"), scan_of(spark, data))
+    theta = np.linspace(0, np.pi, 7)
+    assert np.allclose(array(done.lines, data.shape), 2 * data * theta[:, None, None], atol=1e-5)
+    done = run_pipeline(parse(head + "- {method: flip, module_path: numpy, parameters: {axis: auto}}\n"), scan_of(spark, data))
+    assert np.allclose(array(done.lines, data.shape), data[:, ::-1])
+    with_flats = Method("minus_flat", "projection", frame=lambda frame, flats: frame - flats)
+    register(with_flats)
+    done = run_pipeline(parse(head + "- {method: minus_flat, module_path: m, parameters: {}}\n"), scan_of(spark, data))
+    assert np.allclose(array(done.lines, data.shape), data - 1)
+
+
+def test_coordinates_of_the_whole_detector(spark):
+    wide = RNG.normal(size=(2, 4, 12)).astype(np.float32)
+    head = "- {method: l, module_path: x.loaders, parameters: {}}\n"
+    text = head + "- {method: seam_blend_stitched_data, module_path: m, parameters: {seam_index: 6}}\n"
+    text = text.replace("- {method: seam", "- {method: normalize, module_path: m, parameters: {cutoff: 1000.0}}\n- {method: seam")
+    cropped = parse_preview({"detector_x": {"start": 2}}, wide.shape)
+    whole = array(run_pipeline(parse(text), open_scan(lines(spark, wide), wide.shape, parse_preview(None, wide.shape))).lines, wide.shape)
+    part = array(run_pipeline(parse(text), open_scan(lines(spark, wide), wide.shape, cropped)).lines, (2, 4, 10))
+    assert np.allclose(whole[:, :, 2:], part, atol=1e-5) and not np.allclose(whole, wide)
+
+
+def test_logs(tmp_path):
+    from tomoflow import log
+
+    logger = log.setup(tmp_path)
+    logger.debug("small")
+    logger.info("large")
+    for handler in logger.handlers:
+        handler.flush()
+    assert "small" not in (tmp_path / "user.log").read_text() and "small" in (tmp_path / "debug.log").read_text()
+    log.setup()
+
+
 def test_sweep_run(spark, data):
     text = "- {method: l, module_path: x.loaders, parameters: {}}\n- {method: minus_log, module_path: m, parameters: {floor: !Sweep [0.1, 0.5, 1.0]}}\n"
     done = run_sweep(rewrite(parse(text)), scan_of(spark, data), Settings())
@@ -383,6 +423,11 @@ def test_monitors(spark):
 
 
 def test_nexus_discovery_is_depth_first():
+    from tomoflow.sources.scan import entry_paths
+
+    assert entry_paths({"e": {"t": {"definition": None}}})["data_path"] == "/e/t/data/data"
+    with pytest.raises(ValueError):
+        entry_paths({"e": None})
     assert nexus_paths({"a": {"x": 1, "b": {"definition": 1}}, "c": {"definition": 1}}) == "/a/b"
     assert nexus_paths({"a": {"x": 1}}) is None
 

@@ -168,7 +168,9 @@ def find_center(scan: Scan, pattern: str, ind: int | None = None, reach: float =
     return scan.publish(cor=centre.best_sharpness(sino, theta_of(scan), candidates))
 
 
-def distortion_correction(scan: Scan, pattern: str, xcenter=REQUIRED, ycenter=REQUIRED, list_fact=REQUIRED, shift_xy=(0, 0), step_xy=(1, 1)) -> Scan:
+def distortion_correction(scan: Scan, pattern: str, xcenter=REQUIRED, ycenter=REQUIRED, list_fact=REQUIRED, shift_xy=None, step_xy=(1, 1)) -> Scan:
+    """Coordinates are those of the whole detector: a preview's frames begin at its origin."""
+    shift_xy = scan.origin if shift_xy is None else shift_xy
     made = frames.each_frame(
         scan.lines, frames.undistort, "projection", xcenter=xcenter, ycenter=ycenter, list_fact=list_fact, shift_xy=tuple(shift_xy), step_xy=tuple(step_xy)
     )
@@ -181,6 +183,12 @@ def data_resampler(scan: Scan, pattern: str, newshape_factor: int = 2) -> Scan:
     return scan.with_lines(lines_of(done), (n, -(-y // newshape_factor), -(-x // newshape_factor)))
 
 
+def seam_blend(scan: Scan, pattern: str, seam_index: int = 0, reach: int = 2, shift_seam_index: int | None = None) -> Scan:
+    """The seam is a column of the whole detector."""
+    shift = scan.origin[0] if shift_seam_index is None else shift_seam_index
+    return scan.with_lines(lines_of(reorient.seam_blended(voxels(scan.lines), seam_index - shift, reach)))
+
+
 def unchanged(scan: Scan, pattern: str, **parameters) -> Scan:
     """Sinks are run by the runner, which knows where to write."""
     return scan
@@ -220,9 +228,9 @@ def register_all() -> None:
         ("find_center", find_center, {"ind": None, "reach": 5.0, "step": 0.5}, ("cor",)),
     ):
         add(name, apply, "projection" if name == "find_center_pc" else "sinogram", parameters, publishes=values)
-    add("distortion_correction_proj", distortion_correction, "projection", {"xcenter": REQUIRED, "ycenter": REQUIRED, "list_fact": REQUIRED, "shift_xy": (0, 0), "step_xy": (1, 1)})
+    add("distortion_correction_proj", distortion_correction, "projection", {"xcenter": REQUIRED, "ycenter": REQUIRED, "list_fact": REQUIRED, "shift_xy": None, "step_xy": (1, 1)})
     add("sino_360_to_180", sino_360_to_180, "sinogram", {"overlap": 0, "side": "left"})
-    add("seam_blend_stitched_data", on_pixels(lambda p, seam_index=0, reach=2, shift_seam_index=0: reorient.seam_blended(p, seam_index - shift_seam_index, reach)), parameters={"seam_index": REQUIRED, "reach": 2, "shift_seam_index": 0})
+    add("seam_blend_stitched_data", seam_blend, parameters={"seam_index": REQUIRED, "reach": 2, "shift_seam_index": None})
     add("average_projection_frames", average_projection_frames, "projection", {"projection_averaging_factor": 2})
     add("data_resampler", data_resampler, "projection", {"newshape_factor": 2})
     recon = {"center": None, "recon_size": None, "recon_mask_radius": None, "filter_freq_cutoff": 1.0, "detector_pad": False}

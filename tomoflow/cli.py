@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import argparse
-import logging
 import sys
 from pathlib import Path
 
+from tomoflow import log
 from tomoflow.functions.numbers import byte_size
 from tomoflow.monitor import make_monitors
 from tomoflow.plans import check as checks
@@ -34,6 +34,7 @@ def arguments(argv: list[str]) -> argparse.Namespace:
     run.add_argument("--sweep-bits", type=int, default=8)
     run.add_argument("--lists-are-sweeps", action="store_true")
     run.add_argument("--rows", type=int, default=10, help="detector rows of a table with one key")
+    run.add_argument("--log-dir", help="folder of the driver for user.log and debug.log")
     check = commands.add_parser("check", help="check a pipeline")
     check.add_argument("pipeline", type=Path)
     check.add_argument("data", nargs="?")
@@ -73,7 +74,7 @@ def run(spark, data: str, pipeline: str, out_dir: str, options: argparse.Namespa
 
 def main(argv: list[str] | None = None) -> int:
     options = arguments(sys.argv[1:] if argv is None else argv)
-    logging.basicConfig(level=logging.INFO, stream=sys.stdout)
+    log.setup(options.log_dir if options.command == "run" else None)
     if options.command == "check":
         findings = checks.check(options.pipeline)
         for f in findings:

@@ -8,14 +8,17 @@ that they and all later steps share one pass.
 
 from __future__ import annotations
 
+import importlib
 import logging
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from typing import Any
 
 from pyspark import StorageLevel
 
-from tomoflow.methods import spec
+from tomoflow.methods import bind, known, spec
 from tomoflow.monitor import Several, timed
+from tomoflow.operators.frames import each_frame
 from tomoflow.operators.sweep import stacked
 from tomoflow.plans.model import AXIS, Pipeline, Ref, Stage, Step, Sweep
 from tomoflow.plans.stages import plan_stages, sweep_stages
@@ -48,11 +51,57 @@ def resolved(step: Step, scan: Scan, published: dict[str, dict[str, Any]]) -> di
     return out
 
 
+def own_function(step: Step) -> Callable | None:
+    """A Python function of one frame: registered, or found under the step's module path."""
+    if known(step.method):
+        return spec(step.method).frame
+    try:
+        return getattr(importlib.import_module(step.module), step.method, None)
+    except ImportError:
+        return None
+
+
+def apply_function(function: Callable, step: Step, scan: Scan, parameters: dict[str, Any]) -> Scan:
+    """A function of one frame on every frame of the step's pattern.
+
+    Its arguments are bound by name: the scan's angles (``angles``, ``angles_radians``,
+    ``theta``) and, for projections, the means of the calibration frames (``darks``,
+    ``flats``; one frame each), then what the step gives, then defaults.
+    """
+    import inspect
+
+    names = inspect.signature(function).parameters
+    pattern = "projection" if step.pattern == "all" else step.pattern
+    context: dict[str, Any] = {}
+    for name in ("angles", "angles_radians", "theta"):
+        if name in names:
+            context[name] = scan.angles.orderBy("angle").select("theta").toPandas()["theta"].to_numpy()[: scan.shape[0]]
+    if pattern == "projection":
+        for name in ("darks", "flats"):
+            if name in names:
+                context[name] = frame_mean(getattr(scan, name))
+    arguments = bind(function, parameters, context, pattern)
+    return scan.with_lines(each_frame(scan.lines, function, pattern, **arguments))
+
+
+def frame_mean(frames_: Any):
+    """The mean calibration frame as an array: as large as the detector."""
+    import numpy as np
+
+    from tomoflow.operators.aggregate import calibration_mean
+
+    means = calibration_mean(frames_).toPandas().pivot(index="det_y", columns="det_x", values="v")
+    return means.sort_index().sort_index(axis=1).to_numpy(np.float32)
+
+
 def apply_step(step: Step, scan: Scan, settings: Settings, published: dict[str, dict[str, Any]]) -> Scan:
     method = spec(step.method)
-    if method.apply is None:
-        raise ValueError(f"unknown method {step.method!r}")
     parameters = resolved(step, scan, published)
+    if method.apply is None:
+        function = own_function(step)
+        if function is None:
+            raise ValueError(f"unknown method {step.method!r}")
+        return apply_function(function, step, scan, parameters)
     unknown = [p for p in parameters if p not in method.parameters and not method.any_parameter]
     if unknown:
         raise ValueError(f"{step.method} has no parameter {', '.join(unknown)}")

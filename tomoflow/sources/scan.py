@@ -36,6 +36,8 @@ class Scan:
     flats: DataFrame
     shape: tuple[int, int, int]
     side_outputs: dict[str, Any] = field(default_factory=dict)
+    #: where the preview begins on the detector: column, row
+    origin: tuple[int, int] = (0, 0)
 
     def with_lines(self, lines: DataFrame, shape: tuple[int, int, int] | None = None) -> Scan:
         return replace(self, lines=lines, shape=shape or self.shape)
@@ -120,7 +122,8 @@ def open_scan(
         return frames_of(table, key, preview)
 
     plan = calibration_plan(darks, flats)
-    return Scan(data, angle_table, read(darks, plan[0], DARK, 0.0), read(flats, plan[1], FLAT, 1.0), preview.shape)
+    origin = (preview.detector_x.start, preview.detector_y.start)
+    return Scan(data, angle_table, read(darks, plan[0], DARK, 0.0), read(flats, plan[1], FLAT, 1.0), preview.shape, origin=origin)
 
 
 class CubeTable:
@@ -175,6 +178,29 @@ def hdf5_lines(spark: SparkSession, path: str, data_path: str, image_key_path: s
     return numbers.mapInPandas(read, "angle int, det_y int, image_key int, line array<float>")
 
 
+def hdf5_members(path: str) -> dict[str, Any]:
+    """Names of an HDF5 file: groups are mappings, data sets None; needs h5py."""
+    import h5py
+
+    def members(group) -> dict[str, Any]:
+        return {name: members(item) if isinstance(item, h5py.Group) else None for name, item in group.items()}
+
+    with h5py.File(path) as file:
+        return members(file)
+
+
+#: Where a scan's parts lie below its entry. Fixed values.
+ENTRY_PATHS = {"data_path": "data/data", "rotation_angles": "data/rotation_angle", "image_key_path": "instrument/detector/image_key"}
+
+
+def entry_paths(members: dict[str, Any]) -> dict[str, str]:
+    """The paths that ``auto`` stands for."""
+    entry = nexus_paths(members)
+    if entry is None:
+        raise ValueError("the input has no group with a definition, so 'auto' finds nothing")
+    return {name: f"{entry}/{below}" for name, below in ENTRY_PATHS.items()}
+
+
 def nexus_paths(members: dict[str, Any], prefix: str = "") -> str | None:
     """The first group, depth first, with a member called ``definition``.
 
