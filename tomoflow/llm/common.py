@@ -38,6 +38,16 @@ def stash(df: DataFrame, label: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Texts go to Python in batches of fewer rows than Spark's default of 10,000.
+
+    A setting of the session that somebody has changed stays.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))
+
+
 def column(df: DataFrame, name: str, kind: str) -> Column:
     """``df[name]`` cast to ``kind``; a typed null where the table lacks the column."""
     if name in df.columns:

@@ -44,15 +44,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tomoflow.llm.common import column, stash
-from tomoflow.llm.signs import chunks
+from tomoflow.llm.common import column, small_batches, stash
+from tomoflow.llm.signs import arrow_chunks
 
 WORDS = 5
 SIMILARITY = 0.8
 RECALL = 0.99
 DEPTH = 3
 BLOCK_SETS = 750
-CHUNK_CHARS = 2_000_000
+CHUNK_BYTES = 1_000_000
 FILTER_BITS = 1 << 24
 MIX1, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 BASE = 0x100000001B3
@@ -154,9 +154,9 @@ def signatures(docs: DataFrame, words: int, runs: int, depth: int, similarity: f
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, rows, texts = (batch.column(i).to_pylist() for i in range(3))
-            for part in chunks(texts, CHUNK_CHARS):
-                sets = shingle_sets(texts[part], words)
+            ids, rows = (batch.column(i).to_pylist() for i in range(2))
+            for part, texts in arrow_chunks(batch.column(2), CHUNK_BYTES):
+                sets = shingle_sets(texts, words)
                 prints = [fingerprint(s) for s in sets]
                 paths = [chosen_paths(s, runs, depth, similarity).astype(np.int64) if len(s) else [] for s in sets]
                 columns = [ids[part], rows[part], [p[0] for p in prints], [p[1] for p in prints], [len(s) for s in sets], paths]
@@ -191,9 +191,9 @@ def node_sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = np.unpackbits(shared.value).astype(bool)
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for part in chunks(texts, CHUNK_CHARS):
-                sets = shingle_sets(texts[part], words)
+            ids = batch.column(0).to_pylist()
+            for part, texts in arrow_chunks(batch.column(1), CHUNK_BYTES):
+                sets = shingle_sets(texts, words)
                 prints = np.array([fingerprint(s) for s in sets], np.int64).reshape(-1, 2)
                 keys = np.array([-1 if i is None else i for i in ids[part]], np.int64)
                 hit = np.flatnonzero(wanted[places(keys, prints[:, 0])].all(axis=0) & np.array([len(s) > 0 for s in sets], bool))
@@ -296,7 +296,7 @@ def _verified(members: DataFrame, similarity: float) -> DataFrame:
             return batch
 
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in (r for at in range(0, len(batch), 200) for r in batch.slice(at, 200).to_pylist()):
                 this = (row["bucket"], row["low"], row["high"])
                 if this != key:
                     close()
@@ -359,6 +359,7 @@ def jaccard_classes(
     hot_rows: int | None = None,
 ) -> DataFrame:
     """One row per document: doc_id, class_id, n_links, n_shingles, first_of_class."""
+    small_batches(docs.sparkSession)
     docs = docs.select(column(docs, id_col, "long").alias("doc_id"), F.coalesce(column(docs, text_col, "string"), F.lit("")).alias("text"))
     sigs = signatures(docs, words, runs_needed(recall, depth), depth, similarity)
     total = sigs.count()

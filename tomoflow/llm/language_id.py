@@ -32,9 +32,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tomoflow.llm.common import column
-from tomoflow.llm.signs import LAST, Block, chunks
+from tomoflow.llm.common import column, small_batches
+from tomoflow.llm.signs import LAST, Block, arrow_chunks, chunks
 
 UNKNOWN = "und"
 DOCS_PER_LANG = 2000
@@ -42,7 +43,7 @@ BINS = 1 << 16
 MODEL_CELLS = 1 << 24
 SWITCH_PENALTY = 6.0
 FLOOR = -12.0
-CHUNK_CHARS = 3_000_000
+CHUNK_CHARS = 1_500_000
 
 # The first and last code points of the scripts that are told apart
 SCRIPTS = [
@@ -78,11 +79,13 @@ def script_table() -> np.ndarray:
 
 def triples(block: Block, bins: int) -> np.ndarray:
     """The bin of the letter triple around each place of the block."""
-    c = block.codes.astype(np.uint64)
-    before = np.concatenate([[np.uint64(0)], c[:-1]])
-    after = np.concatenate([c[1:], [np.uint64(0)]])
-    mixed = ((before << np.uint64(42)) ^ (c << np.uint64(21)) ^ after) * np.uint64(0x9E3779B97F4A7C15)
-    return (mixed >> np.uint64(40)).astype(np.int64) % bins
+    c = block.codes
+    mixed = c * np.uint32(0x9E3779B1)
+    mixed[1:] ^= c[:-1] * np.uint32(0x85EBCA77)
+    mixed[:-1] ^= c[1:] * np.uint32(0xC2B2AE3D)
+    mixed ^= mixed >> np.uint32(15)
+    mixed *= np.uint32(0x27D4EB2F)
+    return (mixed >> np.uint32(8)) % np.uint32(bins)
 
 
 class Model:
@@ -205,15 +208,16 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
 
 def identify_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", spans: bool = True) -> DataFrame:
     """One row per document: doc_id, lang_pred, score and, if wanted, spans."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = "doc_id long, lang_pred string, score double" + ", spans array<struct<start: int, end: int, lang: string>>" * spans
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, scripts = shared.value, script_table()
         for batch in batches:
-            ids, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
-            for part in chunks(texts, CHUNK_CHARS):
-                langs, scores, found = identify(texts[part], own, scripts)
+            ids = batch.column(0)
+            for part, texts in arrow_chunks(batch.column(1), CHUNK_CHARS):
+                langs, scores, found = identify(texts, own, scripts)
                 columns = [ids.slice(part.start, part.stop - part.start), pa.array(langs), pa.array(scores, pa.float64())]
                 names = ["doc_id", "lang_pred", "score"]
                 if spans:
@@ -227,15 +231,17 @@ def identify_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", te
 
 def known_language(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose language is told, with all their columns."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("string")
-    def language(texts: pd.Series) -> pd.Series:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, scripts = shared.value, script_table()
-        all_texts = [t or "" for t in texts]
-        out: list[str] = []
-        for part in chunks(all_texts, CHUNK_CHARS):
-            out += identify(all_texts[part], own, scripts)[0]
-        return pd.Series(out, dtype=str)
-
-    return docs.where(language(column(docs, text_col, "string")) != UNKNOWN)
+        for batch in batches:
+            for part, texts in arrow_chunks(batch.column(1), CHUNK_CHARS):
+                told = pa.array([lang != UNKNOWN for lang in identify(texts, own, scripts)[0]], pa.bool_())
+                kept = batch.column(0).slice(part.start, part.stop - part.start).filter(told)
+                yield pa.RecordBatch.from_arrays([kept], ["doc"])
+
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    rows = docs.select(whole, column(docs, text_col, "string").alias("text"))
+    return rows.mapInArrow(run, T.StructType([rows.schema["doc"]])).select("doc.*")

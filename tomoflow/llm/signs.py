@@ -6,6 +6,8 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 LAST = 0x110000
 
@@ -57,3 +59,18 @@ def chunks(texts: list[str], most: int) -> Iterator[slice]:
             start, held = i + 1, 0
     if start < len(texts):
         yield slice(start, len(texts))
+
+
+def arrow_chunks(texts: pa.Array, most: int) -> Iterator[tuple[slice, list[str]]]:
+    """Slices of a column of texts of about ``most`` bytes, with their texts; null is empty.
+
+    Only one slice at a time is held as Python strings.
+    """
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(texts):
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + most, side="left")) + 1)
+        stop = min(stop, len(texts))
+        yield slice(start, stop), [t or "" for t in texts.slice(start, stop - start).to_pylist()]
+        start = stop

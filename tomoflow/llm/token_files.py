@@ -46,7 +46,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tomoflow.llm.common import column
+from tomoflow.llm.common import column, small_batches
 
 MAGIC = b"TFREPAIR"
 END_ID = 2
@@ -253,6 +253,7 @@ def write_token_files(
 ) -> None:
     """Encode all documents in ascending order of id and write their files under ``path``."""
     spark = docs.sparkSession
+    small_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
         own = encoding(ranks_path, pattern)

@@ -36,8 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tomoflow.llm.common import column
-from tomoflow.llm.signs import Block, chunks
+from tomoflow.llm.common import column, small_batches
+from tomoflow.llm.signs import Block, arrow_chunks, chunks
 
 SAMPLE_DOCS = 8000
 BUCKETS = 1 << 18
@@ -47,7 +47,7 @@ LEAST_DOCS = 5
 LEAST_SHARE = 0.02
 CHAIN = 128
 ROUNDS = 30
-CHUNK_CHARS = 3_000_000
+CHUNK_CHARS = 1_500_000
 STOPS = np.array([ord(c) for c in ".!?\n"], np.uint32)
 
 
@@ -267,15 +267,16 @@ def _spans(block: Block, toxic: np.ndarray, begins: np.ndarray, docs: int) -> li
 
 def score_documents(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, score, spans (offending offsets in characters)."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(field)
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for part in chunks(texts, CHUNK_CHARS):
-                scores, block, toxic, begins = own.score(texts[part])
+            ids = batch.column(0)
+            for part, texts in arrow_chunks(batch.column(1), CHUNK_CHARS):
+                scores, block, toxic, begins = own.score(texts)
                 spans = _spans(block, toxic, begins, part.stop - part.start)
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(part.start, part.stop - part.start), pa.array(scores, pa.float64()), pa.array(spans, kind)],

@@ -15,7 +15,7 @@ lifetimes would cross the border (equal ranks go from left to right).
 The trie is kept as its words in sorted order: the sorted list is the depth-first
 order, and the states of the current path are a stack that is cut back to the length
 shared with the word before.  Words that a worker has met are kept, up to
-``MEMO_WORDS``; the vocabulary is read from ``tokenizer_path`` by each worker, or
+``MEMO_WORDS``, beyond that only those of the texts at hand; the vocabulary is read from ``tokenizer_path`` by each worker, or
 given as its text where executors don't have the file.
 
 Text handling follows the vocabulary file: special tokens' strings are cut out of
@@ -42,12 +42,14 @@ import tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tomoflow.llm.common import column
-from tomoflow.llm.signs import chunks
+from tomoflow.llm.common import column, small_batches
+from tomoflow.llm.signs import arrow_chunks
 
-MEMO_WORDS = 400_000
-#: Texts of about so many characters are encoded together.
-CHUNK_CHARS = 4_000_000
+MEMO_WORDS = 200_000
+#: Pairs of tokens whose neighbourhood a worker remembers.
+MEMO_PAIRS = 300_000
+#: Texts of about so many bytes are encoded together.
+CHUNK_BYTES = 2_000_000
 END = "</w>"
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
 #: Signs outside of these ranges may be letters in one Unicode version and none in another.
@@ -128,6 +130,8 @@ class Vocabulary:
                     rank = self.merge.get((a, b))
                     if rank is not None and a_made < rank < a_until and b_made < rank <= b_until:
                         known = False
+            if len(self.neighbours) >= MEMO_PAIRS:
+                self.neighbours.clear()
             self.neighbours[key] = known
         return known
 
@@ -210,9 +214,9 @@ class Encoder:
         new = distinct - self.packed.keys()
         if new:
             if len(self.packed) + len(new) > MEMO_WORDS:
-                self.packed.clear()
-                self.spelled.clear()
-                new = distinct
+                known = distinct & self.packed.keys()
+                self.packed = {w: self.packed[w] for w in known}
+                self.spelled = {w: self.spelled[w] for w in known}
             tokens = self.vocabulary.tokens
             ids_of = {i: [i] for i in new if isinstance(i, int)}
             ids_of |= self.vocabulary.encode_words([w for w in new if isinstance(w, str)])
@@ -250,13 +254,14 @@ def encode_documents(
     text_col: str = "text",
 ) -> DataFrame:
     """One row per document: doc_id, ids, decoded."""
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer_text, tokenizer_path)
         for batch in batches:
-            doc_ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for part in chunks(texts, CHUNK_CHARS):
-                packed, decoded = own.encode(texts[part])
+            doc_ids = batch.column(0)
+            for part, texts in arrow_chunks(batch.column(1), CHUNK_BYTES):
+                packed, decoded = own.encode(texts)
                 ends = np.cumsum([0, *(len(p) // 4 for p in packed)])
                 flat = pa.array(np.frombuffer(b"".join(packed), "<i4"))
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
