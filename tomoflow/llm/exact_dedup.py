@@ -113,23 +113,21 @@ def _merge_round(key, runs: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"bucket": [key[0]], "run": [key[1]], "entries": [merged.tobytes()]})
 
 
-def _groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Entries of two or more rows, unpacked."""
-    for batch in batches:
-        for packed in batch["entries"]:
-            run = np.frombuffer(packed, ENTRY)
-            run = run[run["rows"] > 1]
-            shas = np.stack([run[f"d{i}"] for i in range(4)], axis=1).astype(">u8").tobytes()
-            ids = pd.array(run["id"], dtype="Int64")
-            ids[run["nul"] == 1] = pd.NA
-            yield pd.DataFrame(
-                {
-                    "g_sha": [shas[i : i + 32] for i in range(0, len(shas), 32)],
-                    "g_keep_id": ids,
-                    "g_keep_row": run["row"],
-                    "g_size": run["rows"],
-                }
-            )
+def _last_round(key, runs: pd.DataFrame) -> pd.DataFrame:
+    """The last merge of a bucket: its entries of two or more rows, unpacked."""
+    run = merge_runs([np.frombuffer(x, ENTRY) for x in runs["entries"]])
+    run = run[run["rows"] > 1]
+    shas = np.stack([run[f"d{i}"] for i in range(4)], axis=1).astype(">u8").tobytes()
+    ids = pd.array(run["id"], dtype="Int64")
+    ids[run["nul"] == 1] = pd.NA
+    return pd.DataFrame(
+        {
+            "g_sha": [shas[i : i + 32] for i in range(0, len(shas), 32)],
+            "g_keep_id": ids,
+            "g_keep_row": run["row"],
+            "g_size": run["rows"],
+        }
+    )
 
 
 def digest_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -151,12 +149,13 @@ def duplicate_groups(digests: DataFrame, fan_in: int = 4, bucket_rows: int = 250
     bits = max(3, math.ceil(math.log2(max(1, rows / bucket_rows))))
     runs = digests.mapInPandas(_run_builder(bits), RUNS)
     left = digests.rdd.getNumPartitions()
-    while left > 1:
+    while left > fan_in:
         runs = runs.groupBy("bucket", (F.col("run") / fan_in).cast("long").alias("next")).applyInPandas(
             _merge_round, RUNS
         )
         left = math.ceil(left / fan_in)
-    return runs.mapInPandas(_groups, "g_sha binary, g_keep_id long, g_keep_row long, g_size long")
+    # the last round unpacks, so that no task runs two Python workers
+    return runs.groupBy("bucket").applyInPandas(_last_round, "g_sha binary, g_keep_id long, g_keep_row long, g_size long")
 
 
 def exact_dedup(
