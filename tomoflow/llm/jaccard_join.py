@@ -19,12 +19,15 @@ buckets of two or more sets go on, of buckets with the same members only one, an
 only then are the sets themselves brought together.
 
 Copies: documents with equal sets are one *node* with its number of documents, however
-many there are.  Large buckets are cut into blocks of ``block_sets`` sets, and pairs of
-blocks are compared in separate tasks.  A pair that meets in several buckets counts in
-the smallest of them only, which each side's list of buckets tells; so links are
-counted, with the copies on either side, but never listed.  Connectivity leaves a
-bucket as a spanning forest, and classes are its connected components (large star,
-small star; written to the shared folder in every round).
+many there are.  Buckets are in an order, the largest first.  A pair that meets in
+several buckets counts in the first of them, which each side's list of buckets tells; so
+links are counted, with the copies on either side, but never listed.  Sets whose first
+bucket is the same are compared there and not again: a bucket of none but such sets is
+dropped, and in a large bucket the largest group of such sets is compared with the other
+sets only.  Large buckets are cut into blocks of ``block_sets`` sets, and pairs of blocks
+are compared in separate tasks.  Connectivity leaves a bucket as a spanning forest, and
+classes are its connected components (large star, small star; written to the shared
+folder in every round).
 
 Defined results
   * a text without words has no shingle and no link; its class is its own.
@@ -236,7 +239,7 @@ def common_counts(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def compare(sets, copies, lists, blocks, bucket: int, similarity: float):
+def compare(sets, copies, lists, blocks, bucket: tuple[int, int], similarity: float):
     """Links of a bucket: (places with links, copies linked to each, root of each in the bucket's forest)."""
     n = len(sets)
     sizes = np.array([len(s) for s in sets], np.float64)
@@ -248,7 +251,7 @@ def compare(sets, copies, lists, blocks, bucket: int, similarity: float):
         linked &= blocks[:, None] != blocks[None, :]
     if not linked.any():
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
-    # a pair counts in the smallest bucket that both sides have
+    # a pair counts in the first bucket that both sides have: the largest, then the smallest number
     counted = np.zeros((n, n), bool)
     for i, j in zip(*np.nonzero(np.triu(linked)), strict=True) if n <= 8 else ():
         counted[i, j] = counted[j, i] = min(lists[i] & lists[j]) == bucket
@@ -278,12 +281,13 @@ def _verified(members: DataFrame, similarity: float) -> DataFrame:
             if len(held) > 1:
                 nodes = np.array([r["node"] for r in held], np.int64)
                 blocks = np.array([r["block"] for r in held]) if key[1] != key[2] else None
+                lists = [{(-one["n"], one["bucket"]) for one in r["buckets"]} for r in held]
                 touched, amount, label = compare(
                     [np.frombuffer(r["shingles"], np.uint64) for r in held],
                     np.array([r["copies"] for r in held], np.int64),
-                    [set(r["buckets"]) for r in held],
+                    lists,
                     blocks,
-                    key[0],
+                    (-held[0]["n"], key[0]),
                     similarity,
                 )
                 for column_, values in zip(out, (nodes[touched], nodes[label], amount), strict=True):
@@ -347,6 +351,31 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots.select(F.col("u").alias("node"), F.col("u").alias("root")))
 
 
+def _without_repeats(members: DataFrame, block_sets: int) -> DataFrame:
+    """Members of the buckets (node, bucket, n) that still have pairs to compare.
+
+    With the number of blocks for the largest group of sets that share another first
+    bucket (``many_blocks``; ``among_many`` marks its sets) and for the others.
+    """
+    first = members.groupBy("node").agg(F.min(F.struct((-F.col("n")).alias("less"), "bucket")).alias("f"))
+    tagged = members.join(first.select(F.col("node").alias("f_node"), F.col("f.bucket").alias("first")), F.col("node") == F.col("f_node"))
+    groups = tagged.where("first <> bucket").groupBy("bucket", "first").agg(F.count(F.lit(1)).alias("c"))
+    most = groups.groupBy("bucket").agg(F.max(F.struct("c", "first")).alias("m"))
+    most = most.select(F.col("bucket").alias("m_bucket"), F.col("m.c").alias("many"), F.col("m.first").alias("many_first"))
+    rows = tagged.join(most, F.col("bucket") == F.col("m_bucket"), "left").withColumn("many", F.coalesce("many", F.lit(0)))
+    rows = rows.where("many < n")
+    large = F.col("n") > block_sets
+    blocks = lambda count: F.ceil(count / block_sets).cast("int")
+    return rows.select(
+        "node",
+        "bucket",
+        "n",
+        F.when(large, blocks(F.col("n") - F.col("many"))).otherwise(1).alias("few_blocks"),
+        F.when(large, blocks(F.col("many"))).otherwise(0).alias("many_blocks"),
+        (large & F.coalesce(F.col("first") == F.col("many_first"), F.lit(False))).alias("among_many"),
+    )
+
+
 def jaccard_classes(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -376,18 +405,23 @@ def jaccard_classes(
     )
     buckets = stash(sized.where("n > 1").groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "n"), "buckets")
     members = stash(paths.join(buckets.withColumnRenamed("bucket", "b"), F.col("bucket") == F.col("b")).select("node", "bucket", "n"), "members")
-    lists = members.groupBy("node").agg(F.collect_list(F.struct("bucket", "n")).alias("in"))
+    members = _without_repeats(members, block_sets)
+    one = F.struct("bucket", "n", "few_blocks", "many_blocks", "among_many")
+    lists = members.groupBy("node").agg(F.collect_list(one).alias("in"))
     wanted = nodes.join(lists.withColumnRenamed("node", "l_node"), F.col("node") == F.col("l_node"))
     wanted = stash(wanted.select("node", "doc_id", "f1", "f2", "copies", F.col("in").alias("buckets")), "wanted")
     sets = node_sets(docs, wanted, words)
 
     # pairs of blocks of the large buckets; one block of the others
-    placed = sets.select("node", "copies", "shingles", F.col("buckets.bucket").alias("buckets"), F.explode("buckets").alias("one"))
-    count = F.ceil(F.col("one.n") / block_sets).cast("int")
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), count).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
+    short = F.transform("buckets", lambda x: F.struct(x["bucket"].alias("bucket"), x["n"].alias("n")))
+    placed = sets.select("node", "copies", "shingles", short.alias("buckets"), F.explode("buckets").alias("one"))
+    few, many = F.col("one.few_blocks"), F.col("one.many_blocks")
+    number = F.xxhash64("node")
+    block = F.when(F.col("one.among_many"), few + F.pmod(number, F.greatest(many, F.lit(1)))).otherwise(F.pmod(number, few)).cast("int")
+    last = F.when(F.col("one.among_many"), few).otherwise(few + many).cast("int") - 1
+    placed = placed.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
     placed = placed.select(
-        F.col("one.bucket").alias("bucket"), F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "copies", "buckets", "shingles"
+        F.col("one.bucket").alias("bucket"), F.col("one.n").alias("n"), F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "copies", "buckets", "shingles"
     )
     placed = placed.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
     found = stash(_verified(placed, similarity), "links")
