@@ -10,7 +10,7 @@ from path p to path (p, t) for each of its shingles t whose hash with p falls be
 follow a common path as a branching process with a mean of one or more, which lives to
 the last level with a chance q; sets unlike part within a few levels.  Sets that end
 on one path are a bucket and are compared, all against all.  Runs are repeated until
-1 - (1 - q)^runs reaches ``recall`` (0.99) for a pair just at the threshold; pairs that
+1 - (1 - q)^runs reaches ``recall`` (0.999) for a pair just at the threshold; pairs that
 are more alike are found more surely, and a class holds together by any of its links.
 
 A set knows its paths without looking at any other, so all levels of all runs are
@@ -52,7 +52,7 @@ from tomoflow.llm.signs import arrow_chunks
 
 WORDS = 5
 SIMILARITY = 0.8
-RECALL = 0.99
+RECALL = 0.999
 DEPTH = 3
 BLOCK_SETS = 750
 CHUNK_BYTES = 1_000_000
