@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -26,6 +28,28 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Paths that this process has made in shared folders, and their sessions.
+_MADE: list[tuple[SparkSession, str]] = []
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A fresh path in the shared folder; what is written there goes when the process ends."""
+    path = f"{shared_folder(spark).rstrip('/')}/tomoflow-{label}-{uuid.uuid4().hex}"
+    if not _MADE:
+        atexit.register(drop_scratch)
+    _MADE.append((spark, path))
+    return path
+
+
+def drop_scratch() -> None:
+    """Delete what was written under scratch paths, as far as their sessions still run."""
+    while _MADE:
+        spark, path = _MADE.pop()
+        with contextlib.suppress(Exception):
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def stash(df: DataFrame, label: str = "table") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
@@ -33,7 +57,7 @@ def stash(df: DataFrame, label: str = "table") -> DataFrame:
     of what stands above, and every later pass sees the same rows.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/tomoflow-{label}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tomoflow.llm import exact_dedup, jaccard_join, language_id, lm_scoring, mixing, token_files, top_k, toxicity, url_filter, word_bpe
-from tomoflow.llm.common import SPACE, load, remainder, shared_folder
+from tomoflow.llm.common import SPACE, load, remainder, scratch_path
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +59,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_folder(spark).rstrip('/')}/token-files-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "token-files")
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     token_files.write_token_files(load(spark, sf_dir, "documents"), path, ranks, public_tokenizers.PATTERN)
     return token_files.read_documents(spark, path)
