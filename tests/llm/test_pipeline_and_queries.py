@@ -37,3 +37,50 @@ def test_pipeline(spark):
     out = corpus_pipeline.run(spark, SMALL)
     assert out.columns == ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"]
     assert sorted(r.doc_id for r in out.collect()) == sorted(rows)
+
+
+def test_stages_on_a_table_with_odd_rows(spark):
+    """Each stage against brute force: nulls, empty and long texts, repeated rows, clashing columns."""
+    from test_small_tables import ROWS, shingles, table, words
+    from tomoflow.llm.common import stash
+
+    docs = table(spark, ROWS).repartition(3)
+    columns = docs.columns
+    stages = [stage for _, stage in corpus_pipeline.STAGES]
+
+    def after(k):
+        nonlocal docs
+        docs = stash(stages[k](spark, docs, SMALL))
+        assert docs.columns == columns
+        return sorted(str((r.doc_id, r.text)) for r in docs.collect())
+
+    lettered = [r for r in ROWS if any(c.isalpha() for c in r[1] or "")]
+    assert after(0) == sorted(str((r[0], r[1])) for r in lettered)
+    first = {}
+    for r in sorted(lettered, key=lambda r: (r[0] is None, r[0] or 0)):
+        first.setdefault(" ".join(words(r[1])), r)
+    assert after(1) == sorted(str((r[0], r[1])) for r in first.values())
+    kept = []
+    for r in sorted(first.values(), key=lambda r: (r[0] is None, r[0] or 0)):
+        a = shingles(r[1])
+        if not any(len(a & shingles(k[1])) >= 0.8 * len(a | shingles(k[1])) for k in kept):
+            kept.append(r)
+    assert after(2) == sorted(str((r[0], r[1])) for r in kept)
+    mixed = after(3)
+    assert set(mixed) <= {str((r[0], r[1])) for r in kept} and max(map(mixed.count, mixed)) <= 2
+    rows = stages[4](spark, docs, SMALL).collect()
+    assert sorted(str(r.doc_id) for r in rows) == sorted(str(r.doc_id) for r in docs.collect())
+    assert all(r.n_tokens == len(r.ids) > 0 for r in rows)
+
+
+def test_stages_on_an_empty_table(spark):
+    from test_small_tables import table
+    from tomoflow.llm.common import stash
+
+    docs = table(spark, [])
+    for name, stage in corpus_pipeline.STAGES:
+        out = stash(stage(spark, docs, SMALL), name)
+        assert out.count() == 0
+        if name != "word_bpe":
+            assert out.columns == docs.columns
+            docs = out

@@ -320,6 +320,24 @@ def test_context_tree_against_sequences():
         assert abs(float(model.score([text])[0]) - plain(text)) < 1e-4
 
 
+@pytest.mark.parametrize("threshold", [1, 3, 20, 1000])
+def test_pruned_grams_give_the_same_tables(threshold):
+    rng = np.random.default_rng(8)
+    texts = [bytes(rng.choice(list(b"abc d"), 400).tolist()) for _ in range(6)]
+    depth = 5
+    keys, n = context_tree.distinct(context_tree.grams_of(texts[:4], depth)[0])
+    held = context_tree.distinct(context_tree.grams_of(texts[4:], depth)[0])[0]
+    keys, n = context_tree.summed(np.concatenate([keys, held]), np.concatenate([n, np.zeros(len(held), np.int64)]))
+    small = context_tree.pruned(keys, n, depth, threshold)
+    assert len(small[0]) <= len(keys) and small[1].sum() == n.sum()
+    a, b = (context_tree.Tree(*g, depth, threshold) for g in ((keys, n), small))
+    roots = context_tree.Roots(np.bincount((keys & np.uint64(255)).astype(int), weights=n, minlength=256), [np.zeros(1 << k) - 1e4 for k in range(8)])
+    p, q = context_tree.probabilities(a, roots), context_tree.probabilities(b, roots)
+    for d in range(1, depth + 1):
+        assert np.array_equal(a.rows[d][a.final[d]], b.rows[d][b.final[d]])
+        assert np.allclose(p[d][a.final[d]], q[d][b.final[d]])
+
+
 def test_lm_scoring(docs, empty):
     held = remainder(F.col("doc_id"), 10) == 0
     got = lm_scoring.score_documents(docs, held, head_words=3).collect()
