@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,6 +64,38 @@ def stash(df: DataFrame, label: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: What operators keep in a Python worker between tasks, and how each drops it.
+_KEPT: dict[str, Callable[[], None]] = {}
+
+
+def keeps(operator: str, forget: Callable[[], None]) -> None:
+    """An operator keeps something in its workers; ``forget`` drops it."""
+    _KEPT[operator] = forget
+
+
+@contextlib.contextmanager
+def working(operator: str) -> Iterator[None]:
+    """A task of an operator: what others have kept in this worker goes, and freed memory, too.
+
+    Spark reuses its Python workers, so without this the memories of all operators that
+    a session has run would add up in every worker.
+    """
+    for other, forget in _KEPT.items():
+        if other != operator:
+            forget()
+    _trim()
+    try:
+        yield
+    finally:
+        _trim()
+
+
+def _trim() -> None:
+    """Give freed memory back to the system, where the C library can."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Texts go to Python in batches of fewer rows than Spark's default of 10,000.
 

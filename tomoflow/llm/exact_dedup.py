@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tomoflow.llm.common import SPACE, column, stash
+from tomoflow.llm.common import SPACE, column, stash, working
 
 #: Packed entry of a run; ``nul`` puts null ids last.
 ENTRY = np.dtype(
@@ -91,19 +91,20 @@ def _entries(batch: pd.DataFrame) -> np.ndarray:
 
 def _run_builder(bits: int):
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        run = TaskContext.get().partitionId()
-        held, waiting, count = np.empty(0, ENTRY), [], 0
-        for batch in batches:
-            if len(batch):
-                waiting.append(_entries(batch))
-                count += len(batch)
-            if count > len(held) + 100_000:
-                held, waiting, count = merge_runs([held, *waiting]), [], 0
-        held = merge_runs([held, *waiting])
-        buckets = (held["d0"] >> np.uint64(64 - bits)).astype("int64") if bits else np.zeros(len(held), "int64")
-        cuts = np.flatnonzero(np.diff(buckets, prepend=-1))
-        for start, piece in zip(cuts, np.split(held, cuts[1:]), strict=False):
-            yield pd.DataFrame({"bucket": [buckets[start]], "run": [run], "entries": [piece.tobytes()]})
+        with working("exact_dedup"):
+            run = TaskContext.get().partitionId()
+            held, waiting, count = np.empty(0, ENTRY), [], 0
+            for batch in batches:
+                if len(batch):
+                    waiting.append(_entries(batch))
+                    count += len(batch)
+                if count > len(held) + 100_000:
+                    held, waiting, count = merge_runs([held, *waiting]), [], 0
+            held = merge_runs([held, *waiting])
+            buckets = (held["d0"] >> np.uint64(64 - bits)).astype("int64") if bits else np.zeros(len(held), "int64")
+            cuts = np.flatnonzero(np.diff(buckets, prepend=-1))
+            for start, piece in zip(cuts, np.split(held, cuts[1:]), strict=False):
+                yield pd.DataFrame({"bucket": [buckets[start]], "run": [run], "entries": [piece.tobytes()]})
 
     return build
 

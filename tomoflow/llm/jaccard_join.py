@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tomoflow.llm.common import column, small_batches, stash
+from tomoflow.llm.common import column, keeps, small_batches, stash, working
 from tomoflow.llm.signs import arrow_chunks
 
 WORDS = 5
@@ -84,6 +84,13 @@ class Powers:
             cls.down = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n, inverse, np.uint64)]))
         return cls.up, cls.down
 
+    @classmethod
+    def forget(cls) -> None:
+        cls.up = cls.down = np.ones(1, np.uint64)
+
+
+keeps("jaccard_join", Powers.forget)
+
 
 def shingle_sets(texts: list[str], words: int = WORDS) -> list[np.ndarray]:
     """Sorted distinct 64-bit shingle hashes of each text."""
@@ -156,14 +163,15 @@ def signatures(docs: DataFrame, words: int, runs: int, depth: int, similarity: f
     kinds = [("doc_id", pa.int64()), ("row", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("size", pa.int32()), ("paths", pa.list_(pa.int64()))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, rows = (batch.column(i).to_pylist() for i in range(2))
-            for part, texts in arrow_chunks(batch.column(2), CHUNK_BYTES):
-                sets = shingle_sets(texts, words)
-                prints = [fingerprint(s) for s in sets]
-                paths = [chosen_paths(s, runs, depth, similarity).astype(np.int64) if len(s) else [] for s in sets]
-                columns = [ids[part], rows[part], [p[0] for p in prints], [p[1] for p in prints], [len(s) for s in sets], paths]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, kinds, strict=True)], [n for n, _ in kinds])
+        with working("jaccard_join"):
+            for batch in batches:
+                ids, rows = (batch.column(i).to_pylist() for i in range(2))
+                for part, texts in arrow_chunks(batch.column(2), CHUNK_BYTES):
+                    sets = shingle_sets(texts, words)
+                    prints = [fingerprint(s) for s in sets]
+                    paths = [chosen_paths(s, runs, depth, similarity).astype(np.int64) if len(s) else [] for s in sets]
+                    columns = [ids[part], rows[part], [p[0] for p in prints], [p[1] for p in prints], [len(s) for s in sets], paths]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, kinds, strict=True)], [n for n, _ in kinds])
 
     rows = docs.withColumn("row", F.monotonically_increasing_id()).select("doc_id", "row", "text")
     return stash(rows.mapInArrow(run, "doc_id long, row long, f1 long, f2 long, size int, paths array<long>"), "signatures")
@@ -192,23 +200,24 @@ def node_sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = np.unpackbits(shared.value).astype(bool)
-        for batch in batches:
-            ids = batch.column(0).to_pylist()
-            for part, texts in arrow_chunks(batch.column(1), CHUNK_BYTES):
-                sets = shingle_sets(texts, words)
-                prints = np.array([fingerprint(s) for s in sets], np.int64).reshape(-1, 2)
-                keys = np.array([-1 if i is None else i for i in ids[part]], np.int64)
-                hit = np.flatnonzero(wanted[places(keys, prints[:, 0])].all(axis=0) & np.array([len(s) > 0 for s in sets], bool))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([ids[part][i] for i in hit], pa.int64()),
-                        pa.array(prints[hit, 0]),
-                        pa.array(prints[hit, 1]),
-                        pa.array([sets[i].tobytes() for i in hit], pa.binary()),
-                    ],
-                    ["s_id", "s_f1", "s_f2", "shingles"],
-                )
+        with working("jaccard_join"):
+            wanted = np.unpackbits(shared.value).astype(bool)
+            for batch in batches:
+                ids = batch.column(0).to_pylist()
+                for part, texts in arrow_chunks(batch.column(1), CHUNK_BYTES):
+                    sets = shingle_sets(texts, words)
+                    prints = np.array([fingerprint(s) for s in sets], np.int64).reshape(-1, 2)
+                    keys = np.array([-1 if i is None else i for i in ids[part]], np.int64)
+                    hit = np.flatnonzero(wanted[places(keys, prints[:, 0])].all(axis=0) & np.array([len(s) > 0 for s in sets], bool))
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([ids[part][i] for i in hit], pa.int64()),
+                            pa.array(prints[hit, 0]),
+                            pa.array(prints[hit, 1]),
+                            pa.array([sets[i].tobytes() for i in hit], pa.binary()),
+                        ],
+                        ["s_id", "s_f1", "s_f2", "shingles"],
+                    )
 
     sets = docs.select("doc_id", "text").mapInArrow(run, "s_id long, s_f1 long, s_f2 long, shingles binary")
     same = (F.col("f1") == F.col("s_f1")) & (F.col("f2") == F.col("s_f2")) & F.col("doc_id").eqNullSafe(F.col("s_id"))
@@ -274,42 +283,43 @@ def _verified(members: DataFrame, similarity: float) -> DataFrame:
     """node, root (a node of its forest in one bucket), links: from members sorted by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, key = [], None
-        out: tuple[list, list, list] = ([], [], [])
-
-        def close() -> None:
-            if len(held) > 1:
-                nodes = np.array([r["node"] for r in held], np.int64)
-                blocks = np.array([r["block"] for r in held]) if key[1] != key[2] else None
-                lists = [{(-one["n"], one["bucket"]) for one in r["buckets"]} for r in held]
-                touched, amount, label = compare(
-                    [np.frombuffer(r["shingles"], np.uint64) for r in held],
-                    np.array([r["copies"] for r in held], np.int64),
-                    lists,
-                    blocks,
-                    (-held[0]["n"], key[0]),
-                    similarity,
-                )
-                for column_, values in zip(out, (nodes[touched], nodes[label], amount), strict=True):
-                    column_.extend(values.tolist())
-
-        def rows() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["node", "root", "links"])
-            for c in out:
-                c.clear()
-            return batch
-
-        for batch in batches:
-            for row in (r for at in range(0, len(batch), 200) for r in batch.slice(at, 200).to_pylist()):
-                this = (row["bucket"], row["low"], row["high"])
-                if this != key:
-                    close()
-                    held, key = [], this
-                held.append(row)
-            if len(out[0]) > 100_000:
-                yield rows()
-        close()
-        yield rows()
+        with working("jaccard_join"):
+            held, key = [], None
+            out: tuple[list, list, list] = ([], [], [])
+
+            def close() -> None:
+                if len(held) > 1:
+                    nodes = np.array([r["node"] for r in held], np.int64)
+                    blocks = np.array([r["block"] for r in held]) if key[1] != key[2] else None
+                    lists = [{(-one["n"], one["bucket"]) for one in r["buckets"]} for r in held]
+                    touched, amount, label = compare(
+                        [np.frombuffer(r["shingles"], np.uint64) for r in held],
+                        np.array([r["copies"] for r in held], np.int64),
+                        lists,
+                        blocks,
+                        (-held[0]["n"], key[0]),
+                        similarity,
+                    )
+                    for column_, values in zip(out, (nodes[touched], nodes[label], amount), strict=True):
+                        column_.extend(values.tolist())
+
+            def rows() -> pa.RecordBatch:
+                batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["node", "root", "links"])
+                for c in out:
+                    c.clear()
+                return batch
+
+            for batch in batches:
+                for row in (r for at in range(0, len(batch), 200) for r in batch.slice(at, 200).to_pylist()):
+                    this = (row["bucket"], row["low"], row["high"])
+                    if this != key:
+                        close()
+                        held, key = [], this
+                    held.append(row)
+                if len(out[0]) > 100_000:
+                    yield rows()
+            close()
+            yield rows()
 
     return members.mapInArrow(run, "node long, root long, links long")
 

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tomoflow.llm.common import column, small_batches
+from tomoflow.llm.common import column, small_batches, working
 from tomoflow.llm.signs import LAST, Block, arrow_chunks, chunks
 
 UNKNOWN = "und"
@@ -190,15 +190,16 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
     sample = rows.where(part < limits[F.col("lang")])
 
     def count(key, group: pd.DataFrame) -> pd.DataFrame:
-        scripts = script_table()
-        total, by_script = np.zeros(bins, np.int64), np.zeros(OTHER + 1, np.int64)
-        texts = group["text"].tolist()
-        for part in chunks(texts, CHUNK_CHARS):
-            block = Block(texts[part])
-            letters = np.flatnonzero(block.codes)
-            total += np.bincount(triples(block, bins)[letters], minlength=bins)
-            by_script += np.bincount(scripts[block.raw[letters]], minlength=OTHER + 1)
-        return pd.DataFrame({"lang": [key[0]], "counts": [total.tobytes()], "scripts": [by_script.tobytes()]})
+        with working("language_id"):
+            scripts = script_table()
+            total, by_script = np.zeros(bins, np.int64), np.zeros(OTHER + 1, np.int64)
+            texts = group["text"].tolist()
+            for part in chunks(texts, CHUNK_CHARS):
+                block = Block(texts[part])
+                letters = np.flatnonzero(block.codes)
+                total += np.bincount(triples(block, bins)[letters], minlength=bins)
+                by_script += np.bincount(scripts[block.raw[letters]], minlength=OTHER + 1)
+            return pd.DataFrame({"lang": [key[0]], "counts": [total.tobytes()], "scripts": [by_script.tobytes()]})
 
     learned = sample.groupBy("lang").applyInPandas(count, "lang string, counts binary, scripts binary").collect()
     learned = sorted(learned, key=lambda r: r["lang"])
@@ -213,17 +214,18 @@ def identify_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", te
     schema = "doc_id long, lang_pred string, score double" + ", spans array<struct<start: int, end: int, lang: string>>" * spans
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, scripts = shared.value, script_table()
-        for batch in batches:
-            ids = batch.column(0)
-            for part, texts in arrow_chunks(batch.column(1), CHUNK_CHARS):
-                langs, scores, found = identify(texts, own, scripts)
-                columns = [ids.slice(part.start, part.stop - part.start), pa.array(langs), pa.array(scores, pa.float64())]
-                names = ["doc_id", "lang_pred", "score"]
-                if spans:
-                    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
-                    columns, names = [*columns, pa.array(found, kind)], [*names, "spans"]
-                yield pa.RecordBatch.from_arrays(columns, names)
+        with working("language_id"):
+            own, scripts = shared.value, script_table()
+            for batch in batches:
+                ids = batch.column(0)
+                for part, texts in arrow_chunks(batch.column(1), CHUNK_CHARS):
+                    langs, scores, found = identify(texts, own, scripts)
+                    columns = [ids.slice(part.start, part.stop - part.start), pa.array(langs), pa.array(scores, pa.float64())]
+                    names = ["doc_id", "lang_pred", "score"]
+                    if spans:
+                        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
+                        columns, names = [*columns, pa.array(found, kind)], [*names, "spans"]
+                    yield pa.RecordBatch.from_arrays(columns, names)
 
     rows = docs.select(column(docs, id_col, "long").alias("doc_id"), column(docs, text_col, "string").alias("text"))
     return rows.mapInArrow(run, schema)
@@ -235,12 +237,13 @@ def known_language(docs: DataFrame, model: Model, text_col: str = "text") -> Dat
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, scripts = shared.value, script_table()
-        for batch in batches:
-            for part, texts in arrow_chunks(batch.column(1), CHUNK_CHARS):
-                told = pa.array([lang != UNKNOWN for lang in identify(texts, own, scripts)[0]], pa.bool_())
-                kept = batch.column(0).slice(part.start, part.stop - part.start).filter(told)
-                yield pa.RecordBatch.from_arrays([kept], ["doc"])
+        with working("language_id"):
+            own, scripts = shared.value, script_table()
+            for batch in batches:
+                for part, texts in arrow_chunks(batch.column(1), CHUNK_CHARS):
+                    told = pa.array([lang != UNKNOWN for lang in identify(texts, own, scripts)[0]], pa.bool_())
+                    kept = batch.column(0).slice(part.start, part.stop - part.start).filter(told)
+                    yield pa.RecordBatch.from_arrays([kept], ["doc"])
 
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
     rows = docs.select(whole, column(docs, text_col, "string").alias("text"))

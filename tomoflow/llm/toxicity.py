@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tomoflow.llm.common import column, small_batches
+from tomoflow.llm.common import column, small_batches, working
 from tomoflow.llm.signs import Block, arrow_chunks, chunks
 
 SAMPLE_DOCS = 8000
@@ -272,16 +272,17 @@ def score_documents(docs: DataFrame, field: Field, id_col: str = "doc_id", text_
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        for batch in batches:
-            ids = batch.column(0)
-            for part, texts in arrow_chunks(batch.column(1), CHUNK_CHARS):
-                scores, block, toxic, begins = own.score(texts)
-                spans = _spans(block, toxic, begins, part.stop - part.start)
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(part.start, part.stop - part.start), pa.array(scores, pa.float64()), pa.array(spans, kind)],
-                    ["doc_id", "score", "spans"],
-                )
+        with working("toxicity"):
+            own = shared.value
+            for batch in batches:
+                ids = batch.column(0)
+                for part, texts in arrow_chunks(batch.column(1), CHUNK_CHARS):
+                    scores, block, toxic, begins = own.score(texts)
+                    spans = _spans(block, toxic, begins, part.stop - part.start)
+                    yield pa.RecordBatch.from_arrays(
+                        [ids.slice(part.start, part.stop - part.start), pa.array(scores, pa.float64()), pa.array(spans, kind)],
+                        ["doc_id", "score", "spans"],
+                    )
 
     rows = docs.select(column(docs, id_col, "long").alias("doc_id"), F.coalesce(column(docs, text_col, "string"), F.lit("")).alias("text"))
     return rows.mapInArrow(run, "doc_id long, score double, spans array<struct<start: int, end: int>>")

@@ -42,7 +42,7 @@ import tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tomoflow.llm.common import column, small_batches
+from tomoflow.llm.common import column, keeps, small_batches, working
 from tomoflow.llm.signs import arrow_chunks
 
 MEMO_WORDS = 200_000
@@ -228,6 +228,7 @@ class Encoder:
 
 
 _ENCODERS: dict[str, Encoder] = {}
+keeps("word_bpe", _ENCODERS.clear)
 
 
 def encoder(text: str | None, path: str | None) -> Encoder:
@@ -257,18 +258,19 @@ def encode_documents(
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(tokenizer_text, tokenizer_path)
-        for batch in batches:
-            doc_ids = batch.column(0)
-            for part, texts in arrow_chunks(batch.column(1), CHUNK_BYTES):
-                packed, decoded = own.encode(texts)
-                ends = np.cumsum([0, *(len(p) // 4 for p in packed)])
-                flat = pa.array(np.frombuffer(b"".join(packed), "<i4"))
-                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
-                yield pa.RecordBatch.from_arrays(
-                    [doc_ids.slice(part.start, part.stop - part.start), ids, pa.array(decoded, pa.string())],
-                    ["doc_id", "ids", "decoded"],
-                )
+        with working("word_bpe"):
+            own = encoder(tokenizer_text, tokenizer_path)
+            for batch in batches:
+                doc_ids = batch.column(0)
+                for part, texts in arrow_chunks(batch.column(1), CHUNK_BYTES):
+                    packed, decoded = own.encode(texts)
+                    ends = np.cumsum([0, *(len(p) // 4 for p in packed)])
+                    flat = pa.array(np.frombuffer(b"".join(packed), "<i4"))
+                    ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
+                    yield pa.RecordBatch.from_arrays(
+                        [doc_ids.slice(part.start, part.stop - part.start), ids, pa.array(decoded, pa.string())],
+                        ["doc_id", "ids", "decoded"],
+                    )
 
     rows = docs.select(
         column(docs, id_col, "long").alias("doc_id"), F.coalesce(column(docs, text_col, "string"), F.lit("")).alias("text")
