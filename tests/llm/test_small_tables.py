@@ -363,6 +363,41 @@ def test_lm_scoring(docs, empty):
     assert lm_scoring.score_documents(empty, held).count() == 0
 
 
+def whole_tree_scores(texts, trained, depth=context_tree.DEPTH):
+    """Scores of texts by one tree of all grams that splits every context."""
+    codes = [t.encode() for t in texts]
+    learnt = context_tree.distinct(context_tree.grams_of([c for c, t in zip(codes, trained) if t], depth)[0])
+    every = context_tree.distinct(context_tree.grams_of(codes, depth)[0])[0]
+    keys, n = context_tree.summed(np.concatenate([learnt[0], every]), np.concatenate([learnt[1], np.zeros(len(every), np.int64)]))
+    tree = context_tree.Tree(keys, n, depth, 1)
+    byte = (tree.rows[1] & np.uint64(255)).astype(int)
+    children = [np.zeros(1 << bit) for bit in range(8)]
+    for bit in range(8):
+        _, _, first, _, _, weighted = tree.weigh(bit)[1]
+        np.add.at(children[bit], byte[first] >> (8 - bit), weighted)
+    roots = context_tree.Roots(np.bincount(byte, weights=tree.counts[1], minlength=256), children)
+    p = context_tree.probabilities(tree, roots)
+    tables = {d: (tree.rows[d][tree.final[d]], p[d][tree.final[d]]) for d in p}
+    tables[0] = (np.arange(256, dtype=np.uint64), roots.alone())
+    return context_tree.Model(depth, tables).score(codes)
+
+
+@pytest.mark.parametrize("size", [2_000, 5_000_000])
+def test_lm_scoring_loses_no_context(spark, size):
+    """The tables grow with the texts: no bound cuts rare contexts, however many grams there are."""
+    rng = np.random.default_rng(3)
+    signs = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz0123456789-+=/", np.uint8)
+    texts = [rng.choice(signs, size // 20).tobytes().decode() for _ in range(20)]
+    rare = [rng.choice(signs, 400).tobytes().decode() for _ in range(5)]
+    texts += rare + rare + [f"{a} {b}" for a, b in zip(rare, rare[1:])]
+    held = [i % 4 == 0 for i in range(20)] + [False] * 10 + [True] * 4
+    rows = spark.createDataFrame(list(zip(range(len(texts)), texts, held)), "doc_id long, text string, held boolean")
+    got = {r.doc_id: r.score for r in lm_scoring.score_documents(rows, F.col("held")).collect()}
+    want = whole_tree_scores(texts, [not h for h in held])
+    assert len(got) == len(texts)
+    assert all(abs(got[i] - w) <= 1e-5 * abs(w) for i, w in enumerate(want)), [(got[i], w) for i, w in enumerate(want)]
+
+
 def test_language_id(spark, docs, empty):
     rows = [(i, (EN if i % 2 else DE) + f"n{i}", "en" if i % 2 else "de", "a") for i in range(40)]
     model = language_id.train(table(spark, rows))

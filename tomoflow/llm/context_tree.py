@@ -13,20 +13,24 @@ the posterior weight of its node.  The path ends at the deepest context that tra
 texts have; the mix of a text's bytes is its probability.
 
 The work is laid out by *grams*: context bytes, the latest first, and the next byte, in
-one 64-bit key, so that sorted grams are the tree in depth-first order.
-
-1. Every partition counts the grams of its texts; those of texts that aren't trained
-   on count 0, so that the tables hold every gram that is ever looked up.  The counts
-   of all data are merged by a hash of the three latest context bytes, in more buckets
-   than there are shuffle partitions.
-2. Contexts are split further only if they occur ``threshold`` times; what lies deeper
-   is added up in each bucket.  The smallest power of two is taken that leaves no more
-   than ``max_entries`` grams of all data, found from the counts that each power leaves.
-3. The trees below each latest byte are independent, and together no larger than that
-   bound.  A first pass gives the weighted probabilities that the roots need, a second
-   one the probability of every gram.
-4. These tables (12 bytes an entry) go to every worker; texts are scored by looking up
-   their grams, the deepest first.
+one 64-bit key, so that sorted grams are the tree in depth-first order.  No table of
+grams is held as a whole anywhere; all of them grow with the texts.
+
+1. Texts are cut into *chunks* of about ``CHUNK_TEXT`` bytes.  Every chunk counts its
+   distinct grams, dealt to buckets by a hash of the three latest context bytes, in more
+   buckets than there are shuffle partitions.  Grams of texts that aren't trained on
+   count 0: they are looked up, but nothing is learnt from them.
+2. A bucket merges its grams and weighs the trees from the deepest contexts up to those
+   of three bytes.  The trees below each latest byte take over from there, up to the
+   roots of the 255 decisions, which alone go to the driver.
+3. The same way back: below each latest byte the mix of the depths up to three, then in
+   each bucket the probability of every gram, which goes back to the chunks that have it,
+   without the gram: buckets answer in the order in which chunks cut their grams.
+4. A chunk cuts its grams again and adds up the probabilities of its texts.
+
+A context that training texts have once is a leaf (``SPLIT`` = 2).  This loses nothing:
+all contexts below have the same single event, so their estimates and P_w are its own.
+There is no other threshold, and none depends on the size of the data.
 
 Defined results
   * null text is empty: its code is that of the end sign.
@@ -37,27 +41,29 @@ Defined results
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 from math import lgamma
+from zlib import compress, decompress
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tomoflow.llm.common import column, stash
+from tomoflow.llm.common import column, stash, working
 
 DEPTH = 6
-MAX_ENTRIES = 3_000_000
+#: Occurrences that a context needs to have contexts below it.
+SPLIT = 2
+#: Bytes of text that are cut into grams at once, and those of a chunk.
 CHUNK_BYTES = 2_000_000
+CHUNK_TEXT = 16_000_000
 HALF = np.log(0.5)
 BYTE = np.uint64(8)
-GRAMS = "place int, grams binary, counts binary"
 #: Context bytes that decide a gram's bucket.
 LATEST = 3
-#: Powers of two that may become the threshold.
-POWERS = 40
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -97,22 +103,22 @@ def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ordered[first], np.diff(np.append(first, len(ordered)))
 
 
-def _pack(place: int, keys: np.ndarray, counts: np.ndarray) -> dict:
-    return {"place": [place], "grams": [keys.astype("<u8").tobytes()], "counts": [counts.astype("<i8").tobytes()]}
+def _planes(values: np.ndarray) -> bytes:
+    """The first bytes of all values, then the second ones, and so on: they compress better."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()
 
 
-def _unpack(rows) -> tuple[np.ndarray, np.ndarray]:
-    keys = np.concatenate([np.frombuffer(x, "<u8") for x in rows["grams"]])
-    return summed(keys, np.concatenate([np.frombuffer(x, "<i8") for x in rows["counts"]]))
+def _values(planes: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
-def _split(keys: np.ndarray, counts: np.ndarray, places: np.ndarray) -> Iterator[dict]:
-    """A packed row for each place."""
+def _split(places: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each place, with the positions that have it."""
     order = np.argsort(places, kind="stable")
-    keys, counts, places = keys[order], counts[order], places[order]
-    cuts = np.flatnonzero(np.diff(places, prepend=-1))
-    for a, b in zip(cuts, np.append(cuts[1:], len(keys))[: len(cuts)], strict=True):
-        yield _pack(int(places[a]), keys[a:b], counts[a:b])
+    cuts = np.flatnonzero(np.diff(places[order], prepend=-1))
+    for a, b in zip(cuts, np.append(cuts[1:], len(places))[: len(cuts)], strict=True):
+        yield int(places[order[a]]), order[a:b]
 
 
 def pruned(keys: np.ndarray, counts: np.ndarray, depth: int, threshold: int) -> tuple[np.ndarray, np.ndarray]:
@@ -134,15 +140,36 @@ def pruned(keys: np.ndarray, counts: np.ndarray, depth: int, threshold: int) ->
     return summed(filled, counts)
 
 
-def count_grams(docs: DataFrame, trained_on: Column, text_col: str, depth: int) -> DataFrame:
-    """Merged grams of all texts by bucket; written once."""
-    buckets = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) + 61
-    latest = np.uint64(8 * (depth + 1 - min(LATEST, depth)))
-    schema = pa.schema([("place", pa.int32()), ("grams", pa.binary()), ("counts", pa.binary())])
+def buckets_of(docs: DataFrame) -> int:
+    return 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) + 61
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = (np.empty(0, np.uint64), np.empty(0, np.int64))
-        waiting, size = [], 0
+
+def place_of(contexts: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each (the up to LATEST latest bytes of a) context."""
+    return (((contexts * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+
+
+CHUNKS = "chunk long, row long, doc_id long, held_out boolean, text binary, place int, grams binary, counts binary"
+CHUNK_KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int32(), pa.binary(), pa.binary()]
+
+
+def cut_in_chunks(docs: DataFrame, held_out: Column, id_col: str, text_col: str, depth: int = DEPTH) -> tuple[DataFrame, DataFrame]:
+    """The texts (chunk, row, doc_id, held_out, text: words, deflated), and the grams of each chunk by bucket.
+
+    Both are written at once, so that the rows of a chunk stay its rows.
+    """
+    buckets, latest = buckets_of(docs), np.uint64(8 * (depth + 1 - min(LATEST, depth)))
+    names = [c.split()[0] for c in CHUNKS.split(", ")]
+
+    def made(n: int, **columns) -> pa.RecordBatch:
+        arrays = [pa.array(columns[c], k) if c in columns else pa.nulls(n, k) for c, k in zip(names, CHUNK_KINDS, strict=True)]
+        return pa.RecordBatch.from_arrays(arrays, names)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = TaskContext.get().partitionId() << 32
+        empty = (np.empty(0, np.uint64), np.empty(0, np.int64))
+        held, waiting, size, length = empty, [], 0, 0
+        codes, room = {True: [], False: []}, {True: 0, False: 0}
 
         def merge():
             parts = [held, *waiting]
@@ -157,26 +184,51 @@ def count_grams(docs: DataFrame, trained_on: Column, text_col: str, depth: int)
             if size > max(len(held[0]), 500_000):
                 held, waiting, size = merge(), [], 0
 
-        codes, room = {True: [], False: []}, {True: 0, False: 0}
-        for batch in batches:
-            for text, train in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                codes[train].append(b" ".join(words_of(text.as_py())))
-                room[train] += len(codes[train][-1])
-                if room[train] >= CHUNK_BYTES:
-                    flush(train)
-        for learn in (True, False):
-            if codes[learn]:
-                flush(learn)
-        keys, counts = merge()
-        mixed = ((keys >> latest) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
-        for row in _split(keys, counts, (mixed % np.uint64(buckets)).astype(np.int64)):
-            yield pa.RecordBatch.from_pydict(row, schema=schema)
-
-    def merge_place(key, rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(_pack(int(key[0]), *_unpack(rows)))
-
-    rows = docs.select(column(docs, text_col, "string").alias("text"), F.coalesce(trained_on, F.lit(False)).alias("train"))
-    return stash(rows.mapInArrow(count, GRAMS).groupBy("place").applyInPandas(merge_place, GRAMS), "grams")
+        def close() -> Iterator[pa.RecordBatch]:
+            nonlocal held, waiting, size, length, chunk
+            for learn in (True, False):
+                if codes[learn]:
+                    flush(learn)
+            keys, counts = merge()
+            held, waiting, size, length = empty, [], 0, 0
+            for place, at in _split(place_of(keys >> latest, buckets)):
+                yield made(1, chunk=[chunk], place=[place], grams=[_planes(keys[at])], counts=[_planes(counts[at])])
+            chunk += 1
+
+        with working("lm_scoring"):
+            for batch in batches:
+                rows, ids, out = (batch.column(i).to_pylist() for i in range(3))
+                chunks, words = [], []
+                for text, held_back in zip(batch.column(3), out, strict=True):
+                    words.append(b" ".join(words_of(text.as_py())))
+                    chunks.append(chunk)
+                    learn = held_back is False
+                    codes[learn].append(words[-1])
+                    room[learn] += len(words[-1]) + 1
+                    length += len(words[-1]) + 1
+                    if room[learn] >= CHUNK_BYTES:
+                        flush(learn)
+                    if length >= CHUNK_TEXT:
+                        yield from close()
+                if words:
+                    yield made(len(words), chunk=chunks, row=rows, doc_id=ids, held_out=out, text=[compress(w, 1) for w in words])
+            if length:
+                yield from close()
+
+    rows = docs.select(
+        F.monotonically_increasing_id().alias("row"),
+        column(docs, id_col, "long").alias("doc_id"),
+        held_out.alias("held_out"),
+        column(docs, text_col, "string").alias("text"),
+    )
+    both = stash(rows.mapInArrow(cut, CHUNKS), "chunks")
+    texts = both.where(F.col("place").isNull()).select("chunk", "row", "doc_id", "held_out", "text")
+    return texts, both.where(F.col("place").isNotNull()).select("chunk", "place", "grams", "counts")
+
+
+def shorter(keys: np.ndarray) -> np.ndarray:
+    """The grams without their earliest context byte."""
+    return ((keys >> np.uint64(16)) << BYTE) | (keys & np.uint64(255))
 
 
 class Tree:
@@ -184,19 +236,22 @@ class Tree:
 
     ``rows[d]``: grams of depth d (context of d bytes, next byte) whose context's parent
     occurs ``threshold`` times and whose context training texts have; ``up[d]``: the row
-    of depth d - 1 each belongs to; ``final[d]``: grams that are looked up at depth d.
+    of depth d - 1 each belongs to; ``final[d]``: grams that are looked up at depth d;
+    ``grams[d]``: all grams of depth d.  Contexts of fewer than ``least`` bytes have
+    contexts below them however often they occur here.
     """
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, depth: int, threshold: int):
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, depth: int, threshold: int, least: int = 0):
         self.depth = depth
         tables = {depth: (keys, counts)}
         for d in range(depth - 1, 0, -1):
             k, c = tables[d + 1]
-            tables[d] = summed(((k >> np.uint64(16)) << BYTE) | (k & np.uint64(255)), c)
+            tables[d] = summed(shorter(k), c)
+        self.grams = {d: t[0] for d, t in tables.items()}
         self.rows, self.counts, self.up, self.final, self.leaf = {}, {}, {}, {}, {}
         for d in range(1, depth + 1):
             k, c = tables[d]
-            parent = ((k >> np.uint64(16)) << BYTE) | (k & np.uint64(255))
+            parent = shorter(k)
             if d == 1:
                 inside, at = np.ones(len(k), bool), (k & np.uint64(255)).astype(np.int64)
             else:
@@ -211,7 +266,7 @@ class Tree:
                 self.final[d - 1][at[~seen]] = True
             k, c, at, total = k[seen], c[seen], at[seen], total[seen]
             self.rows[d], self.counts[d], self.up[d] = k, c, at
-            self.leaf[d] = (total < threshold) if d < depth else np.ones(len(k), bool)
+            self.leaf[d] = (total < threshold) & (d >= least) if d < depth else np.ones(len(k), bool)
             self.final[d] = self.leaf[d].copy()
 
     def entries(self) -> int:
@@ -227,13 +282,16 @@ class Tree:
         counts = np.bincount(2 * number + which, weights=self.counts[d], minlength=2 * len(first)).reshape(-1, 2)
         return number, counts, first, which
 
-    def weigh(self, bit: int):
-        """(node numbers, counts, first rows, bits, log P_kt, log P_w) by depth."""
+    def weigh(self, bit: int, given: np.ndarray | None = None):
+        """(node numbers, counts, first rows, bits, log P_kt, log P_w) by depth.
+
+        ``given``: log P_w of the deepest rows' nodes, by bit, where there are trees below.
+        """
         out, below = {}, None
         for d in range(self.depth, 0, -1):
             number, counts, first, which = self.nodes(d, bit)
             kt = log_kt(counts)
-            weighted = kt.copy()
+            weighted = kt.copy() if given is None or d < self.depth else given[first, bit]
             if d < self.depth and len(first):
                 child_first, child_weighted = below
                 parents = number[self.up[d + 1][child_first]]
@@ -295,6 +353,11 @@ class Roots:
         weight = self.weight[bit][node]
         return own, weight * own, 1 - weight
 
+    def state(self) -> tuple[np.ndarray, np.ndarray]:
+        """Mix and share left of each byte, by bit."""
+        by_bit = [self.mix(np.arange(256), bit)[1:] for bit in range(8)]
+        return np.stack([m for m, _ in by_bit], axis=1), np.stack([s for _, s in by_bit], axis=1)
+
     def alone(self) -> np.ndarray:
         """log10 probability of each byte by the roots' estimates alone."""
         byte = np.arange(256)
@@ -303,22 +366,43 @@ class Roots:
 
 def probabilities(tree: Tree, roots: Roots) -> dict[int, np.ndarray]:
     """log10 probability of each gram, by depth, for the path that ends there."""
-    out = {d: np.zeros(len(tree.rows[d])) for d in tree.rows}
+    return follow(tree, *roots.state())[0]
+
+
+def follow(tree: Tree, mixed_by: np.ndarray, left_by: np.ndarray, start: int = 1, given: np.ndarray | None = None):
+    """Probabilities as above from depth ``start`` on, and the state of the deepest rows.
+
+    A state is, by row and bit, the mix of the estimates so far and the share that is
+    left for deeper contexts; ``mixed_by`` and ``left_by`` are those of depth start - 1.
+    """
+    out = {d: np.zeros(len(tree.rows[d])) for d in range(start, tree.depth + 1)}
+    last = np.empty((2, len(tree.rows[tree.depth]), 8))
     for bit in range(8):
-        levels = tree.weigh(bit)
-        mixed, left = None, None
-        for d in range(1, tree.depth + 1):
+        levels = tree.weigh(bit, given)
+        mixed, left = mixed_by[:, bit], left_by[:, bit]
+        for d in range(start, tree.depth + 1):
             number, counts, first, which, kt, weighted = levels[d]
-            if d == 1:
-                _, mixed_here, left_here = roots.mix((tree.rows[1] & np.uint64(255)).astype(np.int64), bit)
-            else:
-                up = tree.up[d]
-                mixed_here, left_here = mixed[up], left[up]
+            mixed_here, left_here = mixed[tree.up[d]], left[tree.up[d]]
             own = estimate(counts[number], which)
             out[d] += np.log10(mixed_here + left_here * own)
             weight = np.exp(np.minimum(0.0, HALF + kt - weighted))[number]
             mixed, left = mixed_here + left_here * weight * own, left_here * (1 - weight)
-    return out
+        last[0, :, bit], last[1, :, bit] = mixed, left
+    return out, last
+
+
+def of_all_grams(tree: Tree, found: dict[int, np.ndarray], above: np.ndarray, start: int) -> np.ndarray:
+    """log10 probability of each of the deepest grams, by the deepest context that training texts have.
+
+    ``above``: that of all grams of depth start - 1 (at depth 0, of the 256 bytes).
+    """
+    for d in range(start, tree.depth + 1):
+        grams = tree.grams[d]
+        parents = shorter(grams)
+        here = above[parents.astype(np.int64) if d == 1 else np.searchsorted(tree.grams[d - 1], parents)]
+        here[np.searchsorted(grams, tree.rows[d])] = found[d]
+        above = here
+    return above
 
 
 class Model:
@@ -350,68 +434,105 @@ class Model:
         return np.add.reduceat(each, np.concatenate([[0], np.cumsum(sizes)[:-1]]))
 
 
-def train(docs: DataFrame, trained_on: Column, text_col: str = "text", depth: int = DEPTH, max_entries: int = MAX_ENTRIES) -> Model:
-    """The model of the rows of ``docs`` for which ``trained_on`` holds."""
-    grams = count_grams(docs, trained_on, text_col, depth)
-
-    def sizes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(POWERS, np.int64)
-        for batch in batches:
-            for g, c in zip(batch["grams"], batch["counts"], strict=True):
-                keys, counts = np.frombuffer(g, "<u8"), np.frombuffer(c, "<i8")
-                for power in range(POWERS):
-                    total[power] += (n := len(pruned(keys, counts, depth, 1 << power)[0]))
-                    if counts.sum() < 1 << power:  # no context is split any more
-                        total[power + 1 :] += n
-                        break
-        yield pd.DataFrame({"sizes": [total.tobytes()]})
-
-    parts = [np.frombuffer(r["sizes"], np.int64) for r in grams.mapInPandas(sizes, "sizes binary").collect()]
-    total = np.sum(parts, axis=0) if parts else np.zeros(POWERS, np.int64)
-    fits = np.flatnonzero(total <= max_entries)
-    threshold = 1 << int(fits[0] if len(fits) else POWERS - 1)
-
-    def prune(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for g, c in zip(batch["grams"], batch["counts"], strict=True):
-                keys, counts = pruned(np.frombuffer(g, "<u8"), np.frombuffer(c, "<i8"), depth, threshold)
-                for row in _split(keys, counts, (keys >> np.uint64(8 * depth)).astype(np.int64)):
-                    yield pd.DataFrame(row)
-
-    small = stash(grams.mapInPandas(prune, GRAMS), "pruned-grams")
+def _merged(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    keys = np.concatenate([_values(x, "<u8") for x in rows["grams"]])
+    return summed(keys, np.concatenate([_values(x, "<i8") for x in rows["counts"]]))
+
+
+UPPER = "latest int, grams binary, counts binary, weights binary"
+STATES = "place int, grams binary, found binary, mixed binary, share binary"
+
+
+def score_chunks(texts: DataFrame, grams: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """row, score: log10 probability of each text of ``cut_in_chunks``, end sign included."""
+    buckets, cut = buckets_of(texts), min(LATEST, depth)
+    latest = np.uint64(8 * (depth + 1 - cut))
+
+    def weigh(key, rows: pd.DataFrame) -> pd.DataFrame:
+        tree = Tree(*_merged(rows), depth, SPLIT, cut)
+        # rows of contexts that training texts lack keep weight 0, count 0: they change nothing above
+        keys = tree.grams[cut]
+        counts, weights = np.zeros(len(keys), np.int64), np.zeros((len(keys), 8))
+        at = np.searchsorted(keys, tree.rows[cut])
+        counts[at] = tree.counts[cut]
+        for bit in range(8):
+            number, _, _, _, _, weighted = tree.weigh(bit)[cut]
+            weights[at, bit] = weighted[number]
+        out = [(b, keys[i].tobytes(), counts[i].tobytes(), weights[i].tobytes()) for b, i in _split((keys >> np.uint64(8 * cut)).astype(np.int64))]
+        return pd.DataFrame(out, columns=["latest", "grams", "counts", "weights"])
+
+    upper = stash(grams.groupBy("place").applyInPandas(weigh, UPPER), "upper-grams").groupBy("latest")
+
+    def top(rows: pd.DataFrame) -> tuple[Tree, np.ndarray]:
+        """The tree of contexts up to ``cut`` bytes, and the weights of its deepest rows."""
+        keys, counts = (np.concatenate([np.frombuffer(x, k) for x in rows[c]]) for c, k in (("grams", "<u8"), ("counts", "<i8")))
+        weights = np.concatenate([np.frombuffer(x).reshape(-1, 8) for x in rows["weights"]])
+        order = np.argsort(keys)
+        tree = Tree(keys[order], counts[order], cut, 1)
+        return tree, weights[order][np.searchsorted(keys[order], tree.rows[cut])]
 
     def root_parts(key, rows: pd.DataFrame) -> pd.DataFrame:
-        tree = Tree(*_unpack(rows), depth, threshold)
+        tree, given = top(rows)
         byte = (tree.rows[1] & np.uint64(255)).astype(np.int64)
         by_byte = np.bincount(byte, weights=tree.counts[1], minlength=256).astype(np.int64)
         children = np.zeros(255)
         for bit in range(8):
-            _, _, first, _, _, weighted = tree.weigh(bit)[1]
+            _, _, first, _, _, weighted = tree.weigh(bit, given)[1]
             np.add.at(children, (1 << bit) - 1 + (byte[first] >> (8 - bit)), weighted)
         return pd.DataFrame({"by_byte": [by_byte.tobytes()], "children": [children.tobytes()]})
 
-    by_latest = small.groupBy("place")
-    collected = by_latest.applyInPandas(root_parts, "by_byte binary, children binary").collect()
+    collected = upper.applyInPandas(root_parts, "by_byte binary, children binary").collect()
     by_byte = sum((np.frombuffer(r["by_byte"], np.int64) for r in collected), np.zeros(256, np.int64))
     children = sum((np.frombuffer(r["children"]) for r in collected), np.zeros(255))
     roots = Roots(by_byte, [children[(1 << bit) - 1 : (2 << bit) - 1] for bit in range(8)])
 
-    def tables(key, rows: pd.DataFrame) -> pd.DataFrame:
-        tree = Tree(*_unpack(rows), depth, threshold)
-        p = probabilities(tree, roots)
-        out = [(d, tree.rows[d][f].tobytes(), p[d][f].astype(np.float32).tobytes()) for d, f in tree.final.items() if f.any()]
-        return pd.DataFrame(out, columns=["depth", "grams", "values"])
-
-    # written first, so that the driver takes the tables in one part at a time
-    found = stash(by_latest.applyInPandas(tables, "depth int, grams binary, values binary"), "gram-tables")
-    parts = {d: ([np.empty(0, np.uint64)], [np.empty(0, np.float32)]) for d in range(1, depth + 1)}
-    for row in found.toLocalIterator():
-        parts[row["depth"]][0].append(np.frombuffer(row["grams"], "<u8"))
-        parts[row["depth"]][1].append(np.frombuffer(row["values"], np.float32))
-    # bytes at depth 0, for contexts whose latest byte no training text has
-    model = {0: (np.arange(256, dtype=np.uint64), roots.alone().astype(np.float32))}
-    for d in range(1, depth + 1):
-        keys, values = (np.concatenate(p) for p in parts.pop(d))
-        order = np.argsort(keys)
-        model[d] = (keys[order], values[order])
-    return Model(depth, model)
+    def states(key, rows: pd.DataFrame) -> pd.DataFrame:
+        tree, given = top(rows)
+        p, last = follow(tree, *roots.state(), given=given)
+        keys, found = tree.grams[cut], of_all_grams(tree, p, roots.alone(), 1)
+        state = np.zeros((2, len(keys), 8))
+        state[:, np.searchsorted(keys, tree.rows[cut])] = last
+        out = [(b, keys[i].tobytes(), found[i].tobytes(), state[0, i].tobytes(), state[1, i].tobytes()) for b, i in _split(place_of(keys >> BYTE, buckets))]
+        return pd.DataFrame(out, columns=["place", "grams", "found", "mixed", "share"])
+
+    def answer(asked: pd.DataFrame, upper_states: pd.DataFrame) -> pd.DataFrame:
+        if not len(asked):
+            return pd.DataFrame({"chunk": [], "place": [], "values": []})
+        keys, counts = _merged(asked)
+        tree = Tree(keys, counts, depth, SPLIT, cut)
+        above, found = (np.concatenate([np.frombuffer(x, k) for x in upper_states[c]]) for c, k in (("grams", "<u8"), ("found", "<f8")))
+        order = np.argsort(above)
+        found = found[order]
+        at = order[np.searchsorted(above[order], tree.rows[cut])]
+        mixed, left = (np.concatenate([np.frombuffer(x).reshape(-1, 8) for x in upper_states[c]])[at] for c in ("mixed", "share"))
+        p = follow(tree, mixed, left, cut + 1)[0]
+        values = of_all_grams(tree, p, found, cut + 1).astype("<f4")
+        out = []
+        for chunk, place, one in zip(asked["chunk"], asked["place"], asked["grams"], strict=True):
+            out.append((chunk, place, _planes(values[np.searchsorted(keys, _values(one, "<u8"))])))
+        return pd.DataFrame(out, columns=["chunk", "place", "values"])
+
+    below = upper.applyInPandas(states, STATES)
+    answers = grams.groupBy("place").cogroup(below.groupBy("place")).applyInPandas(answer, "chunk long, place int, values binary")
+
+    def add_up(mine: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        with working("lm_scoring"):
+            parts, waiting, size = [], [], 0
+            for text in mine["text"]:
+                waiting.append(decompress(text))
+                size += len(waiting[-1]) + 1
+                if size >= CHUNK_BYTES:
+                    parts.append(waiting)
+                    waiting, size = [], 0
+            parts.append(waiting)
+            pieces = (distinct(grams_of(p, depth)[0])[0] for p in parts if p)
+            keys = reduce(lambda a, b: distinct(np.concatenate([a, b]))[0], pieces)
+            order = np.argsort(place_of(keys >> latest, buckets), kind="stable")
+            values = np.empty(len(keys), np.float32)
+            values[order] = np.concatenate([_values(x, "<f4") for x in answers.sort_values("place")["values"]])
+            none = (np.empty(0, np.uint64), np.empty(0, np.float32))
+            model = Model(depth, dict.fromkeys(range(depth), none) | {depth: (keys, values)})
+            return pd.DataFrame({"row": mine["row"], "score": np.concatenate([model.score(p) for p in parts if p])})
+
+    mine = texts.select("chunk", "row", "text").groupBy("chunk")
+    return mine.cogroup(answers.groupBy("chunk")).applyInPandas(add_up, "row long, score double")
