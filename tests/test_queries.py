@@ -47,3 +47,10 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(catalog.ORACLES) <= set(catalog.QUERIES)
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", ["sweep_stacked_whole", "save_and_reload_whole"])
+def test_every_pixel_is_there(spark, con, name):
+    pixels = con.execute(catalog.ORACLES["save_and_reload_whole"].replace("SELECT angle, det_y, det_x, v FROM vox", "SELECT count(*) FROM vox")).fetchone()[0]
+    got = catalog.QUERIES[name](spark, SMALL)
+    assert got.select("angle", "det_y", "det_x").distinct().count() == pixels

@@ -428,6 +428,14 @@ def sweep_stacked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(sweep.stacked(runs).select("angle", "sweep_idx", "v"), "v", digits=6)
 
 
+@query(" SELECT angle, det_y, det_x, 0 AS sweep_idx, round(v * 0.5, 6) AS v FROM vox UNION ALL SELECT angle, det_y, det_x, 1, round(v * 3, 6) FROM vox")
+def sweep_stacked_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As sweep_stacked, over every pixel."""
+    pixels = projections(spark, sf_dir)[1]
+    runs = [pixels.withColumn("v", F.col("v") * value) for value in (0.5, 3.0)]
+    return rounded(sweep.stacked(runs).select("angle", "det_y", "det_x", "sweep_idx", "v"), "v", digits=6)
+
+
 @query(" SELECT i::INT AS place, round(1e0 + i * 5e-1, 6) AS value FROM range(5) t(i)")
 def linspace_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     values = spark.range(1).select(F.posexplode(linspace(1.0, 3.0, 5)).alias("place", "value"))
@@ -436,13 +444,21 @@ def linspace_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(" SELECT angle, det_y, det_x, v FROM vox WHERE angle < 12")
 def save_and_reload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every projection is written and can be read back; the rows are those that the SQL has."""
+    return save_and_reload_whole(spark, sf_dir).where("angle < 12")
+
+
+@query(" SELECT angle, det_y, det_x, v FROM vox")
+def save_and_reload_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An intermediate result written with its angles and extents, and read back."""
     from tomoflow.sources.scan import open_scan
     from tomoflow.sources.sinks import load_scan, save_scan
 
     table = cube(spark, sf_dir)
-    preview = parse_preview({"angles": {"start": 0, "stop": 12}}, table.shape)
-    scan = open_scan(table.lines(preview), table.shape, preview, UserAngles(0.0, 180.0, 12))
+    lines = table.lines().where(F.col("image_key") == PROJECTION)
+    n = lines.agg(F.max("angle")).first()[0] + 1
+    preview = parse_preview({"angles": {"start": 0, "stop": n}}, table.shape)
+    scan = open_scan(table.lines(preview), table.shape, preview, UserAngles(0.0, 180.0, n))
     path = scratch(spark, "saved")
     save_scan(scan, path)
     return voxels(load_scan(spark, path, scan.darks, scan.flats).lines)
