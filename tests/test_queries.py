@@ -54,3 +54,9 @@ def test_every_pixel_is_there(spark, con, name):
     pixels = con.execute(catalog.ORACLES["save_and_reload_whole"].replace("SELECT angle, det_y, det_x, v FROM vox", "SELECT count(*) FROM vox")).fetchone()[0]
     got = catalog.QUERIES[name](spark, SMALL)
     assert got.select("angle", "det_y", "det_x").distinct().count() == pixels
+
+
+@pytest.mark.parametrize("name", ["fbp_reconstruction", "fista_reconstruction"])
+def test_reconstructions_have_the_detector_width(spark, name):
+    rows = catalog.QUERIES[name](spark, SMALL)
+    assert {r.n for r in rows.select("n").distinct().collect()} == {64}

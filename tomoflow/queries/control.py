@@ -112,7 +112,7 @@ by_frame("remove_stripe_fw", frames.remove_stripe_fw, "sinogram", level=3)
 by_frame("remove_all_stripe", frames.remove_all_stripe, "sinogram")
 by_frame("stripes_mask", frames.stripes_mask, "sinogram")
 by_frame("distortion_correction", frames.undistort, "projection", xcenter=32.0, ycenter=5.0, list_fact=[1.0, 1e-4])
-by_frame("total_variation", frames.denoise_tv, "projection", regularisation=0.1, iterations=20)
+by_frame("total_variation", frames.denoise_tv, "projection", regularisation=0.1)
 
 
 def applied(name: str, method: str, **parameters) -> None:
@@ -125,8 +125,8 @@ def applied(name: str, method: str, **parameters) -> None:
     QUERIES[name] = run
 
 
-applied("fbp_reconstruction", "FBP", center=31.5, recon_size=32)
-applied("fista_reconstruction", "FISTA3d_tomobar", iterations=3, recon_size=16)
+applied("fbp_reconstruction", "FBP", center=31.5)
+applied("fista_reconstruction", "FISTA3d_tomobar")
 applied("median_filter_3d", "median_filter3d", kernel_size=3)
 
 
