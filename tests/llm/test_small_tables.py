@@ -114,6 +114,18 @@ def test_jaccard_join_against_all_pairs(spark, empty):
     assert jaccard_join.keep_one_of_class(docs).columns == docs.columns
 
 
+def test_one_row_of_each_class_stays(spark):
+    rows = [(None, "only this text is like no other one here", "en", "a"), (None, EN * 3, "en", "a"), (None, EN * 3 + "tonight", "en", "a")]
+    rows += [(7, DE * 2, "de", "a"), (7, DE * 2, "de", "a"), (7, DE * 2 + "heute", "de", "a"), (7, EN * 3, "en", "a"), (7, (DE * 2).upper(), "de", "a")]
+    rows += [(9, " ", "en", "a"), (9, " ", "en", "a"), (9, None, "en", "a")]
+    got = [(r.doc_id, r.text) for r in jaccard_join.keep_one_of_class(table(spark, rows).repartition(3)).collect()]
+    assert sum((t or "").startswith("only") for _, t in got) == 1
+    assert sum((t or "").startswith(EN) for _, t in got) == 1
+    assert sum((t or "").startswith(DE) for _, t in got) == 1
+    assert sum(t == (DE * 2).upper() for _, t in got) == 1
+    assert sorted((i, t or "") for i, t in got if not (t or "").strip()) == [(9, ""), (9, " "), (9, " ")]
+
+
 def test_shingle_sets_match_plain_ones():
     texts = ["", "a", "a b c d", "a b c d e", "a b c d e f a b c d e", "ä\x0bö\x1cü x\ty z ", LONG]
     sets = jaccard_join.shingle_sets(texts)

@@ -44,7 +44,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tomoflow.llm.common import column, keeps, small_batches, stash, working
@@ -158,23 +158,28 @@ def fingerprint(shingles: np.ndarray) -> tuple[int, int]:
     return int(a.astype(np.int64)), int(b.astype(np.int64))
 
 
-def signatures(docs: DataFrame, words: int, runs: int, depth: int, similarity: float) -> DataFrame:
-    """doc_id, row, fingerprint, size and paths of each document, written once."""
-    kinds = [("doc_id", pa.int64()), ("row", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("size", pa.int32()), ("paths", pa.list_(pa.int64()))]
+def digest(text: Column) -> Column:
+    """Of the text as it is: shingles tell upper from lower case."""
+    return F.unhex(F.sha2(text.cast("binary"), 256))
+
+
+def signatures(docs: DataFrame, words: int, runs: int, depth: int, similarity: float, with_digest: bool = False) -> DataFrame:
+    """doc_id, row, fingerprint, size, paths and, if asked for, digest of each document, written once."""
+    kinds = [("doc_id", pa.int64()), ("row", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("size", pa.int32()), ("paths", pa.list_(pa.int64())), ("sha", pa.binary())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with working("jaccard_join"):
             for batch in batches:
-                ids, rows = (batch.column(i).to_pylist() for i in range(2))
+                ids, rows, shas = (batch.column(i).to_pylist() for i in (0, 1, 3))
                 for part, texts in arrow_chunks(batch.column(2), CHUNK_BYTES):
                     sets = shingle_sets(texts, words)
                     prints = [fingerprint(s) for s in sets]
                     paths = [chosen_paths(s, runs, depth, similarity).astype(np.int64) if len(s) else [] for s in sets]
-                    columns = [ids[part], rows[part], [p[0] for p in prints], [p[1] for p in prints], [len(s) for s in sets], paths]
+                    columns = [ids[part], rows[part], [p[0] for p in prints], [p[1] for p in prints], [len(s) for s in sets], paths, shas[part]]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, kinds, strict=True)], [n for n, _ in kinds])
 
-    rows = docs.withColumn("row", F.monotonically_increasing_id()).select("doc_id", "row", "text")
-    return stash(rows.mapInArrow(run, "doc_id long, row long, f1 long, f2 long, size int, paths array<long>"), "signatures")
+    rows = docs.withColumn("row", F.monotonically_increasing_id()).select("doc_id", "row", "text", (digest(F.col("text")) if with_digest else F.lit(None)).cast("binary").alias("sha"))
+    return stash(rows.mapInArrow(run, "doc_id long, row long, f1 long, f2 long, size int, paths array<long>, sha binary"), "signatures")
 
 
 def node_sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
@@ -396,11 +401,12 @@ def jaccard_classes(
     depth: int = DEPTH,
     block_sets: int = BLOCK_SETS,
     hot_rows: int | None = None,
+    with_digest: bool = False,
 ) -> DataFrame:
-    """One row per document: doc_id, class_id, n_links, n_shingles, first_of_class."""
+    """One row per document: doc_id, class_id, n_links, n_shingles, first_of_class; sha of the text if asked for."""
     small_batches(docs.sparkSession)
     docs = docs.select(column(docs, id_col, "long").alias("doc_id"), F.coalesce(column(docs, text_col, "string"), F.lit("")).alias("text"))
-    sigs = signatures(docs, words, runs_needed(recall, depth), depth, similarity)
+    sigs = signatures(docs, words, runs_needed(recall, depth), depth, similarity, with_digest)
     total = sigs.count()
     # nodes: documents with equal sets; the first one, by id, stands for them
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
@@ -457,7 +463,7 @@ def jaccard_classes(
     hot_rows = hot_rows or max(1000, total // 100_000)
     hot = known.where(F.col("copies") > hot_rows).drop("copies").toDF("h1", "h2", "h_class", "h_head", "h_links")
     cold = known.where(F.col("copies") <= hot_rows).drop("copies").toDF("c1", "c2", "c_class", "c_head", "c_links")
-    rows = sigs.select("doc_id", "row", "f1", "f2", "size")
+    rows = sigs.select("doc_id", "row", "f1", "f2", "size", "sha")
     rows = rows.join(F.broadcast(hot), (F.col("f1") == F.col("h1")) & (F.col("f2") == F.col("h2")) & (F.col("size") > 0), "left")
     alone = F.col("h1").isNotNull() | (F.col("size") == 0)
     rows = rows.withColumn("k1", F.when(alone, F.col("row")).otherwise(F.col("f1"))).withColumn("k2", F.when(alone, F.lit(None)).otherwise(F.col("f2")))
@@ -469,15 +475,29 @@ def jaccard_classes(
         F.coalesce("h_links", "c_links", F.lit(0).cast("long")).alias("n_links"),
         F.col("size").alias("n_shingles"),
         (own.isNull() | (own == F.col("row"))).alias("first_of_class"),
+        *(["sha"] if with_digest else []),
     )
 
 
 def keep_one_of_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that stand for their class, with all their columns.
 
-    A document stays if any row of its id stays.
+    Rows are told by id and text, so null or repeated ids let no near copy through; of rows
+    that repeat both, one stays.  Texts without words are classes of their own and all stay.
     """
-    classes = jaccard_classes(docs, id_col, text_col, **options)
-    kept = classes.where("first_of_class").select(F.col("doc_id").alias("kept_id")).distinct()
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), column(docs, id_col, "long").alias("doc_key"))
-    return keyed.join(kept, F.col("doc_key").eqNullSafe(F.col("kept_id")), "left_semi").select("doc.*")
+    classes = jaccard_classes(docs, id_col, text_col, **options, with_digest=True)
+    kept = classes.groupBy(F.col("doc_id").alias("k_id"), F.col("sha").alias("k_sha")).agg(
+        F.max("first_of_class").alias("stays"), (F.max("n_shingles") > 0).alias("worded"), F.count(F.lit(1)).alias("n")
+    )
+    kept = stash(kept.where("stays"), "kept")
+    keyed = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"),
+        digest(F.coalesce(column(docs, text_col, "string"), F.lit(""))).alias("doc_sha"),
+        column(docs, id_col, "long").alias("doc_key"),
+    )
+    same = F.col("doc_key").eqNullSafe(F.col("k_id")) & (F.col("doc_sha") == F.col("k_sha"))
+    repeated = F.col("worded") & (F.col("n") > 1)
+    if not kept.where(repeated).limit(1).count():
+        return keyed.join(kept, same, "left_semi").select("doc.*")
+    once = keyed.join(kept.where(repeated), same, "left_semi").dropDuplicates(["doc_key", "doc_sha"])
+    return keyed.join(kept.where(~repeated), same, "left_semi").union(once).select("doc.*")
