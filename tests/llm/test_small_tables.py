@@ -137,24 +137,41 @@ def vectors(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int, score double, dim int")
 
 
-def test_top_k_against_brute_force(spark):
-    rng = np.random.default_rng(3)
-    data = [(i, [float(x) for x in rng.normal(size=9)]) for i in range(150)]
-    data += [(i, [0.5] * 9) for i in range(150, 210)]
-    bad = [(300, None), (400, [float("nan")] * 9), (500, [None] * 9), (600, [float("inf")] * 9), (None, [1.0] * 9), (700, [1.0, 2.0]), (701, [1.0, 2.0]), (800, []), (801, [])]
-    rows = [(i, v, 1, 1.0, 2) for i, v in data + bad] + [(0, data[0][1], 1, 1.0, 2)]
-    got = top_k.top_k(vectors(spark, rows), F.col("vec_id") % 10 == 0, k=5, block_rows=40).collect()
-    fit = dict(data) | {700: [1.0, 2.0], 701: [1.0, 2.0], 800: [], 801: []}
-    whole = {i: [math.floor(1024 * float(np.float32(x))) for x in v] for i, v in fit.items()}
+def brute_top_k(rows, every, k):
+    """Every row's vector is one candidate, repeated ids included; whole numbers, cut to the range of a long."""
+    fit = [(i, [max(-(2**63), min(2**63 - 1, math.floor(1024 * float(np.float32(x))))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     want = []
-    for q, v in whole.items():
-        if q % 10 == 0:
-            scores = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in whole.items() if i != q and len(w) == len(v))[:5]
+    for a, (q, v) in enumerate(fit):
+        if q % every == 0:
+            scores = sorted((-max(-(2**63), min(2**63 - 1, sum(x * y for x, y in zip(v, w)))), i) for b, (i, w) in enumerate(fit) if a != b and len(w) == len(v))[:k]
             want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores)]
-    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == sorted(want)
-    assert top_k.top_k(vectors(spark, []), F.col("vec_id") % 10 == 0).count() == 0
-    big = [(0, [1e17, 1.0], 1, 1.0, 1), (1, [-1e17, 3.0], 1, 1.0, 1)]
-    assert [r.score for r in top_k.top_k(vectors(spark, big), F.col("vec_id") == 0).collect()] == [-(2**63)]
+    return sorted(want)
+
+
+def found_top_k(spark, rows, every, k, **options):
+    got = top_k.top_k(vectors(spark, [(i, v, 1, 1.0, 2) for i, v in rows]), F.col("vec_id") % every == 0, k=k, **options).collect()
+    return sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got)
+
+
+def test_top_k_against_brute_force(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.normal(size=9)]) for i in range(150)]
+    rows += [(i, [0.5] * 9) for i in range(150, 210)]
+    rows += [(300, None), (400, [float("nan")] * 9), (500, [None] * 9), (600, [float("inf")] * 9), (None, [1.0] * 9), (700, [1.0, 2.0]), (701, [1.0, 2.0]), (800, []), (801, [])]
+    rows += [(0, rows[0][1]), (0, [3.0] * 9), (7, [float(x) for x in rng.normal(size=9)]), (40, rows[40][1])]
+    assert found_top_k(spark, rows, 10, 5, block_rows=40) == brute_top_k(rows, 10, 5)
+    assert found_top_k(spark, [], 10, 5) == []
+    assert found_top_k(spark, [(0, [1e17, 1.0]), (1, [-1e17, 3.0])], 10, 5) == [(0, 1, 1, -(2**63))]
+
+
+@pytest.mark.parametrize("size", [1e4, 2e5, 1e9, 1e15])
+def test_top_k_is_exact_where_floats_are_not(spark, size):
+    """Scores above 2^53 and beyond a long, many of them equal or one apart at the cutoff."""
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=8) * size
+    rows = [(i, [float(x) for x in base + rng.integers(-1, 2, 8)]) for i in range(120)]
+    rows += [(200 + i, [float(x) for x in -base]) for i in range(5)] + [(300 + i, rows[i % 3][1]) for i in range(40)]
+    assert found_top_k(spark, rows, 25, 10, block_rows=32) == brute_top_k(rows, 25, 10)
 
 
 def test_url_filter(spark):
