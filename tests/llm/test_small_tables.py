@@ -74,6 +74,8 @@ def test_exact_dedup(docs, empty):
     assert exact_dedup.exact_dedup(empty).count() == 0
     kept = exact_dedup.keep_first_copies(docs)
     assert kept.columns == docs.columns and kept.count() == len(groups)
+    first = {sha: min(ids, key=lambda i: (i is None, i or 0)) for sha, ids in groups.items()}
+    assert sorted(str((r.doc_id, hashlib.sha256(re.sub(r"[\x20\x09-\x0D]+", " ", r.text or "").encode()).digest())) for r in kept.collect()) == sorted(str((i, sha)) for sha, i in first.items())
 
 
 def shingles(text):
@@ -92,7 +94,7 @@ def test_jaccard_join_against_all_pairs(spark, empty):
             w[int(rng.integers(0, len(w)))] = "edit" + str(rng.integers(0, 10**6))
         rows.append((100 + i, " ".join(w), "en", "a"))
     docs = table(spark, rows).repartition(3)
-    for options in ({}, {"block_sets": 3, "hot_rows": 1}):
+    for options in ({}, {"block_sets": 3, "hot_rows": 1}, {"split_above": 6, "block_sets": 4, "block_shingles": 300, "hot_rows": 5}):
         got = sorted(((r.doc_id is None, r.doc_id or 0, r.n_links, r.class_id) for r in jaccard_join.jaccard_classes(docs, **options).collect()), key=str)
         sets = [shingles(t) for _, t, _, _ in rows]
         links = [[j for j, b in enumerate(sets) if j != i and a and b and len(a & b) >= 0.8 * len(a | b)] for i, a in enumerate(sets)]
@@ -114,6 +116,47 @@ def test_jaccard_join_against_all_pairs(spark, empty):
     assert jaccard_join.keep_one_of_class(docs).columns == docs.columns
 
 
+def test_sets_that_share_a_passage_are_split_apart(spark, monkeypatch):
+    """A passage that all have fills buckets; they are split until few unlike sets are compared, and no link is lost."""
+    rng = np.random.default_rng(6)
+    passage = [f"p{i}" for i in range(60)]
+    rows = []
+    for i in range(300):
+        own = [f"o{i}x{k}" for k in range(int(rng.integers(30, 60)))]
+        rows.append((i, " ".join(passage + own), "en", "a"))
+        if i % 10 == 0:
+            own[3] = "edit"
+            rows.append((1000 + i, " ".join(passage + own), "en", "a"))
+    docs = table(spark, rows).repartition(3)
+    sets = {i: shingles(t) for i, t, _, _ in rows}
+    want = {a: {b for b in sets if b != a and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])} for a in sets}
+    compared = {}
+    plain = jaccard_join._verified
+
+    for above in (6000, 20):
+        def counted(members, similarity, above=above):
+            compared[above] = members.groupBy("bucket", "low", "high").count().agg(F.sum(F.col("count") * F.col("count"))).first()[0]
+            return plain(members, similarity)
+
+        monkeypatch.setattr(jaccard_join, "_verified", counted)
+        got = {r.doc_id: r for r in jaccard_join.jaccard_classes(docs, split_above=above).collect()}
+        assert len(got) == len(rows)
+        found = sum(r.n_links for r in got.values())
+        assert all(r.n_links <= len(want[i]) for i, r in got.items()) and found >= 0.9 * sum(map(len, want.values()))
+        assert all(got[1000 + i].class_id == i for i in range(0, 300, 10) if got[i].n_links)
+    assert compared[20] < compared[6000] / 4, compared
+
+
+def test_ids_beyond_floats_pass_the_filter(spark):
+    from tomoflow.llm.common import split_by_id
+
+    big = 2**62 + 1
+    rows = spark.createDataFrame([(big + i,) for i in range(50)] + [(None,)], "id long").repartition(2)
+    maybe, clear = split_by_id(rows, F.col("id"), rows.where(f"id >= {big + 40} or id is null"), "id")
+    assert {r.id for r in maybe.collect()} >= {big + i for i in range(40, 50)} | {None}
+    assert maybe.count() + clear.count() == 51 and clear.count() > 30
+
+
 def test_one_row_of_each_class_stays(spark):
     rows = [(None, "only this text is like no other one here", "en", "a"), (None, EN * 3, "en", "a"), (None, EN * 3 + "tonight", "en", "a")]
     rows += [(7, DE * 2, "de", "a"), (7, DE * 2, "de", "a"), (7, DE * 2 + "heute", "de", "a"), (7, EN * 3, "en", "a"), (7, (DE * 2).upper(), "de", "a")]

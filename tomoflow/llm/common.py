@@ -5,10 +5,11 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,12 +21,17 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where the setting is absent (tests, a local session) is a folder made.
+    Where the setting is absent, a session on one machine uses its warehouse; a cluster has to name one.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="tomoflow-")
+        if current.isDefined():
+            folder = current.get()
+        elif spark.sparkContext.master.startswith("local"):
+            folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/shared"
+        else:
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
@@ -106,6 +112,82 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
         spark.conf.set(name, str(rows))
 
 
+#: Bits of an id filter for each id, and of the largest filter (32 MB).
+BITS_AN_ID = 16
+MOST_BITS = 1 << 28
+
+
+class IdFilter:
+    """Bits of a set of ids: no false negatives; full if the ids are too many, and then all pass."""
+
+    def __init__(self, bits: np.ndarray, shared=None):
+        self.size, self.shared = 8 * len(bits), shared
+        self.bits = None if shared is not None else bits
+
+    @staticmethod
+    def places(ids: np.ndarray, size: int) -> np.ndarray:
+        """Three places of each id."""
+        h = (ids.astype(np.int64).astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(32)
+        return np.stack([(h >> np.uint64(s)) & np.uint64(size - 1) for s in (0, 18, 36)]).astype(np.int64)
+
+    def may_hold(self, ids: np.ndarray) -> np.ndarray:
+        bits = self.shared.value if self.shared is not None else self.bits
+        at = self.places(ids, self.size)
+        return ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=0)
+
+
+def id_filter(rows: DataFrame, id_col: str) -> IdFilter:
+    """A filter of the ids of ``rows`` (null: -1), broadcast; it grows with them up to ``MOST_BITS`` bits."""
+    size = 1 << 16
+    n = rows.count()
+    while size < min(MOST_BITS, BITS_AN_ID * n):
+        size *= 2
+
+    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = np.zeros(size // 8, np.uint8)
+        for batch in batches:
+            at = IdFilter.places(batch["id"].to_numpy(), size).ravel()
+            np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        yield pd.DataFrame({"bits": [bits.tobytes()]})
+
+    bits = np.zeros(size // 8, np.uint8)
+    for row in rows.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("id")).coalesce(8).mapInPandas(fill, "bits binary").toLocalIterator():
+        bits |= np.frombuffer(row["bits"], np.uint8)
+    return IdFilter(bits, rows.sparkSession.sparkContext.broadcast(bits))
+
+
+def split_by_id(docs: DataFrame, key: Column, listed: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame]:
+    """``docs`` in two: rows whose key may be among the ids of ``listed``, and those that certainly aren't.
+
+    Few rows have to meet ``listed`` in a join then; the texts of all others stay where they are.
+    """
+    kept = id_filter(listed, id_col)
+
+    @F.pandas_udf("boolean")
+    def may_be_listed(ids: pd.Series) -> pd.Series:
+        return pd.Series(kept.may_hold(ids.to_numpy()).astype(bool))
+
+    hit = may_be_listed(F.coalesce(key, F.lit(-1)))
+    return docs.where(hit), docs.where(~hit)
+
+
+def without_listed(docs: DataFrame, key: Column, digest: Column, listed: DataFrame) -> DataFrame:
+    """``docs`` without the rows of ``listed`` (k_id, k_sha, stays); where ``stays``, one of them is left.
+
+    Only rows whose id may be listed are given a digest and meet ``listed`` in a join.
+    """
+    maybe, clear = split_by_id(docs, key, listed, "k_id")
+    keyed = maybe.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), key.alias("doc_key"), digest.alias("doc_sha"))
+    same = F.col("doc_key").eqNullSafe(F.col("k_id")) & (F.col("doc_sha") == F.col("k_sha"))
+    left = clear.union(keyed.join(listed, same, "left_anti").select("doc.*"))
+    repeated = listed.where("stays")
+    if repeated.limit(1).count():
+        left = left.union(keyed.join(repeated, same, "left_semi").dropDuplicates(["doc_key", "doc_sha"]).select("doc.*"))
+    return left
+
+
 def column(df: DataFrame, name: str, kind: str) -> Column:
     """``df[name]`` cast to ``kind``; a typed null where the table lacks the column."""
     if name in df.columns:

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tomoflow.llm.common import SPACE, column, stash, working
+from tomoflow.llm.common import SPACE, column, stash, without_listed, working
 
 #: Packed entry of a run; ``nul`` puts null ids last.
 ENTRY = np.dtype(
@@ -188,17 +188,8 @@ def exact_dedup(
 
 
 def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    kept = exact_dedup(docs, id_col, text_col).where("kept")
-    kept = kept.select(F.col("doc_id").alias("k_id"), F.col("sha").alias("k_sha"))
-    keyed = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"),
-        digest(column(docs, text_col, "string")).alias("doc_sha"),
-        column(docs, id_col, "long").alias("doc_key"),
-    )
-    same = F.col("doc_key").eqNullSafe(F.col("k_id")) & (F.col("doc_sha") == F.col("k_sha"))
-    left = keyed.join(kept, same, "left_semi")
-    repeats = docs.groupBy(column(docs, id_col, "long").alias("k")).count().where("count > 1").limit(1).count()
-    if repeats:  # rows that repeat an id and its text: one of them
-        left = left.dropDuplicates(["doc_key", "doc_sha"])
-    return left.select("doc.*")
+    """The rows of ``docs`` that stay, with all their columns: those that go are looked up, not those that stay."""
+    rows = exact_dedup(docs, id_col, text_col).where("group_size > 1")
+    keys = rows.groupBy(F.col("doc_id").alias("k_id"), F.col("sha").alias("k_sha")).agg(F.bool_or("kept").alias("stays"), F.count(F.lit(1)).alias("n"))
+    found = stash(keys.where(~F.col("stays") | (F.col("n") > 1)).select("k_id", "k_sha", "stays"), "not-kept")
+    return without_listed(docs, column(docs, id_col, "long"), digest(column(docs, text_col, "string")), found)

@@ -4,15 +4,21 @@ A document is the set of its shingles of ``words`` (5) consecutive words; a text
 fewer words is one shingle.  Two documents are linked if the Jaccard similarity of
 their sets is ``similarity`` (0.8) or more.
 
-A run starts from a path of its own and splits the sets ``depth`` times: a set follows
+A run starts from a path of its own and splits the sets level by level: a set follows
 from path p to path (p, t) for each of its shingles t whose hash with p falls below
 1 / (similarity * size of the set).  Sets alike share their choices, so linked pairs
 follow a common path as a branching process with a mean of one or more, which lives to
-the last level with a chance q; sets unlike part within a few levels.  Sets that end
+level d with a chance q(d); sets unlike part within a few levels.  Sets that end
 on one path are a bucket and are compared, all against all.  Runs are repeated until
-1 - (1 - q)^runs reaches ``recall`` (0.999) for a pair just at the threshold; pairs that
+1 - (1 - q(d))^runs reaches ``recall`` (0.999) for a pair just at the threshold; pairs that
 are more alike are found more surely, and a class holds together by any of its links.
 
+All sets are split to the first of ``depths`` (3, 6, 12).  Buckets of more than
+``split_above`` sets aren't compared: their sets are split to the next depth, with as many
+runs as that depth needs, until buckets are small.  Sets that only share a passage part on
+the way, however many have it.  Only what is still large at the last depth, which is sets
+that are nearly all alike, is compared as it is, block by block.
+
 A set knows its paths without looking at any other, so all levels of all runs are
 computed where the text is read.  What is shuffled is path and set number; only
 buckets of two or more sets go on, of buckets with the same members only one, and
@@ -24,8 +30,10 @@ several buckets counts in the first of them, which each side's list of buckets t
 links are counted, with the copies on either side, but never listed.  Sets whose first
 bucket is the same are compared there and not again: a bucket of none but such sets is
 dropped, and in a large bucket the largest group of such sets is compared with the other
-sets only.  Large buckets are cut into blocks of ``block_sets`` sets, and pairs of blocks
-are compared in separate tasks.  Connectivity leaves a bucket as a spanning forest, and
+sets only.  Large buckets are cut into blocks of about ``block_sets`` sets, or fewer if they
+hold more than ``block_shingles`` shingles, and pairs of blocks are compared in separate
+tasks.  Rows of hot buckets (more than ``hot_rows``; at most rows / hot_rows of them) meet
+their bucket by broadcast, those of others by a shuffled join.  Connectivity leaves a bucket as a spanning forest, and
 classes are its connected components (large star, small star; written to the shared
 folder in every round).
 
@@ -39,7 +47,7 @@ Defined results
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -47,16 +55,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tomoflow.llm.common import column, keeps, small_batches, stash, working
+from tomoflow.llm.common import column, id_filter, keeps, small_batches, stash, without_listed, working
 from tomoflow.llm.signs import arrow_chunks
 
 WORDS = 5
 SIMILARITY = 0.8
 RECALL = 0.999
-DEPTH = 3
+DEPTHS = (3, 6, 12)
 BLOCK_SETS = 750
+BLOCK_SHINGLES = 1_000_000
+SPLIT_ABOVE = 6000
 CHUNK_BYTES = 1_000_000
-FILTER_BITS = 1 << 24
 MIX1, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 BASE = 0x100000001B3
 SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
@@ -182,52 +191,29 @@ def signatures(docs: DataFrame, words: int, runs: int, depth: int, similarity: f
     return stash(rows.mapInArrow(run, "doc_id long, row long, f1 long, f2 long, size int, paths array<long>, sha binary"), "signatures")
 
 
-def node_sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """node and shingles of the given nodes, from a second reading of the texts.
+def of_nodes(docs: DataFrame, nodes: DataFrame, words: int, made: Callable[[np.ndarray], bytes]) -> DataFrame:
+    """node and ``made`` of its shingles, for the given nodes, from a second reading of the texts.
 
-    A Bloom filter of FILTER_BITS bits (a fixed size) of (id, fingerprint) lets few
-    other documents through; the join by both removes them.
+    Only texts whose id passes a filter of the nodes' ids (of bounded size) are cut into
+    shingles; the join by id and fingerprint removes what the filter lets through.
     """
-
-    def places(doc_id: np.ndarray, f1: np.ndarray) -> np.ndarray:
-        h = mixed(doc_id.astype(np.uint64) * MIX2 ^ f1.astype(np.uint64))
-        return np.stack([(h >> np.uint64(s)) & np.uint64(FILTER_BITS - 1) for s in (0, 20, 40)]).astype(np.int64)
-
-    def collect_bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits = np.zeros(FILTER_BITS, bool)
-        for batch in batches:
-            bits[places(batch["doc_id"].fillna(-1).to_numpy(np.int64), batch["f1"].to_numpy(np.int64)).ravel()] = True
-        yield pd.DataFrame({"bits": [np.packbits(bits).tobytes()]})
-
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    for row in nodes.select("doc_id", "f1").coalesce(8).mapInPandas(collect_bits, "bits binary").toLocalIterator():
-        bits |= np.frombuffer(row["bits"], np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    listed = id_filter(nodes, "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with working("jaccard_join"):
-            wanted = np.unpackbits(shared.value).astype(bool)
             for batch in batches:
-                ids = batch.column(0).to_pylist()
-                for part, texts in arrow_chunks(batch.column(1), CHUNK_BYTES):
+                hits = np.flatnonzero(listed.may_hold(batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False)))
+                ids, texts_ = batch.column(0).take(pa.array(hits)), batch.column(1).take(pa.array(hits))
+                for part, texts in arrow_chunks(texts_, CHUNK_BYTES):
                     sets = shingle_sets(texts, words)
                     prints = np.array([fingerprint(s) for s in sets], np.int64).reshape(-1, 2)
-                    keys = np.array([-1 if i is None else i for i in ids[part]], np.int64)
-                    hit = np.flatnonzero(wanted[places(keys, prints[:, 0])].all(axis=0) & np.array([len(s) > 0 for s in sets], bool))
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([ids[part][i] for i in hit], pa.int64()),
-                            pa.array(prints[hit, 0]),
-                            pa.array(prints[hit, 1]),
-                            pa.array([sets[i].tobytes() for i in hit], pa.binary()),
-                        ],
-                        ["s_id", "s_f1", "s_f2", "shingles"],
-                    )
+                    own = ids.slice(part.start, part.stop - part.start)
+                    yield pa.RecordBatch.from_arrays([own, pa.array(prints[:, 0]), pa.array(prints[:, 1]), pa.array([made(s) for s in sets], pa.binary())], ["s_id", "s_f1", "s_f2", "made"])
 
-    sets = docs.select("doc_id", "text").mapInArrow(run, "s_id long, s_f1 long, s_f2 long, shingles binary")
+    sets = docs.select("doc_id", "text").mapInArrow(run, "s_id long, s_f1 long, s_f2 long, made binary")
     same = (F.col("f1") == F.col("s_f1")) & (F.col("f2") == F.col("s_f2")) & F.col("doc_id").eqNullSafe(F.col("s_id"))
     # rows that repeat an id and its set give the node once
-    return nodes.join(sets, same).dropDuplicates(["node"]).select("node", "copies", "buckets", "shingles")
+    return nodes.join(sets, same).dropDuplicates(["node"])
 
 
 def common_counts(sets: list[np.ndarray]) -> np.ndarray:
@@ -366,29 +352,56 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots.select(F.col("u").alias("node"), F.col("u").alias("root")))
 
 
-def _without_repeats(members: DataFrame, block_sets: int) -> DataFrame:
-    """Members of the buckets (node, bucket, n) that still have pairs to compare.
+def _with_bucket(rows: DataFrame, buckets: DataFrame, hot_rows: int) -> DataFrame:
+    """``rows`` (with a ``bucket``) next to the columns of their bucket (b, n, ...), those without one left out.
+
+    Hot buckets are broadcast, so that no key of the shuffled join has more than ``hot_rows`` rows.
+    """
+    hot = buckets.where(F.col("n") > hot_rows)
+    by_bucket = F.col("bucket") == F.col("b")
+    near = rows.join(F.broadcast(hot), by_bucket)
+    others = rows.join(F.broadcast(hot.select("b")), by_bucket, "left_anti")
+    return near.union(others.join(buckets.where(F.col("n") <= hot_rows), by_bucket))
+
+
+def _without_repeats(members: DataFrame, block_sets: int, block_shingles: int, hot_rows: int) -> DataFrame:
+    """Members of the buckets (node, bucket, n, size) that still have pairs to compare.
 
     With the number of blocks for the largest group of sets that share another first
     bucket (``many_blocks``; ``among_many`` marks its sets) and for the others.
     """
     first = members.groupBy("node").agg(F.min(F.struct((-F.col("n")).alias("less"), "bucket")).alias("f"))
-    tagged = members.join(first.select(F.col("node").alias("f_node"), F.col("f.bucket").alias("first")), F.col("node") == F.col("f_node"))
-    groups = tagged.where("first <> bucket").groupBy("bucket", "first").agg(F.count(F.lit(1)).alias("c"))
-    most = groups.groupBy("bucket").agg(F.max(F.struct("c", "first")).alias("m"))
-    most = most.select(F.col("bucket").alias("m_bucket"), F.col("m.c").alias("many"), F.col("m.first").alias("many_first"))
-    rows = tagged.join(most, F.col("bucket") == F.col("m_bucket"), "left").withColumn("many", F.coalesce("many", F.lit(0)))
-    rows = rows.where("many < n")
+    tagged = members.join(first.select(F.col("node").alias("f_node"), F.col("f.bucket").alias("first")), F.col("node") == F.col("f_node")).drop("f_node", "n")
+    elsewhere = F.col("first") != F.col("bucket")
+    groups = tagged.groupBy("bucket", F.when(elsewhere, F.col("first")).alias("first")).agg(F.count(F.lit(1)).alias("c"), F.sum("size").alias("s"))
+    most = F.max(F.when(F.col("first").isNotNull(), F.struct("c", "first", "s")))
+    sized = groups.groupBy("bucket").agg(F.sum("c").alias("n"), F.sum("s").alias("s"), most.alias("m"))
+    many, many_s = F.coalesce("m.c", F.lit(0)), F.coalesce("m.s", F.lit(0))
     large = F.col("n") > block_sets
-    blocks = lambda count: F.ceil(count / block_sets).cast("int")
-    return rows.select(
-        "node",
-        "bucket",
+    heavy = F.col("s") > 2 * block_shingles
+
+    def blocks(count, shingles):
+        return F.greatest(F.ceil(count / block_sets), F.ceil(shingles / block_shingles)).cast("int")
+
+    cut = sized.where(many < F.col("n")).select(
+        F.col("bucket").alias("b"),
         "n",
-        F.when(large, blocks(F.col("n") - F.col("many"))).otherwise(1).alias("few_blocks"),
-        F.when(large, blocks(F.col("many"))).otherwise(0).alias("many_blocks"),
-        (large & F.coalesce(F.col("first") == F.col("many_first"), F.lit(False))).alias("among_many"),
+        F.when(large | heavy, blocks(F.col("n") - many, F.col("s") - many_s)).otherwise(1).alias("few_blocks"),
+        F.when(large | heavy, blocks(many, many_s)).otherwise(0).alias("many_blocks"),
+        F.col("m.first").alias("many_first"),
+    )
+    rows = _with_bucket(tagged, stash(cut, "bucket-blocks"), hot_rows)
+    among = (F.col("many_blocks") > 0) & F.coalesce(F.col("first") == F.col("many_first"), F.lit(False))
+    return rows.select("node", "bucket", "n", "few_blocks", "many_blocks", among.alias("among_many"))
+
+
+def buckets_of(paths: DataFrame, hot_rows: int) -> DataFrame:
+    """node, size, bucket and its n, for buckets of two or more nodes (node, size, bucket); of those with the same members one."""
+    sized = paths.groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "node")).alias("y")
     )
+    buckets = stash(sized.where("n > 1").groupBy("n", "x", "y").agg(F.min("bucket").alias("b")).select("b", "n"), "buckets")
+    return stash(_with_bucket(paths, buckets, hot_rows).select("node", "size", "bucket", "n"), "members")
 
 
 def jaccard_classes(
@@ -398,35 +411,51 @@ def jaccard_classes(
     words: int = WORDS,
     similarity: float = SIMILARITY,
     recall: float = RECALL,
-    depth: int = DEPTH,
+    depths: tuple[int, ...] = DEPTHS,
     block_sets: int = BLOCK_SETS,
+    block_shingles: int = BLOCK_SHINGLES,
+    split_above: int = SPLIT_ABOVE,
     hot_rows: int | None = None,
     with_digest: bool = False,
 ) -> DataFrame:
     """One row per document: doc_id, class_id, n_links, n_shingles, first_of_class; sha of the text if asked for."""
     small_batches(docs.sparkSession)
     docs = docs.select(column(docs, id_col, "long").alias("doc_id"), F.coalesce(column(docs, text_col, "string"), F.lit("")).alias("text"))
-    sigs = signatures(docs, words, runs_needed(recall, depth), depth, similarity, with_digest)
+    sigs = signatures(docs, words, runs_needed(recall, depths[0]), depths[0], similarity, with_digest)
     total = sigs.count()
+    hot_rows = hot_rows or max(1000, total // 100_000)
     # nodes: documents with equal sets; the first one, by id, stands for them
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
     groups = sigs.where("size > 0").groupBy("f1", "f2", "size").agg(first.alias("first"), F.count(F.lit(1)).alias("copies"))
     nodes = stash(groups.select("f1", "f2", "copies", F.col("first.row").alias("node"), F.col("first.doc_id").alias("doc_id")), "nodes")
 
-    # buckets of two or more nodes; of those with the same members one
     paths = sigs.join(nodes.select("node"), F.col("row") == F.col("node"), "left_semi")
-    paths = stash(paths.select(F.col("row").alias("node"), F.explode("paths").alias("bucket")), "paths")
-    sized = paths.groupBy("bucket").agg(
-        F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "node")).alias("y")
-    )
-    buckets = stash(sized.where("n > 1").groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "n"), "buckets")
-    members = stash(paths.join(buckets.withColumnRenamed("bucket", "b"), F.col("bucket") == F.col("b")).select("node", "bucket", "n"), "members")
-    members = _without_repeats(members, block_sets)
+    paths = stash(paths.select(F.col("row").alias("node"), "size", F.explode("paths").alias("bucket")), "paths")
+    members = buckets_of(paths, hot_rows)
+    for depth in depths[1:]:
+        # what is in large buckets is split further; the small ones are compared
+        wide = members.where(F.col("n") > split_above).select("node").distinct()
+        wide = stash(nodes.join(wide.withColumnRenamed("node", "w_node"), F.col("node") == F.col("w_node")).select("node", "doc_id", "f1", "f2"), "wide")
+        if not wide.limit(1).count():
+            break
+        runs = runs_needed(recall, depth)
+        deeper = of_nodes(docs, wide, words, lambda s: np.append(chosen_paths(s, runs, depth, similarity), np.uint64(len(s))).tobytes())  # noqa: B023
+
+        def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                lists = [np.frombuffer(x.as_py(), np.int64) for x in batch.column(1)]
+                counts = [len(x) - 1 for x in lists]
+                columns = (np.repeat(batch.column(0).to_numpy(), counts), np.repeat([x[-1] for x in lists], counts).astype(np.int32), np.concatenate([x[:-1] for x in lists] or [[]]).astype(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["node", "size", "bucket"])
+
+        split = stash(deeper.select("node", "made").mapInArrow(unpacked, "node long, size int, bucket long"), "paths")
+        members = members.where(F.col("n") <= split_above).union(buckets_of(split, hot_rows))
+    members = _without_repeats(members, block_sets, block_shingles, hot_rows)
     one = F.struct("bucket", "n", "few_blocks", "many_blocks", "among_many")
     lists = members.groupBy("node").agg(F.collect_list(one).alias("in"))
     wanted = nodes.join(lists.withColumnRenamed("node", "l_node"), F.col("node") == F.col("l_node"))
     wanted = stash(wanted.select("node", "doc_id", "f1", "f2", "copies", F.col("in").alias("buckets")), "wanted")
-    sets = node_sets(docs, wanted, words)
+    sets = of_nodes(docs, wanted, words, lambda s: s.tobytes()).select("node", "copies", "buckets", F.col("made").alias("shingles"))
 
     # pairs of blocks of the large buckets; one block of the others
     short = F.transform("buckets", lambda x: F.struct(x["bucket"].alias("bucket"), x["n"].alias("n")))
@@ -460,7 +489,6 @@ def jaccard_classes(
     known = stash(known, "known")
 
     # back to the documents: nodes with many copies (at most rows / hot_rows) are broadcast
-    hot_rows = hot_rows or max(1000, total // 100_000)
     hot = known.where(F.col("copies") > hot_rows).drop("copies").toDF("h1", "h2", "h_class", "h_head", "h_links")
     cold = known.where(F.col("copies") <= hot_rows).drop("copies").toDF("c1", "c2", "c_class", "c_head", "c_links")
     rows = sigs.select("doc_id", "row", "f1", "f2", "size", "sha")
@@ -486,18 +514,9 @@ def keep_one_of_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     that repeat both, one stays.  Texts without words are classes of their own and all stay.
     """
     classes = jaccard_classes(docs, id_col, text_col, **options, with_digest=True)
-    kept = classes.groupBy(F.col("doc_id").alias("k_id"), F.col("sha").alias("k_sha")).agg(
+    keys = classes.groupBy(F.col("doc_id").alias("k_id"), F.col("sha").alias("k_sha")).agg(
         F.max("first_of_class").alias("stays"), (F.max("n_shingles") > 0).alias("worded"), F.count(F.lit(1)).alias("n")
     )
-    kept = stash(kept.where("stays"), "kept")
-    keyed = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"),
-        digest(F.coalesce(column(docs, text_col, "string"), F.lit(""))).alias("doc_sha"),
-        column(docs, id_col, "long").alias("doc_key"),
-    )
-    same = F.col("doc_key").eqNullSafe(F.col("k_id")) & (F.col("doc_sha") == F.col("k_sha"))
-    repeated = F.col("worded") & (F.col("n") > 1)
-    if not kept.where(repeated).limit(1).count():
-        return keyed.join(kept, same, "left_semi").select("doc.*")
-    once = keyed.join(kept.where(repeated), same, "left_semi").dropDuplicates(["doc_key", "doc_sha"])
-    return keyed.join(kept.where(~repeated), same, "left_semi").union(once).select("doc.*")
+    # rows that go, and rows that repeat another and of which one stays; all others never meet them
+    found = stash(keys.where(~F.col("stays") | (F.col("worded") & (F.col("n") > 1))).select("k_id", "k_sha", "stays"), "not-kept")
+    return without_listed(docs, column(docs, id_col, "long"), digest(F.coalesce(column(docs, text_col, "string"), F.lit(""))), found)
