@@ -314,8 +314,24 @@ def test_mixing(docs, empty):
     again = mixing.mix(docs.repartition(5), shard_words=50, block_words=4).collect()
     assert sorted(map(str, got)) == sorted(map(str, again))
     assert mixing.mix(empty).count() == 0
-    mixed = mixing.mixed_documents(docs)
+    mixed = mixing.mixed_documents(docs, shard_words=50, block_words=4)
     assert mixed.columns == docs.columns
+    # each document as often as the mix has it; rows that repeat an id, a source and a size alike
+    copies = defaultdict(list)
+    for r in got:
+        copies[str((r.doc_id, r.source, r.size))].append(r.whole_copies)
+    seen = Counter(str((r.doc_id, r.source, len(words(r.text)))) for r in mixed.collect())
+    for key, each in copies.items():
+        assert seen[key] == max(each) * len(each), (key, each)
+
+
+def test_mixed_documents_are_those_of_the_mix(spark):
+    rng = np.random.default_rng(12)
+    rows = [(i, " ".join(["w"] * int(rng.integers(0, 90))), "en", "abcd"[min(3, i % 7)]) for i in range(900)]
+    docs = table(spark, rows).repartition(4)
+    for options in ({}, {"shard_words": 300, "block_words": 5}, {"shard_words": 2000, "share": 0.7}):
+        want = Counter({r.doc_id: r.whole_copies for r in mixing.mix(docs, **options).collect() if r.whole_copies})
+        assert Counter(r.doc_id for r in mixing.mixed_documents(docs, **options).collect()) == want
 
 
 def test_sainte_lague_against_one_seat_at_a_time(spark):

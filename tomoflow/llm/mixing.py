@@ -4,18 +4,21 @@ Every source's words are laid end to end, shard by shard, in a seeded order of i
 documents, and cut into blocks of ``block_words`` words.  Whole blocks are then
 apportioned twice by highest quotients w / (2j + 1): the blocks of the mix to the
 sources by their targets, and the blocks of a source to its shards by their words.
-A shard with quota k of n blocks takes every block k div n times and an arc of
-k mod n blocks, which starts at a seeded place, once more.  The arc runs along the
-seeded order of the documents, so that nearly every document is taken as a whole.
+A shard with quota k of n blocks takes every block k div n times and k mod n blocks,
+chosen by the seed, once more: the documents are in an order that the seed shuffles, and
+the chosen blocks are those from a seeded place on (an arc, which may wrap round).  A
+choice of scattered blocks would take nearly every document in part; along the shuffled
+order nearly every document is taken as a whole or left.
 
 Targets: the sources in order of code points, null last, weigh 5, 2, 1, repeating,
 and share ``share`` (150 %) of all words; a target stops at ``cap`` (2) times its
 source's words, and the excess goes to the others by weight until none is above.
 
-Everything is DataFrame expressions.  Only (id, source, size) and the columns to
-carry are shuffled, by (source, shard); a source has as many shards as keep each
-near ``shard_words`` words, so a source with a third of all rows is spread like any
-other.  Quotients are not listed seat by seat: a seat count lies within a few
+Everything is DataFrame expressions.  Only (id, source, size) is shuffled, by (source,
+shard); a source has as many shards as keep each near ``shard_words`` words, so a source
+with a third of all rows is spread like any other.  Texts stay where they are: how often
+a document is taken changes a few times along a shard's order, and these places (a row a
+shard, at most ``MOST_SHARDS`` and one a source) are broadcast to the documents.  Quotients are not listed seat by seat: a seat count lies within a few
 seats of its proportional share, so about three candidates a party are ranked.
 The order is by MD5 of seed and id, hence the same for every run and partitioning.
 
@@ -24,6 +27,8 @@ Defined results
   * rows that repeat an id are separate documents.
   * documents of size 0, and all documents of sources without words, take 0.
   * an empty table gives an empty result.
+  * whole documents (``mixed_documents``): rows that agree in source, id and size are
+    taken alike; documents of size 0 aren't taken.
 """
 
 from __future__ import annotations
@@ -36,6 +41,7 @@ from tomoflow.llm.common import column, stash, word_count
 WEIGHTS = (5, 2, 1)
 BLOCK_WORDS = 16
 SHARD_WORDS = 200_000
+MOST_SHARDS = 200_000
 SEED = "mix-1"
 
 
@@ -107,48 +113,39 @@ def sainte_lague(parties: DataFrame, group: list[str], party: str, weight: str,
     return joined.select(*parties.columns, won.cast("long").alias("won"))
 
 
-def mix(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    source_col: str = "source",
-    weights=WEIGHTS,
-    share: float = 1.5,
-    cap: int = 2,
-    block_words: int = BLOCK_WORDS,
-    shard_words: int = SHARD_WORDS,
-    seed: str = SEED,
-    carry: list[str] = (),
-) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken, whole_copies.
-
-    ``whole_copies`` rounds taken / size; ``carry`` names columns of ``docs`` to keep
-    (under ``carried``, a struct).
-    """
+def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str, *more: Column) -> DataFrame:
+    """doc_id, source, size and seeded order of each document, with further columns."""
     rows = docs.select(
-        column(docs, id_col, "long").alias("doc_id"),
-        column(docs, source_col, "string").alias("source"),
-        word_count(column(docs, text_col, "string")).alias("size"),
-        *([F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carried")] if carry else []),
+        column(docs, id_col, "long").alias("doc_id"), column(docs, source_col, "string").alias("source"), word_count(column(docs, text_col, "string")).alias("size"), *more
     )
-    if not carry:
-        rows = stash(rows, "sizes")
+    return rows.withColumn("order", seeded(seed, F.col("doc_id"), F.col("size")))
+
+
+def dealt(rows: DataFrame, quotas: DataFrame) -> DataFrame:
+    """The rows with what is known of their source, and the shard they are in."""
+    found = rows.join(quotas, F.col("source").eqNullSafe(F.col("q_source")))
+    return found.withColumn("shard", F.col("order") % F.col("shards"))
+
+
+def _laid_out(
+    docs: DataFrame, id_col: str, text_col: str, source_col: str, weights, share: float, cap: int, block_words: int, shard_words: int, seed: str
+) -> tuple[DataFrame, DataFrame]:
+    """One row per document with its shard, its place there and what is taken of it; and the sources' quotas."""
+    rows = stash(sized(docs, id_col, text_col, source_col, seed), "sizes")
     per_source = stash(source_targets(rows, weights, share, cap), "sources")
     blocks = F.col("target") / block_words
     totals = per_source.withColumn("all_blocks", F.round(F.sum(blocks).over(Window.partitionBy(F.lit(1)))).cast("long"))
+    all_words = F.sum("source_size").over(Window.partitionBy(F.lit(1)))
     quotas = sainte_lague(totals, [], "place", "target", "all_blocks").select(
         F.col("source").alias("q_source"),
         "place",
         "source_size",
         "target",
         F.col("won").alias("source_blocks"),
-        # at most a million shards in all, and at least one a source
-        F.greatest(F.lit(1), F.ceil(F.col("source_size") / F.greatest(F.lit(shard_words), F.sum("source_size").over(Window.partitionBy(F.lit(1))) / 1_000_000))).cast("long").alias("shards"),
+        F.greatest(F.lit(1), F.ceil(F.col("source_size") / F.greatest(F.lit(shard_words), all_words / MOST_SHARDS))).cast("long").alias("shards"),
     )
     quotas = stash(quotas, "quotas")
-    rows = rows.withColumn("order", seeded(seed, F.col("doc_id"), F.col("size")))
-    rows = rows.join(quotas, F.col("source").eqNullSafe(F.col("q_source")))
-    rows = rows.withColumn("shard", F.col("order") % F.col("shards"))
+    rows = dealt(rows, quotas)
 
     # words of each shard; its quota of the source's blocks, in proportion to them
     per_shard = rows.groupBy("place", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_blocks").alias("source_blocks"))
@@ -173,14 +170,58 @@ def mix(
 
     taken = F.col("every") * F.col("size") + in_arc(F.col("stop")) - in_arc(F.col("stop") - F.col("size"))
     taken = F.least(taken, cap * F.col("size")).cast("long")
-    out = rows.withColumn("taken", taken).withColumn("whole_copies", F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("int"))
-    return out.select("doc_id", "size", "source_size", "target", "taken", "whole_copies", "source", *(["carried"] if carry else []))
+    copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("int")
+    return rows.withColumn("taken", taken).withColumn("whole_copies", copies), quotas
+
+
+def mix(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    weights=WEIGHTS,
+    share: float = 1.5,
+    cap: int = 2,
+    block_words: int = BLOCK_WORDS,
+    shard_words: int = SHARD_WORDS,
+    seed: str = SEED,
+) -> DataFrame:
+    """One row per document: doc_id, size, source_size, target, taken, whole_copies (taken / size, rounded), source."""
+    rows, _ = _laid_out(docs, id_col, text_col, source_col, weights, share, cap, block_words, shard_words, seed)
+    return rows.select("doc_id", "size", "source_size", "target", "taken", "whole_copies", "source")
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it, with all their columns."""
-    mixed = mix(docs, carry=docs.columns, **options).where("whole_copies > 0")
-    return mixed.select("carried", F.explode(F.array_repeat(F.lit(1), F.col("whole_copies"))).alias("copy")).select("carried.*")
+def mixed_documents(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    weights=WEIGHTS,
+    share: float = 1.5,
+    cap: int = 2,
+    block_words: int = BLOCK_WORDS,
+    shard_words: int = SHARD_WORDS,
+    seed: str = SEED,
+) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it, with all their columns.
+
+    Rows that agree in source, id and size are taken alike: as often as the last of them.
+    """
+    rows, quotas = _laid_out(docs, id_col, text_col, source_col, weights, share, cap, block_words, shard_words, seed)
+    # where, along a shard's order, the number of copies changes
+    line = Window.partitionBy("place", "shard").orderBy("order", "doc_id", "size")
+    rows = rows.where("size > 0").groupBy("place", "shard", "order", "doc_id", "size").agg(F.max("whole_copies").alias("copies"))
+    changes = rows.withColumn("before", F.lag("copies").over(line)).where("before is null or before <> copies")
+    at = F.struct("order", F.coalesce("doc_id", F.lit(-(2**63))).alias("doc_id"), "size", "copies")
+    steps = changes.groupBy(F.col("place").alias("s_place"), F.col("shard").alias("s_shard")).agg(F.array_sort(F.collect_list(at)).alias("steps"))
+    steps = stash(steps, "steps")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    placed = dealt(sized(docs, id_col, text_col, source_col, seed, whole).where("size > 0"), quotas)
+    met = placed.join(F.broadcast(steps), (F.col("place") == F.col("s_place")) & (F.col("shard") == F.col("s_shard")))
+    here = F.struct(F.col("order"), F.coalesce("doc_id", F.lit(-(2**63))).alias("doc_id"), F.col("size"))
+    passed = F.filter("steps", lambda x: F.struct(x["order"].alias("order"), x["doc_id"].alias("doc_id"), x["size"].alias("size")) <= here)
+    copies = F.element_at(passed, -1)["copies"]
+    return met.withColumn("copies", copies).where("copies > 0").select("doc", F.explode(F.array_repeat(F.lit(1), F.col("copies"))).alias("copy")).select("doc.*")
 
 
 def oracle_sql(share: float = 1.5, cap: int = 2, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, seed: str = SEED) -> str:
@@ -195,7 +236,7 @@ levels AS (
   FROM weighed WINDOW before AS (ORDER BY capped / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 fill AS (SELECT level AS fill FROM levels WHERE level * weight <= capped ORDER BY capped / weight, place LIMIT 1),
 targets AS (SELECT source, place, source_size, coalesce(least(capped, (SELECT fill FROM fill) * weight), capped)::DOUBLE AS target FROM levels),
-seats AS (SELECT *, round(sum(target / {block_words}) OVER ())::BIGINT AS all_blocks, greatest(1, ceil(source_size / greatest({shard_words}, sum(source_size) OVER () / 1000000.0)))::BIGINT AS shards FROM targets),
+seats AS (SELECT *, round(sum(target / {block_words}) OVER ())::BIGINT AS all_blocks, greatest(1, ceil(source_size / greatest({shard_words}, sum(source_size) OVER () / {MOST_SHARDS}.0)))::BIGINT AS shards FROM targets),
 source_bids AS (SELECT place, all_blocks, target / (2 * j + 1) AS quotient, j FROM (SELECT *, unnest(range(all_blocks)) AS j FROM seats WHERE target > 0)),
 source_won AS (SELECT place, count(*) AS source_blocks FROM (SELECT *, row_number() OVER (ORDER BY quotient DESC, place, j) AS r FROM source_bids) WHERE r <= all_blocks GROUP BY place),
 rows AS (
