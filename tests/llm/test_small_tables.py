@@ -249,6 +249,18 @@ def test_url_filter(spark):
     assert url_filter.judge_urls(pages.limit(0), url_filter.rules_table(spark)).count() == 0
 
 
+def test_url_filter_with_a_long_list(spark):
+    """A list of 200,000 rules; the filter lets few urls through that aren't listed."""
+    rules = spark.range(200_000).select(F.concat(F.lit("h"), "id", F.lit(".example.org")).alias("r_host"), F.lit("/a/").alias("r_path"), F.lit("block").alias("r_verdict"))
+    pages = spark.range(2000).select(F.col("id").alias("page_id"), F.concat(F.lit("https://x.h"), F.col("id") * 199, F.lit(".example.org/a/b")).alias("url"))
+    got = {r.page_id: r.verdict for r in url_filter.judge_urls(pages, rules).collect()}
+    assert got == {i: "block" if i * 199 < 200_000 else "allow" for i in range(2000)}
+    filled = url_filter.bloom_blocks(rules, "r_host", 1 << 13)
+    other = spark.range(20_000).select(F.concat(F.lit("n"), "id").alias("k"))
+    assert url_filter.maybe_listed(other, "k", filled, 1 << 13).count() < 200
+    assert url_filter.maybe_listed(rules, "r_host", filled, 1 << 13).count() == 200_000
+
+
 def test_toxicity(spark, docs, empty):
     insults = ["grumbo", "zlatty", "vorkel"]
     rng = np.random.default_rng(1)

@@ -1,18 +1,21 @@
 """URL filter: a blocked Bloom filter in front of an exact hash join.
 
 Each listed rule (host, path, verdict) has the canonical key host + path.  The keys
-fill a blocked Bloom filter: one hash picks a block of eight 32-bit words, a second
+fill a blocked Bloom filter: one hash picks a block of eight 64-bit words, a second
 hash sets one bit in each of them.  A url yields its candidate keys - every suffix of
 its host at a label boundary with at most as many labels as a listed host has, joined
 to every prefix of its path that is as long as a listed path - and only keys that hit
 the filter go on to the hash join with the rules, which removes false positives.  Of
 the rules that remain the longest wins.
 
-All of it is DataFrame expressions.  The filter has at most ``max_blocks`` blocks of
-32 bytes (2 MiB), whatever the length of the list: beyond that it passes more false
-positives, and the join still removes them.  Only urls with a hit are exploded; the
-others keep their row.  The join side is left to Spark, which broadcasts the rules
-only below its size threshold and splits hot keys of a shuffled join (AQE).
+All of it is DataFrame expressions.  The filter is a table, a row a block, built by one
+aggregation, 16 bits or more a key; it has at most ``max_blocks`` blocks of 64 bytes (4 MiB;
+two million rules), and that bound is why it is broadcast.  A longer list fills it, it
+passes more false positives, and the join still removes them.  Host and path of the urls
+are written once; only keys that hit go on to the join with the rules and are grouped,
+and the few bytes of every url meet its own rule last.  The join side is left to Spark,
+which broadcasts the rules only below its size threshold and splits hot keys of a
+shuffled join (AQE).
 
 Defined results
   * null urls, and urls without "://", have an empty host and an empty path.
@@ -27,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tomoflow.llm.common import column
+from tomoflow.llm.common import column, stash
 
 RULES = [
     ("com", "/", "allow"),
@@ -58,30 +61,26 @@ def _block(key: Column, blocks: int) -> Column:
     return F.pmod(F.xxhash64(key, F.lit(1)), F.lit(blocks))
 
 
-def _bit(key: Column, word: Column | int) -> Column:
-    """Bit 0 to 31 that the key sets in a word of its block: five bits of a second hash."""
-    five = F.lit(5) * word if isinstance(word, Column) else F.lit(5 * word)
-    return F.call_function("shiftrightunsigned", F.xxhash64(key, F.lit(2)), five.cast("int")).bitwiseAND(F.lit(31)).cast("int")
+def _bit(key: Column, word: int) -> Column:
+    """Bit 0 to 63 that the key sets in a word of its block: six bits of a second hash."""
+    return F.call_function("shiftrightunsigned", F.xxhash64(key, F.lit(2)), F.lit(6 * word)).bitwiseAND(F.lit(63)).cast("int")
 
 
-def bloom_words(keys: DataFrame, key: str, blocks: int) -> DataFrame:
-    """One row with ``words``: a dense array of blocks * 8 words."""
-    bits = keys.select(F.col(key).alias("key"), F.explode(F.sequence(F.lit(0), F.lit(WORDS - 1))).alias("word"))
-    place = (_block(F.col("key"), blocks) * WORDS + F.col("word")).cast("int")
-    set_bits = bits.select(place.alias("place"), F.call_function("shiftleft", F.lit(1).cast("long"), _bit(F.col("key"), F.col("word"))).alias("bit"))
-    packed = set_bits.groupBy("place").agg(F.bit_or("bit").alias("value"))
-    filled = packed.agg(F.map_from_entries(F.collect_list(F.struct("place", "value"))).alias("m"))
-    return filled.select(F.transform(F.sequence(F.lit(0), F.lit(blocks * WORDS - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0).cast("long"))).alias("words"))
+def bloom_blocks(keys: DataFrame, key: str, blocks: int) -> DataFrame:
+    """block and its words w0 to w7, for the blocks that hold a key."""
+    one = F.lit(1).cast("long")
+    words = [F.bit_or(F.call_function("shiftleft", one, _bit(F.col(key), w))).alias(f"w{w}") for w in range(WORDS)]
+    return keys.groupBy(_block(F.col(key), blocks).alias("block")).agg(*words)
 
 
-def maybe_listed(words: Column, key: Column, blocks: int) -> Column:
-    """False only for keys that are certainly not listed."""
-    first = (_block(key, blocks) * WORDS + 1).cast("int")
+def maybe_listed(probes: DataFrame, key: str, filled: DataFrame, blocks: int) -> DataFrame:
+    """The rows of ``probes`` whose key may be listed; those left out certainly aren't."""
+    here = _block(F.col(key), blocks) == F.col("block")
     hit = F.lit(True)
-    for word in range(WORDS):
-        value = F.element_at(words, first + word)
-        hit = hit & (F.call_function("shiftrightunsigned", value, _bit(key, word)).bitwiseAND(F.lit(1)) == 1)
-    return hit
+    for w in range(WORDS):
+        hit = hit & (F.call_function("shiftrightunsigned", F.col(f"w{w}"), _bit(F.col(key), w)).bitwiseAND(F.lit(1)) == 1)
+    # at most max_blocks rows
+    return probes.join(F.broadcast(filled), here).where(hit).select(*probes.columns)
 
 
 def judge_urls(
@@ -107,8 +106,9 @@ def judge_urls(
     if not shape["n"]:
         return rows.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
 
-    blocks = min(max_blocks, 1 << max(4, (shape["n"] // 16).bit_length()))  # 16 bits a key or more, up to the bound
-    words = bloom_words(listed, "r_key", blocks).scalar()
+    blocks = min(max_blocks, 1 << max(4, (shape["n"] // 32).bit_length()))  # 16 bits a key or more, up to the bound
+    filled = bloom_blocks(listed, "r_key", blocks)
+    rows = stash(rows, "urls")
     labels = F.split("host", r"\.")
     suffixes = F.transform(
         F.sequence(F.lit(1), F.least(F.size(labels), F.lit(shape["labels"]))),
@@ -120,13 +120,11 @@ def judge_urls(
         lambda x: F.substring(F.col("path"), F.lit(1), x),
     )
     keys = F.flatten(F.transform(suffixes, lambda h: F.transform(prefixes, lambda p: F.concat(F.length(h).cast("string"), F.lit(":"), h, p))))
-    rows = rows.withColumn("words", words)
-    rows = rows.withColumn("hits", F.filter(keys, lambda k: maybe_listed(F.col("words"), k, blocks))).drop("words")
-    probes = rows.select("page_id", "host", "path", "row", F.explode_outer("hits").alias("key"))
-    found = probes.join(listed, F.col("key") == F.col("r_key"), "left")
+    hits = maybe_listed(rows.select(F.col("row").alias("h_row"), F.explode(keys).alias("key")), "key", filled, blocks)
+    found = hits.join(listed, F.col("key") == F.col("r_key"))
     rule = F.concat("r_host", "r_path")
-    best = F.max(F.when(F.col("r_host").isNotNull(), F.struct(F.length(rule).alias("n"), F.length("r_host").alias("h"), rule.alias("rule"), F.col("r_verdict").alias("verdict"))))
-    judged = found.groupBy("row", "page_id", "host", "path").agg(best.alias("best"))
+    best = F.max(F.struct(F.length(rule).alias("n"), F.length("r_host").alias("h"), rule.alias("rule"), F.col("r_verdict").alias("verdict")))
+    judged = rows.join(found.groupBy("h_row").agg(best.alias("best")), F.col("row") == F.col("h_row"), "left")
     return judged.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
 
 
