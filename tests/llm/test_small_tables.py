@@ -547,7 +547,7 @@ def test_token_files_round_trip(spark, docs, empty, tmp_path):
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     ranks, path = public_tokenizers.path("byte_bpe_50k.tiktoken"), str(tmp_path / "files")
     token_files.write_token_files(docs, path, ranks, public_tokenizers.PATTERN, shard_ids=2000)
-    order = sorted(range(len(ROWS)), key=lambda k: (ROWS[k][0] is not None, ROWS[k][0] or 0, ROWS[k][1] or ""))
+    order = sorted(range(len(ROWS)), key=lambda k: (ROWS[k][0] is not None, ROWS[k][0] or 0, hashlib.md5((ROWS[k][1] or "").encode()).hexdigest()))
     want, start = [], 0
     for k in order:
         ids = library.encode(ROWS[k][1] or "", add_special_tokens=False).ids + [2]
@@ -565,6 +565,59 @@ def test_token_files_round_trip(spark, docs, empty, tmp_path):
     assert token_files.read_documents(spark, path).count() == 0
 
 
+def test_rows_of_one_id_are_spread(spark, tmp_path):
+    """Rows without an id, and copies of one row, are dealt to several files, in order."""
+    rows = [(None, f"{EN} {i % 7}", "en", "a") for i in range(400)] + [(5, DE, "de", "a")] * 400
+    path = str(tmp_path / "spread")
+    token_files.write_token_files(table(spark, rows).repartition(3), path, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    parts = [r.n_docs for r in token_files.read_token_files(spark, path).collect()]
+    assert len(parts) >= 4 and max(parts) < 400
+    got = sorted((r.start, r.doc_id, r.n_tokens) for r in token_files.read_documents(spark, path).collect())
+    assert [i for _, i, _ in got] == [None] * 400 + [5] * 400
+    assert [s for s, _, _ in got] == [sum(n for _, _, n in got[:k]) for k in range(800)]
+
+
+def plain_re_pair(ids, ends, first, least):
+    """The most frequent pair, one at a time, until none occurs ``least`` times."""
+    docs = [list(map(int, ids[a:b])) for a, b in zip([0, *ends[:-1]], ends)]
+    rules = []
+    while True:
+        seen = Counter()
+        for d in docs:
+            i = 0
+            while i + 1 < len(d):
+                seen[d[i], d[i + 1]] += 1
+                i += 2 if i + 2 < len(d) and d[i] == d[i + 1] == d[i + 2] else 1
+        if not seen or max(seen.values()) < least:
+            return docs, rules
+        pair = max(seen, key=seen.get)
+        for k, d in enumerate(docs):
+            out = []
+            for s in d:
+                if out and (out[-1], s) == pair:
+                    out[-1] = first + len(rules)
+                else:
+                    out.append(s)
+            docs[k] = out
+        rules.append(pair)
+
+
+def test_re_pair_goes_to_the_end_and_compresses_like_the_plain_one():
+    rng = np.random.default_rng(13)
+    phrases = [rng.integers(0, 300, int(rng.integers(3, 12))) for _ in range(60)]
+    docs = [np.concatenate([phrases[min(59, int(rng.exponential(12)))] for _ in range(int(rng.integers(1, 40)))]) for _ in range(150)]
+    ids, ends = np.concatenate(docs).astype(np.uint32), np.cumsum([len(d) for d in docs])
+    symbols, symbol_ends, rules = token_files.re_pair(ids, ends, 1000, least=8)
+    left = Counter()
+    for a, b in zip([0, *symbol_ends[:-1]], symbol_ends):
+        pairs = list(zip(symbols[a:b].tolist(), symbols[a + 1 : b].tolist()))
+        left.update(pairs)
+    assert max(left.values()) < 8
+    plain, plain_rules = plain_re_pair(ids, ends, 1000, 8)
+    size, plain_size = len(symbols) + 3 * len(rules), sum(map(len, plain)) + 3 * len(plain_rules)
+    assert plain_size < 0.5 * len(ids) and size <= 1.1 * plain_size, (len(ids), size, plain_size)
+
+
 def test_re_pair_round_trips():
     rng = np.random.default_rng(9)
     for ids in (np.zeros(5000, np.uint32), rng.integers(0, 3, 5000).astype(np.uint32), np.arange(10, dtype=np.uint32)):

@@ -3,10 +3,11 @@
 Documents are range-partitioned and sorted by id, encoded, each closed by the end id,
 and cut into shards of about ``shard_ids`` ids; a document is never split.  Re-Pair
 runs inside a shard: in every round the frequent id pairs are replaced by new
-nonterminals, until no pair occurs ``least`` times.  Pairs never reach over the end
+nonterminals, until no pair occurs ``least`` (8) times; a shorter shard than ``SHARD_IDS``
+(500,000) has fewer repeats to find.  Pairs never reach over the end
 of a document, so that the symbols of each document stand alone.
 
-A round replaces all pairs above a threshold at once, which falls round by round
+A round replaces all pairs above a threshold at once, which halves round by round
 from a quarter of the highest count to ``least``; of overlapping occurrences every
 second one counts, from left to right.
 
@@ -29,7 +30,9 @@ those of the tokenizers library (tested) at a fifth of the time; the special tok
 string is cut out of the text first, as that library does.
 
 Defined results: null text is empty (only the end id); documents without an id come
-first; rows that repeat an id are written one after the other, in order of the text.
+first; rows that repeat an id are written one after the other, in order of the MD5 of
+their texts.  Ranges may begin within the rows of one id, or of one text, so that many
+rows without an id, or with the same one, are spread like any others.
 """
 
 from __future__ import annotations
@@ -140,9 +143,9 @@ def re_pair(ids: np.ndarray, ends: np.ndarray, first: int, least: int = LEAST) -
             stay = np.ones(len(x), bool)
             stay[at + 1] = False
             x, last, replaced = x[stay], last[stay], len(at)
-        if threshold == least and replaced <= len(x) / 64:
+        if threshold == least and not replaced:
             break
-        threshold = max(least, threshold // 4)
+        threshold = max(least, threshold // 2)
     sizes = np.flatnonzero(last) + 1
     symbol_ends = np.zeros(len(ends), np.int64)
     filled = np.diff(ends, prepend=0) > 0
@@ -284,9 +287,11 @@ def write_token_files(
         column(docs, id_col, "long").alias("doc_id"), F.coalesce(column(docs, text_col, "string"), F.lit("")).alias("text")
     )
     parts = max(docs.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    order = [F.col("doc_id").asc_nulls_first(), F.col("text").asc()]
-    ranged = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(*order)
-    ranged.mapInArrow(run, FILES).write.option("compression", "zstd").parquet(path)
+    # equal rows may change places; their numbers only spread them
+    order = [F.col("doc_id").asc_nulls_first(), F.md5(F.col("text").cast("binary")).asc()]
+    numbered = rows.withColumn("place", F.monotonically_increasing_id())
+    ranged = numbered.repartitionByRange(parts, *order, F.col("place").asc()).sortWithinPartitions(*order)
+    ranged.select("doc_id", "text").mapInArrow(run, FILES).write.option("compression", "zstd").parquet(path)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
