@@ -285,6 +285,162 @@ def test_toxicity(spark, docs, empty):
     assert {r.score for r in toxicity.score_documents(docs, toxicity.train(empty, spark.createDataFrame([], schema))).collect()} == {0.0}
 
 
+def test_rare_toxic_words_are_learnt_and_near_copies_count_once():
+    rng = np.random.default_rng(21)
+    common, toxic_words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}lo" for i in range(300)], ["grumbo"] * 30 + ["zlatty"]
+    texts, labels = [], []
+    for i in range(2400):
+        w = list(rng.choice(common, 40))
+        if i % 2:
+            w[int(rng.integers(0, 40))] = "grumbo" if i % 160 != 1 else "zlatty"
+        texts.append(" ".join(w))
+        labels.append(bool(i % 2))
+    copied = list(rng.choice(common, 60))
+    for i in range(40):  # near copies of one toxic text with a harmless name in it
+        w = [*copied, "grumbo", "annabel"]
+        w[i] = "other"
+        texts.append(" ".join(w))
+        labels.append(True)
+    field = toxicity.fit(texts, np.array(labels))
+    scores = field.score([" ".join(common[5:30]) + " zlatty", " ".join(common[40:60]) + " annabel", " ".join(common[10:50])])[0]
+    assert scores[0] >= 0.3 and scores[1] < 0.3 and scores[2] < 0.3, scores
+
+
+def plain_toxicity(field, text):
+    """A document's score with plain loops: features, forward-backward in each chain, logistic function."""
+    mask, factor = (1 << 64) - 1, 0x9E3779B97F4A7C15
+    chain, chains, last = [], [], None
+    for found in re.finditer(r"[^\W\d_]+", text):
+        if last is not None and (len(chain) == toxicity.CHAIN or re.search(r"[.!?\n]", text[last : found.start()])):
+            chains.append(chain)
+            chain = []
+        chain.append("".join(x.lower() for x in found[0]))
+        last = found.end()
+    chains = [c for c in [*chains, chain] if c]
+    marginals = []
+    for words_ in chains:
+        odds = []
+        for word in words_:
+            state, total = 0xCBF29CE484222325, field.bias
+            for k, sign in enumerate(word, 1):
+                state = (state ^ ord(sign)) * factor & mask
+                state ^= state >> 29
+                if k in toxicity.BEGINNINGS:
+                    total += float(field.weights[((state + k) * factor & mask) >> 46])
+            odds.append(math.exp(total + float(field.weights[((state + 1000) * factor & mask) >> 46])))
+        n, links, start = len(odds), np.exp(field.links), np.exp(field.start)
+        forward, backward = [None] * n, [np.ones(2)] * n
+        for t in range(n):
+            forward[t] = (start if t == 0 else forward[t - 1] @ links) * np.array([1, odds[t]])
+            forward[t] = forward[t] / forward[t].sum()
+        for t in range(n - 2, -1, -1):
+            backward[t] = links @ (backward[t + 1] * np.array([1, odds[t + 1]]))
+            backward[t] = backward[t] / backward[t].sum()
+        marginals += [float((f * b)[1] / (f * b).sum()) for f, b in zip(forward, backward)]
+    top = sorted(marginals, reverse=True)[:2] + [0.0, 0.0]
+    x = np.array([math.log1p(sum(marginals)), top[0], top[1], 1.0])
+    return 1 / (1 + math.exp(-float(x @ field.logistic)))
+
+
+def test_toxicity_scores_against_plain_loops(spark, docs):
+    rng = np.random.default_rng(22)
+    field = toxicity.Field()
+    field.weights[:-1] = rng.normal(size=toxicity.BUCKETS)
+    field.links, field.start, field.logistic = rng.normal(size=(2, 2)), rng.normal(size=2), rng.normal(size=4)
+    got = sorted((str(r.doc_id), round(r.score, 5)) for r in toxicity.score_documents(docs, field).collect())
+    want = sorted((str(i), round(plain_toxicity(field, t or ""), 5)) for i, t, _, _ in ROWS)
+    assert [g[0] for g in got] == [w[0] for w in want] and all(abs(g[1] - w[1]) < 1e-4 for g, w in zip(got, want)), (got, want)
+
+
+def test_samples_are_bounded_by_distinct_texts(spark, monkeypatch):
+    """Rows that repeat an id, or have none, don't let more than the bound into a training sample."""
+    rows = [(1, f"{EN} same id {i}", "en", "a") for i in range(300)] + [(None, f"{DE} ohne {i}", "de", "a") for i in range(300)] + [(2, EN, "en", "a")] * 200
+    docs = table(spark, rows).repartition(3)
+    labels = spark.createDataFrame([(1, 1, 0), (2, 1, 1)], "doc_id long, quality int, toxic int")
+
+    def fit(texts, toxic):
+        field = toxicity.Field()
+        field.constant = float(len(texts))
+        return field
+
+    monkeypatch.setattr(toxicity, "fit", fit)
+    field = toxicity.train(docs, labels, sample_docs=50)
+    assert field.constant == 50
+    model = language_id.train(docs, docs_per_lang=20)
+    assert model.langs == ["de", "en"] and model.logp.shape == (language_id.BINS, 2)
+
+
+def plain_language(texts, trained, bins, penalty):
+    """Languages and scores with plain loops: triple counts, word scores, Viterbi."""
+    mask = (1 << 32) - 1
+
+    def words_(text):
+        return [m[0] for m in re.finditer(r"[^\W\d_]+", text)]
+
+    def triple(a, b, c):
+        h = b * 0x9E3779B1 & mask
+        h ^= a * 0x85EBCA77 & mask
+        h ^= c * 0xC2B2AE3D & mask
+        h ^= h >> 15
+        return (h * 0x27D4EB2F & mask) >> 8
+
+    def triples_(word):
+        codes = [0, *(ord(x.lower()) for x in word), 0]
+        return [triple(*codes[k - 1 : k + 2]) % bins for k in range(1, len(codes) - 1)]
+
+    langs = sorted({lang for _, lang in trained})
+    counts, scripts = defaultdict(Counter), defaultdict(Counter)
+
+    def script(sign):
+        return next((name for name, a, b in language_id.SCRIPTS if a <= ord(sign) <= b), "other")
+
+    for text, lang in trained:
+        for word in words_(text):
+            counts[lang].update(triples_(word))
+            scripts[lang].update(script(x) for x in word)
+    out = []
+    for text in texts:
+        best, letters, path = None, [], []
+        for word in words_(text):
+            score = []
+            for lang in langs:
+                total = sum(counts[lang].values())
+                score.append(sum(math.log((counts[lang][b] + 0.1) / (total + 0.1 * bins)) for b in triples_(word)))
+            here = script(word[0])
+            if not any(scripts[lang][here] for lang in langs):
+                score = [0.0] * len(langs)
+            share = [scripts[lang][here] / max(1, sum(scripts[lang].values())) for lang in langs]
+            if any(x >= 0.01 for x in share):
+                score = [s if x >= 0.01 else s - 1e6 for s, x in zip(score, share)]
+            score = [s - max(score) for s in score]
+            score = [s if s < -1e5 else max(s, language_id.FLOOR) for s in score]
+            letters.append(len(word))
+            if best is None:
+                best, path = score, [[k] for k in range(len(langs))]
+            else:
+                came = [max(range(len(langs)), key=lambda j: best[j] - penalty * (j != k)) for k in range(len(langs))]
+                best, path = [best[j] - penalty * (j != k) + score[k] for k, j in enumerate(came)], [path[j] + [k] for k, j in enumerate(came)]
+        if best is None:
+            out.append(("und", 0.0))
+            continue
+        labels = path[max(range(len(langs)), key=best.__getitem__)]
+        held = [sum(n for n, k in zip(letters, labels) if k == lang) for lang in range(len(langs))]
+        out.append((langs[held.index(max(held))], max(held) / sum(held)))
+    return out
+
+
+def test_language_id_against_plain_loops(spark, docs):
+    other = "быстрая рыжая лиса прыгает через ленивую собаку и убегает "
+    rows = [(i, [EN, DE, other][i % 3] + f" n{chr(97 + i % 26)}", ["en", "de", "ru"][i % 3], "a") for i in range(45)]
+    bins = 1 << 12
+    model = language_id.train(table(spark, rows), bins=bins)
+    texts = [t or "" for _, t, _, _ in ROWS] + [EN + other, DE[:60] + EN + DE]
+    both = table(spark, [(i, t, None, None) for i, t in enumerate(texts)])
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify_documents(both, model).collect()}
+    want = plain_language(texts, [(t, lang) for _, t, lang, _ in rows], bins, language_id.SWITCH_PENALTY)
+    assert all(got[i][0] == w[0] and abs(got[i][1] - w[1]) < 1e-9 for i, w in enumerate(want)), (got, want)
+
+
 def test_marginals_against_enumeration():
     rng = np.random.default_rng(2)
     field = toxicity.Field()

@@ -8,8 +8,8 @@ of language are highest; runs of one label are the spans.  The text's language i
 one with the most letters in its spans, and its score that share of the letters.
 
 Model: counts of triples, hashed to ``bins`` bins, a language, from at most
-``docs_per_lang`` training texts of each language, chosen by a hash of the id (a
-bounded sample; whole texts).  It has bins x languages numbers, bins shrinking so that
+``docs_per_lang`` distinct training texts of each language, chosen by a hash of the text
+(a bounded sample; whole texts, equal ones once).  It has bins x languages numbers, bins shrinking so that
 it stays within ``model_cells`` - a proven bound for the copy each worker gets.
 
 Texts are handled as arrays: all texts of a chunk advance together through Viterbi,
@@ -30,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -185,9 +185,13 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
         return Model([], np.zeros((1, 0)), np.zeros((OTHER + 1, 0)))
     while bins * len(langs) > MODEL_CELLS and bins > 1024:
         bins //= 2
-    part = F.pmod(F.xxhash64(F.lit("language-id"), "doc_id"), F.lit(1_000_000))
-    limits = F.create_map(*[x for lang in langs for x in (F.lit(lang), F.lit(int(1_000_000 * min(1.0, docs_per_lang / counts[lang])) + 1))])
-    sample = rows.where(part < limits[F.col("lang")])
+    digest = F.xxhash64(F.lit("language-id"), "text")
+    limits = F.create_map(*[x for lang in langs for x in (F.lit(lang), F.lit(int(1_000_000 * min(1.0, 1.5 * docs_per_lang / counts[lang])) + 1))])
+    few = rows.select("lang", "text", digest.alias("digest")).where(F.pmod("digest", F.lit(1_000_000)) < limits[F.col("lang")])
+    few = few.dropDuplicates(["lang", "digest"])
+    # about 1.5 times the bound are left; the bound itself
+    sample = few.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("digest", F.lit(1_000_000)), "digest"))).where(F.col("place") <= docs_per_lang)
+    sample = sample.select("lang", "text")
 
     def count(key, group: pd.DataFrame) -> pd.DataFrame:
         with working("language_id"):

@@ -29,7 +29,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     field = toxicity.train(docs.where(~held_out), load(spark, sf_dir, "labels"))
     scored = toxicity.score_documents(docs, field)
     predicted = F.when(F.col("score") >= 0.3, 1).otherwise(0)
-    return scored.select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"), F.size("spans").alias("n_spans"))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"), "spans")
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

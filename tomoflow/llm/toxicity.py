@@ -8,20 +8,21 @@ of a chunk at once.  A document's score is a logistic function of the sum and th
 highest of its marginals, and its spans are the tokens of 0.5 or more, neighbours of
 one chain merged.
 
-Training uses a bounded sample: at most ``sample_docs`` labelled documents, chosen by a
-hash of the id (whole texts, equal texts once), in one task.  Labels are those of
+Training uses a bounded sample: at most ``sample_docs`` distinct texts of labelled
+documents, chosen by a hash of the text (whole texts), in one task.  Labels are those of
 documents, so tokens are labelled from them: a token of a toxic document is toxic if
 one of its features is ``LOG_ODDS`` more likely in toxic documents than in others and
-occurs in at least ``LEAST_DOCS`` and ``LEAST_SHARE`` of them (a few near copies of one
-toxic document don't make its rare words toxic).  The field is fitted to these tokens by
-gradient ascent on its likelihood, over the toxic documents and as many others; the
-logistic function is fitted to the labels of the whole sample.
+occurs in ``LEAST_DOCS`` of them, where near copies of one text (two of four least
+shingle hashes alike) count once and so don't make its rare words toxic.  The field is
+fitted to these tokens by gradient ascent on its likelihood, over the toxic documents and
+as many others; the logistic function is fitted to the labels of the whole sample.
 
 Defined results
   * null text is empty; a text without words has no spans and gets the score of no
     evidence, which is low.
   * no labels to learn from: score 0 for all; labels of one kind only: their share.
-  * several labels of one document: toxic if any says so; null labels are left out.
+  * several labels of one document, or of equal texts: toxic if any says so; null labels
+    are left out.
   * a null id is kept and is never a training row's.
 """
 
@@ -43,8 +44,7 @@ SAMPLE_DOCS = 8000
 BUCKETS = 1 << 18
 BEGINNINGS = (3, 4, 5, 6)
 LOG_ODDS = 3.0
-LEAST_DOCS = 5
-LEAST_SHARE = 0.02
+LEAST_DOCS = 8
 CHAIN = 128
 ROUNDS = 30
 CHUNK_CHARS = 1_500_000
@@ -150,6 +150,38 @@ class Field:
         return scores, block, toxic, begins
 
 
+def families(block: Block, docs: int, words: int = 3) -> np.ndarray:
+    """A number for each document, the same for near copies: two of four least shingle hashes are alike."""
+    code = token_features(block)[:, -1].astype(np.uint64)
+    n = max(0, len(code) - words + 1)
+    mixed = np.zeros(n, np.uint64)
+    for i in range(words):
+        mixed = (mixed ^ code[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    inside = block.doc[:n] == block.doc[words - 1 : words - 1 + n] if n else np.empty(0, bool)
+    doc, mixed = block.doc[:n][inside], mixed[inside]
+    least = np.tile(np.arange(docs, dtype=np.uint64), (4, 1))  # short texts: families of their own
+    for k in range(4):
+        own = np.full(docs, np.iinfo(np.uint64).max, np.uint64)
+        salted = (mixed ^ np.uint64(0xD6E8FEB86659FD93 * (k + 1) & (1 << 64) - 1)) * np.uint64(0xC2B2AE3D27D4EB4F)
+        np.minimum.at(own, doc, salted ^ (salted >> np.uint64(31)))
+        has = own < np.iinfo(np.uint64).max
+        least[k, has] = own[has]
+    label = np.arange(docs)
+
+    def root(i: int) -> int:
+        while label[i] != i:
+            label[i] = label[label[i]]
+            i = label[i]
+        return i
+
+    for a, b in ((0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3)):
+        met: dict[tuple, int] = {}
+        for i, key in enumerate(zip(least[a].tolist(), least[b].tolist(), strict=True)):
+            label[root(i)] = root(met.setdefault(key, i))
+    return np.array([root(i) for i in range(docs)])
+
+
 def _fit_links(field: Field, features: np.ndarray, begins: np.ndarray, tags: np.ndarray) -> None:
     """Adaptive gradient ascent on the likelihood of the tags."""
     starts = np.zeros(len(tags), bool)
@@ -199,8 +231,13 @@ def fit(texts: list[str], toxic_docs: np.ndarray) -> Field:
     if toxic_docs.all() or not toxic_docs.any():
         field.constant = float(toxic_docs.mean())
         return field
-    # documents of each kind that a feature occurs in
+    # documents of each kind that a feature occurs in, and toxic documents that aren't near copies
     in_docs = np.zeros((2, BUCKETS + 1))
+    rows = np.flatnonzero(toxic_docs)
+    block = Block([texts[i] for i in rows])
+    family = families(block, len(rows))
+    pairs = np.unique(family[block.doc].astype(np.int64)[:, None] * (BUCKETS + 1) + token_features(block))
+    apart = np.bincount(pairs % (BUCKETS + 1), minlength=BUCKETS + 1)
     for part in chunks(texts, CHUNK_CHARS):
         block = Block(texts[part])
         features = token_features(block)
@@ -210,7 +247,7 @@ def fit(texts: list[str], toxic_docs: np.ndarray) -> Field:
             in_docs[kind] += np.bincount(feature[toxic_docs[part][doc] == kind], minlength=BUCKETS + 1)
     of_kind = np.array([(~toxic_docs).sum(), toxic_docs.sum()])
     log_odds = np.log((in_docs[1] + 0.5) / (of_kind[1] + 1)) - np.log((in_docs[0] + 0.5) / (of_kind[0] + 1))
-    strong = (log_odds >= LOG_ODDS) & (in_docs[1] >= max(LEAST_DOCS, LEAST_SHARE * of_kind[1]))
+    strong = (log_odds >= LOG_ODDS) & (apart >= LEAST_DOCS)
     strong[BUCKETS] = False
     # the toxic documents and as many others
     others = np.flatnonzero(~toxic_docs)
@@ -235,13 +272,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = labels.select(column(labels, id_col, "long").alias("l_id"), column(labels, label_col, "int").alias("toxic")).dropna()
     known = known.groupBy("l_id").agg(F.max("toxic").alias("toxic"))
     rows = docs.select(column(docs, id_col, "long").alias("doc_id"), F.coalesce(column(docs, text_col, "string"), F.lit("")).alias("text"))
-    # the choice is made among documents that are there; at most sample_docs rows are broadcast
-    chosen = known.join(rows.select(F.col("doc_id").alias("l_id")), "l_id", "left_semi")
-    chosen = chosen.orderBy(F.xxhash64(F.lit("toxicity"), "l_id"), "l_id").limit(sample_docs)
-    sample = rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id")).select("doc_id", "text", "toxic", F.lit(0).alias("one"))
+    # equal texts once; at most sample_docs digests are broadcast
+    digest = F.xxhash64("text")
+    labelled = rows.select("doc_id", digest.alias("c_digest")).join(known, F.col("doc_id") == F.col("l_id"))
+    chosen = labelled.groupBy("c_digest").agg(F.max("toxic").alias("toxic"))
+    chosen = chosen.orderBy(F.xxhash64(F.lit("toxicity"), "c_digest"), "c_digest").limit(sample_docs)
+    sample = rows.withColumn("digest", digest).join(F.broadcast(chosen), F.col("digest") == F.col("c_digest"))
+    sample = sample.select("digest", "text", "toxic").dropDuplicates(["digest"]).withColumn("one", F.lit(0))
 
     def learn(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["doc_id", "text"]).drop_duplicates("text")
+        group = group.sort_values("digest")
         field = fit(group["text"].tolist(), group["toxic"].to_numpy() > 0)
         return pd.DataFrame({"field": [pickle.dumps(field)]})
 
