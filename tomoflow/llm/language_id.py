@@ -43,7 +43,7 @@ BINS = 1 << 16
 MODEL_CELLS = 1 << 24
 SWITCH_PENALTY = 6.0
 FLOOR = -12.0
-CHUNK_CHARS = 1_500_000
+CHUNK_CHARS = 750_000
 
 # The first and last code points of the scripts that are told apart
 SCRIPTS = [

@@ -15,8 +15,8 @@ lifetimes would cross the border (equal ranks go from left to right).
 The trie is kept as its words in sorted order: the sorted list is the depth-first
 order, and the states of the current path are a stack that is cut back to the length
 shared with the word before.  Words that a worker has met are kept, up to
-``MEMO_WORDS``, beyond that only those of the texts at hand; the vocabulary is read from ``tokenizer_path`` by each worker, or
-given as its text where executors don't have the file.
+``MEMO_WORDS``, beyond that only those of the texts at hand; the vocabulary is read from
+``tokenizer_path`` by each worker, or given as its text where executors don't have the file.
 
 Text handling follows the vocabulary file: special tokens' strings are cut out of
 the raw text first, then NFC, white space to a blank, lower case sign by sign, and
@@ -34,6 +34,7 @@ import json
 import os
 import unicodedata
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -45,11 +46,11 @@ from pyspark.sql import functions as F
 from tomoflow.llm.common import column, keeps, small_batches, working
 from tomoflow.llm.signs import arrow_chunks
 
-MEMO_WORDS = 200_000
+MEMO_WORDS = 100_000
 #: Pairs of tokens whose neighbourhood a worker remembers.
-MEMO_PAIRS = 300_000
+MEMO_PAIRS = 100_000
 #: Texts of about so many bytes are encoded together.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 END = "</w>"
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
 #: Signs outside of these ranges may be letters in one Unicode version and none in another.
@@ -97,7 +98,12 @@ class Vocabulary:
         self.special_pattern = regex.compile("|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True)))) if self.specials else None
         self.signs = byte_signs()
         self.bytes_of = {sign: b for b, sign in enumerate(self.signs)}
-        self.library = tokenizers.Tokenizer.from_str(text)
+        self.text = text
+
+    @cached_property
+    def library(self) -> tokenizers.Tokenizer:
+        """Made for the first text that needs it."""
+        return tokenizers.Tokenizer.from_str(self.text)
 
     def words(self, text: str) -> list[str]:
         """The words of a text without special tokens."""
