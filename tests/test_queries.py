@@ -49,9 +49,9 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", ["sweep_stacked_whole", "save_and_reload_whole"])
+@pytest.mark.parametrize("name", ["sweep_stacked", "save_and_reload"])
 def test_every_pixel_is_there(spark, con, name):
-    pixels = con.execute(catalog.ORACLES["save_and_reload_whole"].replace("SELECT angle, det_y, det_x, v FROM vox", "SELECT count(*) FROM vox")).fetchone()[0]
+    pixels = con.execute(catalog.ORACLES["save_and_reload"].replace("SELECT angle, det_y, det_x, v FROM vox", "SELECT count(*) FROM vox")).fetchone()[0]
     got = catalog.QUERIES[name](spark, SMALL)
     assert got.select("angle", "det_y", "det_x").distinct().count() == pixels
 

@@ -7,18 +7,24 @@ of filters and reconstructions follow the published literature.
 
 from __future__ import annotations
 
+import logging
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 from typing import Any
 
 import numpy as np
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
+from tomoflow.functions.columns import finite_or_zero
 from tomoflow.functions.numbers import reconstruction_padding
 from tomoflow.methods import REQUIRED, Method, register
 from tomoflow.operators import aggregate, centre, elementwise, frames, halo, reorient
 from tomoflow.sources.scan import Scan, lines_of, voxels
 
+log = logging.getLogger("tomoflow")
+
 
 def on_pixels(function: Callable) -> Callable:
     """A method on pixels as one on a scan."""
@@ -37,19 +43,35 @@ def on_frames(function: Callable, own_pattern: str | None = None) -> Callable:
     return apply
 
 
-def on_lines_and_calibration(function: Callable) -> Callable:
-    """Data, darks and flats alike; each of them once."""
+def on_lines(function: Callable) -> Callable:
+    """A method on lines as one on a scan."""
 
     def apply(scan: Scan, pattern: str, **parameters) -> Scan:
-        def whole(table):
-            numbered = table.withColumn("angle", F.monotonically_increasing_id() * 0)
-            return lines_of(function(voxels(numbered), **parameters)).select("det_y", F.col("line").cast("array<double>").alias("line"))
-
-        return replace(scan, lines=lines_of(function(voxels(scan.lines), **parameters)), darks=whole(scan.darks), flats=whole(scan.flats))
+        return scan.with_lines(function(scan.lines, **parameters))
 
     return apply
 
 
+def remove_outlier(scan: Scan, pattern: str, dif: float = 0.1, kernel_size: int = 3, axis: str = "det_x") -> Scan:
+    """Data, darks and flats alike; each of them once.
+
+    ``axis`` is that of a running median, or ``cube`` for the median of the cube of
+    kernel_size^3 pixels (of each mean calibration frame: the square).
+    """
+    reach = kernel_size // 2
+    if axis == "det_x":
+        done = [halo.remove_outlier_lines(table, dif, reach) for table in (scan.lines, scan.darks, scan.flats)]
+        return replace(scan, lines=done[0], darks=done[1], flats=done[2])
+    if axis != "cube":
+        return scan.with_lines(lines_of(halo.remove_outlier(voxels(scan.lines), dif, reach, axis)))
+
+    def square(table):
+        frame = elementwise.mean_lines(table).withColumn("angle", F.lit(0))
+        return lines_of(halo.remove_outlier_cube(voxels(frame), dif, reach, ("det_y", "det_x"))).select("det_y", "line")
+
+    return replace(scan, lines=lines_of(halo.remove_outlier_cube(voxels(scan.lines), dif, reach)), darks=square(scan.darks), flats=square(scan.flats))
+
+
 def theta_of(scan: Scan) -> np.ndarray:
     """The angles as an array: as many numbers as the scan has projections."""
     rows = scan.angles.orderBy("angle").select("theta").toPandas()["theta"].to_numpy()
@@ -57,32 +79,31 @@ def theta_of(scan: Scan) -> np.ndarray:
 
 
 def data_reducer(scan: Scan, pattern: str) -> Scan:
-    def mean(table):
-        pixels = aggregate.calibration_mean(table).withColumn("angle", F.lit(0))
-        return lines_of(pixels).select("det_y", "line")
-
-    return replace(scan, darks=mean(scan.darks), flats=mean(scan.flats))
+    return replace(scan, darks=elementwise.mean_lines(scan.darks), flats=elementwise.mean_lines(scan.flats))
 
 
 def normalize(scan: Scan, pattern: str, cutoff: float = 10.0, averaging: str = "mean", minus_log: bool = False, nonnegativity: bool = False, remove_nans: bool = False) -> Scan:
-    pixels = voxels(scan.lines)
-    if remove_nans:
-        pixels = elementwise.clean(pixels)
-    done = elementwise.corrected(pixels, scan.darks, scan.flats, cutoff, minus_log, nonnegativity)
-    return scan.with_lines(lines_of(done))
+    lines = elementwise.clean_lines(scan.lines) if remove_nans else scan.lines
+    pixels = scan.shape[1] * scan.shape[2]
+    return scan.with_lines(elementwise.corrected_lines(lines, scan.darks, scan.flats, cutoff, minus_log, nonnegativity, averaging, pixels))
 
 
 def data_checker(scan: Scan, pattern: str, infsnans_correct: bool = True, zeros_warning: bool = False, data_to_method_name: str = "") -> Scan:
-    if not infsnans_correct:
-        return scan
-    bad = F.exists("line", lambda x: F.isnan(x) | (F.abs(x) == float("inf")))
-    clean = F.transform("line", lambda x: F.when(F.isnan(x) | (F.abs(x) == float("inf")), F.lit(0.0).cast("float")).otherwise(x.cast("float")))
-    return scan.with_lines(scan.lines.withColumn("line", F.when(bad, clean).otherwise(F.col("line").cast("array<float>"))))
+    """Values that aren't finite become 0; ``zeros_warning`` counts zeros on the way (see ``run.warn_of_zeros``)."""
+    if infsnans_correct:
+        bad = F.exists("line", lambda x: F.isnan(x) | (F.abs(x) == float("inf")))
+        scan = scan.with_lines(scan.lines.withColumn("line", F.when(bad, F.transform("line", finite_or_zero)).otherwise(F.col("line"))))
+    if zeros_warning:
+        seen = Observation(f"zeros-{uuid.uuid4().hex}")
+        zeros = F.sum(F.size(F.filter("line", lambda x: x == 0))).alias("zeros")
+        scan = scan.with_lines(scan.lines.observe(seen, zeros, F.sum(F.size("line")).alias("n")))
+        scan = scan.publish(**{f"zeros after {data_to_method_name or 'loading'}": seen})
+    return scan
 
 
 def calculate_stats(scan: Scan, pattern: str) -> Scan:
     """glob_stats: (min, max, mean, n); one action, as later steps take it as plain numbers."""
-    row = aggregate.global_stats(voxels(scan.lines)).first()
+    row = elementwise.line_stats(scan.lines).first()
     return scan.publish(glob_stats=(row["min"], row["max"], row["mean"], row["n"]))
 
 
@@ -91,7 +112,7 @@ def rescale_to_int(scan: Scan, pattern: str, bits: int = 8, glob_stats=None, per
     if glob_stats is not None:
         span = glob_stats[1] - glob_stats[0]
         low, high = glob_stats[0] + span * perc_range_min / 100, glob_stats[0] + span * perc_range_max / 100
-    return scan.with_lines(lines_of(elementwise.rescaled(voxels(scan.lines), bits, low, high)))
+    return scan.with_lines(elementwise.rescaled_lines(scan.lines, bits, low, high))
 
 
 def average_projection_frames(scan: Scan, pattern: str, projection_averaging_factor: int = 2) -> Scan:
@@ -203,16 +224,12 @@ def register_all() -> None:
     add("data_reducer", data_reducer)
     add("normalize", normalize, "projection", calibration)
     add("dark_flat_field_correction", normalize, "projection", calibration)
-    add("minus_log", on_pixels(elementwise.minus_log), parameters={"floor": 1e-6})
+    add("minus_log", on_lines(elementwise.minus_log_lines), parameters={"floor": 1e-6})
     add("data_checker", data_checker, parameters={"infsnans_correct": True, "zeros_warning": False, "data_to_method_name": ""})
     add("calculate_stats", calculate_stats, publishes=("glob_stats",))
     add("rescale_to_int", rescale_to_int, parameters={"bits": 8, "glob_stats": None, "perc_range_min": 0.0, "perc_range_max": 100.0})
-    add(
-        "remove_outlier",
-        on_lines_and_calibration(lambda p, dif=0.1, kernel_size=3, axis="det_x": halo.remove_outlier(p, dif, kernel_size // 2, axis)),
-        "projection",
-        {"dif": 0.1, "kernel_size": 3, "axis": "det_x"},
-    )
+    add("remove_outlier", remove_outlier, "projection", {"dif": 0.1, "kernel_size": 3, "axis": "det_x"})
+    add("remove_outlier3d", lambda scan, pattern, **p: remove_outlier(scan, pattern, axis="cube", **p), "projection", {"dif": 0.1, "kernel_size": 3}, "kernel_size")
     add("median_filter", on_frames(frames.median_2d), parameters={"size": 3})
     add("median_filter3d", on_pixels(lambda p, kernel_size=3: _median_3d(p, kernel_size // 2)), "projection", {"kernel_size": 3}, "kernel_size")
     add("mean_filter3d", on_pixels(lambda p, kernel_size=3: _mean_3d(p, kernel_size // 2)), "projection", {"kernel_size": 3}, "kernel_size")
@@ -236,9 +253,13 @@ def register_all() -> None:
     recon = {"center": None, "recon_size": None, "recon_mask_radius": None, "filter_freq_cutoff": 1.0, "detector_pad": False}
     for name in ("FBP", "FBP2d_astra", "FBP3d_tomobar", "LPRec3d_tomobar"):
         add(name, reconstruction(frames.fbp), "sinogram", recon, save_default=True, memory_factor=6.0)
-    gridrec = recon | {"algorithm": "gridrec", "sinogram_order": True, "init_recon": None}
+    gridrec = recon | {"algorithm": "fbp", "sinogram_order": True, "init_recon": None}
 
-    def recon_by_name(scan: Scan, pattern: str, algorithm: str = "gridrec", sinogram_order: bool = True, init_recon=None, **parameters) -> Scan:
+    def recon_by_name(scan: Scan, pattern: str, algorithm: str = "fbp", sinogram_order: bool = True, init_recon=None, **parameters) -> Scan:
+        if algorithm not in ("fbp", "gridrec") or not sinogram_order or init_recon is not None:
+            raise ValueError("recon is filtered back projection ('fbp'; 'gridrec' is done by it, too) of sinograms, without a start image")
+        if algorithm == "gridrec":
+            log.warning("recon: gridrec isn't built in; filtered back projection is used")
         return reconstruction(frames.fbp)(scan, pattern, **parameters)
 
     add("recon", recon_by_name, "sinogram", gridrec, save_default=True, memory_factor=6.0)
@@ -257,14 +278,7 @@ def _along_axes(pixels, reach: int, combine: Callable):
 
 
 def _median_3d(pixels, reach: int):
-    """Exact median of the cube: its values are gathered axis by axis, then sorted."""
-    for axis in halo.AXES:
-        first = axis == halo.AXES[0]
-        column = F.array("v") if first else F.col("near")
-        pixels = pixels.withColumn("near", column)
-        pixels = pixels.withColumn("near", F.concat(*[halo.neighbour(F.col("near"), o, axis) for o in range(-reach, reach + 1)]))
-    count = (2 * reach + 1) ** 3
-    return pixels.withColumn("v", F.array_sort("near")[count // 2]).drop("near")
+    return halo.cube_median(pixels, reach).withColumn("v", F.col("median")).drop("median")
 
 
 def _mean_3d(pixels, reach: int):

@@ -87,6 +87,9 @@ def remove_stripe_fw(sinogram: np.ndarray, level: int = 3, sigma: float = 2.0, w
     """Combined wavelet and Fourier stripe filter: columns' detail is damped at low frequencies."""
     if wname != "haar":
         raise ValueError("only the Haar wavelet is built in")
+    if pad:  # mirrored beyond both ends of the angles, so that they don't meet in the spectrum
+        edge = max(1, len(sinogram) // 4)
+        return remove_stripe_fw(np.pad(sinogram, ((edge, edge), (0, 0)), mode="reflect" if len(sinogram) > 1 else "edge"), level, sigma, wname, False)[edge : edge + len(sinogram)]
     n, m = sinogram.shape
     step = 1 << level
     # the second axis is split into details; frequencies run along the angles

@@ -79,6 +79,39 @@ def remove_outlier(pixels: DataFrame, difference: float, reach: int = 1, axis: s
     return near.withColumn("v", F.when(F.abs(v - median) > difference, median).otherwise(v)).drop("median")
 
 
+def median_lines(lines: DataFrame, reach: int = 1, column: str = "median") -> DataFrame:
+    """``lines`` with the running medians along det_x, edges repeated, worked out inside each array."""
+    line = F.col("line").cast("array<double>")
+    last = F.size("line") - 1
+
+    def near(i: Column) -> Column:
+        places = [F.least(F.greatest(i + o, F.lit(0)), last) for o in range(-reach, reach + 1)]
+        return median_of([F.get("line", p) for p in places])
+
+    return lines.withColumn("line", line).withColumn(column, F.transform("line", lambda x, i: near(i)))
+
+
+def remove_outlier_lines(lines: DataFrame, difference: float, reach: int = 1) -> DataFrame:
+    """As ``remove_outlier`` along det_x, without a row per pixel."""
+    fixed = F.zip_with("line", "median", lambda v, m: F.when(F.abs(v - m) > difference, m).otherwise(v))
+    return median_lines(lines, reach).withColumn("line", fixed).drop("median")
+
+
+def cube_median(pixels: DataFrame, reach: int = 1, axes: tuple[str, ...] = AXES) -> DataFrame:
+    """``pixels`` with ``median``, exact over the cube: its values are gathered axis by axis, then sorted."""
+    out = pixels.withColumn("near", F.array("v"))
+    for axis in axes:
+        out = out.withColumn("near", F.concat(*[neighbour(F.col("near"), o, axis) for o in range(-reach, reach + 1)]))
+    count = (2 * reach + 1) ** len(axes)
+    return out.withColumn("median", F.array_sort("near")[count // 2]).drop("near")
+
+
+def remove_outlier_cube(pixels: DataFrame, difference: float, reach: int = 1, axes: tuple[str, ...] = AXES) -> DataFrame:
+    """Values further than ``difference`` from the median of the cube around them become it."""
+    v, median = F.col("v"), F.col("median")
+    return cube_median(pixels, reach, axes).withColumn("v", F.when(F.abs(v - median) > difference, median).otherwise(v)).drop("median")
+
+
 def box_sum(pixels: DataFrame, reach: int = 1) -> DataFrame:
     """Sum over the cube of (2 * reach + 1)^3 pixels, one axis after the other."""
     out = pixels

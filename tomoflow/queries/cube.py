@@ -53,6 +53,17 @@ def projections(spark: SparkSession, sf_dir: str) -> tuple[CubeTable, DataFrame]
     return table, voxels(table.lines().where(F.col("image_key") == PROJECTION))
 
 
+def projection_lines(spark: SparkSession, sf_dir: str) -> tuple[CubeTable, DataFrame]:
+    table = cube(spark, sf_dir)
+    return table, table.lines().where(F.col("image_key") == PROJECTION).select("angle", "det_y", "line")
+
+
+def corrected(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    """The corrected projections, line by line."""
+    table, lines = projection_lines(spark, sf_dir)
+    return elementwise.corrected_lines(lines, calibration(table, DARK), calibration(table, FLAT), frame_pixels=table.shape[1] * table.shape[2], **options)
+
+
 def whole(table: CubeTable) -> Preview:
     return parse_preview(None, table.shape)
 
@@ -155,27 +166,24 @@ done AS (
 
 @query(CORRECTED + " SELECT angle, det_y, det_x, round(v, 5) AS v FROM done")
 def flat_field_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table, pixels = projections(spark, sf_dir)
-    return rounded(elementwise.corrected(pixels, calibration(table, DARK), calibration(table, FLAT)), "v")
+    return rounded(voxels(corrected(spark, sf_dir)), "v")
 
 
 @query(CORRECTED + " SELECT angle, round(avg(v), 5) AS mean_v, round(min(v), 5) AS min_v, round(max(v), 5) AS max_v FROM done GROUP BY angle")
 def projection_means(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table, pixels = projections(spark, sf_dir)
-    done = elementwise.corrected(pixels, calibration(table, DARK), calibration(table, FLAT))
-    stats = done.groupBy("angle").agg(F.avg("v").alias("mean_v"), F.min("v").alias("min_v"), F.max("v").alias("max_v"))
+    parts = corrected(spark, sf_dir).select("angle", F.aggregate("line", F.lit(0.0), lambda a, x: a + x).alias("total"), F.size("line").alias("n"), F.array_min("line").alias("low"), F.array_max("line").alias("high"))
+    stats = parts.groupBy("angle").agg((F.sum("total") / F.sum("n")).alias("mean_v"), F.min("low").alias("min_v"), F.max("high").alias("max_v"))
     return rounded(stats, "mean_v", "min_v", "max_v")
 
 
 @query(CORRECTED + " SELECT angle, det_y, det_x, round(-ln(greatest(v, 1e-6)), 5) AS v FROM done")
 def dark_flat_minus_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table, pixels = projections(spark, sf_dir)
-    return rounded(elementwise.corrected(pixels, calibration(table, DARK), calibration(table, FLAT), minus_log=True), "v")
+    return rounded(voxels(corrected(spark, sf_dir, minus_log=True)), "v")
 
 
 @query(" SELECT angle, det_y, det_x, round(-ln(greatest(v, 1e-6)), 5) AS v FROM vox")
 def minus_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(elementwise.minus_log(projections(spark, sf_dir)[1]), "v")
+    return rounded(voxels(elementwise.minus_log_lines(projection_lines(spark, sf_dir)[1])), "v")
 
 
 # every 17th column is made NaN, every 19th infinite
@@ -212,7 +220,7 @@ def sinogram_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(", s AS (SELECT min(v) AS lo, max(v) AS hi FROM vox) SELECT angle, det_y, det_x, floor(255 * ((v - lo) / (hi - lo)))::INT AS v FROM vox, s")
 def rescale_to_int(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return elementwise.rescaled(projections(spark, sf_dir)[1])
+    return voxels(elementwise.rescaled_lines(projection_lines(spark, sf_dir)[1])).withColumn("v", F.col("v").cast("int"))
 
 
 @query(", p AS (SELECT angle, quantile_cont(v, 0.01) AS lo, quantile_cont(v, 0.99) AS hi FROM vox GROUP BY angle) SELECT angle, det_y, det_x, floor(255 * (least(greatest(v, lo), hi) - lo) / (hi - lo))::INT AS v FROM vox JOIN p USING (angle)")
@@ -348,7 +356,20 @@ def median_radius2(spark: SparkSession, sf_dir: str) -> DataFrame:
 m AS (SELECT *, greatest(least(a, v), least(greatest(a, v), b)) AS median FROM around)
 SELECT angle, det_y, det_x, CASE WHEN abs(v - median) > 0.5 THEN median ELSE v END AS v FROM m""")
 def outlier_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return halo.remove_outlier(projections(spark, sf_dir)[1], 0.5)
+    return voxels(halo.remove_outlier_lines(projection_lines(spark, sf_dir)[1], 0.5))
+
+
+NEAR_27 = """, e AS (SELECT max(angle) AS last FROM vox),
+offsets AS (SELECT a.o AS oa, y.o AS oy, x.o AS ox FROM (VALUES (-1), (0), (1)) a(o), (VALUES (-1), (0), (1)) y(o), (VALUES (-1), (0), (1)) x(o)),
+near AS (
+  SELECT p.angle, p.det_y, p.det_x, p.v, q.v AS w FROM vox p, e, offsets
+  JOIN vox q ON q.angle = least(greatest(p.angle + oa, 0), last) AND q.det_y = least(greatest(p.det_y + oy, 0), 9) AND q.det_x = least(greatest(p.det_x + ox, 0), 63)),
+m AS (SELECT angle, det_y, det_x, any_value(v) AS v, median(w) AS median FROM near GROUP BY ALL)"""
+
+
+@query(NEAR_27 + " SELECT angle, det_y, det_x, CASE WHEN abs(v - median) > 0.5 THEN median ELSE v END AS v FROM m")
+def outlier_replace_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return halo.remove_outlier_cube(projections(spark, sf_dir)[1], 0.5).select("angle", "det_y", "det_x", "v")
 
 
 def _box(axis: str, others: str, before: str, name: str) -> str:
@@ -421,16 +442,8 @@ def sweep_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(middle.select("angle", "det_y", "det_x", "v"), "v", digits=6)
 
 
-@query(" SELECT angle, 0 AS sweep_idx, round(v * 0.5, 6) AS v FROM vox WHERE det_y = 5 AND det_x = 7 UNION ALL SELECT angle, 1, round(v * 3, 6) FROM vox WHERE det_y = 5 AND det_x = 7")
-def sweep_stacked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pixels = projections(spark, sf_dir)[1].where("det_y = 5 and det_x = 7")
-    runs = [pixels.select("angle", (F.col("v") * value).alias("v")) for value in (0.5, 3.0)]
-    return rounded(sweep.stacked(runs).select("angle", "sweep_idx", "v"), "v", digits=6)
-
-
 @query(" SELECT angle, det_y, det_x, 0 AS sweep_idx, round(v * 0.5, 6) AS v FROM vox UNION ALL SELECT angle, det_y, det_x, 1, round(v * 3, 6) FROM vox")
-def sweep_stacked_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As sweep_stacked, over every pixel."""
+def sweep_stacked(spark: SparkSession, sf_dir: str) -> DataFrame:
     pixels = projections(spark, sf_dir)[1]
     runs = [pixels.withColumn("v", F.col("v") * value) for value in (0.5, 3.0)]
     return rounded(sweep.stacked(runs).select("angle", "det_y", "det_x", "sweep_idx", "v"), "v", digits=6)
@@ -442,14 +455,8 @@ def linspace_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(values, "value", digits=6)
 
 
-@query(" SELECT angle, det_y, det_x, v FROM vox WHERE angle < 12")
-def save_and_reload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every projection is written and can be read back; the rows are those that the SQL has."""
-    return save_and_reload_whole(spark, sf_dir).where("angle < 12")
-
-
 @query(" SELECT angle, det_y, det_x, v FROM vox")
-def save_and_reload_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def save_and_reload(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An intermediate result written with its angles and extents, and read back."""
     from tomoflow.sources.scan import open_scan
     from tomoflow.sources.sinks import load_scan, save_scan
@@ -465,11 +472,22 @@ def save_and_reload_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh path in the folder that driver and executors share."""
-    import tempfile
+    """A fresh path in the folder that driver and executors share; what is written there goes when the process ends."""
+    import atexit
+    import contextlib
     import uuid
 
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tomoflow-")
-    return f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/shared"
+    path = f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
+    def drop() -> None:
+        with contextlib.suppress(Exception):
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
+    atexit.register(drop)
+    return path

@@ -15,6 +15,7 @@ from dataclasses import dataclass, field, replace
 from typing import Any
 
 from pyspark import StorageLevel
+from pyspark.sql import Observation
 
 from tomoflow.methods import bind, known, spec
 from tomoflow.monitor import Several, timed
@@ -35,6 +36,17 @@ class Settings:
     snapshots: bool = False
     monitors: Several = field(default_factory=lambda: Several([]))
     persist: bool = True
+    #: what a run has persisted; ``release`` gives it back once its result is used
+    held: list = field(default_factory=list)
+
+    def keep(self, scan: Scan) -> Scan:
+        lines = scan.lines.persist(StorageLevel.MEMORY_AND_DISK)
+        self.held.append(lines)
+        return scan.with_lines(lines)
+
+    def release(self) -> None:
+        while self.held:
+            self.held.pop().unpersist()
 
 
 def resolved(step: Step, scan: Scan, published: dict[str, dict[str, Any]]) -> dict[str, Any]:
@@ -112,6 +124,8 @@ def apply_step(step: Step, scan: Scan, settings: Settings, published: dict[str,
         return scan
     if step.method == "save_to_images":
         if settings.out_dir:
+            if parameters.get("file_format") in ("jpeg", "jpg"):
+                raise ValueError("images are written as PGM or PNG; jpeg_quality has no meaning for them")
             axis = parameters.get("axis", "auto")
             axis = AXIS[step.pattern] if axis == "auto" else int(axis)
             stats = scan.side_outputs.get("glob_stats")
@@ -132,7 +146,7 @@ def apply_step(step: Step, scan: Scan, settings: Settings, published: dict[str,
             )
         return scan
     if method.publishes and settings.persist:
-        scan = scan.with_lines(scan.lines.persist(StorageLevel.MEMORY_AND_DISK))
+        scan = settings.keep(scan)
     before = scan.side_outputs
     scan = method.apply(scan, step.pattern, **parameters)
     if step.id and step.side_outputs:
@@ -162,6 +176,25 @@ def inspect(stages: list[Stage]) -> list[str]:
     return out
 
 
+#: Share of zeros above which a check of the data warns.
+ZEROS_SHARE = 0.1
+
+
+def warn_of_zeros(scan: Scan) -> dict[str, float]:
+    """Shares of zeros that the checks counted while the scan was computed; those above ``ZEROS_SHARE`` are logged.
+
+    To be called after an action on the scan's lines: the counts are made on its way.
+    """
+    out = {}
+    for name, seen in scan.side_outputs.items():
+        if isinstance(seen, Observation):
+            counts = seen.get
+            out[name] = (counts["zeros"] or 0) / max(1, counts["n"] or 0)
+            if out[name] > ZEROS_SHARE:
+                log.warning("%s: %.1f %% of the values are 0", name, 100 * out[name])
+    return out
+
+
 def run_pipeline(pipeline: Pipeline, scan: Scan, settings: Settings | None = None) -> Scan:
     """All steps of a pipeline without sweep."""
     settings = settings or Settings()
@@ -177,6 +210,9 @@ def run_pipeline(pipeline: Pipeline, scan: Scan, settings: Settings | None = Non
             for step in stage.steps:
                 with timed() as spent:
                     scan = apply_step(step, scan, settings, published)
+                    if settings.monitors.monitors:  # steps are lazy: to time one, its lines are made
+                        scan = settings.keep(scan)
+                        sinks.discard(scan.lines)
                 settings.monitors.report("method", step.method, str(step.id), step.module, step.pattern, number, spent["s"])
             if settings.snapshots and settings.out_dir:
                 image = sinks.snapshot(scan.lines, scan.shape, stage.pattern)
@@ -196,7 +232,7 @@ def run_sweep(pipeline: Pipeline, scan: Scan, settings: Settings | None = None)
     published: dict[str, dict[str, Any]] = {}
     for step in plan.before:
         scan = apply_step(step, scan, settings, published)
-    scan = scan.with_lines(scan.lines.persist(StorageLevel.MEMORY_AND_DISK))
+    scan = settings.keep(scan)
     from pyspark.sql import functions as F
 
     rows = scan.shape[1]

@@ -25,10 +25,14 @@ def windowed_counts(events: DataFrame, time_col: str, key: str, value: str, widt
     return w.agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total")).select(F.col("w.start").alias("start"), key, "n", "total")
 
 
-def drain(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Run a stream over what is there and give the result table."""
-    query = (
-        stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
+def drain(stream: DataFrame, name: str, checkpoint: str) -> DataFrame:
+    """Run an aggregated stream over what is there; its last complete result is a table beside the checkpoint."""
+    spark, batches = stream.sparkSession, []
+
+    def keep(result: DataFrame, number: int) -> None:
+        batches.append(f"{checkpoint}-{name}/{number}")
+        result.write.mode("overwrite").parquet(batches[-1])
+
+    query = stream.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).parquet(batches[-1]) if batches else spark.createDataFrame([], stream.schema)
