@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 
 from tomoflow.operators import centre, frames
 from tomoflow.plans import check as checks
-from tomoflow.plans.cost import peak_memory, slices_per_batch, stage_memory
+from tomoflow.plans.cost import peak_memory, shuffle_partitions, slices_per_batch, stage_memory
 from tomoflow.plans.model import AXIS, Pipeline
 from tomoflow.plans.parse import parse
 from tomoflow.plans.preview import Frames, UserAngles, parse_preview
 from tomoflow.plans.rules import rewrite
 from tomoflow.plans.stages import plan_stages
-from tomoflow.queries.cube import PROJECTION, cube
+from tomoflow.queries.cube import CUBE, NEAR_27, PROJECTION, cube
 from tomoflow.run import Settings, run_pipeline, run_sweep
 from tomoflow.sources.scan import Scan, open_scan, voxels
 from tomoflow.sources.sinks import images
@@ -91,6 +91,21 @@ def scan_of(spark: SparkSession, sf_dir: str, preview: dict | None = None) -> Sc
     return open_scan(table.lines(), table.shape, parse_preview(asked, table.shape), UserAngles(0.0, 180.0, n), here, here)
 
 
+# SQL: the pixels of the projections, and what ``numbers`` makes of pixels
+VOX = f"WITH {CUBE.strip()}"
+NUMBERS = " SELECT angle, det_y, count(v) AS n, round(sum(v::FLOAT::DOUBLE), 3) + 0.0 AS total, round(max(v::FLOAT::DOUBLE), 3) + 0.0 AS most FROM done GROUP BY ALL"
+
+
+def square(reach: int, own: str, along: str, last: str, name: str = "m") -> str:
+    """Medians over the square around each pixel of a frame of (own index) lines ``along`` and det_x, edges repeated."""
+    offsets = ", ".join(f"({o})" for o in range(-reach, reach + 1))
+    return f""", e AS (SELECT max(angle) AS last FROM vox),
+near AS (
+  SELECT p.angle, p.det_y, p.det_x, p.v, q.v AS w FROM vox p, e, (VALUES {offsets}) a(o), (VALUES {offsets}) b(o)
+  JOIN vox q ON q.{own} = p.{own} AND q.{along} = least(greatest(p.{along} + a.o, 0), {last}) AND q.det_x = least(greatest(p.det_x + b.o, 0), 63)),
+{name} AS (SELECT angle, det_y, det_x, any_value(v) AS v, median(w) AS median FROM near GROUP BY ALL)"""
+
+
 def numbers(lines: DataFrame) -> DataFrame:
     """Each line's extent, sum and greatest value: small enough to compare."""
     pixels = voxels(lines)
@@ -130,6 +145,31 @@ applied("fista_reconstruction", "FISTA3d_tomobar")
 applied("median_filter_3d", "median_filter3d", kernel_size=3)
 
 
+ORACLES["median_filter_2d"] = VOX + square(1, "angle", "det_y", "9") + ", done AS (SELECT angle, det_y, median AS v FROM m)" + NUMBERS
+ORACLES["dezinging_2d"] = VOX + square(1, "angle", "det_y", "9") + ", done AS (SELECT angle, det_y, CASE WHEN abs(v - median) > 0.5 THEN median ELSE v END AS v FROM m)" + NUMBERS
+ORACLES["median_filter_3d"] = VOX + NEAR_27 + ", done AS (SELECT angle, det_y, median AS v FROM m)" + NUMBERS
+ORACLES["stripes_mask"] = (
+    VOX
+    + square(2, "det_y", "angle", "last")
+    + """, gaps AS (SELECT angle, det_y, det_x, abs(v - median) AS gap FROM m),
+levels AS (SELECT det_y, median(gap) AS level FROM gaps GROUP BY det_y),
+often AS (SELECT det_y, det_x, avg(CASE WHEN gap > 3 * level THEN 1.0 ELSE 0.0 END) > 0.7 AS stands_out FROM gaps JOIN levels USING (det_y) GROUP BY ALL),
+done AS (SELECT angle, det_y, stands_out::INT AS v FROM gaps JOIN often USING (det_y, det_x))"""
+    + NUMBERS
+)
+ORACLES["distortion_correction"] = (
+    VOX
+    + """, places AS (
+  SELECT angle, det_y, det_x, least(greatest((det_x - 32.0) * f + 32.0, 0), 63) AS px, least(greatest((det_y - 5.0) * f + 5.0, 0), 9) AS py
+  FROM (SELECT *, 1.0 + 1e-4 * sqrt((det_x - 32.0) * (det_x - 32.0) + (det_y - 5.0) * (det_y - 5.0)) AS f FROM vox)),
+corners AS (SELECT *, least(floor(px), 62)::INT AS x0, least(floor(py), 8)::INT AS y0 FROM places),
+done AS (
+  SELECT c.angle, c.det_y, sum(v.v * (CASE WHEN v.det_x = x0 THEN 1 - (px - x0) ELSE px - x0 END) * (CASE WHEN v.det_y = y0 THEN 1 - (py - y0) ELSE py - y0 END)) AS v
+  FROM corners c JOIN vox v ON v.angle = c.angle AND v.det_x IN (x0, x0 + 1) AND v.det_y IN (y0, y0 + 1) GROUP BY c.angle, c.det_y, c.det_x)"""
+    + NUMBERS
+)
+
+
 @query
 def find_centers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The four searches for the centre of rotation, on one sinogram or two projections."""
@@ -155,6 +195,18 @@ def pipeline_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "pipeline string, " + checks.SCHEMA)
 
 
+ORACLES["pipeline_check"] = """
+WITH rules(rule) AS (VALUES
+  ('syntax'), ('duplicate_key'), ('keys'), ('loader_first'), ('method_exists'), ('parameter_known'), ('required_given'), ('names_text'), ('no_required_left'),
+  ('no_images_after_sweep'), ('id_side_outputs'), ('id_unique'), ('reference_form'), ('reference_id'), ('reference_name'), ('one_sweep'), ('sweep_no_side_outputs'), ('seam_order')),
+broken(rule, step, message) AS (VALUES
+  ('keys', 1, 'key ''parameters'' is missing'), ('loader_first', 0, 'the first step has to be a loader'), ('method_exists', 1, 'unknown method ''no_such_method'''),
+  ('id_side_outputs', 2, 'a step with an id declares side outputs'), ('reference_id', 2, 'no step ''nowhere'' before'))
+SELECT 'good' AS pipeline, rule, -1 AS step, true AS ok, '' AS message FROM rules
+UNION ALL
+SELECT 'broken', rule, coalesce(step, -1), step IS NULL, coalesce(message, '') FROM rules LEFT JOIN broken USING (rule)"""
+
+
 def staged(pipeline: Pipeline):
     return plan_stages(rewrite(pipeline))
 
@@ -167,9 +219,32 @@ def plan_stages_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "stage int, pattern string, padding int, last boolean, place int, method string")
 
 
+ORACLES["plan_stages_table"] = """
+WITH steps(stage, pattern, padding, last, place, method) AS (VALUES
+  (0, 'projection', 0, false, 0, 'data_reducer'), (0, 'projection', 0, false, 1, 'remove_outlier'), (0, 'projection', 0, false, 2, 'data_checker'),
+  (0, 'projection', 0, false, 3, 'normalize'), (0, 'projection', 0, false, 4, 'data_checker'),
+  (1, 'sinogram', 0, false, 0, 'remove_stripe_based_sorting'), (1, 'sinogram', 0, false, 1, 'data_checker'), (1, 'sinogram', 0, false, 2, 'find_center_vo'),
+  (2, 'sinogram', 0, false, 0, 'FBP'), (2, 'sinogram', 0, false, 1, 'save_intermediate_data'), (2, 'sinogram', 0, false, 2, 'data_checker'), (2, 'sinogram', 0, false, 3, 'calculate_stats'),
+  (3, 'sinogram', 0, true, 0, 'rescale_to_int'))
+SELECT * FROM steps"""
+
+
+ORACLES["memory_estimate"] = """
+WITH shares AS (SELECT unnest([1, 2, 4, 8]) AS parts),
+stages(stage, n, y, x, out_n, along_angles, moves, factor) AS (VALUES
+  (0, 1800, 2160, 2560, 1800, true, true, 2.0), (1, 1800, 2160, 2560, 1800, false, false, 2.0), (2, 1800, 2160, 2560, 2560, false, false, 6.0), (3, 2560, 2160, 2560, 2560, false, false, 2.0)),
+bytes AS (
+  SELECT parts, stage, 4::BIGINT * n * y * x // parts AS input_bytes, 4::BIGINT * out_n * y * x // parts AS output_bytes,
+         CASE WHEN moves THEN 4::BIGINT * out_n * y * x ELSE 0 END AS moved_bytes, CASE WHEN along_angles THEN n ELSE y END AS length, 4::BIGINT * n * y * x // CASE WHEN along_angles THEN n ELSE y END AS frame, factor
+  FROM shares, stages)
+SELECT parts, stage, input_bytes, output_bytes, moved_bytes, ceil(moved_bytes / 134217728.0)::INT AS shuffle_partitions,
+       max(input_bytes + output_bytes) OVER (PARTITION BY parts) AS peak_bytes, greatest(1, least(length, floor(8589934592 / (frame * (1 + factor)))))::INT AS batch
+FROM bytes"""
+
+
 @query
 def memory_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bytes of each stage's share for one to eight shares of a scan of 1800 x 2160 x 2560."""
+    """Bytes of each stage's share for one to eight shares of a scan of 1800 x 2160 x 2560, and the partitions its exchange wants."""
     _, stages = staged(parse(EXAMPLE))
     rows, shape = [], (1800, 2160, 2560)
     for parts in (1, 2, 4, 8):
@@ -177,9 +252,9 @@ def memory_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
         for i, stage in enumerate(stages):
             e = stage_memory(stages, i, now, parts)
             frame = 4 * int(np.prod(now)) // now[AXIS[stage.pattern]]
-            rows.append((parts, i, e.input_bytes, e.output_bytes, e.exchange_bytes, peak, slices_per_batch(stage, frame, 8 << 30, now[AXIS[stage.pattern]])))
+            rows.append((parts, i, e.input_bytes, e.output_bytes, e.moved_bytes, shuffle_partitions(e.moved_bytes), peak, slices_per_batch(stage, frame, 8 << 30, now[AXIS[stage.pattern]])))
             now = e.output_shape
-    return spark.createDataFrame(rows, "parts int, stage int, input_bytes long, output_bytes long, exchange_bytes long, peak_bytes long, batch int")
+    return spark.createDataFrame(rows, "parts int, stage int, input_bytes long, output_bytes long, moved_bytes long, shuffle_partitions int, peak_bytes long, batch int")
 
 
 @query
