@@ -46,11 +46,11 @@ from pyspark.sql import functions as F
 from tomoflow.llm.common import column, keeps, small_batches, working
 from tomoflow.llm.signs import arrow_chunks
 
-MEMO_WORDS = 100_000
+MEMO_WORDS = 50_000
 #: Pairs of tokens whose neighbourhood a worker remembers.
-MEMO_PAIRS = 100_000
+MEMO_PAIRS = 50_000
 #: Texts of about so many bytes are encoded together.
-CHUNK_BYTES = 1_000_000
+CHUNK_BYTES = 500_000
 END = "</w>"
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
 #: Signs outside of these ranges may be letters in one Unicode version and none in another.
