@@ -12,7 +12,6 @@ from tomoflow.monitor import make_monitors
 from tomoflow.plans import check as checks
 from tomoflow.plans.cost import peak_memory
 from tomoflow.plans.parse import parse, read_text
-from tomoflow.plans.preview import Frames, continuous_subset, parse_angles, parse_frames, parse_preview, sweep_preview
 from tomoflow.plans.rules import rewrite
 from tomoflow.plans.stages import plan_stages
 
@@ -46,25 +45,24 @@ def arguments(argv: list[str]) -> argparse.Namespace:
     return parser.parse_args(argv)
 
 
+def session():
+    from pyspark.sql import SparkSession
+
+    return SparkSession.builder.appName("tomoflow").getOrCreate()
+
+
 def run(spark, data: str, pipeline: str, out_dir: str, options: argparse.Namespace):
     """Run a pipeline; gives the scan."""
     from tomoflow.run import Settings, run_pipeline, run_sweep
-    from tomoflow.sources.scan import CubeTable, open_scan
+    from tomoflow.sources import declared
 
     plan = rewrite(parse(pipeline, options.lists_are_sweeps), options.save_all, options.sweep_bits)
-    given = plan.loader.parameters
-    table = CubeTable(spark.read.parquet(data), given.get("key", "vec_id"), given.get("data_path", "embedding"), options.rows)
-    preview = parse_preview(given.get("preview"), table.shape)
-    subset = given.get("continuous_scan_subset")
+    if "standard_tomo" not in plan.loader.method:
+        raise NotImplementedError(f"there is no loader {plan.loader.method!r}")
+    subset = None
     if options.subset_start is not None or options.subset_stop is not None:
-        subset = {"start": options.subset_start or 0, "stop": options.subset_stop or table.shape[0]}
-    preview = continuous_subset(preview, subset)
-    if plan.sweeps:
-        preview = sweep_preview(preview, table.shape[1])
-    angles = parse_angles(given["rotation_angles"]) if "rotation_angles" in given else None
-    default = Frames("", "data", "image_key")
-    frames = [parse_frames(given.get(k), default) for k in ("darks", "flats")]
-    scan = open_scan(table.lines(), table.shape, preview, angles if angles and hasattr(angles, "n") else None, *frames)
+        subset = {"start": options.subset_start, "stop": options.subset_stop}
+    scan = declared.load(spark, data, plan.loader.parameters, options.rows, subset, bool(plan.sweeps))
     monitors = make_monitors(options.monitor)
     settings = Settings(out_dir, options.save_all, options.snapshots, monitors)
     scan = (run_sweep if plan.sweeps else run_pipeline)(plan, scan, settings)
@@ -76,7 +74,12 @@ def main(argv: list[str] | None = None) -> int:
     options = arguments(sys.argv[1:] if argv is None else argv)
     log.setup(options.log_dir if options.command == "run" else None)
     if options.command == "check":
-        findings = checks.check(options.pipeline)
+        columns = None
+        if options.data:
+            from tomoflow.sources.declared import columns_of
+
+            columns = columns_of(session(), options.data)
+        findings = checks.check(options.pipeline, columns)
         for f in findings:
             if not f.ok:
                 print(f"{f.rule}, step {f.step}: {f.message}")
@@ -86,9 +89,7 @@ def main(argv: list[str] | None = None) -> int:
         peak = peak_memory(stages, tuple(options.shape), options.parts)
         print(f"{peak * options.parts / 2**30:.3f} GiB in all, {peak / 2**30:.3f} GiB a share")
         return int(bool(options.limit) and peak >= options.limit)
-    from pyspark.sql import SparkSession
-
-    spark = SparkSession.builder.appName("tomoflow").getOrCreate()
+    spark = session()
     scan = run(spark, options.data, options.pipeline, options.out_dir, options)
     from tomoflow.sources.sinks import discard, pipeline_copy
 

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tomoflow.functions.columns import linspace
 from tomoflow.functions.numbers import arange
 from tomoflow.operators import aggregate, elementwise, halo, reorient, sweep
 from tomoflow.plans.model import Preview
-from tomoflow.plans.preview import UserAngles, continuous_subset, parse_preview, sweep_preview
+from tomoflow.plans.preview import Frames, StoredAngles, UserAngles, continuous_subset, parse_preview, sweep_preview
+from tomoflow.sources.declared import declared_scan, lines_from
 from tomoflow.sources.scan import DARK, FLAT, PROJECTION, CubeTable, crop, dummy_frames, frames_of, renumbered, user_angles, voxels
 
 ROWS = 10
@@ -31,8 +32,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+class SampleCube(CubeTable):
+    """The driver's vectors as a scan; its table has no image key, so these queries set one."""
+
+    def default_image_key(self, angle: Column) -> Column:
+        """The last fifth of the angles are calibration frames: flats, then darks."""
+        n = self.shape[0]
+        return F.when(angle < 0.8 * n, PROJECTION).when(angle < 0.9 * n, FLAT).otherwise(DARK)
+
+
 def cube(spark: SparkSession, sf_dir: str) -> CubeTable:
-    return CubeTable(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding", ROWS)
+    return SampleCube(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding", ROWS)
 
 
 def query(sql: str | None):
@@ -491,3 +501,59 @@ def scratch(spark: SparkSession, label: str) -> str:
 
     atexit.register(drop)
     return path
+
+
+# A scan whose calibration frames lie between its projections, with an angle of its own for each frame
+STORED = """, k AS (SELECT (vec_id // 10)::INT AS a, (vec_id % 10)::INT AS det_y, embedding AS line FROM embeddings)"""
+
+
+def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    angle = F.expr(f"vec_id div {ROWS}").cast("int")
+    return table.select(
+        angle.alias("angle"),
+        (F.col("vec_id") % ROWS).cast("int").alias("det_y"),
+        F.when(angle % 5 == 2, DARK).when(angle % 5 == 4, FLAT).otherwise(PROJECTION).alias("image_key"),
+        (angle * 0.25 + 1.0).alias("rotation_angle"),
+        F.col("embedding").alias("line"),
+    )
+
+
+def first_mean(frames: DataFrame, name: str) -> DataFrame:
+    return frames.groupBy("det_y").agg(F.round(F.avg(F.col("line")[0].cast("double")), 6).alias(name))
+
+
+@query(f"""{STORED},
+p AS (SELECT a, (row_number() OVER (ORDER BY a) - 1)::INT AS angle FROM (SELECT DISTINCT a FROM k WHERE a % 5 NOT IN (2, 4))),
+d AS (SELECT det_y, round(avg(line[1]::DOUBLE), 6) AS dark FROM k WHERE a % 5 = 2 GROUP BY det_y),
+f AS (SELECT det_y, round(avg(line[1]::DOUBLE), 6) AS flat FROM k WHERE a % 5 = 4 GROUP BY det_y)
+SELECT angle, det_y, round(radians(0.25 * a + 1.0), 9) AS theta, round(line[1]::DOUBLE, 6) AS v, dark, flat
+FROM k JOIN p USING (a) JOIN d USING (det_y) JOIN f USING (det_y)""")
+def stored_angles_interleaved_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = lines_from(stored(spark, sf_dir), "line", "image_key", "rotation_angle")
+    scan = declared_scan(lines, {"data_path": "line"}, StoredAngles("rotation_angle"), "image_key")
+    rows = scan.lines.select("angle", "det_y", F.round(F.col("line")[0].cast("double"), 6).alias("v"))
+    angles = scan.angles.withColumn("theta", F.round("theta", 9))
+    return rows.join(angles, "angle").join(first_mean(scan.darks, "dark"), "det_y").join(first_mean(scan.flats, "flat"), "det_y")
+
+
+@query(f"""{STORED},
+p AS (SELECT a, (row_number() OVER (ORDER BY a) - 1)::INT AS angle FROM (SELECT DISTINCT a FROM k WHERE a % 5 NOT IN (2, 4) AND a >= 3)),
+d AS (SELECT det_y, round(avg(line[3]::DOUBLE), 6) AS dark FROM k WHERE a % 3 = 0 GROUP BY det_y)
+SELECT angle, det_y, round(radians(0.25 * a + 1.0), 9) AS theta, round(line[3]::DOUBLE, 6) AS v, dark, 1.0::DOUBLE AS flat
+FROM k JOIN p USING (a) JOIN d USING (det_y) WHERE det_y >= 1""")
+def calibration_of_other_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = stored(spark, sf_dir)
+    given = {
+        "data_path": "line",
+        "darks": {"file": "darks", "data_path": "line"},
+        "flats": "ignore",
+        "preview": {"angles": {"start": 3}, "detector_y": {"start": 1}, "detector_x": {"start": 2}},
+    }
+    others = {Frames("darks", "line"): lines_from(table.where(F.col("angle") % 3 == 0), "line")}
+    lines = lines_from(table, "line", "image_key", "rotation_angle")
+    scan = declared_scan(lines, given, StoredAngles("rotation_angle"), "image_key", others)
+    rows = scan.lines.select("angle", "det_y", F.round(F.col("line")[0].cast("double"), 6).alias("v"))
+    flats = first_mean(scan.flats.withColumn("det_y", F.col("det_y") + scan.origin[1]), "flat")
+    angles = scan.angles.withColumn("theta", F.round("theta", 9))
+    return rows.join(angles, "angle").join(first_mean(scan.darks, "dark"), "det_y").join(flats, "det_y")

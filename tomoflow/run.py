@@ -176,6 +176,16 @@ def inspect(stages: list[Stage]) -> list[str]:
     return out
 
 
+#: Methods that leave the data as they are; snapshots are never named after them. Fixed values.
+WITHOUT_IMAGE = ("data_checker", "calculate_stats", "find_center", "find_center_360", "find_center_pc", "find_center_vo", "save_intermediate_data")
+
+
+def snapshot_name(stage: Stage) -> str | None:
+    """The stage's last method that changes the data; None where no step does."""
+    changing = [s.method for s in stage.steps if s.method not in WITHOUT_IMAGE]
+    return changing[-1] if changing else None
+
+
 #: Share of zeros above which a check of the data warns.
 ZEROS_SHARE = 0.1
 
@@ -214,9 +224,10 @@ def run_pipeline(pipeline: Pipeline, scan: Scan, settings: Settings | None = Non
                         scan = settings.keep(scan)
                         sinks.discard(scan.lines)
                 settings.monitors.report("method", step.method, str(step.id), step.module, step.pattern, number, spent["s"])
-            if settings.snapshots and settings.out_dir:
+            last = snapshot_name(stage)
+            if settings.snapshots and settings.out_dir and last:
                 image = sinks.snapshot(scan.lines, scan.shape, stage.pattern)
-                image.write.mode("overwrite").parquet(f"{settings.out_dir}/snapshots/{number}")
+                image.write.mode("overwrite").parquet(f"{settings.out_dir}/snapshots/{number}_{last}")
     settings.monitors.total(whole["s"])
     return scan
 

@@ -96,12 +96,12 @@ def open_scan(
     angles: DataFrame | UserAngles | None = None,
     darks: Frames | None = None,
     flats: Frames | None = None,
-    others: dict[str, DataFrame] | None = None,
+    others: dict[str | Frames, DataFrame] | None = None,
 ) -> Scan:
     """The scan of a preview.  ``lines`` has an ``image_key``; frames other than projections never are data.
 
     ``darks`` and ``flats`` say where calibration frames lie (``file`` "" is the scan
-    itself, other files are found in ``others``); None ignores them.
+    itself, the lines of others are found in ``others``, by file or by place); None ignores them.
     """
     spark, others = lines.sparkSession, others or {}
     data = crop(lines.where(F.col("image_key") == PROJECTION), preview).select("angle", "det_y", "line")
@@ -116,7 +116,7 @@ def open_scan(
     def read(where: Frames | None, how: str, key: int, value: float) -> DataFrame:
         if how == "dummy" or where is None:
             return dummy_frames(spark, value, *rows)
-        table = others[where.file] if where.file else lines
+        table = (others[where] if where in others else others[where.file]) if where.file else lines
         if where.file and where.image_key is None and how == "separate":
             table = table.withColumn("image_key", F.lit(key))
         return frames_of(table, key, preview)
@@ -131,8 +131,8 @@ class CubeTable:
 
     def __init__(self, table: DataFrame, key: str, line: str, rows: int):
         self.table, self.key, self.line, self.rows = table, key, line, rows
-        last = table.agg(F.max(key).alias("last"), F.first(F.size(line)).alias("width")).first()
-        self.shape = (last["last"] // rows + 1, rows, last["width"]) if last["last"] is not None else (0, rows, 0)
+        last = table.agg(F.max(key)).first()[0]
+        self.shape = (last // rows + 1, rows, table.select(F.size(line)).first()[0]) if last is not None else (0, rows, 0)
 
     def lines(self, preview: Preview | None = None, image_key: Column | None = None) -> DataFrame:
         """angle, det_y, image_key, line.  A preview's angles are a range of the stored key."""
@@ -145,17 +145,23 @@ class CubeTable:
         return table.select(a.alias("angle"), (F.col(self.key) % self.rows).cast("int").alias("det_y"), key.alias("image_key"), F.col(self.line).alias("line"))
 
     def default_image_key(self, angle: Column) -> Column:
-        """The last fifth of the angles are calibration frames: flats, then darks."""
-        n = self.shape[0]
-        return F.when(angle < 0.8 * n, PROJECTION).when(angle < 0.9 * n, FLAT).otherwise(DARK)
+        """What frames are where the table doesn't say: projections."""
+        return F.lit(PROJECTION)
 
     def angle_table(self) -> DataFrame:
         n = self.shape[0]
         return user_angles(self.table.sparkSession, UserAngles(0.0, 180.0, n))
 
 
-def hdf5_lines(spark: SparkSession, path: str, data_path: str, image_key_path: str | None = None, frames_per_task: int = 16) -> DataFrame:
-    """Lines of an HDF5 file that all executors can open; needs h5py there."""
+def hdf5_lines(
+    spark: SparkSession,
+    path: str,
+    data_path: str,
+    image_key_path: str | None = None,
+    angles_path: str | None = None,
+    frames_per_task: int = 16,
+) -> DataFrame:
+    """Lines of an HDF5 file that all executors can open, with stored angles in degrees; needs h5py there."""
     import h5py
 
     with h5py.File(path) as file:
@@ -168,14 +174,17 @@ def hdf5_lines(spark: SparkSession, path: str, data_path: str, image_key_path: s
         with h5py.File(path) as file:
             data = file[data_path]
             keys = file[image_key_path] if image_key_path else None
+            stored = file[angles_path] if angles_path else None
             for batch in batches:
                 for angle in batch["id"].tolist():
                     frame = data[angle].astype("float32")
                     key = int(keys[angle]) if keys is not None else PROJECTION
-                    yield pd.DataFrame({"angle": angle, "det_y": range(len(frame)), "image_key": key, "line": list(frame)})
+                    degrees = float(stored[angle]) if stored is not None else None
+                    rows = {"angle": angle, "det_y": range(len(frame)), "image_key": key, "line": list(frame), "degrees": degrees}
+                    yield pd.DataFrame(rows).astype({"degrees": "float64"})
 
     numbers = spark.range(0, frames, 1, max(1, frames // frames_per_task))
-    return numbers.mapInPandas(read, "angle int, det_y int, image_key int, line array<float>")
+    return numbers.mapInPandas(read, "angle int, det_y int, image_key int, line array<float>, degrees double")
 
 
 def hdf5_members(path: str) -> dict[str, Any]:
@@ -189,6 +198,15 @@ def hdf5_members(path: str) -> dict[str, Any]:
         return members(file)
 
 
+def hdf5_columns(members: dict[str, Any], prefix: str = "") -> list[str]:
+    """The paths of all data sets, with and without the leading slash."""
+    out: list[str] = []
+    for name, below in members.items():
+        path = f"{prefix}/{name}"
+        out += hdf5_columns(below, path) if isinstance(below, dict) else [path, path[1:]]
+    return out
+
+
 #: Where a scan's parts lie below its entry. Fixed values.
 ENTRY_PATHS = {"data_path": "data/data", "rotation_angles": "data/rotation_angle", "image_key_path": "instrument/detector/image_key"}
 
