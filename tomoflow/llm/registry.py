@@ -1,4 +1,4 @@
-"""The thin queries of the ten operators, each over its whole table, and their SQL."""
+"""The thin queries of the operators, each over its whole table, and their SQL."""
 
 from __future__ import annotations
 
@@ -6,7 +6,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tomoflow.llm import exact_dedup, jaccard_join, language_id, lm_scoring, mixing, token_files, top_k, toxicity, url_filter, word_bpe
+from tomoflow.llm import (
+    collocations,
+    exact_dedup,
+    fill_in_middle,
+    jaccard_join,
+    language_id,
+    lm_scoring,
+    mixing,
+    simhash,
+    token_files,
+    top_k,
+    toxicity,
+    url_filter,
+    word_bpe,
+)
 from tomoflow.llm.common import SPACE, load, remainder, scratch_path
 
 
@@ -65,6 +79,19 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_documents(spark, path)
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = simhash.near_duplicates(load(spark, sf_dir, "documents"))
+    return rows.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.digests(fill_in_middle.fill_in_middle(load(spark, sf_dir, "documents")))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(load(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_top_k": op2_top_k,
@@ -76,6 +103,9 @@ QUERIES = {
     "op8_word_bpe": op8_word_bpe,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_token_files": op10_token_files,
+    "op11_simhash": op11_simhash,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLES = {
@@ -87,4 +117,6 @@ WITH shas AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '{SPACE}'
 SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
        row_number() OVER (PARTITION BY text_sha256 ORDER BY doc_id NULLS LAST) = 1 AS kept, text_sha256
 FROM shas WINDOW same AS (PARTITION BY text_sha256)""",
+    "op12_fill_in_middle": fill_in_middle.oracle_sql(),
+    "op13_collocations": collocations.oracle_sql(),
 }
