@@ -6,7 +6,7 @@ tabs into words.  Phrases are runs of 2 to ``longest`` (4) words within a piece;
 
 1. Words are counted by language, tasks first.  Of words that occur ``least`` times a table of
    levels (a quarter of an octave of their counts) is made, one byte a slot, slots by hash.
-   It goes to all tasks: it grows with the frequent words up to ``MOST_SLOTS`` (64 MB) and stays
+   It goes to all tasks: it grows with the frequent words up to ``most_slots`` (64 MB) and stays
    there; a slot that words share has the highest level.  A word of an empty slot is infrequent.
 2. Words are in an order: level, then hash.  A phrase belongs to its first word that is lowest
    in it - the *pivot*, up to a quarter of an octave and to shared slots its rarest word.
@@ -18,14 +18,14 @@ tabs into words.  Phrases are runs of 2 to ``longest`` (4) words within a piece;
    the task that reads the texts, before anything moves.
 4. Fragments go to the partition of their pivot.  There the phrases that hold the pivot are
    counted, by a hash aggregation that spills and whose keys begin with those of the exchange.
-   A pivot of more than ``SALT`` occurrences is spread over several salts, by fragment; only its
+   A pivot of more than ``salt`` occurrences is spread over several salts, by fragment; only its
    phrases are summed once more.
 5. A candidate of a occurrences, cut after k words into parts of l and r, scores
    floor(2000000 * a / (l + r)) at its lowest cut; products are decimals of 38 digits.  A
    candidate inside a longer one with 80 % or more of its occurrences is dropped.  The first
    ``top`` (2000) of each language are ranked; tasks pass no more than these on.
 
-A text is read in chunks of about ``CHUNK_BYTES`` that end where a piece ends.
+A text is read in chunks of about ``chunk_bytes`` that end where a piece ends.
 
 Defined results
   * null text counts as empty; null language as ``und``.
@@ -38,6 +38,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -53,25 +54,34 @@ LEAST, LONGEST, TOP = 30, 4, 2000
 SCALE = 1_000_000
 #: A candidate goes if a longer one has so many hundredths of its occurrences.
 WITHIN = 80
-#: Occurrences of a pivot for each of its salts.
-SALT = 1 << 15
-#: Slots of the table of levels for each frequent word, and of the largest table.
-SLOTS_A_WORD = 16
-MOST_SLOTS = 1 << 26
-CHUNK_BYTES = 1 << 22
-#: Fragments and words that a task holds before it passes them on.
-HELD_FRAGMENTS, HELD_WORDS = 400_000, 300_000
+
+
+@dataclass(frozen=True)
+class Bounds:
+    """What a task or a partition holds; results don't depend on it."""
+
+    #: occurrences of a pivot for each of its salts
+    salt: int = 1 << 15
+    #: slots of the table of levels for each frequent word, and of the largest table
+    slots_a_word: int = 16
+    most_slots: int = 1 << 26
+    #: text that is cut into words at once
+    chunk_bytes: int = 1 << 22
+    #: fragments and words that a task holds before it passes them on
+    held_fragments: int = 400_000
+    held_words: int = 300_000
+
 
 #: A-Z lower-cased, tabs as blanks, every end of a piece as a full stop.
 _PLAIN = bytes(b + 32 if 65 <= b <= 90 else 32 if b == 9 else 46 if b in b",;:!?\n\x0b\x0c\r" else b for b in range(256))
 
 
-def pieces(data: bytes) -> Iterator[bytes]:
+def pieces(data: bytes, chunk_bytes: int) -> Iterator[bytes]:
     """Chunks of the text, prepared: words and full stops between blanks; a chunk ends where a piece ends."""
     data = data.translate(_PLAIN)
     at = 0
     while at < len(data):
-        stop = len(data) if len(data) - at <= CHUNK_BYTES else data.find(b".", at + CHUNK_BYTES)
+        stop = len(data) if len(data) - at <= chunk_bytes else data.find(b".", at + chunk_bytes)
         stop = len(data) if stop < 0 else stop
         yield data[at:stop].replace(b".", b" . ")
         at = stop
@@ -87,23 +97,23 @@ def _texts(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
     return docs.select(lang.alias("lang"), text.alias("data"))
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
+def _chunks(batches: Iterator[pa.RecordBatch], chunk_bytes: int) -> Iterator[tuple[str, bytes]]:
     """Language and prepared text: whole texts joined to chunks, long ones apart."""
     held: dict[str, list[bytes]] = {}
     sizes: Counter = Counter()
     for batch in batches:
         for lang, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            for chunk in pieces(data.as_py()):
+            for chunk in pieces(data.as_py(), chunk_bytes):
                 held.setdefault(lang, []).append(chunk)
                 sizes[lang] += len(chunk)
-                if sizes[lang] >= CHUNK_BYTES:
+                if sizes[lang] >= chunk_bytes:
                     yield lang, b" . ".join(held.pop(lang))
                     del sizes[lang]
     for lang, chunks in held.items():
         yield lang, b" . ".join(chunks)
 
 
-def word_counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
+def word_counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", bounds: Bounds = Bounds()) -> DataFrame:
     """lang, word, n: occurrences of every word of every language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,11 +125,11 @@ def word_counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text")
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), words, pa.array(list(own.values()), pa.int64())], ["lang", "word", "n"])
             counts.clear()
 
-        for lang, chunk in _chunks(batches):
+        for lang, chunk in _chunks(batches, bounds.chunk_bytes):
             own = counts.setdefault(lang, Counter())
             own.update(chunk.split())
             own.pop(b".", None)
-            if sum(map(len, counts.values())) > HELD_WORDS:
+            if sum(map(len, counts.values())) > bounds.held_words:
                 yield from flushed()
         yield from flushed()
 
@@ -143,17 +153,17 @@ class Levels:
         return level << 56 | h >> 8 if level else 0
 
 
-def salts(level: np.ndarray) -> np.ndarray:
-    """Number of salts of a pivot by its level: the next power of two of occurrences over ``SALT``."""
-    octaves = np.ceil((level.astype(float) + 1) / 4 - np.log2(SALT))
+def salts(level: np.ndarray, salt: int) -> np.ndarray:
+    """Number of salts of a pivot by its level: the next power of two of occurrences over ``salt``."""
+    octaves = np.ceil((level.astype(float) + 1) / 4 - np.log2(salt))
     return (1 << np.maximum(0, octaves).astype(np.int64)).astype(np.int64)
 
 
-def word_levels(frequent: DataFrame):
+def word_levels(frequent: DataFrame, bounds: Bounds = Bounds()):
     """Broadcast slots of the words (lang, word, n): made in tasks, the higher level of two stays."""
-    size = 1 << 12
+    size = min(1 << 12, bounds.most_slots)
     n_words = frequent.count()
-    while size < min(MOST_SLOTS, SLOTS_A_WORD * n_words):
+    while size < min(bounds.most_slots, bounds.slots_a_word * n_words):
         size *= 2
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,7 +235,7 @@ def _joined(rows: np.ndarray, words: pa.Array) -> pa.Array:
     return pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.binary()), null_handling="skip")
 
 
-def fragments(docs: DataFrame, levels, longest: int = LONGEST, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
+def fragments(docs: DataFrame, levels, longest: int = LONGEST, lang_col: str = "lang", text_col: str = "text", bounds: Bounds = Bounds()) -> DataFrame:
     """lang, pivot, salt, salts, before, words, n: each task's distinct fragments of each pivot."""
     reach = longest - 1
     names = ["lang", "pivot", "salt", "salts", "before", "words", "n"]
@@ -249,20 +259,20 @@ def fragments(docs: DataFrame, levels, longest: int = LONGEST, lang_col: str = "
             for at in range(0, len(rows), 50_000):
                 few = rows[at : at + 50_000]
                 joined = _joined(few, words)
-                of = salts(level[few[:, reach]])
+                of = salts(level[few[:, reach]], bounds.salt)
                 mixed = few.astype(np.int64) @ (2 * np.arange(few.shape[1]) + 1) if (of > 1).any() else np.zeros(len(few), np.int64)
                 before = (few[:, :reach] > 0).sum(axis=1).astype(np.int32)
                 columns = [pa.array([lang] * len(few), pa.string()), words.take(pa.array(few[:, reach])), pa.array(mixed % of, pa.int64()), pa.array(of), pa.array(before), joined, pa.array(n[at : at + 50_000])]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-        for lang, chunk in _chunks(batches):
+        for lang, chunk in _chunks(batches, bounds.chunk_bytes):
             own = known.setdefault(lang, Words(lang, table))
             tokens = chunk.split()
             ids = np.fromiter(map(own.__getitem__, tokens), np.int32, len(tokens))
             del tokens
             rows = fragments_of(ids, np.array(own.keys_, np.uint64), reach)
             held.setdefault(lang, []).append(counted(rows, np.ones(len(rows), np.int64)))
-            if sum(len(r) for r, _ in held[lang]) > HELD_FRAGMENTS and combined(lang) > HELD_FRAGMENTS // 2 or len(own) > HELD_WORDS:
+            if sum(len(r) for r, _ in held[lang]) > bounds.held_fragments and combined(lang) > bounds.held_fragments // 2 or len(own) > bounds.held_words:
                 yield from flushed(lang)
         for lang in list(held):
             yield from flushed(lang)
@@ -318,14 +328,16 @@ def within_longer(candidates: DataFrame) -> DataFrame:
     return inner.groupBy("lang", "phrase").agg(F.max("n").alias("longer"))
 
 
-def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, longest: int = LONGEST, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
+def collocations(
+    docs: DataFrame, least: int = LEAST, top: int = TOP, longest: int = LONGEST, lang_col: str = "lang", text_col: str = "text", bounds: Bounds = Bounds()
+) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the best ``top`` phrases of each language."""
     small_batches(docs.sparkSession, 500)
-    words = stash(word_counts(docs, lang_col, text_col), "words")
+    words = stash(word_counts(docs, lang_col, text_col, bounds), "words")
     totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
     frequent = words.where(F.col("n") >= least)
-    levels = word_levels(frequent)
-    candidates = stash(owned_phrases(fragments(docs, levels, longest, lang_col, text_col), least, longest), "candidates")
+    levels = word_levels(frequent, bounds)
+    candidates = stash(owned_phrases(fragments(docs, levels, longest, lang_col, text_col, bounds), least, longest), "candidates")
     counts = frequent.select("lang", F.col("word").alias("phrase"), "n").union(candidates)
     inside = within_longer(candidates).select(F.col("lang").alias("i_lang"), F.col("phrase").alias("i_phrase"), "longer")
     met = candidates.join(inside, (F.col("lang") == F.col("i_lang")) & (F.col("phrase") == F.col("i_phrase")), "left")
