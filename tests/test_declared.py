@@ -141,5 +141,73 @@ def test_check_with_data(spark, path, tmp_path, capsys):
     assert cli.main(["check", str(file), path]) == 1 and "no_keys" in capsys.readouterr().out
 
 
+AUTO_PIPELINE = PIPELINE.replace("data_path: values", "data_path: auto").replace("image_key_path: keys", "image_key_path: auto").replace("{data_path: degrees}", "auto")
+
+
+def test_check_with_auto_and_other_files(spark, path, tmp_path, capsys):
+    """The all-auto form, and calibration frames of other files, are held against what is there."""
+    file = tmp_path / "p.yaml"
+    file.write_text(AUTO_PIPELINE)
+    assert cli.main(["check", str(file), path]) == 1 and "'auto'" in capsys.readouterr().out
+    named = str(tmp_path / "named")
+    spark.read.parquet(path).selectExpr("angle", "det_y", "values AS line", "keys AS image_key", "degrees AS rotation_angle").write.parquet(named)
+    assert cli.main(["check", str(file), named]) == 0
+
+    def with_darks(frames):
+        file.write_text(PIPELINE.replace("    rotation_angles", f"    darks: {frames}\n    rotation_angles"))
+        done = cli.main(["check", str(file), path])
+        return done, capsys.readouterr().out
+
+    assert with_darks(f"{{file: {path}, data_path: values, image_key_path: keys}}") == (0, "")
+    done, said = with_darks(f"{{file: {path}, data_path: nothing}}")
+    assert done == 1 and "'nothing'" in said
+    done, said = with_darks(f"{{file: {path}-absent, data_path: values}}")
+    assert done == 1 and "can't be read" in said
+    assert with_darks("ignore") == (0, "")
+    file.write_text(PIPELINE.replace("{data_path: degrees}", "{user_defined: {start_angle: 0, stop_angle: 180, angles_total: 4}}"))
+    assert cli.main(["check", str(file), path]) == 0
+
+
+CHECKED = PIPELINE + """
+- method: minus_log
+  module_path: tomoflow.prep
+  parameters: {}
+- method: calculate_stats
+  module_path: tomoflow.stats
+  parameters: {}
+  id: stats
+  side_outputs: {glob_stats: glob_stats}
+"""
+
+
+def test_zeros_are_reported_and_nothing_stays_persisted(spark, path, tmp_path, caplog):
+    """A scan whose values are mostly those of its darks: zeros after the correction."""
+    dark = DATA.copy()
+    dark[[1, 2, 4]] = dark[[3, 7]].mean(0)
+    held = spark.sparkContext._jsc.sc().getPersistentRDDs().size()
+    zeros = write(spark, tmp_path / "zeros.parquet", dark, keys=KEYS, degrees=DEGREES)
+    with caplog.at_level("WARNING", "tomoflow"):
+        cli.run(spark, zeros, CHECKED, str(tmp_path / "a"), options(monitor=["summary"]))
+    assert any("zeros after normalize" in m and "%" in m for m in caplog.messages)
+    caplog.clear()
+    with caplog.at_level("WARNING", "tomoflow"):
+        cli.run(spark, path, CHECKED, str(tmp_path / "b"), options())
+    assert not any("zeros" in m for m in caplog.messages)
+    assert spark.sparkContext._jsc.sc().getPersistentRDDs().size() == held
+
+
+def test_zeros_are_counted_on_demand_only(spark, path):
+    from tomoflow.plans.parse import parse
+    from tomoflow.plans.rules import rewrite
+    from tomoflow.run import Settings, run_pipeline, warn_of_zeros
+
+    scan = declared.load(spark, path, GIVEN)
+    plain = run_pipeline(rewrite(parse(CHECKED)), scan, Settings(persist=False))
+    assert warn_of_zeros(plain) == {}
+    asked = run_pipeline(rewrite(parse(CHECKED)), scan, Settings(persist=False, count_zeros=True))
+    asked.lines.collect()
+    assert set(warn_of_zeros(asked)) == {"zeros after normalize", "zeros after minus_log"}
+
+
 def test_paths_of_hdf5_members():
     assert hdf5_columns({"e": {"data": None, "g": {"key": None}}}) == ["/e/data", "e/data", "/e/g/key", "e/g/key"]

@@ -284,6 +284,41 @@ def test_image_axis_sets_the_pattern():
     assert out[0].pattern == "sinogram" and all(s.pattern == "sinogram" for s in out[0].steps)
 
 
+def named(name, pattern="all", **more):
+    return Step(name, f"m.{name}", pattern=pattern, **more)
+
+
+def staged(*steps_, loader="all"):
+    return [(s.pattern, [x.method for x in s.steps]) for s in stages.plan_stages(Pipeline(Step("l", "x.loaders"), steps_), loader)[1]]
+
+
+def test_open_steps_keep_the_layout_they_find():
+    assert staged(named("a", "sinogram"), named("b"), named("c")) == [("sinogram", ["a", "b", "c"])]
+    assert staged(named("a"), named("b", "sinogram"), loader="projection") == [("projection", ["a"]), ("sinogram", ["b"])]
+    needs = named("b", parameters={"v": Ref("a", "x")})
+    assert staged(named("a", "sinogram", id="a"), needs) == [("sinogram", ["a"]), ("sinogram", ["b"])]
+    assert staged(named("a", id="a"), needs, named("c", "sinogram")) == [("sinogram", ["a"]), ("sinogram", ["b", "c"])]
+
+
+def test_a_value_from_an_earlier_stage_splits_nothing():
+    late = named("c", "sinogram", parameters={"v": Ref("a", "x")})
+    assert staged(named("a", "projection", id="a"), named("b", "sinogram"), late) == [("projection", ["a"]), ("sinogram", ["b", "c"])]
+
+
+def test_image_axis_changes_its_own_stage_only():
+    image = Step("save_to_images", "m.images", {"axis": 1})
+    assert staged(named("a", "projection"), image, named("b", "projection", id="b"), named("c", parameters={"v": Ref("b", "x")})) == [
+        ("sinogram", ["a", "save_to_images", "b"]),
+        ("projection", ["c"]),
+    ]
+    assert staged() == [("projection", [])]
+
+
+def test_the_last_stage_is_marked():
+    out = stages.plan_stages(Pipeline(Step("l", "x.loaders"), (named("a", "projection"), named("b", "sinogram"), named("c", "projection"))))[1]
+    assert [s.last for s in out] == [False, False, True]
+
+
 def test_sweep_stages():
     swept = Step("median_filter", "m", {"size": Sweep((1, 3))})
     p = Pipeline(Step("l", "x.loaders"), (*steps("normalize"), swept, *steps("minus_log")))

@@ -52,9 +52,10 @@ def session():
 
 
 def run(spark, data: str, pipeline: str, out_dir: str, options: argparse.Namespace):
-    """Run a pipeline; gives the scan."""
-    from tomoflow.run import Settings, run_pipeline, run_sweep
+    """Run a pipeline: its result is computed, and what the run held is given back; gives the scan."""
+    from tomoflow.run import Settings, run_pipeline, run_sweep, warn_of_zeros
     from tomoflow.sources import declared
+    from tomoflow.sources.sinks import discard
 
     plan = rewrite(parse(pipeline, options.lists_are_sweeps), options.save_all, options.sweep_bits)
     if "standard_tomo" not in plan.loader.method:
@@ -64,9 +65,14 @@ def run(spark, data: str, pipeline: str, out_dir: str, options: argparse.Namespa
         subset = {"start": options.subset_start, "stop": options.subset_stop}
     scan = declared.load(spark, data, plan.loader.parameters, options.rows, subset, bool(plan.sweeps))
     monitors = make_monitors(options.monitor)
-    settings = Settings(out_dir, options.save_all, options.snapshots, monitors)
-    scan = (run_sweep if plan.sweeps else run_pipeline)(plan, scan, settings)
-    monitors.write(spark, f"{out_dir}/monitor" if options.monitor else None)
+    settings = Settings(out_dir, options.save_all, options.snapshots, monitors, count_zeros=True)
+    try:
+        scan = (run_sweep if plan.sweeps else run_pipeline)(plan, scan, settings)
+        discard(scan.lines)
+        warn_of_zeros(scan)
+        monitors.write(spark, f"{out_dir}/monitor" if options.monitor else None)
+    finally:
+        settings.release()
     return scan
 
 
@@ -76,9 +82,10 @@ def main(argv: list[str] | None = None) -> int:
     if options.command == "check":
         columns = None
         if options.data:
-            from tomoflow.sources.declared import columns_of
+            from tomoflow.sources.declared import contents
 
-            columns = columns_of(session(), options.data)
+            spark = session()
+            columns = lambda file: contents(spark, file or options.data)
         findings = checks.check(options.pipeline, columns)
         for f in findings:
             if not f.ok:
@@ -90,10 +97,9 @@ def main(argv: list[str] | None = None) -> int:
         print(f"{peak * options.parts / 2**30:.3f} GiB in all, {peak / 2**30:.3f} GiB a share")
         return int(bool(options.limit) and peak >= options.limit)
     spark = session()
-    scan = run(spark, options.data, options.pipeline, options.out_dir, options)
-    from tomoflow.sources.sinks import discard, pipeline_copy
+    run(spark, options.data, options.pipeline, options.out_dir, options)
+    from tomoflow.sources.sinks import pipeline_copy
 
-    discard(scan.lines)
     text = pipeline_copy(read_text(options.pipeline)[0], VERSION)
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{options.out_dir}/pipeline")
     return 0

@@ -149,6 +149,9 @@ def seam_after_correction(steps: list[dict]) -> list[tuple[int, str]]:
     return [(i, "blend seams after the dark and flat correction") for i, n in enumerate(names) if "seam_blend" in n and not (corrections and corrections[0] < i)]
 
 
+#: What a file holds, by its name; "" is the input.
+Contents = Callable[[str], list[str]]
+
 RULES: dict[str, Callable[[list[dict]], list[tuple[int, str]]]] = {
     "keys": keys_present,
     "loader_first": first_is_loader,
@@ -169,8 +172,38 @@ RULES: dict[str, Callable[[list[dict]], list[tuple[int, str]]]] = {
 }
 
 
-def check(pipeline: str | Path, columns: list[str] | None = None) -> list[Finding]:
-    """All findings.  ``columns``: what the input holds, to check the loader's paths against."""
+def declared_in(given: dict[str, Any]) -> list[tuple[str, list[str]]]:
+    """The files a loader's parameters name ("": the input) and what has to be in each; "auto" as it is."""
+    angles = given.get("rotation_angles")
+    of_angles = angles if isinstance(angles, str) else (angles or {}).get("data_path")
+    out = [("", [given.get("data_path"), given.get("image_key_path"), of_angles])]
+    for name in ("darks", "flats"):
+        frames = given.get(name)
+        if isinstance(frames, dict) and frames.get("file"):
+            out.append((str(frames["file"]), [frames.get("data_path"), frames.get("image_key_path")]))
+    return [(file, [p for p in paths if p is not None]) for file, paths in out]
+
+
+def absent_paths(given: dict[str, Any], contents: Contents) -> list[tuple[int, str]]:
+    out: list[tuple[int, str]] = []
+    for file, paths in declared_in(given):
+        name = repr(file) if file else "the input"
+        try:
+            held = contents(file)
+        except Exception as error:  # whatever the store or the format says
+            out.append((0, f"{name} can't be read: {str(error).splitlines()[0]}"))
+            continue
+        out += [(0, f"{name} has no {p!r}") for p in paths if p not in held]
+    return out
+
+
+def check(pipeline: str | Path, columns: list[str] | Contents | None = None) -> list[Finding]:
+    """All findings.
+
+    ``columns``: what the input holds, to check the loader's paths against; or a function
+    that gives what a file holds ("" is the input), for darks and flats of other files, too.
+    It lists "auto" where that finds something.
+    """
     text, kind = read_text(pipeline)
     try:
         steps = load_json(text) if kind == "json" else load_yaml(text)
@@ -184,11 +217,14 @@ def check(pipeline: str | Path, columns: list[str] | None = None) -> list[Findin
     for name, rule in RULES.items():
         out += _findings(name, rule(steps))
     if columns is not None and steps:
-        given = _parameters(steps[0])
-        paths = [given.get("data_path"), given.get("image_key_path"), (given.get("rotation_angles") or {}).get("data_path")]
-        out += _findings("path_exists", [(0, f"the input has no {p!r}") for p in paths if p not in (None, "auto") and p not in columns])
+        if callable(columns):
+            absent = absent_paths(_parameters(steps[0]), columns)
+        else:
+            own = _parameters(steps[0]) | {"darks": None, "flats": None}
+            absent = absent_paths(own, lambda _: [*columns, "auto"])
+        out += _findings("path_exists", absent)
     return out
 
 
-def passes(pipeline: str | Path, columns: list[str] | None = None) -> bool:
+def passes(pipeline: str | Path, columns: list[str] | Contents | None = None) -> bool:
     return all(f.ok for f in check(pipeline, columns))

@@ -14,6 +14,10 @@ UNCHECKED = {"data_reducer", "data_checker", "calculate_stats", "rescale_to_int"
 NOT_IN_SWEEPS = {"calculate_stats", "rescale_to_int", "save_to_images"}
 
 
+#: How the ids of checks that ``check_between`` adds begin.
+ADDED_CHECK = "datachecker_"
+
+
 def reduce_first(steps: tuple[Step, ...]) -> tuple[Step, ...]:
     """Calibration frames are averaged before anything else."""
     return Step("data_reducer", "tomoflow.calibration", id="reducer_0"), *steps
@@ -26,7 +30,7 @@ def check_between(steps: tuple[Step, ...]) -> tuple[Step, ...]:
         out.append(step)
         if i < len(steps) - 1 and step.method not in UNCHECKED and "rotation" not in step.module:
             given = {"infsnans_correct": True, "zeros_warning": True, "data_to_method_name": step.method}
-            out.append(Step("data_checker", "tomoflow.checks", given, f"datachecker_{step.id or i}"))
+            out.append(Step("data_checker", "tomoflow.checks", given, f"{ADDED_CHECK}{step.id or i}"))
     return tuple(out)
 
 

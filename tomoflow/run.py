@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import importlib
 import logging
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from typing import Any
@@ -22,6 +23,7 @@ from tomoflow.monitor import Several, timed
 from tomoflow.operators.frames import each_frame
 from tomoflow.operators.sweep import stacked
 from tomoflow.plans.model import AXIS, Pipeline, Ref, Stage, Step, Sweep
+from tomoflow.plans.rules import ADDED_CHECK
 from tomoflow.plans.stages import plan_stages, sweep_stages
 from tomoflow.sources import sinks
 from tomoflow.sources.scan import Scan
@@ -36,6 +38,8 @@ class Settings:
     snapshots: bool = False
     monitors: Several = field(default_factory=lambda: Several([]))
     persist: bool = True
+    #: whether checks that the rewrites put in count zeros; ``warn_of_zeros`` tells what they found
+    count_zeros: bool = False
     #: what a run has persisted; ``release`` gives it back once its result is used
     held: list = field(default_factory=list)
 
@@ -117,6 +121,8 @@ def apply_step(step: Step, scan: Scan, settings: Settings, published: dict[str,
     unknown = [p for p in parameters if p not in method.parameters and not method.any_parameter]
     if unknown:
         raise ValueError(f"{step.method} has no parameter {', '.join(unknown)}")
+    if step.method == "data_checker" and not settings.count_zeros and str(step.id).startswith(ADDED_CHECK):
+        parameters["zeros_warning"] = False
     if step.method == "save_intermediate_data":
         if settings.out_dir:
             package = step.module.split(".")[0]
@@ -190,7 +196,21 @@ def snapshot_name(stage: Stage) -> str | None:
 ZEROS_SHARE = 0.1
 
 
-def warn_of_zeros(scan: Scan) -> dict[str, float]:
+def counted_zeros(seen: Observation, seconds: float = 10.0) -> dict[str, Any] | None:
+    """What an observation has seen; None if no action has run through it within ``seconds``.
+
+    Spark tells observations some moments after an action's end; to ask for one that no
+    action met would wait for ever.
+    """
+    deadline = time.monotonic() + seconds
+    while seen._jo is None or not seen._jo.future().isCompleted():
+        if seen._jo is None or time.monotonic() > deadline:
+            return None
+        time.sleep(0.02)
+    return seen.get
+
+
+def warn_of_zeros(scan: Scan, seconds: float = 10.0) -> dict[str, float]:
     """Shares of zeros that the checks counted while the scan was computed; those above ``ZEROS_SHARE`` are logged.
 
     To be called after an action on the scan's lines: the counts are made on its way.
@@ -198,7 +218,10 @@ def warn_of_zeros(scan: Scan) -> dict[str, float]:
     out = {}
     for name, seen in scan.side_outputs.items():
         if isinstance(seen, Observation):
-            counts = seen.get
+            counts = counted_zeros(seen, seconds)
+            if counts is None:
+                log.info("%s: not counted", name)
+                continue
             out[name] = (counts["zeros"] or 0) / max(1, counts["n"] or 0)
             if out[name] > ZEROS_SHARE:
                 log.warning("%s: %.1f %% of the values are 0", name, 100 * out[name])

@@ -90,6 +90,13 @@ def columns_of(spark: SparkSession, path: str) -> list[str]:
     return hdf5_columns(hdf5_members(path)) if is_hdf5(path) else spark.read.parquet(path).columns
 
 
+def contents(spark: SparkSession, path: str) -> list[str]:
+    """What paths of a loader may name in a file, with "auto" where that finds something."""
+    held = columns_of(spark, path)
+    auto = entry_paths(hdf5_members(path)) if is_hdf5(path) else AUTO
+    return [*held, *(["auto"] if set(auto.values()) & set(held) else [])]
+
+
 def calibration_lines(spark: SparkSession, frames: Frames | None) -> dict[Frames, DataFrame]:
     """The lines of frames that lie in another file."""
     if frames is None or not frames.file:
