@@ -1,6 +1,7 @@
 """The queries over the smallest driver tables, and the corpus pipeline stage by stage."""
 
 import os
+import random
 
 import duckdb
 import pytest
@@ -84,3 +85,27 @@ def test_stages_on_an_empty_table(spark):
         if name != "word_bpe":
             assert out.columns == docs.columns
             docs = out
+
+
+def test_language_stage_goes_by_its_spans(spark):
+    """Mixtures in which no language leads go; what one language leads stays."""
+    from tomoflow.llm import language_id
+
+    rng = random.Random(1)
+    letters = {"a": "abcd", "b": "efgh", "c": "ijkl", "d": "mnop"}
+
+    def words(lang, n):
+        return [("".join(rng.choice(letters[lang]) for _ in range(6))) for _ in range(n)]
+
+    def text(**parts):
+        return " ".join(w for lang, n in parts.items() for w in words(lang, n))
+
+    train = [(i, text(**{lang: 60}), lang) for i, lang in enumerate(letters) for _ in range(5)]
+    model = language_id.train(spark.createDataFrame(train, "doc_id long, text string, lang string"))
+    kept = {1: text(a=40), 2: text(a=30, b=30), 3: text(b=45, a=30, c=25), 4: text(d=1)}
+    gone = {5: text(a=25, b=25, c=25, d=25), 6: text(a=35, b=33, c=32), 7: "12 !?", 8: None}
+    docs = spark.createDataFrame([(i, t, "x") for i, t in {**kept, **gone}.items()], "doc_id long, text string, lang string")
+    assert {r.doc_id for r in language_id.known_language(docs, model).collect()} == set(kept)
+    assert {r.doc_id for r in language_id.known_language(docs, model, langs=["b", "d"]).collect()} == {3, 4}
+    assert {r.doc_id for r in language_id.known_language(docs, model, least_share=0.2).collect()} == {*kept, 5, 6}
+    assert {r.doc_id for r in language_id.known_language(docs, model, least_share=0.6).collect()} == {1, 4}

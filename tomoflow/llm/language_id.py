@@ -43,6 +43,8 @@ BINS = 1 << 16
 MODEL_CELLS = 1 << 24
 SWITCH_PENALTY = 6.0
 FLOOR = -12.0
+#: Share of a text's letters that its language has to have where only texts of a known language stay.
+LEAST_SHARE = 0.4
 CHUNK_CHARS = 750_000
 
 # The first and last code points of the scripts that are told apart
@@ -179,13 +181,14 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
     rows = docs.select(
         column(docs, id_col, "long").alias("doc_id"), column(docs, text_col, "string").alias("text"), column(docs, lang_col, "string").alias("lang")
     ).where("lang is not null and text is not null")
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    digest = F.xxhash64(F.lit("language-id"), "text")
+    distinct = rows.select("lang", digest.alias("digest")).distinct()
+    counts = {r["lang"]: r["count"] for r in distinct.groupBy("lang").count().collect()}
     langs = sorted(counts)
     if not langs:
         return Model([], np.zeros((1, 0)), np.zeros((OTHER + 1, 0)))
     while bins * len(langs) > MODEL_CELLS and bins > 1024:
         bins //= 2
-    digest = F.xxhash64(F.lit("language-id"), "text")
     limits = F.create_map(*[x for lang in langs for x in (F.lit(lang), F.lit(int(1_000_000 * min(1.0, 1.5 * docs_per_lang / counts[lang])) + 1))])
     few = rows.select("lang", "text", digest.alias("digest")).where(F.pmod("digest", F.lit(1_000_000)) < limits[F.col("lang")])
     few = few.dropDuplicates(["lang", "digest"])
@@ -235,17 +238,24 @@ def identify_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", te
     return rows.mapInArrow(run, schema)
 
 
-def known_language(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose language is told, with all their columns."""
+def known_language(docs: DataFrame, model: Model, text_col: str = "text", least_share: float = LEAST_SHARE, langs: list[str] | None = None) -> DataFrame:
+    """The rows of ``docs`` whose language can be told, with all their columns.
+
+    A text's language has ``least_share`` or more of its letters in its Viterbi spans, and is one of
+    ``langs``, if these are given.  Others go: texts without letters, and mixtures in which no
+    language leads.
+    """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    wanted = None if langs is None else set(langs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with working("language_id"):
             own, scripts = shared.value, script_table()
             for batch in batches:
                 for part, texts in arrow_chunks(batch.column(1), CHUNK_CHARS):
-                    told = pa.array([lang != UNKNOWN for lang in identify(texts, own, scripts)[0]], pa.bool_())
+                    found, shares, _ = identify(texts, own, scripts)
+                    told = pa.array([lang != UNKNOWN and share >= least_share and (wanted is None or lang in wanted) for lang, share in zip(found, shares, strict=True)], pa.bool_())
                     kept = batch.column(0).slice(part.start, part.stop - part.start).filter(told)
                     yield pa.RecordBatch.from_arrays([kept], ["doc"])
 
