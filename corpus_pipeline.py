@@ -4,7 +4,8 @@ Each stage takes (spark, docs, sf_dir) and gives a DataFrame, which is written a
 in the shared folder and reread as the next one's ``docs``.  All but the last return the
 columns of their ``docs``, further columns included.
 
-    language_id    rejects documents whose language can't be told (no letter in them)
+    language_id    rejects documents whose language can't be told: those without a letter, and
+                   those whose most frequent language has less than two fifths of the letters
     exact_dedup    of equal texts the row of the smallest id stays
     jaccard_join   of near duplicates (0.8 on shingles of five words) one document stays
     mixing         sources are brought to their target weights: a document stays as often
