@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tomoflow.queries import control, cube, tables
+from tomoflow.queries import control, cube, tables, volumes  # noqa: F401  volumes registers with the cube's
 
 QUERIES = {**cube.QUERIES, **tables.QUERIES, **control.QUERIES}
 ORACLES = {**cube.ORACLES, **tables.ORACLES, **control.ORACLES}

@@ -21,9 +21,11 @@ from __future__ import annotations
 from dataclasses import replace
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as WindowSpec
 from pyspark.sql import functions as F
 
+from tomoflow.plans.model import Preview
 from tomoflow.plans.preview import (
     Frames,
     StoredAngles,
@@ -35,7 +37,8 @@ from tomoflow.plans.preview import (
     parse_preview,
     sweep_preview,
 )
-from tomoflow.sources.scan import DARK, FLAT, PROJECTION, Scan, entry_paths, hdf5_columns, hdf5_lines, hdf5_members, open_scan
+from tomoflow.sources.scan import DARK, FLAT, PROJECTION, Scan, entry_paths, hdf5_columns, hdf5_members, open_scan
+from tomoflow.sources.volumes import Volume
 
 #: Columns that "auto" stands for in a table of lines.
 AUTO = {"data_path": "line", "image_key_path": "image_key", "rotation_angles": "rotation_angle"}
@@ -79,9 +82,9 @@ def lines_from(table: DataFrame, line: str, image_key: str | None = None, degree
     )
 
 
-def open_lines(spark: SparkSession, path: str, line: str, image_key: str | None, degrees: str | None, key: str | None = None, rows: int = 0) -> DataFrame:
+def open_lines(spark: SparkSession, path: str, line: str, image_key: str | None, degrees: str | None, key: str | None = None, rows: int = 0) -> DataFrame | Volume:
     if is_hdf5(path):
-        return hdf5_lines(spark, path, line, image_key, degrees)
+        return Volume(spark, path, line, image_key, degrees)
     return lines_from(spark.read.parquet(path), line, image_key, degrees, key, rows)
 
 
@@ -93,19 +96,25 @@ def columns_of(spark: SparkSession, path: str) -> list[str]:
 def contents(spark: SparkSession, path: str) -> list[str]:
     """What paths of a loader may name in a file, with "auto" where that finds something."""
     held = columns_of(spark, path)
-    auto = entry_paths(hdf5_members(path)) if is_hdf5(path) else AUTO
+    try:
+        auto = entry_paths(hdf5_members(path)) if is_hdf5(path) else AUTO
+    except ValueError:
+        auto = {}
     return [*held, *(["auto"] if set(auto.values()) & set(held) else [])]
 
 
-def calibration_lines(spark: SparkSession, frames: Frames | None) -> dict[Frames, DataFrame]:
+def calibration_lines(spark: SparkSession, frames: Frames | None) -> dict[Frames, DataFrame | Volume]:
     """The lines of frames that lie in another file."""
     if frames is None or not frames.file:
         return {}
     return {frames: open_lines(spark, frames.file, frames.path, frames.image_key, None)}
 
 
-def extent(lines: DataFrame) -> tuple[tuple[int, int, int], bool, bool]:
-    """Shape, and whether there are darks and flats; line arrays are read of one row only."""
+def extent(lines: DataFrame | Volume) -> tuple[tuple[int, int, int], bool, bool]:
+    """Shape, and whether there are darks and flats; line arrays are read of one row only, of a volume none."""
+    if isinstance(lines, Volume):
+        keys = {key for _, key, _ in lines.frames()}
+        return lines.shape, DARK in keys, FLAT in keys
     key = F.col("image_key")
     row = lines.agg(F.max("angle"), F.max("det_y"), F.count_if(key == DARK), F.count_if(key == FLAT)).first()
     if row[0] is None:
@@ -114,18 +123,25 @@ def extent(lines: DataFrame) -> tuple[tuple[int, int, int], bool, bool]:
     return (row[0] + 1, row[1] + 1, width), row[2] > 0, row[3] > 0
 
 
-def numbered(scan: Scan, lines: DataFrame, angles: UserAngles | StoredAngles) -> Scan:
+def projection_angles(scan: Scan, lines: DataFrame | Volume, preview: Preview) -> DataFrame:
+    """angle, degrees of the projections of a scan, one row each."""
+    if isinstance(lines, Volume):
+        a = preview.angles
+        rows = [(i, degrees) for i, key, degrees in lines.frames() if key == PROJECTION and a.start <= i < a.stop]
+        return lines.spark.createDataFrame(rows, "angle int, degrees double")
+    own = lines.where(F.col("image_key") == PROJECTION).groupBy("angle").agg(F.min("degrees").alias("degrees"))
+    return scan.lines.select("angle").distinct().join(own, "angle")
+
+
+def numbered(scan: Scan, lines: DataFrame | Volume, angles: UserAngles | StoredAngles, preview: Preview) -> Scan:
     """The scan with its projections numbered from 0 without gaps, and their angles.
 
     The table of places has one row an angle, which is what Spark may broadcast.
     """
-    kept = scan.lines.select("angle").distinct()
-    if isinstance(angles, StoredAngles):
-        own = lines.where(F.col("image_key") == PROJECTION).groupBy("angle").agg(F.min("degrees").alias("degrees"))
-        kept = kept.join(own, "angle")
-        if kept.where("degrees IS NULL").limit(1).count():
-            raise ValueError("projections without a stored angle")
-    places = kept.withColumn("place", (F.row_number().over(Window.orderBy("angle")) - 1).cast("int"))
+    kept = projection_angles(scan, lines, preview)
+    if isinstance(angles, StoredAngles) and kept.where("degrees IS NULL OR isnan(degrees)").limit(1).count():
+        raise ValueError("projections without a stored angle")
+    places = kept.withColumn("place", (F.row_number().over(WindowSpec.orderBy("angle")) - 1).cast("int"))
     n = places.count()
     if isinstance(angles, StoredAngles):
         scan = replace(scan, angles=places.select(F.col("place").alias("angle"), F.radians("degrees").alias("theta")))
@@ -134,11 +150,11 @@ def numbered(scan: Scan, lines: DataFrame, angles: UserAngles | StoredAngles) ->
 
 
 def declared_scan(
-    lines: DataFrame,
+    lines: DataFrame | Volume,
     given: dict[str, Any],
     angles: UserAngles | StoredAngles,
     image_key: str | None = None,
-    others: dict[Frames, DataFrame] | None = None,
+    others: dict[Frames, DataFrame | Volume] | None = None,
     subset: dict[str, int | None] | None = None,
     sweep: bool = False,
 ) -> Scan:
@@ -165,17 +181,18 @@ def declared_scan(
         if not darks.file:  # a kind that the scan lacks is made up: 0 or 1 everywhere
             darks, flats = darks if with_darks else None, flats if with_flats else None
     scan = open_scan(lines, shape, preview, angles if isinstance(angles, UserAngles) else None, darks, flats, others)
-    return numbered(scan, lines, angles)
+    return numbered(scan, lines, angles, preview)
 
 
 def load(spark: SparkSession, path: str, given: dict[str, Any], rows: int = 0, subset: dict[str, int | None] | None = None, sweep: bool = False) -> Scan:
     """The scan that a loader step declares over the file or table at ``path``."""
-    line, image_key, angles = declared_paths(given, entry_paths(hdf5_members(path)) if is_hdf5(path) else AUTO)
+    asks = "auto" in [v for v in map(given.get, AUTO) if isinstance(v, str)]
+    line, image_key, angles = declared_paths(given, entry_paths(hdf5_members(path)) if asks and is_hdf5(path) else AUTO)
     given = given | {"data_path": line}
     degrees = angles.path if isinstance(angles, StoredAngles) else None
     lines = open_lines(spark, path, line, image_key, degrees, given.get("key"), rows)
     here = Frames("", line, image_key)
-    others: dict[Frames, DataFrame] = {}
+    others: dict[Frames, DataFrame | Volume] = {}
     for name in ("darks", "flats"):
         others |= calibration_lines(spark, parse_frames(given.get(name), here))
     return declared_scan(lines, given, angles, image_key, others, subset, sweep)

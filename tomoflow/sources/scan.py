@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from tomoflow.functions.columns import linspace
 from tomoflow.plans.model import Preview
 from tomoflow.plans.preview import Frames, UserAngles, calibration_plan
+from tomoflow.sources.hdf5 import Hdf5File
+from tomoflow.sources.volumes import Volume
 
 #: Image keys of the frames of a scan. Fixed values.
 PROJECTION, FLAT, DARK = 0, 1, 2
@@ -82,29 +84,36 @@ def user_angles(spark: SparkSession, given: UserAngles) -> DataFrame:
     return values.select("angle", F.radians("degrees").alias("theta"))
 
 
-def frames_of(lines: DataFrame, key: int, preview: Preview) -> DataFrame:
+def lines_of_key(lines: DataFrame | Volume, key: int, preview: Preview, angles: bool = True) -> DataFrame:
+    """The lines of one image key; of a volume only those of the preview, by what is read of the file."""
+    if isinstance(lines, Volume):
+        return lines.lines(key, preview.angles if angles else None, preview.detector_y)
+    return lines.where(F.col("image_key") == key)
+
+
+def frames_of(lines: DataFrame | Volume, key: int, preview: Preview) -> DataFrame:
     """Calibration frames: cropped in rows and columns, never in angles."""
     y, x = preview.detector_y, preview.detector_x
-    chosen = lines.where((F.col("image_key") == key) & F.col("det_y").between(y.start, y.stop - 1))
+    chosen = lines_of_key(lines, key, preview, angles=False).where(F.col("det_y").between(y.start, y.stop - 1))
     return chosen.select("det_y", F.slice("line", x.start + 1, len(x)).cast("array<double>").alias("line"))
 
 
 def open_scan(
-    lines: DataFrame,
+    lines: DataFrame | Volume,
     shape: tuple[int, int, int],
     preview: Preview,
     angles: DataFrame | UserAngles | None = None,
     darks: Frames | None = None,
     flats: Frames | None = None,
-    others: dict[str | Frames, DataFrame] | None = None,
+    others: dict[str | Frames, DataFrame | Volume] | None = None,
 ) -> Scan:
     """The scan of a preview.  ``lines`` has an ``image_key``; frames other than projections never are data.
 
     ``darks`` and ``flats`` say where calibration frames lie (``file`` "" is the scan
     itself, the lines of others are found in ``others``, by file or by place); None ignores them.
     """
-    spark, others = lines.sparkSession, others or {}
-    data = crop(lines.where(F.col("image_key") == PROJECTION), preview).select("angle", "det_y", "line")
+    spark, others = lines.spark if isinstance(lines, Volume) else lines.sparkSession, others or {}
+    data = crop(lines_of_key(lines, PROJECTION, preview), preview).select("angle", "det_y", "line")
     rows = preview.shape[1:]
     if isinstance(angles, UserAngles):
         angle_table = user_angles(spark, angles)
@@ -118,7 +127,7 @@ def open_scan(
             return dummy_frames(spark, value, *rows)
         table = (others[where] if where in others else others[where.file]) if where.file else lines
         if where.file and where.image_key is None and how == "separate":
-            table = table.withColumn("image_key", F.lit(key))
+            table = (table.lines() if isinstance(table, Volume) else table).withColumn("image_key", F.lit(key))
         return frames_of(table, key, preview)
 
     plan = calibration_plan(darks, flats)
@@ -153,49 +162,9 @@ class CubeTable:
         return user_angles(self.table.sparkSession, UserAngles(0.0, 180.0, n))
 
 
-def hdf5_lines(
-    spark: SparkSession,
-    path: str,
-    data_path: str,
-    image_key_path: str | None = None,
-    angles_path: str | None = None,
-    frames_per_task: int = 16,
-) -> DataFrame:
-    """Lines of an HDF5 file that all executors can open, with stored angles in degrees; needs h5py there."""
-    import h5py
-
-    with h5py.File(path) as file:
-        frames = file[data_path].shape[0]
-
-    def read(batches):
-        import h5py
-        import pandas as pd
-
-        with h5py.File(path) as file:
-            data = file[data_path]
-            keys = file[image_key_path] if image_key_path else None
-            stored = file[angles_path] if angles_path else None
-            for batch in batches:
-                for angle in batch["id"].tolist():
-                    frame = data[angle].astype("float32")
-                    key = int(keys[angle]) if keys is not None else PROJECTION
-                    degrees = float(stored[angle]) if stored is not None else None
-                    rows = {"angle": angle, "det_y": range(len(frame)), "image_key": key, "line": list(frame), "degrees": degrees}
-                    yield pd.DataFrame(rows).astype({"degrees": "float64"})
-
-    numbers = spark.range(0, frames, 1, max(1, frames // frames_per_task))
-    return numbers.mapInPandas(read, "angle int, det_y int, image_key int, line array<float>, degrees double")
-
-
 def hdf5_members(path: str) -> dict[str, Any]:
-    """Names of an HDF5 file: groups are mappings, data sets None; needs h5py."""
-    import h5py
-
-    def members(group) -> dict[str, Any]:
-        return {name: members(item) if isinstance(item, h5py.Group) else None for name, item in group.items()}
-
-    with h5py.File(path) as file:
-        return members(file)
+    """Names of an HDF5 file: groups are mappings, data sets None."""
+    return Hdf5File(path).members()
 
 
 def hdf5_columns(members: dict[str, Any], prefix: str = "") -> list[str]:
@@ -219,16 +188,8 @@ def entry_paths(members: dict[str, Any]) -> dict[str, str]:
     return {name: f"{entry}/{below}" for name, below in ENTRY_PATHS.items()}
 
 
-def nexus_paths(members: dict[str, Any], prefix: str = "") -> str | None:
-    """The first group, depth first, with a member called ``definition``.
-
-    ``members``: nested mappings of names; data sets are no mappings.
-    """
-    if "definition" in members:
-        return prefix
-    for name, below in members.items():
-        if isinstance(below, dict):
-            found = nexus_paths(below, f"{prefix}/{name}")
-            if found is not None:
-                return found
-    return None
+def nexus_paths(members: dict[str, Any]) -> str | None:
+    """The first group that has a data set called ``definition``; of groups within one another the outermost."""
+    marked = [path.removesuffix("/definition") for path in hdf5_columns(members) if path.startswith("/") and path.endswith("/definition")]
+    around = [path for path in marked if f"{marked[0]}/".startswith(f"{path}/")]
+    return min(around, key=len, default=None)
