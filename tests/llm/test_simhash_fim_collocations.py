@@ -254,7 +254,7 @@ def test_collocations(spark, salt):
 
 def test_counts_are_exact_whatever_the_slots_hold(spark):
     """Hardly any slots, small chunks and memories: phrases have other owners and the same counts."""
-    bounds = collocations.Bounds(salt=64, most_slots=4, chunk_bytes=200, held_fragments=50, held_words=10)
+    bounds = collocations.Bounds(salt=64, most_slots=4, chunk_bytes=200, held_fragments=50, held_words=10, mined_fragments=20)
     rows = corpus(4)
     assert found_rows(collocations.collocations(table(spark, rows).repartition(2), least=10, bounds=bounds)) == plain_collocations(rows, 10)
     frequent = collocations.word_counts(table(spark, rows), bounds=bounds).where("n >= 10")

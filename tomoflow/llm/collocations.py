@@ -16,10 +16,10 @@ tabs into words.  Phrases are runs of 2 to ``longest`` (4) words within a piece;
    side, ended at an end of the piece, at a word below the pivot and, on the left, at the pivot
    itself.  Infrequent words end every fragment.  Equal fragments are counted together in
    the task that reads the texts, before anything moves.
-4. Fragments go to the partition of their pivot.  There the phrases that hold the pivot are
-   counted, by a hash aggregation that spills and whose keys begin with those of the exchange.
-   A pivot of more than ``salt`` occurrences is spread over several salts, by fragment; only its
-   phrases are summed once more.
+4. Fragments go to the partition of their pivot and are sorted by it.  There the phrases that
+   hold the pivot are counted, some whole pivots at a time, shorter ones first: what is too
+   rare isn't made longer.  A pivot of more than ``salt`` occurrences is spread over several
+   salts, by fragment, so that a task never holds more; only its phrases are summed once more.
 5. A candidate of a occurrences, cut after k words into parts of l and r, scores
    floor(2000000 * a / (l + r)) at its lowest cut; products are decimals of 38 digits.  A
    candidate inside a longer one with 80 % or more of its occurrences is dropped.  The first
@@ -61,7 +61,7 @@ class Bounds:
     """What a task or a partition holds; results don't depend on it."""
 
     #: occurrences of a pivot for each of its salts
-    salt: int = 1 << 15
+    salt: int = 1 << 18
     #: slots of the table of levels for each frequent word, and of the largest table
     slots_a_word: int = 16
     most_slots: int = 1 << 26
@@ -70,6 +70,8 @@ class Bounds:
     #: fragments and words that a task holds before it passes them on
     held_fragments: int = 400_000
     held_words: int = 300_000
+    #: fragments that are mined at once; more, if a pivot's salt has more
+    mined_fragments: int = 150_000
 
 
 #: A-Z lower-cased, tabs as blanks, every end of a piece as a full stop.
@@ -218,6 +220,12 @@ def fragments_of(ids: np.ndarray, keys: np.ndarray, reach: int) -> np.ndarray:
 
 def counted(rows: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct rows and the sums of n."""
+    made, _, total = grouped(rows, n)
+    return made, total
+
+
+def grouped(rows: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct rows, the place of each row among them, and the sums of n."""
     h = np.zeros(len(rows), np.uint64)
     for c in range(rows.shape[1]):
         h = (h ^ rows[:, c].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
@@ -225,8 +233,11 @@ def counted(rows: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     _, first, place = np.unique(h, return_index=True, return_inverse=True)
     if not (rows == rows[first[place]]).all():  # two rows of one hash
         made, place = np.unique(rows, axis=0, return_inverse=True)
-        return made, np.bincount(place.ravel(), n).astype(np.int64)
-    return rows[first], np.bincount(place, n).astype(np.int64)
+        place = place.ravel()
+    else:
+        made = rows[first]
+    # sums below 2^53 are exact as doubles; a task holds no more occurrences than that
+    return made, place, np.bincount(place, n, len(made)).astype(np.int64)
 
 
 def _joined(rows: np.ndarray, words: pa.Array) -> pa.Array:
@@ -280,22 +291,94 @@ def fragments(docs: DataFrame, levels, longest: int = LONGEST, lang_col: str = "
     return _texts(docs, lang_col, text_col).mapInArrow(run, "lang string, pivot binary, salt long, salts long, before int, words binary, n long")
 
 
-def owned_phrases(found: DataFrame, least: int = LEAST, longest: int = LONGEST) -> DataFrame:
+def _places(before: np.ndarray, words: pa.Array, reach: int) -> tuple[np.ndarray, pa.Array]:
+    """One row a fragment with the numbers of its words, the pivot in the middle and 0 beyond the fragment; and the words."""
+    lists = pc.split_pattern(words, b" ")
+    flat = lists.flatten().dictionary_encode()
+    lengths = np.diff(lists.offsets.to_numpy())
+    row = np.repeat(np.arange(len(before)), lengths)
+    begins = np.cumsum(lengths) - lengths
+    column = np.arange(len(row)) - np.repeat(begins - reach + before, lengths)
+    out = np.zeros((len(before), 2 * reach + 1), np.int32)
+    out[row, column] = flat.indices.to_numpy() + 1
+    return out, pa.concat_arrays([pa.array([None], pa.binary()), flat.dictionary])
+
+
+def mined(rows: np.ndarray, lang: np.ndarray, n: np.ndarray, whole: np.ndarray, least: int, reach: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Phrases that hold the pivots, with their counts: numbers of words (first the language's), n, whether counted wholly.
+
+    Shorter phrases first: where a pivot is counted ``whole``, none is made longer that is too rare.
+    """
+    frequent = {(0, 0): np.ones(len(rows), bool)}
+    for size in range(1, reach + 1):
+        for a in range(size + 1):
+            b = size - a
+            mine = (rows[:, reach - a] > 0) & (rows[:, reach + b] > 0)
+            for shorter in ((a - 1, b), (a, b - 1)):
+                if min(shorter) >= 0:
+                    mine = mine & frequent[shorter]
+            at = np.flatnonzero(mine)
+            phrases = np.column_stack([lang[at], rows[at, reach - a : reach + b + 1]])
+            made, place, total = grouped(phrases, n[at])
+            complete = np.zeros(len(made), bool)
+            complete[place] = whole[at]
+            ok = ~complete | (total >= least)
+            frequent[a, b] = np.zeros(len(rows), bool)
+            frequent[a, b][at] = ok[place]
+            yield made[ok], total[ok], complete[ok]
+
+
+def owned_phrases(found: DataFrame, least: int = LEAST, longest: int = LONGEST, bounds: Bounds = Bounds()) -> DataFrame:
     """lang, phrase, n: phrases that occur ``least`` times or more, counted at their pivots."""
-    parts = F.split(F.col("words").cast("string"), " ")
-    rows = found.repartition("lang", "pivot", "salt").select("lang", "pivot", "salt", "salts", "before", parts.alias("parts"), "n")
-    after = F.size("parts") - F.col("before") - 1
-    phrases = []
-    for a in range(longest):
-        for b in range(longest - a):
-            if a + b:
-                begin = F.greatest(F.col("before") - a + 1, F.lit(1))
-                phrases.append(F.when((F.col("before") >= a) & (after >= b), F.array_join(F.slice("parts", begin, F.lit(a + b + 1)), " ")))
-    phrase = F.explode(F.array_compact(F.array(*phrases))).alias("phrase")
-    local = rows.select("lang", "pivot", "salt", "salts", phrase, "n").groupBy("lang", "pivot", "salt", "phrase").agg(F.sum("n").alias("n"), F.max("salts").alias("salts"))
-    local = stash(local.where((F.col("salts") > 1) | (F.col("n") >= least)).select("lang", "phrase", "salts", "n"), "owned-phrases")
-    spread = local.where("salts > 1").groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    return local.where("salts = 1").select("lang", "phrase", "n").union(spread)
+    reach = longest - 1
+    names = ["lang", "phrase", "n", "complete"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def done(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            table = table.combine_chunks()
+            whole = table["salts"].to_numpy() == 1
+            langs = table["lang"].combine_chunks().dictionary_encode()
+            words = table["words"].combine_chunks()
+            rows, vocabulary = _places(table["before"].to_numpy(), words, reach)
+            for phrases, n, complete in mined(rows, langs.indices.to_numpy(), table["n"].to_numpy(), whole, least, reach):
+                if len(phrases):
+                    own = langs.dictionary.take(pa.array(phrases[:, 0]))
+                    yield pa.RecordBatch.from_arrays([own, _joined(phrases[:, 1:], vocabulary), pa.array(n), pa.array(complete)], names)
+
+        def ready(last: bool) -> Iterator[pa.RecordBatch]:
+            """What is held up to the last change of pivot, or all."""
+            table = pa.Table.from_batches(held)
+            stop = len(table)
+            if not last:
+                keys = [table[c].combine_chunks() for c in ("pivot", "lang", "salt")]
+                same = np.ones(stop - 1, bool)
+                for key in keys:
+                    same &= pc.equal(key.slice(1), key.slice(0, stop - 1)).to_numpy(zero_copy_only=False)
+                changes = np.flatnonzero(~same)
+                if not len(changes):
+                    return
+                stop = int(changes[-1]) + 1
+            held[:] = table.slice(stop).to_batches()
+            yield from done(table.slice(0, stop))
+
+        size, limit = 0, bounds.mined_fragments
+        for batch in batches:
+            held.append(batch)
+            size += len(batch)
+            if size > limit:
+                yield from ready(False)
+                size = sum(map(len, held))
+                limit = max(bounds.mined_fragments, 2 * size)
+        if held:
+            yield from ready(True)
+
+    routed = found.repartition("pivot", "lang", "salt").sortWithinPartitions("pivot", "lang", "salt")
+    local = routed.mapInArrow(run, "lang string, phrase binary, n long, complete boolean")
+    local = stash(local.select("lang", F.col("phrase").cast("string").alias("phrase"), "n", "complete"), "owned-phrases")
+    spread = local.where("NOT complete").groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    return local.where("complete").select("lang", "phrase", "n").union(spread)
 
 
 def _decimal(value: Column) -> Column:
@@ -337,7 +420,7 @@ def collocations(
     totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
     frequent = words.where(F.col("n") >= least)
     levels = word_levels(frequent, bounds)
-    candidates = stash(owned_phrases(fragments(docs, levels, longest, lang_col, text_col, bounds), least, longest), "candidates")
+    candidates = stash(owned_phrases(fragments(docs, levels, longest, lang_col, text_col, bounds), least, longest, bounds), "candidates")
     counts = frequent.select("lang", F.col("word").alias("phrase"), "n").union(candidates)
     inside = within_longer(candidates).select(F.col("lang").alias("i_lang"), F.col("phrase").alias("i_phrase"), "longer")
     met = candidates.join(inside, (F.col("lang") == F.col("i_lang")) & (F.col("phrase") == F.col("i_phrase")), "left")
