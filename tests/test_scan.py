@@ -1,12 +1,15 @@
 """Operators against NumPy, on small arrays, whatever the partitioning."""
 
+from functools import partial
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tomoflow.functions.columns import part_bound
+from tomoflow.methods import spec
 from tomoflow.monitor import make_monitors, overhead, summarise
-from tomoflow.operators import aggregate, centre, elementwise, frames, halo, reorient, sweep
+from tomoflow.operators import aggregate, centre, elementwise, frames, halo, neighbourhood, reorient, sweep
 from tomoflow.plans.parse import parse
 from tomoflow.plans.preview import Frames, UserAngles, parse_preview
 from tomoflow.plans.rules import rewrite
@@ -143,31 +146,66 @@ def test_blocks_equal_the_whole(spark, data, size):
     assert np.allclose(got, sum(wide[i : i + 7] for i in range(5)), atol=1e-5)
 
 
-@pytest.mark.parametrize("reach", [1, 2])
-def test_filters(spark, data, reach):
-    wide = np.pad(data.astype(float), ((reach, reach), (0, 0), (0, 0)), mode="edge")
-    stack = np.stack([wide[i : i + 7] for i in range(2 * reach + 1)])
-    pixels = voxels(lines(spark, data))
-    assert np.allclose(pixels_array(halo.mean_filter(pixels, reach), data.shape), stack.mean(0), atol=1e-5)
-    assert np.allclose(pixels_array(halo.median_filter(pixels, reach), data.shape), np.median(stack, axis=0), atol=1e-6)
+def around(data, reach):
+    """All shifts of the data within reach on each axis, edges repeated."""
+    wide = np.pad(data.astype(float), [(r, r) for r in reach], mode="edge")
+    n, m, k = data.shape
+    return np.stack([wide[i : i + n, j : j + m, x : x + k] for i in range(2 * reach[0] + 1) for j in range(2 * reach[1] + 1) for x in range(2 * reach[2] + 1)])
+
+
+@pytest.mark.parametrize("size", [(2, 3), (3, 1), (7, 4), (50, 50)])
+@pytest.mark.parametrize("reach", [(1, 0, 0), (2, 0, 0), (0, 1, 2), (1, 1, 1), (4, 3, 0)])
+def test_neighbourhoods_by_blocks(spark, data, reach, size):
+    stack = around(data, reach)
+    for function, want in ((neighbourhood.median_of_box, np.median(stack, axis=0)), (neighbourhood.mean_of_box, stack.mean(0)), (neighbourhood.sum_of_box, stack.sum(0))):
+        got = neighbourhood.each_block(lines(spark, data), partial(function, reach=reach), reach, size)
+        assert np.allclose(array(got, data.shape), want, atol=1e-9)
+
+
+def test_halo_of_two_lengths(spark, data):
+    """A function that looks back only."""
+    got = neighbourhood.each_block(lines(spark, data), lambda box: box[:-2] + box[2:], (2, 0, 0), (3, 2), after=(0, 0, 0))
+    wide = np.pad(data.astype(float), ((2, 0), (0, 0), (0, 0)), mode="edge")
+    assert np.allclose(array(got, data.shape), wide[:-2] + wide[2:])
+
+
+def test_filters_on_scans(spark, data):
+    stack = around(data, (1, 1, 1))
+    for name, want in (("median_filter3d", np.median(stack, axis=0)), ("mean_filter3d", stack.mean(0))):
+        scan = Scan(lines(spark, data).drop("image_key"), None, None, None, data.shape)
+        assert np.allclose(array(spec(name).apply(scan, "projection", kernel_size=3).lines, data.shape), want, atol=1e-9)
+    assert np.allclose(array(neighbourhood.box_sum(lines(spark, data), (1, 1, 1)), data.shape), stack.sum(0))
+    missing = lines(spark, data).where("angle <> 3 OR det_y <> 2")
+    with pytest.raises(Exception, match="lines, not"):
+        neighbourhood.median_filter(missing, (1, 1, 1)).collect()
+    assert neighbourhood.median_filter(missing.where("false"), (1, 1, 1)).count() == 0
+
 
+def test_neighbourhoods_plan_one_exchange_of_lines(spark, data):
+    plan = neighbourhood.median_filter(lines(spark, data), (1, 1, 1), 6)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning") == 1 and "posexplode" not in plan and "Window" not in plan
+    stripes = frames.each_frame(lines(spark, data), frames.sort_stripes, "sinogram")._jdf.queryExecution().executedPlan().toString()
+    assert stripes.count("hashpartitioning") == 1 and "posexplode" not in stripes and "Window" not in stripes
 
-def test_cube_median_and_mean(spark, data):
-    from tomoflow.builtin import _mean_3d, _median_3d
 
-    wide = np.pad(data.astype(float), 1, mode="edge")
-    cube = np.stack([wide[i : i + 7, j : j + 4, k : k + 6] for i in range(3) for j in range(3) for k in range(3)])
-    pixels = voxels(lines(spark, data))
-    assert np.allclose(pixels_array(_median_3d(pixels, 1), data.shape), np.median(cube, axis=0), atol=1e-6)
-    assert np.allclose(pixels_array(_mean_3d(pixels, 1), data.shape), cube.mean(0), atol=1e-5)
-    assert np.allclose(pixels_array(halo.box_sum(pixels), data.shape), cube.sum(0), atol=1e-4)
+def test_blocks_have_a_bounded_size():
+    for width in (1, 64, 2560, 10**7):
+        for reach in ((1, 0, 0), (1, 1, 1), (5, 5, 5)):
+            a, y = neighbourhood.block_shape(width, reach)
+            assert a * y * width * 8 <= max(2 * neighbourhood.BLOCK_BYTES, 8 * width * max(128, (4 * max(reach)) ** 2))
 
 
-def test_outliers(spark):
-    data = np.ones((2, 2, 6), np.float32)
-    data[0, 0, 3] = 9
-    got = pixels_array(halo.remove_outlier(voxels(lines(spark, data)), 0.5), data.shape)
-    assert (got == 1).all()
+def test_outliers(spark, data):
+    one = np.ones((2, 2, 6), np.float32)
+    one[0, 0, 3] = 9
+    assert (array(halo.remove_outlier_lines(lines(spark, one).drop("image_key"), 0.5), one.shape) == 1).all()
+    for reach in (1, 2, 4):
+        median = np.median(around(data, (0, 0, reach)), axis=0)
+        got = array(halo.remove_outlier_lines(lines(spark, data), 0.3, reach), data.shape)
+        assert np.allclose(got, np.where(np.abs(data - median) > 0.3, median, data), atol=1e-7)
+    uneven = spark.createDataFrame([(0, 0, [1.0, 9.0, 1.0]), (0, 1, []), (0, 2, [5.0]), (0, 3, [2.0, 2.0, 7.0])], "angle int, det_y int, line array<float>").coalesce(1)
+    got = {r.det_y: r.line for r in halo.remove_outlier_lines(uneven, 0.5).collect()}
+    assert got == {0: [1.0, 1.0, 1.0], 1: [], 2: [5.0], 3: [2.0, 2.0, 7.0]}
 
 
 def test_both_orientations(spark, data):
@@ -192,9 +230,9 @@ def test_regrouping_plans_one_exchange(spark, data):
 
 
 def test_fold(spark, data):
-    got = pixels_array(reorient.folded(voxels(lines(spark, data)), 3, 6), (3, 4, 6))
+    got = array(reorient.folded(lines(spark, data), 3, 6), (3, 4, 6))
     assert np.allclose(got, (data[:3] + data[3:6, :, ::-1]) / 2, atol=1e-6)
-    wide = pixels_array(reorient.folded(voxels(lines(spark, data)), 3, 6, 2), (3, 4, 10))
+    wide = array(reorient.folded(lines(spark, data), 3, 6, 2), (3, 4, 10))
     assert np.allclose(wide[:, :, 6:], data[:3, :, 2:], atol=1e-6) and np.allclose(wide[:, :, :4], data[3:6, :, ::-1][:, :, :4], atol=1e-6)
 
 
@@ -206,7 +244,7 @@ def test_part_bounds_round_halves_to_even(spark, n, parts):
 
 
 def test_stripes(spark, data):
-    got = pixels_array(reorient.sorted_stripes(voxels(lines(spark, data))), data.shape)
+    got = array(frames.each_frame(lines(spark, data), frames.sort_stripes, "sinogram"), data.shape)
     for y in range(4):
         sino = data[:, y].astype(float)
         order = np.argsort(sino, axis=0, kind="stable")

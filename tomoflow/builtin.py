@@ -20,17 +20,17 @@ from pyspark.sql import functions as F
 from tomoflow.functions.columns import finite_or_zero
 from tomoflow.functions.numbers import reconstruction_padding
 from tomoflow.methods import REQUIRED, Method, register
-from tomoflow.operators import aggregate, centre, elementwise, frames, halo, reorient
+from tomoflow.operators import aggregate, centre, elementwise, frames, halo, neighbourhood, reorient
 from tomoflow.sources.scan import Scan, lines_of, voxels
 
 log = logging.getLogger("tomoflow")
 
 
-def on_pixels(function: Callable) -> Callable:
-    """A method on pixels as one on a scan."""
+def around(function: Callable) -> Callable:
+    """A filter of the cube around each pixel as a method on a scan."""
 
-    def apply(scan: Scan, pattern: str, **parameters) -> Scan:
-        return scan.with_lines(lines_of(function(voxels(scan.lines), **parameters)))
+    def apply(scan: Scan, pattern: str, kernel_size: int = 3) -> Scan:
+        return scan.with_lines(function(scan.lines, (kernel_size // 2,) * 3, scan.shape[2]))
 
     return apply
 
@@ -62,14 +62,17 @@ def remove_outlier(scan: Scan, pattern: str, dif: float = 0.1, kernel_size: int
     if axis == "det_x":
         done = [halo.remove_outlier_lines(table, dif, reach) for table in (scan.lines, scan.darks, scan.flats)]
         return replace(scan, lines=done[0], darks=done[1], flats=done[2])
+    width = scan.shape[2]
     if axis != "cube":
-        return scan.with_lines(lines_of(halo.remove_outlier(voxels(scan.lines), dif, reach, axis)))
+        around = tuple(reach if a == axis else 0 for a in halo.AXES)
+        return scan.with_lines(neighbourhood.remove_outliers(scan.lines, dif, around, width))
 
     def square(table):
         frame = elementwise.mean_lines(table).withColumn("angle", F.lit(0))
-        return lines_of(halo.remove_outlier_cube(voxels(frame), dif, reach, ("det_y", "det_x"))).select("det_y", "line")
+        return neighbourhood.remove_outliers(frame, dif, (0, reach, reach), width).select("det_y", "line")
 
-    return replace(scan, lines=lines_of(halo.remove_outlier_cube(voxels(scan.lines), dif, reach)), darks=square(scan.darks), flats=square(scan.flats))
+    done = neighbourhood.remove_outliers(scan.lines, dif, (reach, reach, reach), width)
+    return replace(scan, lines=done, darks=square(scan.darks), flats=square(scan.flats))
 
 
 def theta_of(scan: Scan) -> np.ndarray:
@@ -124,12 +127,10 @@ def average_projection_frames(scan: Scan, pattern: str, projection_averaging_fac
 
 def sino_360_to_180(scan: Scan, pattern: str, overlap: float = 0, side: str = "left") -> Scan:
     half, width = scan.shape[0] // 2, scan.shape[2]
-    pixels = voxels(scan.lines)
-    if side == "right":
-        pixels = pixels.withColumn("det_x", width - 1 - F.col("det_x"))
-    done = reorient.folded(pixels, half, width, int(round(overlap)))
+    lines = scan.lines.withColumn("line", F.reverse("line")) if side == "right" else scan.lines
+    done = reorient.folded(lines, half, width, int(round(overlap)))
     angles = scan.angles.where(F.col("angle") < half)
-    return replace(scan, lines=lines_of(done), angles=angles, shape=(half, scan.shape[1], 2 * width - int(round(overlap)) if overlap else width))
+    return replace(scan, lines=done, angles=angles, shape=(half, scan.shape[1], 2 * width - int(round(overlap)) if overlap else width))
 
 
 def reconstruction(function: Callable) -> Callable:
@@ -207,7 +208,7 @@ def data_resampler(scan: Scan, pattern: str, newshape_factor: int = 2) -> Scan:
 def seam_blend(scan: Scan, pattern: str, seam_index: int = 0, reach: int = 2, shift_seam_index: int | None = None) -> Scan:
     """The seam is a column of the whole detector."""
     shift = scan.origin[0] if shift_seam_index is None else shift_seam_index
-    return scan.with_lines(lines_of(reorient.seam_blended(voxels(scan.lines), seam_index - shift, reach)))
+    return scan.with_lines(reorient.seam_blended(scan.lines, seam_index - shift, reach))
 
 
 def unchanged(scan: Scan, pattern: str, **parameters) -> Scan:
@@ -231,11 +232,11 @@ def register_all() -> None:
     add("remove_outlier", remove_outlier, "projection", {"dif": 0.1, "kernel_size": 3, "axis": "det_x"})
     add("remove_outlier3d", lambda scan, pattern, **p: remove_outlier(scan, pattern, axis="cube", **p), "projection", {"dif": 0.1, "kernel_size": 3}, "kernel_size")
     add("median_filter", on_frames(frames.median_2d), parameters={"size": 3})
-    add("median_filter3d", on_pixels(lambda p, kernel_size=3: _median_3d(p, kernel_size // 2)), "projection", {"kernel_size": 3}, "kernel_size")
-    add("mean_filter3d", on_pixels(lambda p, kernel_size=3: _mean_3d(p, kernel_size // 2)), "projection", {"kernel_size": 3}, "kernel_size")
+    add("median_filter3d", around(neighbourhood.median_filter), "projection", {"kernel_size": 3}, "kernel_size")
+    add("mean_filter3d", around(neighbourhood.mean_filter), "projection", {"kernel_size": 3}, "kernel_size")
     add("paganin_filter", on_frames(frames.paganin, "projection"), "projection", {"ratio_delta_beta": 250.0, "pixel_size": 1.28, "distance": 1.0, "energy": 53.0}, memory_factor=12.0)
     add("remove_stripe_fw", on_frames(frames.remove_stripe_fw, "sinogram"), "sinogram", {"level": 3, "sigma": 2.0, "wname": "haar", "pad": True}, memory_factor=4.0)
-    add("remove_stripe_based_sorting", on_pixels(lambda p, size=3: reorient.sorted_stripes(p, size // 2)), "sinogram", {"size": 3})
+    add("remove_stripe_based_sorting", on_frames(frames.sort_stripes, "sinogram"), "sinogram", {"size": 3})
     add("remove_all_stripe", on_frames(frames.remove_all_stripe, "sinogram"), "sinogram", {"size": 5, "ratio": 3.0})
     add("stripes_mask3d", on_frames(frames.stripes_mask, "sinogram"), "sinogram", {"threshold": 0.7, "size": 5}, "size")
     for name, apply, parameters, values in (
@@ -268,18 +269,3 @@ def register_all() -> None:
     images = {"subfolder_name": "images", "axis": "auto", "file_format": "pgm", "bits": 8, "perc_range_min": 0.0, "perc_range_max": 100.0, "jpeg_quality": 95, "offset": 0}
     add("save_to_images", unchanged, parameters=images)
     add("save_intermediate_data", unchanged, parameters={"of": ""})
-
-
-def _along_axes(pixels, reach: int, combine: Callable):
-    for axis in halo.AXES:
-        values = [halo.neighbour(F.col("v"), o, axis) for o in range(-reach, reach + 1)]
-        pixels = pixels.withColumn("v", combine(values))
-    return pixels
-
-
-def _median_3d(pixels, reach: int):
-    return halo.cube_median(pixels, reach).withColumn("v", F.col("median")).drop("median")
-
-
-def _mean_3d(pixels, reach: int):
-    return _along_axes(pixels, reach, lambda values: sum(values[1:], values[0]) / len(values))

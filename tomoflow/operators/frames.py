@@ -105,6 +105,17 @@ def remove_stripe_fw(sinogram: np.ndarray, level: int = 3, sigma: float = 2.0, w
     return wide.T[:, :m]
 
 
+def sort_stripes(sinogram: np.ndarray, size: int = 3) -> np.ndarray:
+    """Stripes removed by sorting: each column's values sorted along the angles, a median
+    across the columns, and each value back at its angle."""
+    order = np.argsort(sinogram, axis=0, kind="stable")
+    wide = np.pad(np.take_along_axis(sinogram, order, axis=0), ((0, 0), (size // 2, size // 2)), mode="edge")
+    ranked = np.median(np.stack([wide[:, i : i + sinogram.shape[1]] for i in range(2 * (size // 2) + 1)]), axis=0)
+    out = np.empty_like(sinogram)
+    np.put_along_axis(out, order, ranked.astype(sinogram.dtype), axis=0)
+    return out
+
+
 def remove_all_stripe(sinogram: np.ndarray, size: int = 5, ratio: float = 3.0) -> np.ndarray:
     """Large stripes by their mean against its median, the rest by sorting."""
     mean = sinogram.mean(axis=0)
@@ -112,14 +123,7 @@ def remove_all_stripe(sinogram: np.ndarray, size: int = 5, ratio: float = 3.0) -
     smooth = np.median(np.stack([wide[i : i + len(mean)] for i in range(size)]), axis=0)
     gap = mean - smooth
     level = np.median(np.abs(gap)) + 1e-12
-    fixed = sinogram - np.where(np.abs(gap) > ratio * level, gap, 0)[None, :]
-    order = np.argsort(fixed, axis=0, kind="stable")
-    ranked = np.take_along_axis(fixed, order, axis=0)
-    wide = np.pad(ranked, ((0, 0), (size // 2, size // 2)), mode="edge")
-    ranked = np.median(np.stack([wide[:, i : i + fixed.shape[1]] for i in range(size)]), axis=0)
-    out = np.empty_like(fixed)
-    np.put_along_axis(out, order, ranked, axis=0)
-    return out
+    return sort_stripes(sinogram - np.where(np.abs(gap) > ratio * level, gap, 0)[None, :], size)
 
 
 def ramp(width: int) -> np.ndarray:

@@ -1,46 +1,35 @@
-"""Neighbourhoods along an axis, with the edge repeated beyond it.
+"""Copies of slices beyond the ends of an axis and around blocks, and running medians inside a line.
 
-Windows run by the other two axes, so that every pixel column is one window: the
-exchange is by (row, column), as many keys as the detector has pixels.
+Rows may be lines or pixels.  Neighbourhoods across lines are in ``neighbourhood``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 AXES = ("angle", "det_y", "det_x")
 
 
-def _window(axis: str):
-    return Window.partitionBy(*[a for a in AXES if a != axis]).orderBy(axis)
-
-
-def neighbour(v: Column, offset: int, axis: str = "angle") -> Column:
-    """The value ``offset`` places away; beyond an end the end's own value."""
-    w = _window(axis)
-    if offset == 0:
-        return v
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    if offset < 0:
-        return F.coalesce(F.lag(v, -offset).over(w), F.first(v).over(whole))
-    return F.coalesce(F.lead(v, offset).over(w), F.last(v).over(whole))
-
-
-def padded(pixels: DataFrame, before: int, after: int, length: int, axis: str = "angle") -> DataFrame:
-    """The pixels and copies of the two end slices beyond them; ``core`` tells them apart."""
-    ends = pixels.where(F.col(axis).isin(0, length - 1))
+def padded(rows: DataFrame, before: int, after: int, length: int, axis: str = "angle") -> DataFrame:
+    """The rows and copies of the two end slices beyond them; ``core`` tells them apart."""
+    ends = rows.where(F.col(axis).isin(0, length - 1))
     low = F.when(F.col(axis) == 0, F.sequence(F.lit(-before), F.lit(-1))) if before else F.when(F.lit(False), F.array(F.lit(0)))
     high = F.when(F.col(axis) == length - 1, F.sequence(F.lit(length), F.lit(length + after - 1))) if after else F.when(F.lit(False), F.array(F.lit(0)))
     empty = F.array().cast("array<int>")
     places = F.concat(F.coalesce(low, empty), F.coalesce(high, empty))
     halo = ends.withColumn("to", F.explode(places)).withColumn(axis, F.col("to")).drop("to")
-    return pixels.withColumn("core", F.lit(True)).unionByName(halo.withColumn("core", F.lit(False)))
+    return rows.withColumn("core", F.lit(True)).unionByName(halo.withColumn("core", F.lit(False)))
 
 
-def blocks(pixels: DataFrame, size: int, before: int, after: int, length: int, axis: str = "angle") -> DataFrame:
-    """The pixels of each block of ``size`` slices with its halo, true neighbours where there are any."""
-    whole = padded(pixels, before, after, length, axis)
+def blocks(rows: DataFrame, size: int, before: int, after: int, length: int, axis: str = "angle") -> DataFrame:
+    """The rows of each block of ``size`` slices with its halo, true neighbours where there are any."""
+    whole = padded(rows, before, after, length, axis)
     place = F.col(axis)
     count = -(-length // size)
     first = F.greatest(F.lit(0), F.ceil((place - (size + after - 1)) / size)).cast("int")
@@ -51,73 +40,38 @@ def blocks(pixels: DataFrame, size: int, before: int, after: int, length: int, a
     return dealt.withColumn("core", place.between(start, stop - 1))
 
 
-def mean_filter(pixels: DataFrame, reach: int = 1, axis: str = "angle") -> DataFrame:
-    total = neighbour(F.col("v"), 0, axis)
-    for offset in range(1, reach + 1):
-        total = total + neighbour(F.col("v"), -offset, axis) + neighbour(F.col("v"), offset, axis)
-    return pixels.withColumn("v", total / (2 * reach + 1))
-
-
-def median_of(values: list[Column]) -> Column:
-    if len(values) == 3:
-        a, b, c = values
-        return F.greatest(F.least(a, b), F.least(F.greatest(a, b), c))
-    return F.array_sort(F.array(*values))[len(values) // 2]
-
-
-def median_filter(pixels: DataFrame, reach: int = 1, axis: str = "angle") -> DataFrame:
-    """Median of 2 * reach + 1 values along an axis."""
-    values = [neighbour(F.col("v"), o, axis) for o in range(-reach, reach + 1)]
-    return pixels.withColumn("v", median_of(values))
-
-
-def remove_outlier(pixels: DataFrame, difference: float, reach: int = 1, axis: str = "det_x") -> DataFrame:
-    """Values further than ``difference`` from their neighbourhood's median become the median."""
-    values = [neighbour(F.col("v"), o, axis) for o in range(-reach, reach + 1)]
-    near = pixels.withColumn("median", median_of(values))
-    v, median = F.col("v"), F.col("median")
-    return near.withColumn("v", F.when(F.abs(v - median) > difference, median).otherwise(v)).drop("median")
-
-
-def median_lines(lines: DataFrame, reach: int = 1, column: str = "median") -> DataFrame:
-    """``lines`` with the running medians along det_x, edges repeated, worked out inside each array."""
-    line = F.col("line").cast("array<double>")
-    last = F.size("line") - 1
-
-    def near(i: Column) -> Column:
-        places = [F.least(F.greatest(i + o, F.lit(0)), last) for o in range(-reach, reach + 1)]
-        return median_of([F.get("line", p) for p in places])
-
-    return lines.withColumn("line", line).withColumn(column, F.transform("line", lambda x, i: near(i)))
+#: Numbers of lines that are worked on at once.
+SLAB = 1 << 20
 
 
 def remove_outlier_lines(lines: DataFrame, difference: float, reach: int = 1) -> DataFrame:
-    """As ``remove_outlier`` along det_x, without a row per pixel."""
-    fixed = F.zip_with("line", "median", lambda v, m: F.when(F.abs(v - m) > difference, m).otherwise(v))
-    return median_lines(lines, reach).withColumn("line", fixed).drop("median")
-
-
-def cube_median(pixels: DataFrame, reach: int = 1, axes: tuple[str, ...] = AXES) -> DataFrame:
-    """``pixels`` with ``median``, exact over the cube: its values are gathered axis by axis, then sorted."""
-    out = pixels.withColumn("near", F.array("v"))
-    for axis in axes:
-        out = out.withColumn("near", F.concat(*[neighbour(F.col("near"), o, axis) for o in range(-reach, reach + 1)]))
-    count = (2 * reach + 1) ** len(axes)
-    return out.withColumn("median", F.array_sort("near")[count // 2]).drop("near")
-
-
-def remove_outlier_cube(pixels: DataFrame, difference: float, reach: int = 1, axes: tuple[str, ...] = AXES) -> DataFrame:
-    """Values further than ``difference`` from the median of the cube around them become it."""
-    v, median = F.col("v"), F.col("median")
-    return cube_median(pixels, reach, axes).withColumn("v", F.when(F.abs(v - median) > difference, median).otherwise(v)).drop("median")
-
-
-def box_sum(pixels: DataFrame, reach: int = 1) -> DataFrame:
-    """Sum over the cube of (2 * reach + 1)^3 pixels, one axis after the other."""
-    out = pixels
-    for axis in AXES:
-        total = F.col("v")
-        for offset in range(1, reach + 1):
-            total = total + neighbour(F.col("v"), -offset, axis) + neighbour(F.col("v"), offset, axis)
-        out = out.withColumn("v", total)
-    return out
+    """Values further than ``difference`` from the running median along det_x become it; edges are repeated.
+
+    Arrow batches of lines where they lie: no exchange, and no row per pixel.
+    """
+    names = lines.columns
+    place = names.index("line")
+
+    def fixed(line: np.ndarray) -> np.ndarray:
+        windows = sliding_window_view(np.pad(line, ((0, 0), (reach, reach)), mode="edge"), 2 * reach + 1, axis=1)
+        median = np.partition(windows, reach, axis=2)[..., reach]
+        return np.where(np.abs(line - median) > difference, median, line)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(place)
+            lengths = column.value_lengths().to_numpy(zero_copy_only=False)
+            values = column.flatten().to_numpy(zero_copy_only=False).astype(float)
+            out, begins = np.empty(len(values)), np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+            for width in np.unique(lengths[lengths > 0]).tolist():  # nearly always one
+                mine = np.flatnonzero(lengths == width)
+                for at in range(0, len(mine), max(1, SLAB // width)):
+                    few = mine[at : at + max(1, SLAB // width)]
+                    where = begins[few][:, None] + np.arange(width)
+                    out[where] = fixed(values[where])
+            columns = list(batch.columns)
+            columns[place] = pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.array(out))
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    schema = ", ".join(f"`{f.name}` {'array<double>' if f.name == 'line' else f.dataType.simpleString()}" for f in lines.schema)
+    return lines.mapInArrow(run, schema)

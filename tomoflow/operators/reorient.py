@@ -30,24 +30,23 @@ def swapped(lines: DataFrame) -> DataFrame:
     return lines.select(F.col("det_y").alias("angle"), F.col("angle").alias("det_y"), *others)
 
 
-def folded(pixels: DataFrame, half: int, width: int, overlap: int = 0) -> DataFrame:
-    """A scan over 360 degrees as one over 180: each angle with its mirrored opposite.
+def folded(lines: DataFrame, half: int, width: int, overlap: int = 0) -> DataFrame:
+    """A scan over 360 degrees as one over 180: each line with the mirrored one of the opposite angle.
 
     Without overlap, the mean of both; with it, both side by side, blended linearly over
-    ``overlap`` columns, the opposite one mirrored on the left.
+    ``overlap`` columns, the opposite one mirrored on the left.  One join of lines.
     """
-    front = pixels.where(F.col("angle") < half)
-    back = pixels.where(F.col("angle").between(half, 2 * half - 1))
-    back = back.select((F.col("angle") - half).alias("angle"), "det_y", (width - 1 - F.col("det_x")).alias("det_x"), F.col("v").alias("w"))
+    front = lines.where(F.col("angle") < half).select("angle", "det_y", F.col("line").cast("array<double>").alias("right"))
+    back = lines.where(F.col("angle").between(half, 2 * half - 1))
+    back = back.select((F.col("angle") - half).alias("angle"), "det_y", F.reverse(F.col("line").cast("array<double>")).alias("left"))
+    both = front.join(back, ["angle", "det_y"])
     if not overlap:
-        return front.join(back, ["angle", "det_y", "det_x"]).select("angle", "det_y", "det_x", ((F.col("v") + F.col("w")) / 2).alias("v"))
+        return both.select("angle", "det_y", F.zip_with("right", "left", lambda v, w: (v + w) / 2).alias("line"))
     shift = width - overlap
-    share = (F.col("det_x") - shift + 0.5) / overlap
-    left = back.select("angle", "det_y", "det_x", F.col("w").alias("v"), F.when(F.col("det_x") >= shift, 1 - share).otherwise(1.0).alias("weight"))
-    place = F.col("det_x") + shift
-    right = front.select("angle", "det_y", place.alias("det_x"), "v", F.when(F.col("det_x") < overlap, (F.col("det_x") + 0.5) / overlap).otherwise(1.0).alias("weight"))
-    both = left.unionByName(right).groupBy("angle", "det_y", "det_x")
-    return both.agg((F.sum(F.col("v") * F.col("weight")) / F.sum("weight")).alias("v"))
+    met = F.arrays_zip(F.slice("left", shift + 1, overlap).alias("l"), F.slice("right", 1, overlap).alias("r"))
+    share = lambda i: (i + 0.5) / overlap
+    blend = F.transform(met, lambda p, i: p["l"] * (1 - share(i)) + p["r"] * share(i))
+    return both.select("angle", "det_y", F.concat(F.slice("left", 1, shift), blend, F.slice("right", overlap + 1, shift)).alias("line"))
 
 
 def chunk_table(spark, length: int, parts: int) -> DataFrame:
@@ -67,26 +66,10 @@ def block_table(spark, length: int, most: int) -> DataFrame:
     return rows.withColumn("last", F.lead("block").over(Window.orderBy("block")).isNull())
 
 
-def sorted_stripes(pixels: DataFrame, reach: int = 1) -> DataFrame:
-    """Stripes removed by sorting: each column's values sorted along the angles, a median
-    across the columns, and each value back at its angle."""
-    by_value = Window.partitionBy("det_y", "det_x").orderBy("v", "angle")
-    ranked = pixels.withColumn("place", F.row_number().over(by_value))
-    across = Window.partitionBy("det_y", "place").orderBy("det_x")
-    whole = across.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    values = [F.col("v")]
-    for o in range(1, reach + 1):
-        values += [F.coalesce(F.lag("v", o).over(across), F.first("v").over(whole)), F.coalesce(F.lead("v", o).over(across), F.last("v").over(whole))]
-    median = F.array_sort(F.array(*values))[reach]
-    return ranked.select("angle", "det_y", "det_x", median.alias("v"))
-
-
-def seam_blended(pixels: DataFrame, seam: int, reach: int) -> DataFrame:
-    """A linear passage over the columns within ``reach`` of a seam, between their outer values."""
+def seam_blended(lines: DataFrame, seam: int, reach: int) -> DataFrame:
+    """A linear passage over the columns within ``reach`` of a seam, between their outer values; inside each line."""
     left, right = seam - reach, seam + reach
-    line = Window.partitionBy("angle", "det_y")
-    a = F.max(F.when(F.col("det_x") == left, F.col("v"))).over(line)
-    b = F.max(F.when(F.col("det_x") == right, F.col("v"))).over(line)
-    share = (F.col("det_x") - left) / (2.0 * reach)
-    inside = F.col("det_x").between(left, right)
-    return pixels.withColumn("v", F.when(inside & a.isNotNull() & b.isNotNull(), a + (b - a) * share).otherwise(F.col("v")))
+    line = F.col("line").cast("array<double>")
+    a, b = (F.get("line", F.lit(at)) if at >= 0 else F.lit(None).cast("double") for at in (left, right))
+    passage = F.transform("line", lambda v, i: F.when(i.between(left, right), a + (b - a) * ((i - left) / (2.0 * reach))).otherwise(v))
+    return lines.withColumn("line", line).withColumn("line", F.when(a.isNotNull() & b.isNotNull(), passage).otherwise(F.col("line")))

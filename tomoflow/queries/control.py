@@ -96,6 +96,10 @@ VOX = f"WITH {CUBE.strip()}"
 NUMBERS = " SELECT angle, det_y, count(v) AS n, round(sum(v::FLOAT::DOUBLE), 3) + 0.0 AS total, round(max(v::FLOAT::DOUBLE), 3) + 0.0 AS most FROM done GROUP BY ALL"
 
 
+#: Whole pixels, as the single-precision numbers that frames have.
+PIXELS = " SELECT angle, det_y, det_x, v::FLOAT::DOUBLE + 0.0 AS v FROM done"
+
+
 def square(reach: int, own: str, along: str, last: str, name: str = "m") -> str:
     """Medians over the square around each pixel of a frame of (own index) lines ``along`` and det_x, edges repeated."""
     offsets = ", ".join(f"({o})" for o in range(-reach, reach + 1))
@@ -113,49 +117,49 @@ def numbers(lines: DataFrame) -> DataFrame:
     return rows
 
 
-def by_frame(name: str, function, pattern: str, **arguments) -> None:
+def by_frame(name: str, function, pattern: str, result=numbers, **arguments) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return numbers(frames.each_frame(scan_of(spark, sf_dir).lines, function, pattern, **arguments))
+        return result(frames.each_frame(scan_of(spark, sf_dir).lines, function, pattern, **arguments))
 
     QUERIES[name] = run
 
 
-by_frame("median_filter_2d", frames.median_2d, "projection", size=3)
-by_frame("dezinging_2d", frames.dezing_2d, "projection", size=3, difference=0.5)
+by_frame("median_filter_2d", frames.median_2d, "projection", voxels, size=3)
+by_frame("dezinging_2d", frames.dezing_2d, "projection", voxels, size=3, difference=0.5)
 by_frame("paganin_filter", frames.paganin, "projection", ratio_delta_beta=100.0)
 by_frame("remove_stripe_fw", frames.remove_stripe_fw, "sinogram", level=3)
 by_frame("remove_all_stripe", frames.remove_all_stripe, "sinogram")
-by_frame("stripes_mask", frames.stripes_mask, "sinogram")
-by_frame("distortion_correction", frames.undistort, "projection", xcenter=32.0, ycenter=5.0, list_fact=[1.0, 1e-4])
+by_frame("stripes_mask", frames.stripes_mask, "sinogram", voxels)
+by_frame("distortion_correction", frames.undistort, "projection", voxels, xcenter=32.0, ycenter=5.0, list_fact=[1.0, 1e-4])
 by_frame("total_variation", frames.denoise_tv, "projection", regularisation=0.1)
 
 
-def applied(name: str, method: str, **parameters) -> None:
+def applied(name: str, method: str, result=numbers, **parameters) -> None:
     from tomoflow.methods import spec
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         one = spec(method)
-        return numbers(one.apply(scan_of(spark, sf_dir), one.pattern, **parameters).lines)
+        return result(one.apply(scan_of(spark, sf_dir), one.pattern, **parameters).lines)
 
     QUERIES[name] = run
 
 
 applied("fbp_reconstruction", "FBP", center=31.5)
 applied("fista_reconstruction", "FISTA3d_tomobar")
-applied("median_filter_3d", "median_filter3d", kernel_size=3)
+applied("median_filter_3d", "median_filter3d", voxels, kernel_size=3)
 
 
-ORACLES["median_filter_2d"] = VOX + square(1, "angle", "det_y", "9") + ", done AS (SELECT angle, det_y, median AS v FROM m)" + NUMBERS
-ORACLES["dezinging_2d"] = VOX + square(1, "angle", "det_y", "9") + ", done AS (SELECT angle, det_y, CASE WHEN abs(v - median) > 0.5 THEN median ELSE v END AS v FROM m)" + NUMBERS
-ORACLES["median_filter_3d"] = VOX + NEAR_27 + ", done AS (SELECT angle, det_y, median AS v FROM m)" + NUMBERS
+ORACLES["median_filter_2d"] = VOX + square(1, "angle", "det_y", "9") + ", done AS (SELECT angle, det_y, det_x, median AS v FROM m)" + PIXELS
+ORACLES["dezinging_2d"] = VOX + square(1, "angle", "det_y", "9") + ", done AS (SELECT angle, det_y, det_x, CASE WHEN abs(v - median) > 0.5 THEN median ELSE v END AS v FROM m)" + PIXELS
+ORACLES["median_filter_3d"] = VOX + NEAR_27 + ", done AS (SELECT angle, det_y, det_x, median AS v FROM m)" + PIXELS
 ORACLES["stripes_mask"] = (
     VOX
     + square(2, "det_y", "angle", "last")
     + """, gaps AS (SELECT angle, det_y, det_x, abs(v - median) AS gap FROM m),
 levels AS (SELECT det_y, median(gap) AS level FROM gaps GROUP BY det_y),
 often AS (SELECT det_y, det_x, avg(CASE WHEN gap > 3 * level THEN 1.0 ELSE 0.0 END) > 0.7 AS stands_out FROM gaps JOIN levels USING (det_y) GROUP BY ALL),
-done AS (SELECT angle, det_y, stands_out::INT AS v FROM gaps JOIN often USING (det_y, det_x))"""
-    + NUMBERS
+done AS (SELECT angle, det_y, det_x, stands_out::INT AS v FROM gaps JOIN often USING (det_y, det_x))"""
+    + PIXELS
 )
 ORACLES["distortion_correction"] = (
     VOX
@@ -164,9 +168,9 @@ ORACLES["distortion_correction"] = (
   FROM (SELECT *, 1.0 + 1e-4 * sqrt((det_x - 32.0) * (det_x - 32.0) + (det_y - 5.0) * (det_y - 5.0)) AS f FROM vox)),
 corners AS (SELECT *, least(floor(px), 62)::INT AS x0, least(floor(py), 8)::INT AS y0 FROM places),
 done AS (
-  SELECT c.angle, c.det_y, sum(v.v * (CASE WHEN v.det_x = x0 THEN 1 - (px - x0) ELSE px - x0 END) * (CASE WHEN v.det_y = y0 THEN 1 - (py - y0) ELSE py - y0 END)) AS v
+  SELECT c.angle, c.det_y, c.det_x, sum(v.v * (CASE WHEN v.det_x = x0 THEN 1 - (px - x0) ELSE px - x0 END) * (CASE WHEN v.det_y = y0 THEN 1 - (py - y0) ELSE py - y0 END)) AS v
   FROM corners c JOIN vox v ON v.angle = c.angle AND v.det_x IN (x0, x0 + 1) AND v.det_y IN (y0, y0 + 1) GROUP BY c.angle, c.det_y, c.det_x)"""
-    + NUMBERS
+    + PIXELS
 )
 
 

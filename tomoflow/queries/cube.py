@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tomoflow.functions.columns import linspace
 from tomoflow.functions.numbers import arange
-from tomoflow.operators import aggregate, elementwise, halo, reorient, sweep
+from tomoflow.operators import aggregate, elementwise, frames, halo, neighbourhood, reorient, sweep
 from tomoflow.plans.model import Preview
 from tomoflow.plans.preview import Frames, StoredAngles, UserAngles, continuous_subset, parse_preview, sweep_preview
 from tomoflow.sources.declared import declared_scan, lines_from
@@ -294,9 +294,9 @@ def average_angles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(", h AS (SELECT count(DISTINCT angle) // 2 AS h FROM vox) SELECT a.angle, a.det_y, a.det_x, round((a.v + b.v) / 2, 6) AS v FROM vox a JOIN h ON a.angle < h JOIN vox b ON b.angle = a.angle + h AND b.det_y = a.det_y AND b.det_x = 63 - a.det_x")
 def fold_360_180(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table, pixels = projections(spark, sf_dir)
-    half = pixels.agg(F.countDistinct("angle")).first()[0] // 2
-    return rounded(reorient.folded(pixels, half, table.shape[2]), "v", digits=6)
+    table, lines = projection_lines(spark, sf_dir)
+    half = lines.agg(F.countDistinct("angle")).first()[0] // 2
+    return rounded(voxels(reorient.folded(lines, half, table.shape[2])), "v", digits=6)
 
 
 @query(""", h AS (SELECT count(DISTINCT angle) // 2 AS h FROM vox),
@@ -304,9 +304,9 @@ l AS (SELECT (angle - h)::INT AS angle, det_y, 63 - det_x AS det_x, v, CASE WHEN
 r AS (SELECT angle, det_y, det_x + 56 AS det_x, v, CASE WHEN det_x < 8 THEN (det_x + 0.5) / 8 ELSE 1 END AS w FROM vox, h WHERE angle < h)
 SELECT angle, det_y, det_x::INT AS det_x, round(sum(v * w) / sum(w), 5) AS v FROM (SELECT * FROM l UNION ALL SELECT * FROM r) GROUP BY ALL""")
 def stitch_360_180(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table, pixels = projections(spark, sf_dir)
-    half = pixels.agg(F.countDistinct("angle")).first()[0] // 2
-    return rounded(reorient.folded(pixels, half, table.shape[2], 8), "v")
+    table, lines = projection_lines(spark, sf_dir)
+    half = lines.agg(F.countDistinct("angle")).first()[0] // 2
+    return rounded(voxels(reorient.folded(lines, half, table.shape[2], 8)), "v")
 
 
 @query(" SELECT angle, (det_y // 2)::INT AS det_y, (det_x // 2)::INT AS det_x, round(avg(v), 6) AS v FROM vox GROUP BY ALL")
@@ -316,11 +316,18 @@ def data_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(", e AS (SELECT angle, det_y, max(v) FILTER (det_x = 30) AS a, max(v) FILTER (det_x = 34) AS b FROM vox GROUP BY ALL) SELECT angle, det_y, det_x, round(CASE WHEN det_x BETWEEN 30 AND 34 THEN a + (b - a) * ((det_x - 30) / 4.0) ELSE v END, 6) AS v FROM vox JOIN e USING (angle, det_y)")
 def seam_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(reorient.seam_blended(projections(spark, sf_dir)[1], 32, 2), "v", digits=6)
+    return rounded(voxels(reorient.seam_blended(projection_lines(spark, sf_dir)[1], 32, 2)), "v", digits=6)
 
 
 # neighbourhoods
 
+
+
+def around(spark: SparkSession, sf_dir: str, function: Callable, reach: tuple[int, int, int]) -> DataFrame:
+    table, lines = projection_lines(spark, sf_dir)
+    return voxels(function(lines, reach, table.shape[2]))
+
+
 AROUND = ", around AS (SELECT *, coalesce(lag(v) OVER w, v) AS a, coalesce(lead(v) OVER w, v) AS b FROM vox WINDOW w AS (PARTITION BY det_y, det_x ORDER BY angle))"
 
 
@@ -329,9 +336,9 @@ SELECT angle, det_y, det_x, true AS core, v FROM vox
 UNION ALL SELECT o::INT, det_y, det_x, false, v FROM vox, (VALUES (-1), (-2)) t(o) WHERE angle = 0
 UNION ALL SELECT (last + o)::INT, det_y, det_x, false, v FROM vox, e, (VALUES (1), (2), (3)) t(o) WHERE angle = last""")
 def halo_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pixels = projections(spark, sf_dir)[1]
-    n = pixels.agg(F.max("angle")).first()[0] + 1
-    return halo.padded(pixels, 2, 3, n).select("angle", "det_y", "det_x", "core", "v")
+    lines = projection_lines(spark, sf_dir)[1]
+    n = lines.agg(F.max("angle")).first()[0] + 1
+    return voxels(halo.padded(lines, 2, 3, n), "core").select("angle", "det_y", "det_x", "core", "v")
 
 
 @query(""", e AS (SELECT max(angle) + 1 AS n FROM vox),
@@ -339,27 +346,27 @@ b AS (SELECT i::INT AS block, (i * 7)::INT AS first, least(i * 7 + 7, n)::INT AS
 p AS (SELECT block, first, stop, a::INT AS angle, least(greatest(a, 0), n - 1)::INT AS read FROM b, e, range(-2, n + 2) t(a) WHERE a >= first - 2 AND a < CASE WHEN first + 7 + 2 > n + 2 THEN n + 2 ELSE first + 7 + 2 END)
 SELECT block, p.angle >= first AND p.angle < stop AS core, count(*) AS n, round(sum(v), 4) AS total FROM p JOIN vox ON vox.angle = p.read GROUP BY ALL""")
 def blocks_with_halo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pixels = projections(spark, sf_dir)[1]
-    n = pixels.agg(F.max("angle")).first()[0] + 1
-    dealt = halo.blocks(pixels, 7, 2, 2, n)
+    lines = projection_lines(spark, sf_dir)[1]
+    n = lines.agg(F.max("angle")).first()[0] + 1
+    dealt = voxels(halo.blocks(lines, 7, 2, 2, n), "block", "core")
     return rounded(dealt.groupBy("block", "core").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("total")), "total", digits=4)
 
 
 @query(AROUND + " SELECT angle, det_y, det_x, round((v + a + b) / 3, 6) AS v FROM around")
 def neighbourhood_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(halo.mean_filter(projections(spark, sf_dir)[1]), "v", digits=6)
+    return rounded(around(spark, sf_dir, neighbourhood.mean_filter, (1, 0, 0)), "v", digits=6)
 
 
 @query(AROUND + " SELECT angle, det_y, det_x, greatest(least(a, v), least(greatest(a, v), b)) AS v FROM around")
 def median_radius1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return halo.median_filter(projections(spark, sf_dir)[1])
+    return around(spark, sf_dir, neighbourhood.median_filter, (1, 0, 0))
 
 
 @query(""", e AS (SELECT max(angle) AS last FROM vox),
 near AS (SELECT x.angle, x.det_y, x.det_x, y.v FROM vox x, e, (VALUES (-2), (-1), (0), (1), (2)) t(o) JOIN vox y ON y.det_y = x.det_y AND y.det_x = x.det_x AND y.angle = least(greatest(x.angle + o, 0), last))
 SELECT angle, det_y, det_x, median(v) AS v FROM near GROUP BY ALL""")
 def median_radius2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return halo.median_filter(projections(spark, sf_dir)[1], 2)
+    return around(spark, sf_dir, neighbourhood.median_filter, (2, 0, 0))
 
 
 @query(""", around AS (SELECT *, coalesce(lag(v) OVER w, v) AS a, coalesce(lead(v) OVER w, v) AS b FROM vox WINDOW w AS (PARTITION BY angle, det_y ORDER BY det_x)),
@@ -379,7 +386,8 @@ m AS (SELECT angle, det_y, det_x, any_value(v) AS v, median(w) AS median FROM ne
 
 @query(NEAR_27 + " SELECT angle, det_y, det_x, CASE WHEN abs(v - median) > 0.5 THEN median ELSE v END AS v FROM m")
 def outlier_replace_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return halo.remove_outlier_cube(projections(spark, sf_dir)[1], 0.5).select("angle", "det_y", "det_x", "v")
+    table, lines = projection_lines(spark, sf_dir)
+    return voxels(neighbourhood.remove_outliers(lines, 0.5, (1, 1, 1), table.shape[2]))
 
 
 def _box(axis: str, others: str, before: str, name: str) -> str:
@@ -388,14 +396,14 @@ def _box(axis: str, others: str, before: str, name: str) -> str:
 
 @query(_box("angle", "det_y, det_x", "vox", "b1") + _box("det_y", "angle, det_x", "b1", "b2") + _box("det_x", "angle, det_y", "b2", "b3") + " SELECT angle, det_y, det_x, round(v, 5) AS v FROM b3")
 def neighbourhood_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(halo.box_sum(projections(spark, sf_dir)[1]), "v")
+    return rounded(around(spark, sf_dir, neighbourhood.box_sum, (1, 1, 1)), "v")
 
 
 @query(""", r AS (SELECT *, row_number() OVER (PARTITION BY det_y, det_x ORDER BY v, angle) AS place FROM vox),
 n AS (SELECT *, coalesce(lag(v) OVER w, v) AS a, coalesce(lead(v) OVER w, v) AS b FROM r WINDOW w AS (PARTITION BY det_y, place ORDER BY det_x))
 SELECT angle, det_y, det_x, greatest(least(a, v), least(greatest(a, v), b)) AS v FROM n""")
 def stripe_sorting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reorient.sorted_stripes(projections(spark, sf_dir)[1])
+    return voxels(frames.each_frame(projection_lines(spark, sf_dir)[1], frames.sort_stripes, "sinogram"))
 
 
 @query(" SELECT x.angle, x.det_y, count(*) AS neighbours, round(sum(y.line[1]::DOUBLE), 6) AS total FROM lines x JOIN lines y ON x.det_y = y.det_y AND abs(x.angle - y.angle) <= 2 WHERE x.image_key = 0 AND y.image_key = 0 GROUP BY ALL")
