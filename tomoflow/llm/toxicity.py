@@ -12,8 +12,9 @@ Training uses a bounded sample: at most ``sample_docs`` distinct texts of labell
 documents, chosen by a hash of the text (whole texts), in one task.  Labels are those of
 documents, so tokens are labelled from them: a token of a toxic document is toxic if
 one of its features is ``LOG_ODDS`` more likely in toxic documents than in others and
-occurs in ``LEAST_DOCS`` of them, where near copies of one text (two of four least
-shingle hashes alike) count once and so don't make its rare words toxic.  The field is
+is so more often than chance gives any of as many features (``unlikely``: the same rule for
+samples of every size), where near copies of one text (two of four least shingle hashes
+alike) count once and so don't make its rare words toxic.  The field is
 fitted to these tokens by gradient ascent on its likelihood, over the toxic documents and
 as many others; the logistic function is fitted to the labels of the whole sample.
 
@@ -44,7 +45,6 @@ SAMPLE_DOCS = 8000
 BUCKETS = 1 << 18
 BEGINNINGS = (3, 4, 5, 6)
 LOG_ODDS = 3.0
-LEAST_DOCS = 8
 CHAIN = 128
 ROUNDS = 30
 CHUNK_CHARS = 1_500_000
@@ -222,6 +222,23 @@ def _fit_logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
+def unlikely(toxic: np.ndarray, clean: np.ndarray, share: float) -> np.ndarray:
+    """Features that toxic documents have more often than chance gives any of so many features.
+
+    Were a feature of ``n = toxic + clean`` documents unrelated to toxicity, each of these were
+    toxic with probability ``share``; at least so many of them are with a chance of at most
+    exp(-n KL).  That has to be below one in the number of features that are frequent enough to
+    pass at all (n log(1 / share) is the most that any can reach), whatever the sample's size.
+    """
+    n = toxic + clean
+    part = toxic / np.maximum(1, n)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        surprise = n * (np.where(toxic > 0, part * np.log(part / share), 0) + np.where(clean > 0, (1 - part) * np.log((1 - part) / (1 - share)), 0))
+    most = np.sort(n[n > 0] * np.log(1 / share))[::-1]
+    able = np.flatnonzero(most >= np.log(np.arange(1, len(most) + 1)))
+    return (part > share) & (surprise >= np.log(able[-1] + 1 if len(able) else 1)) & (surprise > 0)
+
+
 def fit(texts: list[str], toxic_docs: np.ndarray) -> Field:
     """A field learned from documents and their labels."""
     field = Field()
@@ -247,7 +264,7 @@ def fit(texts: list[str], toxic_docs: np.ndarray) -> Field:
             in_docs[kind] += np.bincount(feature[toxic_docs[part][doc] == kind], minlength=BUCKETS + 1)
     of_kind = np.array([(~toxic_docs).sum(), toxic_docs.sum()])
     log_odds = np.log((in_docs[1] + 0.5) / (of_kind[1] + 1)) - np.log((in_docs[0] + 0.5) / (of_kind[0] + 1))
-    strong = (log_odds >= LOG_ODDS) & (apart >= LEAST_DOCS)
+    strong = (log_odds >= LOG_ODDS) & unlikely(apart, in_docs[0], len(np.unique(family)) / (len(np.unique(family)) + of_kind[0]))
     strong[BUCKETS] = False
     # the toxic documents and as many others
     others = np.flatnonzero(~toxic_docs)
