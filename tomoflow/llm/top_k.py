@@ -8,16 +8,19 @@ slice, the inner products of that slice, spread over the blocks of candidates.
    the lowest of these is a safe cutoff, as k candidates reach it.
 2. The cutoff goes out with the queries.  A score that reaches it has at least one
    slice score of cutoff / slices or more, so these entries are sufficient: all others
-   are dropped where they are.  Slice scores are 64-bit floats; the thresholds are
-   lowered by a bound of their rounding errors.
+   are dropped where they are.  After the first slice candidates go that can't reach the cutoff
+   by the norms of their other components, so the cutoff saves the work on these.  Slice
+   scores are 64-bit floats; the thresholds are lowered by a bound of their rounding errors.
 3. The entries that remain are resolved in integers, those below the cutoff drop out,
    and the k best of each query are its result.
 
 The query set is part of the table and grows with it, so nothing of it is broadcast:
 queries and candidates are packed into full blocks.  Candidate blocks are dealt to
 ``slots`` slots once; a query block is copied to every slot, and blocks meet in an
-equi-join on (length of the vectors, slot).  Tasks hold one block of either side and k
-entries a query.
+equi-join on (length of the vectors, slot), a merge join that spills a slot's candidates.  A task
+meets a query block with all its candidates before the next one, so it holds one block of
+either side and k entries of that block's queries: its work and memory a pair of blocks are the
+same however many queries there are.
 
 Scores and cutoffs are exact integers, cut to the range of a long.
 
@@ -33,7 +36,7 @@ Defined results
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -100,7 +103,8 @@ def _pairs(queries: DataFrame, candidates: DataFrame, slots: int, *cells: str) -
     left = left.withColumn("c_slot", F.pmod(F.xxhash64("c_rows"), F.lit(slots)).cast("int"))
     right = queries.select("dim", "rows", "cutoffs", *cells, F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"))
     same = (F.col("c_dim") == F.col("dim")) & (F.col("c_slot") == F.col("slot"))
-    return right.join(left.hint("shuffle_hash"), same).drop("c_slot", "slot", "c_dim")
+    # a merge join streams the queries and spills the candidates of a slot if they are too many
+    return right.join(left.hint("merge"), same).drop("c_slot", "slot", "c_dim")
 
 
 def slice_scores(q: np.ndarray, c: np.ndarray, slices: int) -> tuple[np.ndarray, np.ndarray]:
@@ -131,12 +135,14 @@ def best_entries(row: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) ->
 
 
 class Best:
-    """The k best entries of each query met by one task: (query row, id, row, score)."""
+    """The k best entries of each query of a few rows: (query row, id, row, score)."""
 
     def __init__(self, k: int, kind: type):
         self.k, self.held = k, (*(np.empty(0, np.int64) for _ in range(3)), np.empty(0, kind))
 
     def add(self, query: np.ndarray, ids: np.ndarray, rows: np.ndarray, score: np.ndarray) -> None:
+        if not len(query):
+            return
         both = [np.concatenate(x) for x in zip(self.held, (query, ids, rows, score), strict=True)]
         stay = best_entries(both[0], both[1], both[3], self.k)
         self.held = tuple(x[stay] for x in both)
@@ -145,6 +151,30 @@ class Best:
         return pa.RecordBatch.from_arrays([pa.array(x) for x in self.held], ["query_row", "vec_id", "row", "score"])
 
 
+#: Queries of a block that are scored at once.
+FEW = 256
+
+
+def by_query_block(batches: Iterator[pa.RecordBatch], k: int, kind: type, entries: Callable) -> Iterator[pa.RecordBatch]:
+    """The k best entries of each query of each run of pairs with one query block.
+
+    A task meets a query block with all its candidate blocks, one after the other, so it holds the entries
+    of one block; ``entries(pair, few)`` gives those of some of its queries.
+    """
+    current, best = None, []
+    for batch in batches:
+        for i in range(len(batch)):
+            (pair,) = batch.slice(i, 1).to_pylist()
+            if pair["rows"] != current:
+                yield from (b.batch() for b in best)
+                current = pair["rows"]
+                best = [Best(k, kind) for _ in range(0, len(current) // 8, FEW)]
+            for at, one in enumerate(best):
+                for found in entries(pair, slice(FEW * at, FEW * (at + 1))):
+                    one.add(*found)
+    yield from (b.batch() for b in best)
+
+
 def _cells(block: dict, before: str, *names: str) -> np.ndarray:
     """The vectors of a block, their given parts side by side."""
     n = len(block[f"{before}rows"]) // 8
@@ -154,50 +184,51 @@ def _cells(block: dict, before: str, *names: str) -> np.ndarray:
 def first_entries(pairs: DataFrame, k: int) -> DataFrame:
     """Phase 1: each task's k best entries of each query in the score list of the first slice."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = Best(k, float)
-        for batch in batches:
-            for pair in (p for i in range(len(batch)) for p in batch.slice(i, 1).to_pylist()):
-                (q_rows, c_rows), c_ids = (np.frombuffer(pair[c], "<i8") for c in ("rows", "c_rows")), np.frombuffer(pair["c_ids"], "<i8")
-                q, c = _cells(pair, "", "head").astype(float), _cells(pair, "c_", "head").astype(float)
-                for at in range(0, len(q_rows), 256):
-                    few = slice(at, at + 256)
-                    scores = q[few] @ c.T
-                    scores[q_rows[few, None] == c_rows[None, :]] = -np.inf
-                    top = min(k, len(c_rows))
-                    col = np.argpartition(-scores, top - 1, axis=1)[:, :top].ravel()
-                    row = np.repeat(np.arange(len(scores)), top)
-                    row, col = (x[np.isfinite(scores[row, col])] for x in (row, col))
-                    best.add(q_rows[few][row], c_ids[col], c_rows[col], scores[row, col])
-        yield best.batch()
-
-    return pairs.mapInArrow(run, "query_row long, vec_id long, row long, score double")
+    def entries(pair: dict, few: slice) -> Iterator[tuple]:
+        (q_rows, c_rows), c_ids = (np.frombuffer(pair[c], "<i8") for c in ("rows", "c_rows")), np.frombuffer(pair["c_ids"], "<i8")
+        scores = _cells(pair, "", "head")[few].astype(float) @ _cells(pair, "c_", "head").astype(float).T
+        scores[q_rows[few, None] == c_rows[None, :]] = -np.inf
+        top = min(k, len(c_rows))
+        col = np.argpartition(-scores, top - 1, axis=1)[:, :top].ravel()
+        row = np.repeat(np.arange(len(scores)), top)
+        row, col = (x[np.isfinite(scores[row, col])] for x in (row, col))
+        yield q_rows[few][row], c_ids[col], c_rows[col], scores[row, col]
 
+    return pairs.mapInArrow(lambda batches: by_query_block(batches, k, float, entries), "query_row long, vec_id long, row long, score double")
 
-def sufficient_entries(pairs: DataFrame, k: int, slices: int) -> DataFrame:
-    """Phases 2 and 3: each task's k best entries of each query, of those that can reach its cutoff."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = Best(k, np.int64)
-        for batch in batches:
-            for pair in (p for i in range(len(batch)) for p in batch.slice(i, 1).to_pylist()):
-                (q_rows, c_rows), c_ids = (np.frombuffer(pair[c], "<i8") for c in ("rows", "c_rows")), np.frombuffer(pair["c_ids"], "<i8")
-                cutoffs = np.frombuffer(pair["cutoffs"], "<i8")
-                q, c = _cells(pair, "", "head", "tail"), _cells(pair, "c_", "head", "tail")
-                for at in range(0, len(q_rows), 256):
-                    few = slice(at, at + 256)
-                    lists, error = slice_scores(q[few], c, slices)
-                    cut = np.where(cutoffs[few] == -LONG - 1, -np.inf, cutoffs[few].astype(float) * (1 - 4e-16 * np.sign(cutoffs[few])))[:, None]
-                    open_ = (lists >= cut / slices - error).any(axis=0) & (lists.sum(axis=0) >= cut - error)
-                    row, col = np.nonzero(open_ & (q_rows[few, None] != c_rows[None, :]))
-                    for a in range(0, len(row), 1 << 16):
-                        r, cc = row[a : a + (1 << 16)], col[a : a + (1 << 16)]
-                        total = exact_scores(q[few][r], c[cc])
-                        stay = total >= cutoffs[few][r]
-                        best.add(q_rows[few][r[stay]], c_ids[cc[stay]], c_rows[cc[stay]], total[stay])
-        yield best.batch()
-
-    return pairs.mapInArrow(run, "query_row long, vec_id long, row long, score long")
+def may_reach(q: np.ndarray, c: np.ndarray, cut: np.ndarray, first: int) -> np.ndarray:
+    """Which candidates can reach the cutoff of any query, by the first ``first`` components and the norms of the others."""
+    q, c = q.astype(float), c.astype(float)
+    rest = np.sqrt((q[:, first:] ** 2).sum(axis=1))[:, None] * np.sqrt((c[:, first:] ** 2).sum(axis=1))[None, :]
+    norms = np.sqrt((q * q).sum(axis=1))[:, None] * np.sqrt((c * c).sum(axis=1))[None, :]
+    return (q[:, :first] @ c[:, :first].T + rest >= cut - 8e-16 * (q.shape[1] + 8) * norms).any(axis=0)
+
+
+def sufficient_entries(pairs: DataFrame, k: int, slices: int) -> DataFrame:
+    """Phases 2 and 3: each task's k best entries of each query, of those that can reach its cutoff.
+
+    Candidates that no query of the few can reach, whatever their other slices hold, go after
+    the first slice: of them no other is worked out.
+    """
+
+    def entries(pair: dict, few: slice) -> Iterator[tuple]:
+        (q_rows, c_rows), c_ids = (np.frombuffer(pair[c], "<i8") for c in ("rows", "c_rows")), np.frombuffer(pair["c_ids"], "<i8")
+        cutoffs = np.frombuffer(pair["cutoffs"], "<i8")[few]
+        q, c = _cells(pair, "", "head", "tail")[few], _cells(pair, "c_", "head", "tail")
+        cut = np.where(cutoffs == -LONG - 1, -np.inf, cutoffs.astype(float) * (1 - 4e-16 * np.sign(cutoffs)))[:, None]
+        stay = may_reach(q, c, cut, slice_bounds(q.shape[1], slices)[1])
+        c, c_rows, c_ids = c[stay], c_rows[stay], c_ids[stay]
+        lists, error = slice_scores(q, c, slices)
+        open_ = (lists >= cut / slices - error).any(axis=0) & (lists.sum(axis=0) >= cut - error)
+        row, col = np.nonzero(open_ & (q_rows[few, None] != c_rows[None, :]))
+        for a in range(0, len(row), 1 << 16):
+            r, cc = row[a : a + (1 << 16)], col[a : a + (1 << 16)]
+            total = exact_scores(q[r], c[cc])
+            reached = total >= cutoffs[r]
+            yield q_rows[few][r[reached]], c_ids[cc[reached]], c_rows[cc[reached]], total[reached]
+
+    return pairs.mapInArrow(lambda batches: by_query_block(batches, k, np.int64, entries), "query_row long, vec_id long, row long, score long")
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
