@@ -55,6 +55,8 @@ from pyspark.sql import functions as F
 from tomoflow.llm.common import column, stash, working
 
 DEPTH = 6
+#: A gram, context and next byte, is one key of 64 bits, and 255 in its earliest byte marks what is left out.
+MOST_DEPTH = 7
 #: Occurrences that a context needs to have contexts below it.
 SPLIT = 2
 #: Bytes of text that are cut into grams at once, and those of a chunk.
@@ -158,6 +160,8 @@ def cut_in_chunks(docs: DataFrame, held_out: Column, id_col: str, text_col: str,
 
     Both are written at once, so that the rows of a chunk stay its rows.
     """
+    if not 1 <= depth <= MOST_DEPTH:
+        raise ValueError(f"contexts have 1 to {MOST_DEPTH} bytes, not {depth}")
     buckets, latest = buckets_of(docs), np.uint64(8 * (depth + 1 - min(LATEST, depth)))
     names = [c.split()[0] for c in CHUNKS.split(", ")]
 
