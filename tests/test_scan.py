@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tomoflow.functions.columns import part_bound
 from tomoflow.methods import spec
 from tomoflow.monitor import make_monitors, overhead, summarise
-from tomoflow.operators import aggregate, centre, elementwise, frames, halo, neighbourhood, reorient, sweep
+from tomoflow.operators import aggregate, centre, elementwise, frames, gridding, halo, neighbourhood, reorient, sweep, wavelets
 from tomoflow.plans.parse import parse
 from tomoflow.plans.preview import Frames, UserAngles, parse_preview
 from tomoflow.plans.rules import rewrite
@@ -304,7 +304,7 @@ def test_paganin_and_stripes():
     striped[:, 11] += 0.7
     for f in (frames.remove_stripe_fw, frames.remove_all_stripe):
         assert np.abs(f(striped) - smooth)[:, 11].mean() < np.abs(striped - smooth)[:, 11].mean() * 0.7
-    assert np.allclose(frames.unhaar(*frames.haar(smooth)), smooth)
+    assert np.allclose(wavelets.joined(*wavelets.split(smooth, 1), 1), smooth)
     assert frames.stripes_mask(striped)[:, 11].all()
 
 
@@ -480,3 +480,138 @@ def test_command_line(tmp_path, capsys):
     assert main(["check", str(path)]) == 1 and "method_exists" in capsys.readouterr().out
     path.write_text(PIPELINE)
     assert main(["memory-check", str(path), "--shape", "100", "80", "60", "--parts", "2", "--limit", "1k"]) == 1
+
+
+# filter banks, gridding, stripes in three dimensions
+
+
+@pytest.mark.parametrize("order", range(1, 11))
+def test_filter_banks_reconstruct(order):
+    taps = wavelets.scaling_filter(order)
+    assert len(taps) == 2 * order and abs(taps.sum() - np.sqrt(2)) < 1e-12
+    for shift in range(order):  # orthonormal with its even shifts
+        assert abs(taps[2 * shift :] @ taps[: len(taps) - 2 * shift] - (shift == 0)) < 1e-12
+    high = taps[::-1] * (-1) ** np.arange(len(taps))
+    for power in range(order):  # as many vanishing moments
+        assert abs((high * (np.arange(len(taps)) / len(taps)) ** power).sum()) < 1e-9
+    for n in (1, 2, 37, 64):
+        x = np.random.default_rng(n).normal(size=(n, 3))
+        for level in (1, 2, 4):
+            assert np.abs(wavelets.recompose(*wavelets.decompose(x, order, level), n, order) - x).max() < 1e-10
+
+
+def test_known_filters():
+    root = np.sqrt(3)
+    assert np.allclose(wavelets.scaling_filter(2), np.array([1 + root, 3 + root, 3 - root, 1 - root]) / (4 * np.sqrt(2)))
+    assert wavelets.order_of("haar") == 1 and wavelets.order_of("db7") == 7
+    for name in ("db11", "db0", "sym4", "db"):
+        with pytest.raises(ValueError):
+            wavelets.order_of(name)
+
+
+@pytest.mark.parametrize("wname", ["haar", "db2", "db5", "db10"])
+def test_stripes_by_wavelets(wname):
+    sino, _ = disc()
+    striped = sino.copy()
+    striped[:, 20] += 4
+    fixed = frames.remove_stripe_fw(striped, level=3, sigma=2.0, wname=wname)
+    assert fixed.shape == sino.shape
+    edge = np.abs(np.diff(fixed[:, 18:23], axis=1)).mean() / np.abs(np.diff(striped[:, 18:23], axis=1)).mean()
+    assert edge < 0.7
+    smooth = np.outer(np.sin(np.arange(90) / 3), np.ones(64))  # nothing along the columns: stays
+    assert np.allclose(frames.remove_stripe_fw(smooth, wname=wname), smooth, atol=1e-9)
+
+
+def ellipses(n, angles, shapes, center):
+    """Exact projections of ellipses (x, y, half axes, value), and their image."""
+    theta, s, sino = np.linspace(0, np.pi, angles, endpoint=False), np.arange(n) - center, np.zeros((angles, n))
+    grid, image = np.arange(n) - (n - 1) / 2, np.zeros((n, n))
+    for x, y, a, b, value in shapes:
+        for i, t in enumerate(theta):
+            r2 = (a * np.cos(t)) ** 2 + (b * np.sin(t)) ** 2
+            d = s - (x * np.cos(t) + y * np.sin(t))
+            sino[i] += value * 2 * a * b * np.sqrt(np.maximum(0, r2 - d * d)) / r2
+        image[((grid[None, :] - x) / a) ** 2 + ((grid[:, None] - y) / b) ** 2 <= 1] += value
+    return sino, theta, image
+
+
+@pytest.mark.parametrize("center", [31.5, 33.0])
+@pytest.mark.parametrize("shapes", [[(0, 0, 20, 20, 1.0)], [(8, -5, 16, 9, 1.0), (-14, 10, 7, 12, 0.5)]])
+def test_gridrec(shapes, center):
+    """Within 0.02 (root mean square, values up to 1.5) of back projection, and as close to the image."""
+    sino, theta, image = ellipses(64, 120, shapes, center)
+    grid = np.arange(64) - 31.5
+    inside = grid[None, :] ** 2 + grid[:, None] ** 2 <= 30**2
+
+    def distance(a, b):
+        return np.sqrt(((a - b)[inside] ** 2).mean())
+
+    back, gridded = frames.fbp(sino, theta, center), gridding.gridrec(sino, theta, center)
+    assert distance(back, gridded) < 0.02 and distance(gridded, image) < distance(back, image) + 0.005
+    small = gridding.gridrec(sino, theta, center, recon_size=40, recon_mask_radius=0.5, filter_name="hann")
+    assert small.shape == (40, 40) and small[0, 0] == 0 and small[20, 0] == 0
+
+
+def test_gridding_equals_the_sum_it_stands_for():
+    sino, theta, _ = ellipses(32, 25, [(3, -2, 8, 5, 1.0)], 15.5)
+    k = np.fft.fftfreq(64, 1 / 64)
+    spectra = np.fft.fft(sino, 64, axis=1) * frames.ramp(64) * np.exp(2j * np.pi * k * 15.5 / 64) * gridding.DAMPING["hann"](2 * np.abs(k) / 64)
+    got = gridding.gridrec(sino, theta, filter_name="hann")
+    for i, j in ((15, 15), (3, 20), (28, 9)):
+        x, y = j - 15.5, i - 15.5
+        turned = np.exp(2j * np.pi * k * (x * np.cos(theta) + y * np.sin(theta))[:, None] / 64)
+        assert abs(got[i, j] - (np.pi / 25 / 64) * (spectra * turned).sum().real) < 1e-3
+    assert gridding.kernel(np.array([0.0, 3.5])).tolist() == [1.0, 0.0]
+    with pytest.raises(ValueError):
+        gridding.gridrec(sino, theta[:-1])
+
+
+def test_recon_by_name(spark):
+    sino, theta, _ = ellipses(32, 40, [(0, 0, 9, 9, 1.0)], 15.5)
+    rows = [(a, 0, [float(v) for v in sino[a]]) for a in range(40)]
+    angles = spark.createDataFrame(list(enumerate(theta.tolist())), "angle int, theta double")
+    scan = Scan(spark.createDataFrame(rows, "angle int, det_y int, line array<float>"), angles, None, None, (40, 1, 32))
+    for name, function in (("gridrec", gridding.gridrec), ("fbp", frames.fbp)):
+        done = spec("recon").apply(scan, "sinogram", algorithm=name)
+        assert np.allclose(array(done.lines, (32, 1, 32))[:, 0], function(sino.astype(np.float32), theta), atol=1e-5)
+    with pytest.raises(ValueError):
+        spec("recon").apply(scan, "sinogram", algorithm="sirt")
+
+
+def plain_stripes(data, difference, columns, length, threshold, depth, least_rows, width):
+    """The mask's rules, pixel by pixel."""
+    n, m, k = data.shape
+    out, long, deep, mask = (np.zeros(data.shape, bool) for _ in range(4))
+    for a, y, x in np.ndindex(data.shape):
+        near = [data[a, y, min(max(x + o, 0), k - 1)] for o in range(-columns, columns + 1)]
+        out[a, y, x] = abs(data[a, y, x] - np.median(near)) > difference
+    for a, y, x in np.ndindex(data.shape):
+        long[a, y, x] = sum(out[min(max(a + o, 0), n - 1), y, x] for o in range(-length, length + 1)) >= threshold * (2 * length + 1)
+    for a, y, x in np.ndindex(data.shape):
+        deep[a, y, x] = long[a, y, x] and sum(long[a, min(max(y + o, 0), m - 1), x] for o in range(-depth, depth + 1)) >= least_rows
+    for a, y, x in np.ndindex(data.shape):
+        mask[a, y, x] = deep[a, y, x] or (deep[a, y, max(0, x - width) : x].any() and deep[a, y, x + 1 : x + 1 + width].any())
+    return mask
+
+
+@pytest.mark.parametrize("rules", [(0.3, 1, 2, 0.6, 1, 2, 2), (0.5, 2, 1, 0.5, 2, 3, 1), (0.2, 1, 3, 0.7, 0, 1, 0)])
+def test_stripes_in_three_dimensions(spark, rules):
+    data = RNG.normal(scale=0.3, size=(13, 5, 12)).astype(np.float32)
+    data[:, 1:4, 4] += 2
+    data[:, 1:4, 6] += 2
+    data[:, 0, 9] += 2
+    want = plain_stripes(data.astype(float), *rules)
+    got = array(neighbourhood.stripes_mask(lines(spark, data), *rules, width=12), data.shape)
+    assert (got == want).all() and want.any() and not want.all()
+    function = partial(neighbourhood.stripes_of_box, **dict(zip(("difference", "columns", "length", "threshold", "depth", "least_rows", "width"), rules, strict=True)))
+    small = neighbourhood.each_block(lines(spark, data), function, (rules[2], rules[4], 0), (4, 2))
+    assert (array(small, data.shape) == want).all()
+
+
+def test_a_stripe_of_one_row_is_no_stripe(spark):
+    data = np.ones((20, 6, 16), np.float32)
+    data[:, 2, 5] = 5
+    data[:, 1:5, 11] = 5
+    scan = Scan(lines(spark, data).drop("image_key"), None, None, None, data.shape)
+    got = array(spec("stripes_mask3d").apply(scan, "projection", length=4).lines, data.shape)
+    assert not got[:, :, 5].any() and got[:, 1:5, 11].all() and got.sum() == 80

@@ -7,7 +7,6 @@ of filters and reconstructions follow the published literature.
 
 from __future__ import annotations
 
-import logging
 import uuid
 from collections.abc import Callable
 from dataclasses import replace
@@ -20,11 +19,9 @@ from pyspark.sql import functions as F
 from tomoflow.functions.columns import finite_or_zero
 from tomoflow.functions.numbers import reconstruction_padding
 from tomoflow.methods import REQUIRED, Method, register
-from tomoflow.operators import aggregate, centre, elementwise, frames, halo, neighbourhood, reorient
+from tomoflow.operators import aggregate, centre, elementwise, frames, gridding, halo, neighbourhood, reorient
 from tomoflow.sources.scan import Scan, lines_of, voxels
 
-log = logging.getLogger("tomoflow")
-
 
 def around(function: Callable) -> Callable:
     """A filter of the cube around each pixel as a method on a scan."""
@@ -216,9 +213,14 @@ def unchanged(scan: Scan, pattern: str, **parameters) -> Scan:
     return scan
 
 
+#: What ``recon`` offers by name.
+RECONSTRUCTIONS = {"fbp": frames.fbp, "gridrec": gridding.gridrec}
+
+
 def register_all() -> None:
-    def add(name: str, apply: Callable, pattern: str = "all", parameters: dict[str, Any] | None = None, reach: str | None = None, **more) -> None:
-        halo_of = (lambda p: (0, 0)) if reach is None else (lambda p: (int(p[reach]) // 2, int(p[reach]) // 2))
+    def add(name: str, apply: Callable, pattern: str = "all", parameters: dict[str, Any] | None = None, reach: str | None = None, halo_reach: Callable[[dict], int] | None = None, **more) -> None:
+        own = halo_reach or (lambda p: int(p[reach]) // 2 if reach else 0)
+        halo_of = lambda p: (own(p), own(p))
         register(Method(name, pattern, apply, parameters=parameters or {}, halo=halo_of, **more))
 
     calibration = {"cutoff": 10.0, "averaging": "mean", "minus_log": False, "nonnegativity": False, "remove_nans": False}
@@ -238,7 +240,8 @@ def register_all() -> None:
     add("remove_stripe_fw", on_frames(frames.remove_stripe_fw, "sinogram"), "sinogram", {"level": 3, "sigma": 2.0, "wname": "haar", "pad": True}, memory_factor=4.0)
     add("remove_stripe_based_sorting", on_frames(frames.sort_stripes, "sinogram"), "sinogram", {"size": 3})
     add("remove_all_stripe", on_frames(frames.remove_all_stripe, "sinogram"), "sinogram", {"size": 5, "ratio": 3.0})
-    add("stripes_mask3d", on_frames(frames.stripes_mask, "sinogram"), "sinogram", {"threshold": 0.7, "size": 5}, "size")
+    mask = {"difference": 0.1, "columns": 2, "length": 10, "threshold": 0.7, "depth": 1, "least_rows": 2, "stripe_width": 2}
+    add("stripes_mask3d", lambda scan, pattern, **p: scan.with_lines(neighbourhood.stripes_mask(scan.lines, width=scan.shape[2], **p)), "projection", mask, halo_reach=lambda p: int(p["length"]))
     for name, apply, parameters, values in (
         ("find_center_vo", find_center_vo, {"ind": None, "average_radius": 0, "smin": -50, "smax": 50, "srad": 6, "step": 0.5, "ratio": 0.5, "drop": 20}, ("cor",)),
         ("find_center_pc", find_center_pc, {}, ("cor",)),
@@ -254,14 +257,14 @@ def register_all() -> None:
     recon = {"center": None, "recon_size": None, "recon_mask_radius": None, "filter_freq_cutoff": 1.0, "detector_pad": False}
     for name in ("FBP", "FBP2d_astra", "FBP3d_tomobar", "LPRec3d_tomobar"):
         add(name, reconstruction(frames.fbp), "sinogram", recon, save_default=True, memory_factor=6.0)
-    gridrec = recon | {"algorithm": "fbp", "sinogram_order": True, "init_recon": None}
+    gridrec = recon | {"algorithm": "fbp", "sinogram_order": True, "init_recon": None, "filter_name": "linear"}
 
     def recon_by_name(scan: Scan, pattern: str, algorithm: str = "fbp", sinogram_order: bool = True, init_recon=None, **parameters) -> Scan:
-        if algorithm not in ("fbp", "gridrec") or not sinogram_order or init_recon is not None:
-            raise ValueError("recon is filtered back projection ('fbp'; 'gridrec' is done by it, too) of sinograms, without a start image")
-        if algorithm == "gridrec":
-            log.warning("recon: gridrec isn't built in; filtered back projection is used")
-        return reconstruction(frames.fbp)(scan, pattern, **parameters)
+        if algorithm not in RECONSTRUCTIONS or not sinogram_order or init_recon is not None:
+            raise ValueError(f"recon is {' or '.join(RECONSTRUCTIONS)} of sinograms, without a start image")
+        if algorithm == "fbp":
+            parameters.pop("filter_name", None)
+        return reconstruction(RECONSTRUCTIONS[algorithm])(scan, pattern, **parameters)
 
     add("recon", recon_by_name, "sinogram", gridrec, save_default=True, memory_factor=6.0)
     add("FISTA3d_tomobar", reconstruction(_fista), "sinogram", {"center": None, "recon_size": None, "iterations": 15, "regularisation": 0.0, "detector_pad": False}, save_default=True, memory_factor=8.0)

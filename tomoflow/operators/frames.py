@@ -13,6 +13,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from tomoflow.operators import wavelets
+
 LINES = "angle int, det_y int, line array<float>"
 
 
@@ -72,37 +74,18 @@ def paganin(frame: np.ndarray, ratio_delta_beta: float = 250.0, pixel_size: floa
     return -np.log(np.maximum(smooth[n : 2 * n, m : 2 * m], 1e-6))
 
 
-def haar(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One level of the Haar wavelet along the first axis (of even length)."""
-    return (x[::2] + x[1::2]) / np.sqrt(2), (x[::2] - x[1::2]) / np.sqrt(2)
-
-
-def unhaar(low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    out = np.empty((2 * len(low), *low.shape[1:]), low.dtype)
-    out[::2], out[1::2] = (low + high) / np.sqrt(2), (low - high) / np.sqrt(2)
-    return out
-
-
 def remove_stripe_fw(sinogram: np.ndarray, level: int = 3, sigma: float = 2.0, wname: str = "haar", pad: bool = True) -> np.ndarray:
     """Combined wavelet and Fourier stripe filter: columns' detail is damped at low frequencies."""
-    if wname != "haar":
-        raise ValueError("only the Haar wavelet is built in")
     if pad:  # mirrored beyond both ends of the angles, so that they don't meet in the spectrum
         edge = max(1, len(sinogram) // 4)
         return remove_stripe_fw(np.pad(sinogram, ((edge, edge), (0, 0)), mode="reflect" if len(sinogram) > 1 else "edge"), level, sigma, wname, False)[edge : edge + len(sinogram)]
     n, m = sinogram.shape
-    step = 1 << level
+    order = wavelets.order_of(wname)
     # the second axis is split into details; frequencies run along the angles
-    wide = np.pad(sinogram, ((0, 0), (0, -m % step)), mode="edge").T.astype(float)
-    details = []
-    for _ in range(level):
-        wide, high = haar(wide)
-        spectrum = np.fft.fft(high, axis=1)
-        damp = 1 - np.exp(-(np.fft.fftfreq(n, 1 / n) ** 2) / (2 * sigma**2))
-        details.append(np.fft.ifft(spectrum * damp, axis=1).real)
-    for high in reversed(details):
-        wide = unhaar(wide, high)
-    return wide.T[:, :m]
+    low, details = wavelets.decompose(sinogram.T.astype(float), order, level)
+    damp = 1 - np.exp(-(np.fft.fftfreq(n, 1 / n) ** 2) / (2 * sigma**2))
+    damped = [np.fft.ifft(np.fft.fft(high, axis=1) * damp, axis=1).real for high in details]
+    return wavelets.recompose(low, damped, m, order).T
 
 
 def sort_stripes(sinogram: np.ndarray, size: int = 3) -> np.ndarray:

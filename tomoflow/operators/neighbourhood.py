@@ -146,3 +146,52 @@ def box_sum(lines: DataFrame, reach: Reach, width: int | None = None) -> DataFra
 def remove_outliers(lines: DataFrame, difference: float, reach: Reach, width: int | None = None) -> DataFrame:
     """Values further than ``difference`` from their neighbourhood's median become it."""
     return filtered(lines, outliers_of_box, reach, width, difference=difference)
+
+
+def along(mask: np.ndarray, axis: int, reach: int) -> np.ndarray:
+    """How many are set within ``reach`` places on an axis; the box has that much more on either side."""
+    counts = np.cumsum(mask, axis=axis, dtype=np.int32)
+    counts = np.concatenate([np.zeros_like(np.take(counts, [0], axis)), counts], axis=axis)
+    n = mask.shape[axis] - 2 * reach
+    return np.take(counts, range(2 * reach + 1, 2 * reach + 1 + n), axis) - np.take(counts, range(n), axis)
+
+
+def stripes_of_box(box: np.ndarray, difference: float, columns: int, length: int, threshold: float, depth: int, least_rows: int, width: int) -> np.ndarray:
+    """The stripe mask of a block with a halo of ``length`` angles and ``depth`` rows; see ``stripes_mask``."""
+    view = sliding_window_view(np.pad(box, ((0, 0), (0, 0), (columns, columns)), mode="edge"), 2 * columns + 1, axis=2)
+    stands_out = np.abs(box - np.partition(view, columns, axis=3)[..., columns]) > difference
+    long = along(stands_out, 0, length) >= threshold * (2 * length + 1)
+    deep = long[:, depth : long.shape[1] - depth] & (along(long, 1, depth) >= least_rows)
+    if not width:
+        return deep.astype(float)
+    wide = np.pad(deep, ((0, 0), (0, 0), (width, width)))
+    before, after = (np.any([wide[:, :, shift : shift + deep.shape[2]] for shift in shifts], axis=0) for shifts in (range(width), range(width + 1, 2 * width + 1)))
+    return (deep | (before & after)).astype(float)
+
+
+def stripes_mask(
+    lines: DataFrame,
+    difference: float = 0.1,
+    columns: int = 2,
+    length: int = 10,
+    threshold: float = 0.7,
+    depth: int = 1,
+    least_rows: int = 2,
+    stripe_width: int = 2,
+    width: int | None = None,
+) -> DataFrame:
+    """1 where a stripe is, by rules along all three axes.
+
+    column   a pixel stands out if it is further than ``difference`` from the median of
+             ``columns`` columns to either side
+    angle    its stripe is long: of the ``length`` angles before and after, itself included, a share
+             of ``threshold`` stands out in the same place
+    row      it is deep: of the ``depth`` rows above and below, itself included, ``least_rows`` are
+             long in the same column and angle
+    gaps     columns between two of a stripe, each within ``stripe_width``, belong to it
+
+    Beyond the ends of angles and rows the outermost line counts again.
+    """
+    size = block_shape(width or width_of(lines), (length, depth, 0))
+    function = partial(stripes_of_box, difference=difference, columns=columns, length=length, threshold=threshold, depth=depth, least_rows=least_rows, width=stripe_width)
+    return each_block(lines, function, (length, depth, 0), size)

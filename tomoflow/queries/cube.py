@@ -399,6 +399,26 @@ def neighbourhood_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(around(spark, sf_dir, neighbourhood.box_sum, (1, 1, 1)), "v")
 
 
+@query(""", e AS (SELECT max(angle) AS last FROM vox),
+near AS (
+  SELECT p.angle, p.det_y, p.det_x, p.v, q.v AS w FROM vox p, (VALUES (-1), (0), (1)) t(o)
+  JOIN vox q ON q.angle = p.angle AND q.det_y = p.det_y AND q.det_x = least(greatest(p.det_x + o, 0), 63)),
+outs AS (SELECT angle, det_y, det_x, (abs(any_value(v) - median(w)) > 0.02)::INT AS o FROM near GROUP BY ALL),
+longs AS (
+  SELECT p.angle, p.det_y, p.det_x, (sum(q.o) >= 0.6 * 5)::INT AS o FROM outs p, e, (VALUES (-2), (-1), (0), (1), (2)) t(d)
+  JOIN outs q ON q.angle = least(greatest(p.angle + d, 0), last) AND q.det_y = p.det_y AND q.det_x = p.det_x GROUP BY ALL),
+deeps AS (
+  SELECT p.angle, p.det_y, p.det_x, (any_value(p.o) = 1 AND sum(q.o) >= 2)::INT AS o FROM longs p, (VALUES (-1), (0), (1)) t(d)
+  JOIN longs q ON q.angle = p.angle AND q.det_y = least(greatest(p.det_y + d, 0), 9) AND q.det_x = p.det_x GROUP BY ALL)
+SELECT angle, det_y, det_x, CASE WHEN o = 1 OR coalesce(max(o) OVER (w ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING) = 1
+    AND max(o) OVER (w ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING) = 1, false) THEN 1.0 ELSE 0.0 END::DOUBLE AS v
+FROM deeps WINDOW w AS (PARTITION BY angle, det_y ORDER BY det_x)""")
+def stripes_mask_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stripes by rules along columns, angles and rows."""
+    table, lines = projection_lines(spark, sf_dir)
+    return voxels(neighbourhood.stripes_mask(lines, 0.02, columns=1, length=2, threshold=0.6, width=table.shape[2]))
+
+
 @query(""", r AS (SELECT *, row_number() OVER (PARTITION BY det_y, det_x ORDER BY v, angle) AS place FROM vox),
 n AS (SELECT *, coalesce(lag(v) OVER w, v) AS a, coalesce(lead(v) OVER w, v) AS b FROM r WINDOW w AS (PARTITION BY det_y, place ORDER BY det_x))
 SELECT angle, det_y, det_x, greatest(least(a, v), least(greatest(a, v), b)) AS v FROM n""")
