@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tomoflow.functions.columns import part_bound
 from tomoflow.methods import spec
 from tomoflow.monitor import make_monitors, overhead, summarise
-from tomoflow.operators import aggregate, centre, elementwise, frames, gridding, halo, neighbourhood, reorient, sweep, wavelets
+from tomoflow.operators import aggregate, centre, elementwise, frames, gridding, halo, neighbourhood, percentiles, reorient, sweep, wavelets
 from tomoflow.plans.parse import parse
 from tomoflow.plans.preview import Frames, UserAngles, parse_preview
 from tomoflow.plans.rules import rewrite
@@ -615,3 +615,43 @@ def test_a_stripe_of_one_row_is_no_stripe(spark):
     scan = Scan(lines(spark, data).drop("image_key"), None, None, None, data.shape)
     got = array(spec("stripes_mask3d").apply(scan, "projection", length=4).lines, data.shape)
     assert not got[:, :, 5].any() and got[:, 1:5, 11].all() and got.sum() == 80
+
+
+# percentiles
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+@pytest.mark.parametrize("pattern", ["angle", "det_y"])
+def test_percentiles_without_gathering(spark, kind, pattern):
+    data = RNG.normal(size=(9, 6, 40)) * 10.0 ** RNG.integers(-6, 6, size=(9, 6, 40))
+    data[2], data[3, :, ::2], data[4, 0, 0], data[5, 0, :3] = 7.5, 0.0, -np.inf, np.inf
+    data = data.astype(np.float32 if kind == "float" else np.float64)
+    table = lines(spark, data).withColumn("line", F.col("line").cast(f"array<{kind}>"))
+    if kind == "double":
+        rows = [(a, y, [float(v) for v in data[a, y]]) for a in range(9) for y in range(6)]
+        table = spark.createDataFrame(rows, "angle int, det_y int, line array<double>").repartition(4)
+    shares = (0.0, 0.01, 0.5, 0.77, 1.0)
+    want = {(r[pattern], s): r[f"p{i}"] for i, s in enumerate(shares) for r in voxels(table).groupBy(pattern).agg(F.percentile("v", s).alias(f"p{i}")).collect()}
+    got = {(r[pattern], s): v for r in percentiles.percentiles(table, pattern, shares).collect() for s, v in zip(shares, r.p, strict=True)}
+    assert got == want
+
+
+def test_percentiles_of_little(spark):
+    table = spark.createDataFrame([(0, 0, [3.0]), (1, 0, [1.0, None, 2.0]), (2, 0, [])], "angle int, det_y int, line array<float>")
+    got = {r.angle: r.p for r in percentiles.percentiles(table, "angle", (0.25, 1.0)).collect()}
+    assert got == {0: [3.0, 3.0], 1: [1.25, 2.0]}
+    assert percentiles.percentiles(table.where("false"), "angle", (0.5,)).count() == 0
+
+
+def test_numbers_keep_the_order_of_values():
+    for kind in (np.float32, np.float64):
+        values = np.sort(np.concatenate([RNG.normal(size=99), [0.0, 1e-40, -1e-40, np.inf, -np.inf]]).astype(kind))
+        numbers = percentiles.ordered(values)
+        assert (np.diff(numbers.astype(object)) >= 0).all()
+        assert np.array_equal(percentiles.restored(numbers, 8 * values.dtype.itemsize), values.astype(float))
+
+
+def test_percentiles_move_counts_only(spark, data):
+    """No exchange carries a line: lines meet two numbers a frame where they are."""
+    plan = percentiles.percentiles(lines(spark, data), "angle", (0.5,))._jdf.queryExecution().executedPlan().toString()
+    assert "percentile(" not in plan and "collect_list(line" not in plan and "posexplode" not in plan

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tomoflow.functions.columns import finite_or_zero, safe_ratio, stretch_to_byte
+from tomoflow.functions.columns import finite_or_zero, safe_ratio
 from tomoflow.operators.aggregate import calibration_mean, global_stats
 from tomoflow.sources.scan import voxels
 
@@ -53,12 +53,6 @@ def rescaled(pixels: DataFrame, bits: int = 8, low: float | None = None, high: f
     return rows.select("angle", "det_y", "det_x", scaled.alias("v"))
 
 
-def stretched(pixels: DataFrame, keys: list[str], low: float = 0.01, high: float = 0.99) -> DataFrame:
-    """Each slice clipped to its percentiles and scaled to bytes."""
-    limits = pixels.groupBy(*keys).agg(F.percentile("v", F.array(F.lit(low), F.lit(high))).alias("p"))
-    return pixels.join(limits, keys).select("angle", "det_y", "det_x", stretch_to_byte(F.col("v"), F.col("p")[0], F.col("p")[1]).alias("v"))
-
-
 def line_pixels(lines: DataFrame) -> DataFrame:
     return voxels(lines)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tomoflow.functions.columns import linspace
 from tomoflow.functions.numbers import arange
-from tomoflow.operators import aggregate, elementwise, frames, halo, neighbourhood, reorient, sweep
+from tomoflow.operators import aggregate, elementwise, frames, halo, neighbourhood, percentiles, reorient, sweep
 from tomoflow.plans.model import Preview
 from tomoflow.plans.preview import Frames, StoredAngles, UserAngles, continuous_subset, parse_preview, sweep_preview
 from tomoflow.sources.declared import declared_scan, lines_from
@@ -235,7 +235,7 @@ def rescale_to_int(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(", p AS (SELECT angle, quantile_cont(v, 0.01) AS lo, quantile_cont(v, 0.99) AS hi FROM vox GROUP BY angle) SELECT angle, det_y, det_x, floor(255 * (least(greatest(v, lo), hi) - lo) / (hi - lo))::INT AS v FROM vox JOIN p USING (angle)")
 def percentile_stretch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return elementwise.stretched(projections(spark, sf_dir)[1], ["angle"])
+    return voxels(percentiles.stretched(projection_lines(spark, sf_dir)[1], "angle")).withColumn("v", F.col("v").cast("int"))
 
 
 @query(", m AS (SELECT vox.* FROM vox, cube WHERE det_y = 5), p AS (SELECT quantile_cont(v, 0.01) AS lo, quantile_cont(v, 0.99) AS hi FROM m) SELECT angle, det_y, det_x, floor(255 * (least(greatest(v, lo), hi) - lo) / (hi - lo))::INT AS v FROM m, p")

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tomoflow.operators.elementwise import stretched
+from tomoflow.operators.percentiles import stretched
 from tomoflow.sources.scan import Scan, voxels
 
 
@@ -90,7 +90,7 @@ def save_images(lines: DataFrame, path: str, **options) -> None:
 def snapshot(lines: DataFrame, shape: tuple[int, int, int], pattern: str) -> DataFrame:
     """The middle frame, clipped to its 1st and 99th percentile, as bytes."""
     key, n = ("det_y", shape[1]) if pattern == "sinogram" else ("angle", shape[0])
-    return stretched(voxels(lines.where(F.col(key) == n // 2)), [key])
+    return voxels(stretched(lines.where(F.col(key) == n // 2), key)).withColumn("v", F.col("v").cast("int"))
 
 
 def pipeline_copy(text: str, version: str) -> str:
