@@ -14,7 +14,7 @@ from tomoflow.plans.parse import parse
 from tomoflow.plans.preview import Frames, UserAngles, parse_preview
 from tomoflow.plans.rules import rewrite
 from tomoflow.run import Settings, run_pipeline, run_sweep
-from tomoflow.sources import sinks
+from tomoflow.sources import images, sinks
 from tomoflow.sources.scan import CubeTable, Scan, crop, lines_of, nexus_paths, open_scan, renumbered, voxels
 
 RNG = np.random.default_rng(11)
@@ -440,8 +440,8 @@ def test_wrong_parameters_and_order(spark, data):
 
 def test_images():
     image = np.arange(6).reshape(2, 3)
-    assert sinks.pgm(image) == b"P5\n3 2\n255\n" + bytes(range(6))
-    assert sinks.png(image, 16)[:8] == b"\x89PNG\r\n\x1a\n"
+    assert images.pgm(image) == b"P5\n3 2\n255\n" + bytes(range(6))
+    assert images.png(image, 16)[:8] == b"\x89PNG\r\n\x1a\n"
     assert sinks.result_name("t", "p", "m", "gridrec") == "t-p-m-gridrec"
 
 
@@ -511,13 +511,12 @@ def test_known_filters():
 
 @pytest.mark.parametrize("wname", ["haar", "db2", "db5", "db10"])
 def test_stripes_by_wavelets(wname):
-    sino, _ = disc()
+    sino = np.outer(np.sin(np.arange(90) / 4), np.cos(np.arange(64) / 9))
     striped = sino.copy()
     striped[:, 20] += 4
-    fixed = frames.remove_stripe_fw(striped, level=3, sigma=2.0, wname=wname)
+    fixed = frames.remove_stripe_fw(striped, level=4, sigma=2.0, wname=wname)
     assert fixed.shape == sino.shape
-    edge = np.abs(np.diff(fixed[:, 18:23], axis=1)).mean() / np.abs(np.diff(striped[:, 18:23], axis=1)).mean()
-    assert edge < 0.7
+    assert np.abs((fixed - sino)[:, 20]).mean() < 0.35 * 4
     smooth = np.outer(np.sin(np.arange(90) / 3), np.ones(64))  # nothing along the columns: stays
     assert np.allclose(frames.remove_stripe_fw(smooth, wname=wname), smooth, atol=1e-9)
 

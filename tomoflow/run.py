@@ -130,8 +130,6 @@ def apply_step(step: Step, scan: Scan, settings: Settings, published: dict[str,
         return scan
     if step.method == "save_to_images":
         if settings.out_dir:
-            if parameters.get("file_format") in ("jpeg", "jpg"):
-                raise ValueError("images are written as PGM or PNG; jpeg_quality has no meaning for them")
             axis = parameters.get("axis", "auto")
             axis = AXIS[step.pattern] if axis == "auto" else int(axis)
             stats = scan.side_outputs.get("glob_stats")
@@ -149,6 +147,7 @@ def apply_step(step: Step, scan: Scan, settings: Settings, published: dict[str,
                 low=low,
                 high=high,
                 offset=parameters.get("offset", 0),
+                quality=parameters.get("jpeg_quality", 95),
             )
         return scan
     if method.publishes and settings.persist:

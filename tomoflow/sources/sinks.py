@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import json
-import struct
-import zlib
 
 import numpy as np
 import pandas as pd
@@ -12,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tomoflow.operators.percentiles import stretched
+from tomoflow.sources.images import WRITERS
 from tomoflow.sources.scan import Scan, voxels
 
 
@@ -38,28 +37,7 @@ def discard(df: DataFrame) -> None:
     df.write.format("noop").mode("overwrite").save()
 
 
-def pgm(image: np.ndarray, bits: int = 8) -> bytes:
-    """Portable grey map of whole numbers."""
-    kind = ">u1" if bits <= 8 else ">u2"
-    head = f"P5\n{image.shape[1]} {image.shape[0]}\n{(1 << bits) - 1}\n".encode()
-    return head + image.astype(kind).tobytes()
-
-
-def png(image: np.ndarray, bits: int = 8) -> bytes:
-    kind, depth = (">u1", 8) if bits <= 8 else (">u2", 16)
-    rows = b"".join(b"\0" + r.astype(kind).tobytes() for r in image)
-
-    def chunk(name: bytes, data: bytes) -> bytes:
-        return struct.pack(">I", len(data)) + name + data + struct.pack(">I", zlib.crc32(name + data))
-
-    head = struct.pack(">IIBBBBB", image.shape[1], image.shape[0], depth, 0, 0, 0, 0)
-    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
-
-
-WRITERS = {"pgm": pgm, "png": png}
-
-
-def images(lines: DataFrame, axis: int, bits: int = 8, file_format: str = "pgm", low: float | None = None, high: float | None = None, offset: int = 0) -> DataFrame:
+def images(lines: DataFrame, axis: int, bits: int = 8, file_format: str = "pgm", low: float | None = None, high: float | None = None, offset: int = 0, quality: int = 95) -> DataFrame:
     """name, content: one encoded image a frame (axis 0: projections, 1: sinograms)."""
     if file_format not in WRITERS:
         raise ValueError(f"images are written as {', '.join(WRITERS)}, not {file_format!r}")
@@ -76,7 +54,7 @@ def images(lines: DataFrame, axis: int, bits: int = 8, file_format: str = "pgm",
         frame = np.stack(group["line"].to_numpy()).astype(float)
         lo, hi = float(group["low"].iloc[0]), float(group["high"].iloc[0])
         span = (np.clip(frame, lo, hi) - lo) / (hi - lo) if hi > lo else np.zeros(frame.shape)
-        content = WRITERS[file_format](np.floor(span * ((1 << bits) - 1)), bits)
+        content = WRITERS[file_format](np.floor(span * ((1 << bits) - 1)), bits, quality)
         return pd.DataFrame({"name": [f"{int(key[0]) + offset:05d}.{file_format}"], "content": [content]})
 
     return lines.groupBy(own).applyInPandas(encode, "name string, content binary")
