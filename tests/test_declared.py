@@ -116,7 +116,7 @@ PIPELINE = """
 
 
 def options(**more):
-    given = {"lists_are_sweeps": False, "save_all": False, "snapshots": False, "sweep_bits": 8, "subset_start": None, "subset_stop": None, "rows": 6, "monitor": []}
+    given = {"lists_are_sweeps": False, "save_all": False, "snapshots": False, "sweep_bits": 8, "subset_start": None, "subset_stop": None, "rows": 6, "monitor": [], "intermediate_format": "parquet", "frames_per_chunk": 0, "compress_intermediate": 0}
     return argparse.Namespace(**(given | more))
 
 
@@ -133,6 +133,20 @@ def test_run_of_the_command_line(spark, path, tmp_path):
         cli.run(spark, path, PIPELINE.replace("method: standard_tomo", "method: other_loader"), str(tmp_path / "o"), options())
 
 
+@pytest.mark.parametrize("frames", [0, 3])
+def test_steps_saved_as_volumes(spark, path, tmp_path, frames):
+    """What a run saves as HDF5 is a scan that the loader opens again."""
+    scan = cli.run(spark, path, PIPELINE, str(tmp_path / "out"), options(save_all=True, intermediate_format="hdf5", frames_per_chunk=frames, compress_intermediate=4))
+    (file,) = [p for p in (tmp_path / "out").iterdir() if "normalize" in p.name]
+    assert file.suffix == ".h5"
+    given = {"data_path": "/data", "rotation_angles": {"data_path": "/angles"}, "darks": "ignore", "flats": "ignore"}
+    again = declared.load(spark, str(file), given)
+    assert again.shape == scan.shape == (4, 6, 7)
+    lines = [{(r.angle, r.det_y): np.float32(r.line).tolist() for r in s.lines.collect()} for s in (scan, again)]
+    assert lines[0] == lines[1] and len(lines[0]) == 24
+    assert [round(math.degrees(r.theta), 6) for r in again.angles.orderBy("angle").collect()] == [10.0, 25.0, 47.5, 90.0]
+
+
 def test_check_with_data(spark, path, tmp_path, capsys):
     file = tmp_path / "p.yaml"
     file.write_text(PIPELINE)

@@ -26,6 +26,9 @@ def arguments(argv: list[str]) -> argparse.Namespace:
     run.add_argument("pipeline", help="a path, or the pipeline's text")
     run.add_argument("out_dir")
     run.add_argument("--save-all", action="store_true", help="save the result of every step, whatever its save_result says")
+    run.add_argument("--intermediate-format", choices=("parquet", "hdf5"), default="parquet", help="how saved steps are written")
+    run.add_argument("--frames-per-chunk", type=int, default=0, help="frames of a chunk of HDF5 volumes; 0: about 4 MB")
+    run.add_argument("--compress-intermediate", type=int, choices=range(10), default=0, metavar="LEVEL", help="deflate level of HDF5 volumes")
     run.add_argument("--snapshots", action="store_true")
     run.add_argument("--monitor", action="append", default=[])
     run.add_argument("--subset-start", type=int)
@@ -66,6 +69,7 @@ def run(spark, data: str, pipeline: str, out_dir: str, options: argparse.Namespa
     scan = declared.load(spark, data, plan.loader.parameters, options.rows, subset, bool(plan.sweeps))
     monitors = make_monitors(options.monitor)
     settings = Settings(out_dir, options.save_all, options.snapshots, monitors, count_zeros=True)
+    settings.saved_as, settings.frames_per_chunk, settings.deflate = options.intermediate_format, options.frames_per_chunk, options.compress_intermediate
     try:
         scan = (run_sweep if plan.sweeps else run_pipeline)(plan, scan, settings)
         discard(scan.lines)

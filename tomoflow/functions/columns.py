@@ -22,6 +22,11 @@ def linspace(start: float, stop: float, n: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: start + i * F.lit(stop - start) / (n - 1))
 
 
+def spaced(start: Column, stop: Column, n: int) -> Column:
+    """An array of n evenly spaced values from one column to another."""
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: start + i * (stop - start) / max(1, n - 1))
+
+
 def part_bound(length: Column, parts: Column | int, part: Column) -> Column:
     """Where part number ``part`` of an axis begins (halves to the even number)."""
     return F.bround(length / parts * part).cast("int")

@@ -7,8 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tomoflow.functions.columns import linspace
-from tomoflow.functions.numbers import arange
+from tomoflow.functions.columns import spaced
 from tomoflow.operators import aggregate, elementwise, frames, halo, neighbourhood, percentiles, reorient, sweep
 from tomoflow.plans.model import Preview
 from tomoflow.plans.preview import Frames, StoredAngles, UserAngles, continuous_subset, parse_preview, sweep_preview
@@ -123,9 +122,12 @@ def linspace_angles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(user_angles(spark, UserAngles(0.0, 180.0, n)), "theta", digits=9)
 
 
-@query(" SELECT i::INT AS place, round(5e-1 + i * 3e-1, 9) AS value FROM range(10) t(i)")
+@query(" SELECT det_y, i::INT AS place, round(5e-1 + i * 3e-1, 9) AS value FROM (SELECT det_y, max(angle) + 1 AS n FROM lines GROUP BY det_y), range(n) t(i)")
 def arange_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(spark.createDataFrame(list(enumerate(arange(0.5, 3.4, 0.3))), "place int, value double"), "value", digits=9)
+    """Evenly spaced values, one for each angle of each row."""
+    lengths = cube(spark, sf_dir).lines().groupBy("det_y").agg((F.max("angle") + 1).alias("n"))
+    values = lengths.select("det_y", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: 0.5 + i * 0.3)).alias("place", "value"))
+    return rounded(values, "value", digits=9)
 
 
 @query(", a AS (SELECT DISTINCT angle FROM lines WHERE image_key = 0) SELECT angle, count(*) AS n_lines, round(radians(angle * 180.0 / (max(n) - 1)), 9) AS theta FROM lines JOIN a USING (angle), cube GROUP BY angle")
@@ -447,9 +449,9 @@ def chunk_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reorient.chunk_table(spark, cube(spark, sf_dir).shape[0], 7)
 
 
-@query(" SELECT i::INT AS block, (i * 64)::INT AS start, least(i * 64 + 64, 500)::INT AS stop, i = 7 AS last FROM range(8) t(i)")
+@query(" SELECT i::INT AS block, (i * 16)::INT AS start, least(i * 16 + 16, n)::INT AS stop, i = (n + 15) // 16 - 1 AS last FROM cube, range((n + 15) // 16) t(i)")
 def block_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reorient.block_table(spark, 500, 64)
+    return reorient.block_table(spark, cube(spark, sf_dir).shape[0], 16)
 
 
 @query(", p AS (SELECT (vec_id // 64)::INT AS part, count(*) AS length FROM embeddings GROUP BY ALL) SELECT part, length, coalesce(sum(length) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start, (sum(length) OVER ())::BIGINT AS total FROM p")
@@ -487,9 +489,11 @@ def sweep_stacked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(sweep.stacked(runs).select("angle", "det_y", "det_x", "sweep_idx", "v"), "v", digits=6)
 
 
-@query(" SELECT i::INT AS place, round(1e0 + i * 5e-1, 6) AS value FROM range(5) t(i)")
+@query(" SELECT angle, det_y, i::INT AS place, round(line[1]::DOUBLE + i * (line[64]::DOUBLE - line[1]::DOUBLE) / 4, 6) AS value FROM lines, range(5) t(i)")
 def linspace_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    values = spark.range(1).select(F.posexplode(linspace(1.0, 3.0, 5)).alias("place", "value"))
+    """Five evenly spaced values from the first value of each line to its last."""
+    lines = cube(spark, sf_dir).lines().select("angle", "det_y", F.col("line").cast("array<double>").alias("line"))
+    values = lines.select("angle", "det_y", F.posexplode(spaced(F.col("line")[0], F.element_at("line", -1), 5)).alias("place", "value"))
     return rounded(values, "value", digits=6)
 
 

@@ -38,6 +38,11 @@ class Settings:
     snapshots: bool = False
     monitors: Several = field(default_factory=lambda: Several([]))
     persist: bool = True
+    #: how saved steps are written: tables, or one HDF5 volume each
+    saved_as: str = "parquet"
+    #: frames of a chunk of such a volume (0: as many as fit its usual size), and its deflate level
+    frames_per_chunk: int = 0
+    deflate: int = 0
     #: whether checks that the rewrites put in count zeros; ``warn_of_zeros`` tells what they found
     count_zeros: bool = False
     #: what a run has persisted; ``release`` gives it back once its result is used
@@ -126,7 +131,11 @@ def apply_step(step: Step, scan: Scan, settings: Settings, published: dict[str,
     if step.method == "save_intermediate_data":
         if settings.out_dir:
             package = step.module.split(".")[0]
-            sinks.save_scan(scan, f"{settings.out_dir}/{sinks.result_name(str(step.id), package, step.parameters.get('of') or 'data')}")
+            name = f"{settings.out_dir}/{sinks.result_name(str(step.id), package, step.parameters.get('of') or 'data')}"
+            if settings.saved_as == "hdf5":
+                sinks.save_hdf5(scan, f"{name}.h5", step.pattern, settings.frames_per_chunk, settings.deflate)
+            else:
+                sinks.save_scan(scan, name)
         return scan
     if step.method == "save_to_images":
         if settings.out_dir:

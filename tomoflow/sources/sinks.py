@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tomoflow.operators.percentiles import stretched
 from tomoflow.sources.images import WRITERS
 from tomoflow.sources.scan import Scan, voxels
+from tomoflow.sources.volumes import chunk_for, save_volume
 
 
 def result_name(task: str, package: str, method: str, algorithm: str | None = None) -> str:
@@ -27,6 +28,24 @@ def save_scan(scan: Scan, path: str, files: int | None = None) -> None:
     spark.createDataFrame([scan.shape], "n_angles int, detector_y int, detector_x int").write.mode("overwrite").parquet(f"{path}/shape")
 
 
+def save_hdf5(scan: Scan, path: str, pattern: str = "projection", frames_per_chunk: int = 0, level: int = 0) -> None:
+    """The volume ``/data`` with its ``/angles`` (degrees) and the place of its preview on the detector, in one file.
+
+    A chunk holds ``frames_per_chunk`` whole frames of the pattern, or about 4 MB.  Results with
+    other frames than the scan has angles, such as slices, have no angles.
+    """
+    n, rows, width = scan.shape
+    chunk = chunk_for(scan.shape, pattern)
+    if frames_per_chunk:
+        chunk = (n, frames_per_chunk, width) if pattern == "sinogram" else (frames_per_chunk, rows, width)
+    lines, own = scan.lines, scan.angles.where(F.col("angle") < n) if scan.angles is not None else None
+    more: dict = {"numbers": {"/data_dims/detector_x_y": list(scan.origin)}}
+    if own is not None and own.count() == n:
+        lines = lines.join(own.select("angle", F.degrees("theta").alias("degrees")), "angle", "left")
+        more["angles_path"] = "/angles"
+    save_volume(lines, scan.shape, path, "/data", chunk, level, **more)
+
+
 def load_scan(spark: SparkSession, path: str, darks: DataFrame, flats: DataFrame) -> Scan:
     shape = tuple(spark.read.parquet(f"{path}/shape").first())
     return Scan(spark.read.parquet(f"{path}/lines"), spark.read.parquet(f"{path}/angles"), darks, flats, shape)
