@@ -1,4 +1,4 @@
-"""Queries over the cube as an HDF5 volume: written by tasks, one index, read by chunks."""
+"""Queries over the cube as an HDF5 volume - written by tasks, one index, read by chunks - and as a stream of lines."""
 
 from __future__ import annotations
 
@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tomoflow.queries.cube import STORED, cube, first_mean, projection_lines, query, rounded, scratch, stored
+from tomoflow.operators import frames
 from tomoflow.sources import declared
 from tomoflow.sources.scan import ENTRY_PATHS, voxels
 from tomoflow.sources.volumes import read_volume, save_volume
+from tomoflow.streaming.sinograms import arrived, completed_sinograms
 
 
 @query(" SELECT angle, det_y, det_x, v FROM vox")
@@ -42,3 +44,17 @@ def hdf5_declared_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = scan.lines.select("angle", "det_y", F.round(F.col("line")[0].cast("double"), 6).alias("v"))
     angles = rounded(scan.angles, "theta", digits=9)
     return rows.join(angles, "angle").join(first_mean(scan.darks, "dark"), "det_y").join(first_mean(scan.flats, "flat"), "det_y")
+
+
+@query(""", r AS (SELECT *, row_number() OVER (PARTITION BY det_y, det_x ORDER BY v, angle) AS place FROM vox),
+n AS (SELECT *, coalesce(lag(v) OVER w, v) AS a, coalesce(lead(v) OVER w, v) AS b FROM r WINDOW w AS (PARTITION BY det_y, place ORDER BY det_x))
+SELECT angle, det_y, det_x, greatest(least(a, v), least(greatest(a, v), b)) AS v FROM n""")
+def streaming_sinograms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stripes removed from sinograms as they complete, while lines arrive file by file in no order."""
+    _, lines = projection_lines(spark, sf_dir)
+    n = lines.agg(F.max("angle")).first()[0] + 1
+    folder = scratch(spark, "arriving")
+    lines.repartition(3, F.xxhash64("angle", "det_y")).write.parquet(folder)
+    stream = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    done = completed_sinograms(stream, n, frames.sort_stripes)
+    return voxels(arrived(done, scratch(spark, "sinograms"), scratch(spark, "sinograms-state")))
