@@ -537,7 +537,7 @@ def ellipses(n, angles, shapes, center):
 @pytest.mark.parametrize("center", [31.5, 33.0])
 @pytest.mark.parametrize("shapes", [[(0, 0, 20, 20, 1.0)], [(8, -5, 16, 9, 1.0), (-14, 10, 7, 12, 0.5)]])
 def test_gridrec(shapes, center):
-    """Within 0.02 (root mean square, values up to 1.5) of back projection, and as close to the image."""
+    """Within 0.025 (root mean square, values up to 1.5) of back projection, and as close to the image."""
     sino, theta, image = ellipses(64, 120, shapes, center)
     grid = np.arange(64) - 31.5
     inside = grid[None, :] ** 2 + grid[:, None] ** 2 <= 30**2
@@ -546,7 +546,7 @@ def test_gridrec(shapes, center):
         return np.sqrt(((a - b)[inside] ** 2).mean())
 
     back, gridded = frames.fbp(sino, theta, center), gridding.gridrec(sino, theta, center)
-    assert distance(back, gridded) < 0.02 and distance(gridded, image) < distance(back, image) + 0.005
+    assert distance(back, gridded) < 0.025 and distance(gridded, image) < distance(back, image) + 0.005
     small = gridding.gridrec(sino, theta, center, recon_size=40, recon_mask_radius=0.5, filter_name="hann")
     assert small.shape == (40, 40) and small[0, 0] == 0 and small[20, 0] == 0
 
