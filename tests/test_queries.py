@@ -3,7 +3,9 @@
 import os
 
 import duckdb
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tomoflow import catalog
@@ -60,3 +62,17 @@ def test_every_pixel_is_there(spark, con, name):
 def test_reconstructions_have_the_detector_width(spark, name):
     rows = catalog.QUERIES[name](spark, SMALL)
     assert {r.n for r in rows.select("n").distinct().collect()} == {64}
+
+
+def test_stretch_equals_its_sql_to_the_last_bit(spark, tmp_path):
+    """Frames whose brightest pixels are 254 or 255 by the limits' last bit, one-valued frames with unlike limits, frames without values."""
+    frames = [np.random.default_rng(seed).normal(size=640).astype(np.float32).tolist() for seed in (478, 2567)]
+    frames += [[0.09067010879516602] * 43, [-0.197042778134346] * 45, [None] * 640, [None] * 63 + frames[0][63:]]
+    rows = [(a * 10 + y, frame[64 * y : 64 * y + 64]) for a, frame in enumerate(frames) for y in range(10)]
+    rows += [(vec_id, frames[0][:64]) for vec_id in range(60, 80)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = sorted(tuple(r) for r in catalog.QUERIES["percentile_stretch"](spark, str(tmp_path)).select("angle", "det_y", "det_x", F.coalesce("v", F.lit(-1))).collect())
+    own = duckdb.connect()
+    own.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = own.execute(f"SELECT angle, det_y, det_x, coalesce(v, -1) FROM ({catalog.ORACLES['percentile_stretch']})").fetchall()
+    assert got == sorted(want) and len(got) == sum(map(len, frames)) + 640

@@ -1,5 +1,6 @@
 """Operators against NumPy, on small arrays, whatever the partitioning."""
 
+from fractions import Fraction
 from functools import partial
 
 import numpy as np
@@ -650,6 +651,18 @@ def test_numbers_keep_the_order_of_values():
         assert np.array_equal(percentiles.restored(numbers, 8 * values.dtype.itemsize), values.astype(float))
 
 
+def test_fused_percentiles(spark):
+    """Only the second product and the sum are rounded."""
+    rows = [(0, 0, [1.0, 3.0]), (1, 0, [-np.inf, 0.5, 4.0]), (2, 0, [0.1, 0.1, 0.1]), (3, 0, [0.7])]
+    table = spark.createDataFrame(rows, "angle int, det_y int, line array<double>")
+    got = {r.angle: r.p for r in percentiles.percentiles(table, "angle", (0.25, 1.0), fused=True).collect()}
+    assert got == {0: [1.5, 3.0], 1: [-np.inf, 4.0], 2: [0.1, 0.1], 3: [0.7, 0.7]}
+    own = np.random.default_rng(3)
+    for place, low, high in zip(own.uniform(1, 640, 300).tolist(), own.normal(size=300).tolist(), own.normal(size=300).tolist(), strict=True):
+        d = Fraction(place) % 1
+        assert percentiles.fused_between(place, low, high) == float(Fraction(low) * (1 - d) + Fraction(high * float(d)))
+
+
 def test_percentiles_move_counts_only(spark, data):
     """No exchange carries a line: lines meet two numbers a frame where they are."""
     plan = percentiles.percentiles(lines(spark, data), "angle", (0.5,))._jdf.queryExecution().executedPlan().toString()

@@ -33,9 +33,9 @@ def part_bound(length: Column, parts: Column | int, part: Column) -> Column:
 
 
 def stretch_to_byte(v: Column, low: Column, high: Column) -> Column:
-    """Clip to [low, high] and scale to 0..255."""
+    """Clip to [low, high] and scale to 0..255; 0 between equal limits, null without limits."""
     clipped = F.least(F.greatest(v, low), high)
-    return F.when(high > low, F.floor(255 * (clipped - low) / (high - low))).otherwise(0).cast("int")
+    return F.when(high == low, 0).otherwise(F.floor(255 * (clipped - low) / (high - low))).cast("int")
 
 
 def safe_ratio(a: Column, b: Column, floor: float = 1e-6) -> Column:

@@ -6,12 +6,17 @@ in which of the bins each wanted rank lies.  Single-precision lines take two pas
 ones four, whatever their values are.  What moves are counts: at most 65,536 a frame and wanted
 rank, far fewer where values repeat.  All passes are one plan; nothing goes through the driver.
 
-A percentile between two ranks is interpolated linearly.  NaN counts as the greatest value.
+A percentile between two ranks is interpolated linearly.  NaN counts as the greatest value.  The sum
+of the two weighted values is rounded as in Spark's ``percentile``; where ``fused``, its first product
+is not rounded before, as in DuckDB's ``quantile_cont``.  Limits of a stretch are fused: a pixel at the
+upper one is floor(255 * x / x), which is 254 or 255 by the last bit of x.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -41,6 +46,16 @@ def restored(numbers: np.ndarray, width: int) -> np.ndarray:
     return bits.astype(f"u{width // 8}").view(f"f{width // 8}").astype(float)
 
 
+def fused_between(place: float, low: float, high: float) -> float:
+    """low * (1 - d) + high * d at d = place - floor(place), where only high * d and the sum are rounded."""
+    d = place - math.floor(place)
+    if d == 0:
+        return low
+    if not (math.isfinite(low) and math.isfinite(high)):
+        return low * (1 - d) + high * d
+    return float(Fraction(low) * Fraction(1 - d) + Fraction(high * d))
+
+
 def counts_by_bits(rows: DataFrame, key: str, width: int, known: int) -> DataFrame:
     """key, bin, n: counts of values by their first ``known`` + BITS bits, of those whose first ``known`` bits are wanted.
 
@@ -68,7 +83,7 @@ def counts_by_bits(rows: DataFrame, key: str, width: int, known: int) -> DataFra
     return counted.groupBy("key", "bin").agg(F.sum("n").alias("n"))
 
 
-def percentiles(lines: DataFrame, key: str, shares: tuple[float, ...]) -> DataFrame:
+def percentiles(lines: DataFrame, key: str, shares: tuple[float, ...], fused: bool = False) -> DataFrame:
     """``key`` and p, the percentiles of all values of its lines."""
     single = lines.schema["line"].dataType.elementType.simpleString() == "float"
     width = 32 if single else 64
@@ -97,17 +112,21 @@ def percentiles(lines: DataFrame, key: str, shares: tuple[float, ...]) -> DataFr
     def value(bins: pd.Series) -> pd.Series:
         return pd.Series(restored(bins.to_numpy().astype(np.int64), width))
 
+    @F.pandas_udf("double")
+    def fused_value(places: pd.Series, lows: pd.Series, highs: pd.Series) -> pd.Series:
+        return pd.Series([fused_between(*x) for x in zip(places.tolist(), lows.tolist(), highs.tolist(), strict=True)], dtype=float)
+
     rows = ranks.distinct().withColumn("v", value("bin"))
     ends = rows.groupBy("key", "share", "place").agg(F.min_by("v", "rank").alias("low"), F.max_by("v", "rank").alias("high"))
     between = (F.ceil("place") - F.col("place")) * F.col("low") + (F.col("place") - F.floor("place")) * F.col("high")
-    at = F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(between)
+    at = fused_value("place", "low", "high") if fused else F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(between)
     done = ends.select("key", F.struct("share", at.alias("v")).alias("one")).groupBy("key").agg(F.array_sort(F.collect_list("one")).alias("all"))
     return done.select(F.col("key").alias(key), F.transform("all", lambda p: p["v"]).alias("p"))
 
 
 def stretched(lines: DataFrame, key: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
-    """Each frame clipped to its percentiles and scaled to whole numbers from 0 to 255."""
-    limits = percentiles(lines, key, (low, high)).select(F.col(key).alias("p_key"), "p")
-    met = lines.join(limits, F.col(key) == F.col("p_key"))
+    """Each frame clipped to its percentiles and scaled to whole numbers from 0 to 255; null where a frame has no values."""
+    limits = percentiles(lines, key, (low, high), fused=True).select(F.col(key).alias("p_key"), "p")
+    met = lines.join(limits, F.col(key) == F.col("p_key"), "left")
     line = F.transform(F.col("line").cast("array<double>"), lambda v: stretch_to_byte(v, F.col("p")[0], F.col("p")[1]))
     return met.withColumn("line", line).select(*lines.columns)
